@@ -65,6 +65,11 @@ def pos_rule_lambda(var: str) -> str:
     return POS_RULE_SQL.format(t=var, w="true")
 
 
+def sql_literal(pattern: str) -> str:
+    """A regex ready to sit inside a Spark SQL string literal (escapes doubled)."""
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def word_count(text: Column) -> Column:
     """Number of words."""
     return F.regexp_count(text, F.lit(WORD_RE)).cast("bigint")
@@ -101,7 +106,7 @@ def ngrams(arr: Column, n: int = 3, sep: str = NGRAM_SEP) -> Column:
     """Consecutive n-grams of an array joined by ``sep`` (empty if short)."""
     size = F.size(arr)
     idx = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(0)))
-    grams = F.transform(idx, lambda i: F.array_join(F.slice(arr, i, n), sep))
+    grams = F.transform(idx, lambda i: F.concat_ws(sep, *[F.element_at(arr, i + j) for j in range(n)]))
     return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
 
 

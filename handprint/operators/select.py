@@ -70,7 +70,7 @@ def drop_low(values: DataFrame, docs: DataFrame, documents_min: float = 1,
         F.sum(value).alias("total"), F.count_distinct(value).alias("nd"),
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(value) == 0).alias("zeros"))
     if isinstance(documents_min, float):
-        need = F.round(n_docs * F.lit(documents_min))
+        need = F.bround(n_docs * F.lit(documents_min))  # Python round: half to even
     else:
         need = F.lit(documents_min)
     if mode == "documents":

@@ -58,7 +58,7 @@ def top_terms(totals: DataFrame, k: int, term: str = "token") -> DataFrame:
         raise ValueError(f"vocabulary of {k} terms exceeds MAX_VOCAB={MAX_VOCAB}")
     top = totals.orderBy(F.desc("n"), F.asc(term)).limit(k)
     w = Window.orderBy(F.desc("n"), F.asc(term))  # over k rows only
-    return top.withColumn("rank", F.row_number().over(w))
+    return top.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def restrict(long: DataFrame, vocab: DataFrame, term: str = "token",

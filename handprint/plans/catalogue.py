@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from handprint.functions import text as T
 from handprint.functions.text import round6
-from handprint.operators import select, vocab
+from handprint.operators import features, select, vocab
 from handprint.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,213 @@ def moisl_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                        z=MOISL_Z)
     return res.select("feature", "freq", round6(F.col("mean_prob")).alias("mean_prob"),
                       round6(F.col("score")).alias("score"), "keep")
+
+
+# ---------------------------------------------------------------------------
+# Step 1: corpus filters and counts
+# ---------------------------------------------------------------------------
+
+# Fixed values of the stand-in block lists.
+BLOCKED_AUTHORS = ("src7", "src13")
+ALLOWED_GENRES = ("en",)
+
+
+@query
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 over the whole table: words per document."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("source").alias("author"),
+                    T.word_count(F.col("text")).alias("n_words"))
+
+
+@query
+def author_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and words per author of the filtered corpus."""
+    d = english_corpus(spark, sf_dir)
+    return d.groupBy("author").agg(F.count(F.lit(1)).alias("n_docs"),
+                                   F.sum(T.word_count(F.col("text"))).alias("n_words"))
+
+
+@query
+def reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First matching rejection reason per document, then a report."""
+    d = table(spark, sf_dir, "documents")
+    reason = (F.when(F.col("source").isin(*BLOCKED_AUTHORS), "author")
+              .when(~F.col("lang").isin(*ALLOWED_GENRES), "genre")
+              .when(T.word_count(F.col("text")) < MIN_WORDS, "short")
+              .otherwise("kept"))
+    return (d.select(reason.alias("reason"), "source")
+            .groupBy("reason").agg(F.count(F.lit(1)).alias("n_docs"),
+                                   F.count_distinct("source").alias("n_authors")))
+
+
+# ---------------------------------------------------------------------------
+# Step 2: token features
+# ---------------------------------------------------------------------------
+
+N_TOP_TOKENS = 200
+N_MFT = 100
+
+
+@query
+def function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function-word counts per document."""
+    d = english_corpus(spark, sf_dir)
+    w = vocab.word_table(d).filter(F.col("token").isin(*T.FUNCTION_WORDS))
+    return vocab.term_counts(w).withColumnRenamed("token", "feature")
+
+
+@query
+def pos_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus counts of tag trigrams (punctuation removed first)."""
+    d = english_corpus(spark, sf_dir)
+    tags = F.expr(f"transform(words, w -> {T.pos_rule_lambda('w')})")
+    # Tags are bound to a column once; n-grams then index into it.
+    grams = (d.select(T.words(F.col("text")).alias("words"))
+             .select(tags.alias("tags"))
+             .select(F.explode(T.ngrams(F.col("tags"), 3)).alias("trigram")))
+    return grams.groupBy("trigram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def affix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus counts of word affixes."""
+    d = english_corpus(spark, sf_dir)
+    return (vocab.affix_long(vocab.word_table(d)).groupBy("affix")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 + G1: most frequent tokens, tags u and n excluded (a top-k report)."""
+    d = english_corpus(spark, sf_dir)
+    t = vocab.token_table(d).filter(~T.pos_rule().isin("u", "n"))
+    top = vocab.top_terms(t.groupBy("token").agg(F.count(F.lit(1)).alias("n")), N_TOP_TOKENS)
+    return top.select("rank", "token", "n")
+
+
+def _affix_vocab(d):
+    counts = vocab.affix_long(vocab.word_table(d)).groupBy("affix").agg(
+        F.count(F.lit(1)).alias("n"))
+    return vocab.top_terms(counts, N_MFT, "affix")
+
+
+@query
+def affix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each top affix in the document's ``_`` text.
+
+    The bounded vocabulary is bound once as an array column (scalar
+    subquery) and counted inside the row: no join, no shuffle of tokens.
+    """
+    d = english_corpus(spark, sf_dir)
+    top = _affix_vocab(d)
+    arr = top.select(F.transform(F.array_sort(F.collect_list(F.struct("rank", "affix"))),
+                                 lambda s: s["affix"])).scalar()
+    u = T.underscore_text(F.array_join(T.tokens(F.col("text")), " "))
+    per = (d.select("doc_id", u.alias("u")).withColumn("mft", arr)
+           .select("doc_id", F.explode(F.arrays_zip(
+               F.col("mft").alias("feature"),
+               F.transform("mft", lambda f: T.count_non_overlapping(F.col("u"), f)).alias("n")))
+               .alias("c"))
+           .select("doc_id", "c.feature", "c.n"))
+    tot = F.sum("n").over(Window.partitionBy("doc_id"))
+    return (per.withColumn("value", F.when(tot > 0, F.col("n") / tot).otherwise(F.lit(0.0)))
+            .filter(F.col("n") > 0)
+            .select("doc_id", "feature", "n", round6(F.col("value")).alias("value")))
+
+
+@query
+def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: tokens outside the top-100 words (and not punctuation) become their tag."""
+    docs, _, top = _mfw_counts(spark, sf_dir)
+    arr = top.select(F.collect_list("token")).scalar()
+    rule = T.pos_rule_lambda("t")
+    masked = F.expr(
+        f"array_join(transform(toks, t -> CASE WHEN NOT (t rlike '{T.sql_literal(T.IS_WORD_RE)}') "
+        f"OR array_contains(mfw, t) THEN t ELSE {rule} END), ' ')")
+    return (docs.select("doc_id", T.tokens(F.col("text")).alias("toks"))
+            .withColumn("mfw", arr).select("doc_id", masked.alias("masked")))
+
+
+# ---------------------------------------------------------------------------
+# Step 4: normalise and prune
+# ---------------------------------------------------------------------------
+
+DROP_LOW_DOCS = 0.1      # share of documents (rounded half to even)
+DROP_LOW_FREQ = 10
+N_RANKED = 10
+
+
+def _mfw_values(spark, sf_dir, k=N_MFW):
+    docs, fc, top = _mfw_counts(spark, sf_dir, k)
+    return docs, fc.select("doc_id", F.col("token").alias("feature"),
+                           F.col("n").cast("double").alias("value")), top
+
+
+@query
+def relative_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E7 on the top-100 word counts."""
+    _, v, _ = _mfw_values(spark, sf_dir)
+    r = features.relative(v)
+    return r.select("doc_id", "feature", round6(F.col("value")).alias("value"))
+
+
+def normalised_vectors(spark, sf_dir):
+    """I10 preprocessing: MOISL keep -> relative -> drop constant -> z -> L2."""
+    docs, v, _ = _mfw_values(spark, sf_dir)
+    ids = docs.select("doc_id")
+    kept = select.moisl(v, ids, z=MOISL_Z, value="value").filter("keep").select("feature")
+    rel = features.relative(features.align(v, kept))
+    live = features.non_constant(rel, ids)
+    idx = features.feature_index(live)
+    vec = features.zscore_vectors(rel, ids, idx)
+    return vec.select("doc_id", features.l2(F.col("vec")).alias("vec")), idx, docs
+
+
+@query
+def zscore_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense normalised matrix as (doc, feature, value)."""
+    vec, idx, _ = normalised_vectors(spark, sf_dir)
+    out = features.vectors_to_long(vec, idx)
+    return out.select("doc_id", "feature", round6(F.col("value")).alias("value"))
+
+
+@query
+def drop_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B12 on the top-1000 word counts: surviving features with their totals."""
+    docs, v, _ = _mfw_values(spark, sf_dir, 1000)
+    kept = select.drop_low(v, docs.select("doc_id"), DROP_LOW_DOCS, DROP_LOW_FREQ)
+    return kept.groupBy("feature").agg(F.sum("value").cast("bigint").alias("total"))
+
+
+@query
+def ranked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function words ranked by corpus total."""
+    fw = function_words(spark, sf_dir)
+    return select.ranked_features(fw, N_RANKED).select("rank", "feature", "n")
+
+
+def _french_counts(spark, sf_dir):
+    d = (table(spark, sf_dir, "documents").filter(F.col("lang") == "fr")
+         .select("doc_id", "text"))
+    c = vocab.term_counts(vocab.word_table(d))
+    return c.select("doc_id", F.col("token").alias("feature"),
+                    F.col("n").cast("double").alias("value"))
+
+
+@query
+def align_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """French documents aligned to the English top-100 vocabulary."""
+    _, _, top = _mfw_values(spark, sf_dir)
+    fr = _french_counts(spark, sf_dir)
+    return features.align(fr, top.select(F.col("token").alias("feature")))
+
+
+@query
+def merge_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1: English counts plus French counts aligned to them; totals per corpus."""
+    _, en, _ = _mfw_values(spark, sf_dir)
+    fr = _french_counts(spark, sf_dir)
+    m = features.merge(en.withColumn("corpus", F.lit("en")), fr.withColumn("corpus", F.lit("fr")))
+    return m.groupBy("corpus", "feature").agg(F.sum("value").cast("bigint").alias("n"),
+                                              F.count(F.lit(1)).alias("n_docs"))

@@ -6,7 +6,7 @@ caller.  Regular expressions use explicit classes so RE2 and Java agree.
 
 from __future__ import annotations
 
-from handprint.functions.text import POS_RULE_SQL, TOKEN_RE, WORD_RE
+from handprint.functions.text import FUNCTION_WORDS, POS_RULE_SQL, TOKEN_RE, WORD_RE
 
 SQL: dict[str, str] = {}
 
@@ -19,17 +19,24 @@ ENGLISH = f"""
   WHERE lang = 'en' AND len(regexp_extract_all(text, '{W}')) >= 300
 """
 
-MFW_COUNTS = f"""
+
+
+def mfw(k: int = 100) -> str:
+    return f"""
   english AS ({ENGLISH}),
   words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english),
   counts AS (SELECT doc_id, token, count(*) AS n FROM words GROUP BY ALL),
-  top AS (SELECT token, sum(n) AS n FROM counts GROUP BY token ORDER BY n DESC, token LIMIT 100),
-  fc AS (SELECT * FROM counts WHERE token IN (SELECT token FROM top))
+  top AS (SELECT token, sum(n) AS n FROM counts GROUP BY token ORDER BY n DESC, token LIMIT {k}),
+  fc AS (SELECT * FROM counts WHERE token IN (SELECT token FROM top)),
+  nd AS (SELECT count(*) AS n_docs FROM english)
 """
 
+
+MFW_COUNTS = mfw(100)
+
+
 SQL["moisl_features"] = f"""
 WITH {MFW_COUNTS},
-  nd AS (SELECT count(*) AS n_docs FROM english),
   tot AS (SELECT doc_id, sum(n) AS tot FROM fc GROUP BY doc_id),
   mint AS (SELECT CASE WHEN count(*) < (SELECT n_docs FROM nd) THEN 0 ELSE min(tot) END AS m
            FROM tot),
@@ -47,3 +54,171 @@ SELECT token AS feature, freq::BIGINT AS freq,
              * (2 * (SELECT n_docs FROM nd) - 1) / (8 * ss) END <= (SELECT m FROM mint), false) AS keep
 FROM s
 """
+
+
+def rule(t: str, w: str = "true") -> str:
+    return POS_RULE_SQL.format(t=t, w=w)
+
+
+IS_WORD = r"^[\p{L}\p{M}\p{N}_]"
+FWORDS = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
+
+SQL["word_counts"] = f"""
+SELECT doc_id, source AS author, len(regexp_extract_all(text, '{W}'))::BIGINT AS n_words
+FROM documents
+"""
+
+SQL["author_counts"] = f"""
+WITH english AS ({ENGLISH})
+SELECT author, count(*) AS n_docs, sum(len(regexp_extract_all(text, '{W}')))::BIGINT AS n_words
+FROM english GROUP BY author
+"""
+
+SQL["reject_report"] = f"""
+SELECT reason, count(*) AS n_docs, count(DISTINCT source) AS n_authors FROM (
+  SELECT CASE WHEN source IN ('src7', 'src13') THEN 'author'
+              WHEN lang NOT IN ('en') THEN 'genre'
+              WHEN len(regexp_extract_all(text, '{W}')) < 300 THEN 'short'
+              ELSE 'kept' END AS reason, source
+  FROM documents)
+GROUP BY reason
+"""
+
+SQL["function_words"] = f"""
+WITH english AS ({ENGLISH}),
+  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english)
+SELECT doc_id, token AS feature, count(*) AS n FROM words
+WHERE token IN ({FWORDS}) GROUP BY ALL
+"""
+
+SQL["pos_trigrams"] = f"""
+WITH english AS ({ENGLISH}),
+  t AS (SELECT list_transform(regexp_extract_all(lower(text), '{W}'), lambda w: {rule('w')}) AS tags
+        FROM english),
+  g AS (SELECT unnest(list_transform(range(1, len(tags) - 1),
+                 lambda i: tags[i] || '-' || tags[i + 1] || '-' || tags[i + 2])) AS trigram
+        FROM t WHERE len(tags) >= 3)
+SELECT trigram, count(*) AS n FROM g GROUP BY trigram
+"""
+
+AFFIXES = """
+  a AS (SELECT doc_id, unnest(list_filter([
+          CASE WHEN length(token) <= 3 THEN token END,
+          CASE WHEN length(token) >= 2 THEN '_' || left(token, 2) END,
+          CASE WHEN length(token) >= 2 THEN right(token, 2) || '_' END,
+          CASE WHEN length(token) > 3 THEN left(token, 3) END,
+          CASE WHEN length(token) > 3 THEN right(token, 3) END], lambda x: x IS NOT NULL)) AS affix
+        FROM words)
+"""
+
+SQL["affix_counts"] = f"""
+WITH english AS ({ENGLISH}),
+  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english),
+  {AFFIXES}
+SELECT affix, count(*) AS n FROM a GROUP BY affix
+"""
+
+SQL["top_tokens"] = f"""
+WITH english AS ({ENGLISH}),
+  toks AS (SELECT unnest(regexp_extract_all(lower(text), '{TK}')) AS token FROM english),
+  tt AS (SELECT token, regexp_matches(token, '{IS_WORD}') AS is_word FROM toks),
+  f AS (SELECT token FROM tt WHERE ({rule('token', 'is_word')}) NOT IN ('u', 'n')),
+  top AS (SELECT token, count(*) AS n FROM f GROUP BY token ORDER BY n DESC, token LIMIT 200)
+SELECT row_number() OVER (ORDER BY n DESC, token) AS rank, token, n FROM top
+"""
+
+SQL["affix_shares"] = f"""
+WITH english AS ({ENGLISH}),
+  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english),
+  {AFFIXES},
+  top AS (SELECT affix, count(*) AS n FROM a GROUP BY affix ORDER BY n DESC, affix LIMIT 100),
+  u AS (SELECT doc_id, replace(' ' || trim(array_to_string(regexp_extract_all(lower(text), '{TK}'), ' '))
+                               || ' ', ' ', '_') AS u FROM english),
+  c AS (SELECT doc_id, affix AS feature,
+               ((length(u) - length(replace(u, affix, ''))) // length(affix))::BIGINT AS n
+        FROM u CROSS JOIN top),
+  s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS tot FROM c)
+SELECT doc_id, feature, n, round(CASE WHEN tot > 0 THEN n / tot ELSE 0 END, 6) AS value
+FROM s WHERE n > 0
+"""
+
+SQL["masked_text"] = f"""
+WITH {MFW_COUNTS},
+  v AS (SELECT list(token) AS mfw FROM top)
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '{TK}'),
+         lambda t: CASE WHEN NOT regexp_matches(t, '{IS_WORD}') OR list_contains(mfw, t) THEN t
+                        ELSE {rule('t')} END), ' ') AS masked
+FROM english CROSS JOIN v
+"""
+
+SQL["relative_freq"] = f"""
+WITH {MFW_COUNTS},
+  tot AS (SELECT doc_id, sum(n) AS tot FROM fc GROUP BY doc_id)
+SELECT doc_id, token AS feature, round(n / tot, 6) AS value FROM fc JOIN tot USING (doc_id)
+"""
+
+MOISL_KEPT = """
+  tot AS (SELECT doc_id, sum(n) AS tot FROM fc GROUP BY doc_id),
+  mint AS (SELECT CASE WHEN count(*) < (SELECT n_docs FROM nd) THEN 0 ELSE min(tot) END AS m
+           FROM tot),
+  grid0 AS (SELECT e.doc_id, t.token FROM english e CROSS JOIN top t),
+  x AS (SELECT g.doc_id, g.token, coalesce(fc.n / tot.tot, 0) AS x
+        FROM grid0 g LEFT JOIN fc USING (doc_id, token) LEFT JOIN tot USING (doc_id)),
+  st AS (SELECT token, max(x) AS mx, min(x) AS mn FROM x GROUP BY token),
+  ms AS (SELECT x.token, (st.mx + st.mn) / 2 AS m, sum((x.x - (st.mx + st.mn) / 2) ^ 2) AS ss
+         FROM x JOIN st USING (token) GROUP BY x.token, st.mx, st.mn),
+  kept AS (SELECT token FROM ms
+           WHERE ss > 0 AND m * (1 - m) * (1.91 * 1.91) * (2 * (SELECT n_docs FROM nd) - 1)
+                 / (8 * ss) <= (SELECT m FROM mint))
+"""
+
+SQL["zscore_l2"] = f"""
+WITH {MFW_COUNTS}, {MOISL_KEPT},
+  grid AS (SELECT e.doc_id, k.token FROM english e CROSS JOIN kept k),
+  cell AS (SELECT g.doc_id, g.token, coalesce(fc.n, 0) AS n
+           FROM grid g LEFT JOIN fc USING (doc_id, token)),
+  rel AS (SELECT doc_id, token, CASE WHEN sum(n) OVER (PARTITION BY doc_id) > 0
+                 THEN n / sum(n) OVER (PARTITION BY doc_id) ELSE 0 END AS x FROM cell),
+  st2 AS (SELECT token, avg(x) AS mu, stddev_samp(x) AS sd FROM rel GROUP BY token
+          HAVING min(x) < max(x)),
+  z AS (SELECT doc_id, token, (x - mu) / sd AS z FROM rel JOIN st2 USING (token)),
+  l AS (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY doc_id)) AS norm FROM z)
+SELECT doc_id, token AS feature, round(CASE WHEN norm > 0 THEN z / norm ELSE 0 END, 6) AS value
+FROM l
+"""
+
+SQL["drop_low"] = f"""
+WITH {mfw(1000)},
+  per AS (SELECT token, sum(n) AS total, count(DISTINCT n) AS ndv, count(*) AS rows
+          FROM fc GROUP BY token)
+SELECT token AS feature, total::BIGINT AS total FROM per
+WHERE total > 10 AND ndv + CASE WHEN rows < (SELECT n_docs FROM nd) THEN 1 ELSE 0 END
+      > round_even((SELECT n_docs FROM nd) * 0.1, 0)
+"""
+
+SQL["ranked_features"] = f"""
+WITH english AS ({ENGLISH}),
+  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english),
+  t AS (SELECT token AS feature, count(*) AS n FROM words WHERE token IN ({FWORDS})
+        GROUP BY token ORDER BY n DESC, feature LIMIT 10)
+SELECT row_number() OVER (ORDER BY n DESC, feature) AS rank, feature, n FROM t
+"""
+
+FRENCH = f"""
+  fr AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token
+         FROM documents WHERE lang = 'fr'),
+  frc AS (SELECT doc_id, token AS feature, count(*)::DOUBLE AS value FROM fr GROUP BY ALL)
+"""
+
+SQL["align_features"] = f"""
+WITH {MFW_COUNTS}, {FRENCH}
+SELECT doc_id, feature, value FROM frc WHERE feature IN (SELECT token FROM top)
+"""
+
+SQL["merge_corpora"] = f"""
+WITH {MFW_COUNTS}, {FRENCH},
+  m AS (SELECT 'en' AS corpus, token AS feature, n::DOUBLE AS value FROM fc
+        UNION ALL
+        SELECT 'fr', feature, value FROM frc WHERE feature IN (SELECT token FROM top))
+SELECT corpus, feature, sum(value)::BIGINT AS n, count(*) AS n_docs FROM m GROUP BY ALL
+"""
