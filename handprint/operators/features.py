@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from handprint.functions.arrays import bind
+
 
 def relative(values: DataFrame, doc: str = "doc_id", value: str = "value",
              out: str = "value") -> DataFrame:
@@ -102,10 +104,16 @@ def non_constant(values: DataFrame, docs: DataFrame, feature: str = "feature",
     return per.filter(~constant).select(feature)
 
 
-def l2(vec: Column) -> Column:
-    """E9 second half: divide a vector by its Euclidean norm (0 stays 0)."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(vec, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+def l2(vecs: DataFrame, vec: str = "vec") -> DataFrame:
+    """E9 second half: divide each vector by its Euclidean norm (0 stays 0).
+
+    The norm is bound once per row, not re-aggregated per element.
+    """
+    keep = [c for c in vecs.columns if c != vec]
+    b = bind(vecs, keep + [vec],
+             _norm=F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x)))
+    return b.select(*keep, F.transform(vec, lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm"))
+                                       .otherwise(F.lit(0.0))).alias(vec))
 
 
 def vectors_to_long(vecs: DataFrame, index: DataFrame, doc: str = "doc_id",

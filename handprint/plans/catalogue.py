@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from handprint.functions import text as T
+from handprint.functions.arrays import bind
 from handprint.functions.text import round6
-from handprint.operators import features, select, vocab
+from handprint.operators import features, samples, select, splits, vocab
 from handprint.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,8 +119,7 @@ def pos_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = english_corpus(spark, sf_dir)
     tags = F.expr(f"transform(words, w -> {T.pos_rule_lambda('w')})")
     # Tags are bound to a column once; n-grams then index into it.
-    grams = (d.select(T.words(F.col("text")).alias("words"))
-             .select(tags.alias("tags"))
+    grams = (bind(bind(d, [], words=T.words(F.col("text"))), [], tags=tags)
              .select(F.explode(T.ngrams(F.col("tags"), 3)).alias("trigram")))
     return grams.groupBy("trigram").agg(F.count(F.lit(1)).alias("n"))
 
@@ -159,7 +159,7 @@ def affix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     arr = top.select(F.transform(F.array_sort(F.collect_list(F.struct("rank", "affix"))),
                                  lambda s: s["affix"])).scalar()
     u = T.underscore_text(F.array_join(T.tokens(F.col("text")), " "))
-    per = (d.select("doc_id", u.alias("u")).withColumn("mft", arr)
+    per = (bind(d, ["doc_id"], u=u).withColumn("mft", arr)
            .select("doc_id", F.explode(F.arrays_zip(
                F.col("mft").alias("feature"),
                F.transform("mft", lambda f: T.count_non_overlapping(F.col("u"), f)).alias("n")))
@@ -216,7 +216,7 @@ def normalised_vectors(spark, sf_dir):
     live = features.non_constant(rel, ids)
     idx = features.feature_index(live)
     vec = features.zscore_vectors(rel, ids, idx)
-    return vec.select("doc_id", features.l2(F.col("vec")).alias("vec")), idx, docs
+    return features.l2(vec), idx, docs
 
 
 @query
@@ -266,3 +266,104 @@ def merge_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = features.merge(en.withColumn("corpus", F.lit("en")), fr.withColumn("corpus", F.lit("fr")))
     return m.groupBy("corpus", "feature").agg(F.sum("value").cast("bigint").alias("n"),
                                               F.count(F.lit(1)).alias("n_docs"))
+
+
+# ---------------------------------------------------------------------------
+# Step 3: samples, splits, folds
+# ---------------------------------------------------------------------------
+
+SEED = 42
+N_SAMPLE_MFW = 100
+N_SAMPLE_MFP = 50
+
+
+def _all_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _chosen_samples(spark, sf_dir):
+    return samples.sample_tokens(samples.plan_samples(_all_docs(spark, sf_dir), seed=SEED))
+
+
+@query
+def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of 1000 words (margin 500, at most 5 per text, md5 choice)."""
+    s = _chosen_samples(spark, sf_dir)
+    return s.select("doc_id", "sample", "start_pos", "end_pos",
+                    (F.col("end_pos") - F.col("start_pos") + 1).alias("n_tokens"),
+                    F.size(F.filter("toks", lambda t: T.is_word(t))).cast("bigint").alias("length"),
+                    F.array_join("toks", " ").alias("tokens"))
+
+
+def _tag_array(col: str = "words"):
+    return F.expr(f"transform({col}, w -> {T.pos_rule_lambda('w')})")
+
+
+@query
+def sample_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: per-sample shares of the top words ($MFW$) and tag trigrams ($POS$)."""
+    docs = _all_docs(spark, sf_dir)
+    wt = vocab.word_table(docs).filter(T.pos_rule(is_word="true") != "n")
+    mfw = vocab.top_terms(wt.groupBy("token").agg(F.count(F.lit(1)).alias("n")), N_SAMPLE_MFW)
+    tri = (bind(bind(docs, [], words=T.words(F.col("text"))), [], tags=_tag_array())
+           .select(F.explode(T.ngrams(F.col("tags"), 3)).alias("token")))
+    mfp = vocab.top_terms(tri.groupBy("token").agg(F.count(F.lit(1)).alias("n")), N_SAMPLE_MFP)
+    s = bind(_chosen_samples(spark, sf_dir), ["doc_id", "sample"],
+             words=F.filter("toks", lambda t: T.is_word(t)))
+    w_items = s.select("doc_id", "sample", F.col("words").alias("items"))
+    p_items = (bind(s, ["doc_id", "sample"], tags=_tag_array())
+               .select("doc_id", "sample", T.ngrams(F.col("tags"), 3).alias("items")))
+    out = samples.sample_shares(w_items, mfw, "MFW").unionByName(
+        samples.sample_shares(p_items, mfp, "POS"))
+    return out.select("doc_id", "sample", "feature", round6(F.col("value")).alias("value"))
+
+
+def _author_rows(spark, sf_dir):
+    return english_corpus(spark, sf_dir).select("doc_id", "author")
+
+
+def _label_rows(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", "quality")
+
+
+@query
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """authors with > 1 document split 10% test / 10% dev / rest train."""
+    r = splits.group_split(_author_rows(spark, sf_dir), "author", seed=SEED, ratio=10)
+    return r.select("doc_id", "author", "split")
+
+
+@query
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10% held out per quality class."""
+    r = splits.holdout_split(_label_rows(spark, sf_dir), "quality", "doc_id", 0.1, SEED)
+    return r.select("doc_id", "quality", "split")
+
+
+@query
+def kfold_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5 stratified contiguous folds by author in doc_id order."""
+    r = splits.kfold_roles(_author_rows(spark, sf_dir), "author", "doc_id", 5)
+    return r.select("doc_id", "author", F.col("fold").cast("bigint").alias("fold"), "role")
+
+
+@query
+def under_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality classes cut to the smallest."""
+    return splits.under_sample(_label_rows(spark, sf_dir), "quality", "doc_id", SEED).select(
+        "doc_id", "quality")
+
+
+@query
+def over_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16: quality classes grown to the largest."""
+    r = splits.over_sample(_label_rows(spark, sf_dir), "quality", "doc_id", SEED)
+    return r.select("doc_id", "quality", F.col("copy").cast("bigint").alias("copy"))
+
+
+@query
+def m_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """two epochs of batches with 4 rows per author."""
+    r = splits.m_per_class(_author_rows(spark, sf_dir), "author", "doc_id", m=4, epochs=2,
+                           seed=SEED)
+    return r.select("doc_id", "author", F.col("epoch").cast("bigint").alias("epoch"), "batch")

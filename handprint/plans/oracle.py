@@ -222,3 +222,123 @@ WITH {MFW_COUNTS}, {FRENCH},
         SELECT 'fr', feature, value FROM frc WHERE feature IN (SELECT token FROM top))
 SELECT corpus, feature, sum(value)::BIGINT AS n, count(*) AS n_docs FROM m GROUP BY ALL
 """
+
+SAMPLES = f"""
+  d AS (SELECT doc_id, regexp_extract_all(lower(text), '{TK}') AS toks FROM documents),
+  meta AS (SELECT doc_id,
+             CASE WHEN len(toks) < 2000 THEN greatest((len(toks) - 1000) // 2, 0) ELSE 500 END
+               AS margin,
+             CASE WHEN len(toks) >= 2000 AND (len(toks) - 1000) // 1000 > 1
+                  THEN least((len(toks) - 1000) // 1000, 5) ELSE 1 END AS nsel
+           FROM d),
+  t AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(0, len(toks))) AS pos FROM d),
+  t2 AS (SELECT t.doc_id, t.tok, t.pos, regexp_matches(t.tok, '{IS_WORD}')::INT AS w
+         FROM t JOIN meta USING (doc_id) WHERE t.pos >= meta.margin),
+  t3 AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000 AS sample
+         FROM t2),
+  s AS (SELECT doc_id, sample, min(pos) AS start_pos, max(pos) AS end_pos,
+               count(*) AS n_tokens, sum(w)::BIGINT AS length,
+               string_agg(tok, ' ' ORDER BY pos) AS tokens
+        FROM t3 GROUP BY doc_id, sample HAVING sum(w) = 1000),
+  r AS (SELECT s.*, row_number() OVER (PARTITION BY doc_id
+                    ORDER BY md5('42|' || doc_id || '|' || sample)) AS rk FROM s),
+  sel AS (SELECT r.* FROM r JOIN meta USING (doc_id) WHERE rk <= nsel)
+"""
+
+SQL["text_samples"] = f"""
+WITH {SAMPLES}
+SELECT doc_id, sample, start_pos, end_pos, n_tokens, length, tokens FROM sel
+"""
+
+SQL["sample_shares"] = f"""
+WITH {SAMPLES},
+  st AS (SELECT t3.* FROM t3 JOIN sel USING (doc_id, sample)),
+  aw AS (SELECT unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM documents),
+  mfw AS (SELECT token FROM aw WHERE ({rule('token')}) <> 'n'
+          GROUP BY token ORDER BY count(*) DESC, token LIMIT 100),
+  tg AS (SELECT list_transform(regexp_extract_all(lower(text), '{W}'), lambda w: {rule('w')})
+           AS tags FROM documents),
+  tri AS (SELECT unnest(list_transform(range(1, len(tags) - 1),
+                 lambda i: tags[i] || '-' || tags[i + 1] || '-' || tags[i + 2])) AS trigram
+          FROM tg WHERE len(tags) >= 3),
+  mfp AS (SELECT trigram FROM tri GROUP BY trigram ORDER BY count(*) DESC, trigram LIMIT 50),
+  wc AS (SELECT doc_id, sample, tok, count(*) AS n FROM st
+         WHERE w = 1 AND tok IN (SELECT token FROM mfw) GROUP BY ALL),
+  ws AS (SELECT doc_id, sample, '$MFW$' || tok AS feature,
+                n / sum(n) OVER (PARTITION BY doc_id, sample) AS value FROM wc),
+  sw AS (SELECT doc_id, sample, pos, {rule('tok')} AS tag FROM st WHERE w = 1),
+  sg AS (SELECT doc_id, sample, tag || '-' || lead(tag, 1) OVER wdw || '-'
+                || lead(tag, 2) OVER wdw AS trigram
+         FROM sw WINDOW wdw AS (PARTITION BY doc_id, sample ORDER BY pos)),
+  pc AS (SELECT doc_id, sample, trigram, count(*) AS n FROM sg
+         WHERE trigram IN (SELECT trigram FROM mfp) GROUP BY ALL),
+  ps AS (SELECT doc_id, sample, '$POS$' || trigram AS feature,
+                n / sum(n) OVER (PARTITION BY doc_id, sample) AS value FROM pc)
+SELECT doc_id, sample, feature, round(value, 6) AS value FROM ws
+UNION ALL
+SELECT doc_id, sample, feature, round(value, 6) AS value FROM ps
+"""
+
+SQL["group_split"] = f"""
+WITH english AS ({ENGLISH}),
+  per AS (SELECT author, count(*) AS c FROM english GROUP BY author),
+  elig AS (SELECT author FROM per WHERE c >= 2),
+  r AS (SELECT author, row_number() OVER (ORDER BY md5('42|' || author), author) AS r FROM elig),
+  nt AS (SELECT floor(count(*) * 10 / 100) AS t FROM elig),
+  k AS (SELECT author, CASE WHEN r <= (SELECT t FROM nt) THEN 'test'
+                            WHEN r <= 2 * (SELECT t FROM nt) THEN 'dev' ELSE 'train' END AS split
+        FROM r)
+SELECT e.doc_id, e.author, coalesce(k.split, 'train') AS split
+FROM english e LEFT JOIN k USING (author)
+"""
+
+SQL["holdout_split"] = """
+WITH r AS (SELECT doc_id, quality,
+                  row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || doc_id), doc_id) AS rk,
+                  count(*) OVER (PARTITION BY quality) AS n FROM labels)
+SELECT doc_id, quality, CASE WHEN rk <= round_even(n * 0.9, 0) THEN 'train' ELSE 'holdout' END
+       AS split FROM r
+"""
+
+SQL["kfold_roles"] = f"""
+WITH english AS ({ENGLISH}),
+  r AS (SELECT doc_id, author, row_number() OVER (PARTITION BY author ORDER BY doc_id) - 1 AS r0,
+               count(*) OVER (PARTITION BY author) AS n FROM english),
+  c AS (SELECT *, n // 5 AS q, n % 5 AS m FROM r),
+  c2 AS (SELECT doc_id, author,
+                CASE WHEN r0 < m * (q + 1) THEN r0 // (q + 1)
+                     ELSE m + (r0 - m * (q + 1)) // greatest(q, 1) END AS chunk FROM c),
+  f AS (SELECT c2.*, unnest(range(0, 5)) AS fold FROM c2)
+SELECT doc_id, author, fold,
+       CASE WHEN chunk = fold THEN 'dev' WHEN chunk = (fold + 1) % 5 THEN 'test' ELSE 'train' END
+         AS role
+FROM f
+"""
+
+SQL["under_sample"] = """
+WITH r AS (SELECT doc_id, quality,
+                  row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || doc_id), doc_id) AS rk
+           FROM labels),
+  mn AS (SELECT min(c) AS m FROM (SELECT count(*) AS c FROM labels GROUP BY quality))
+SELECT doc_id, quality FROM r WHERE rk <= (SELECT m FROM mn)
+"""
+
+SQL["over_sample"] = """
+WITH r AS (SELECT doc_id, quality,
+                  row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || doc_id), doc_id) AS rk,
+                  count(*) OVER (PARTITION BY quality) AS n FROM labels),
+  mx AS (SELECT max(c) AS m FROM (SELECT count(*) AS c FROM labels GROUP BY quality)),
+  c AS (SELECT *, (SELECT m FROM mx) // n
+                  + CASE WHEN rk <= (SELECT m FROM mx) - ((SELECT m FROM mx) // n) * n THEN 1 ELSE 0 END
+                  AS copies FROM r)
+SELECT doc_id, quality, unnest(range(1, copies + 1)) AS copy FROM c
+"""
+
+SQL["m_per_class"] = f"""
+WITH english AS ({ENGLISH}),
+  e AS (SELECT doc_id, author, unnest(range(0, 2)) AS epoch FROM english),
+  r AS (SELECT *, row_number() OVER (PARTITION BY epoch, author
+                  ORDER BY md5('42|' || epoch || '|' || doc_id), doc_id) AS rk FROM e)
+SELECT doc_id, author, epoch, (rk - 1) // 4 AS batch FROM r
+"""

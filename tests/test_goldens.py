@@ -45,7 +45,7 @@ def _zl2(values, docs, normalise):
     idx = features.feature_index(rel)
     vec = features.zscore_vectors(rel, docs, idx)
     if normalise:
-        vec = vec.select("doc_id", features.l2(F.col("vec")).alias("vec"))
+        vec = features.l2(vec)
     return _grid(features.vectors_to_long(vec, idx))
 
 
