@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from handprint.functions import text as T
 from handprint.functions.arrays import bind
 from handprint.functions.text import round6
-from handprint.operators import features, samples, select, splits, vocab
+from handprint.operators import features, metrics, pairs, samples, select, splits, vocab
 from handprint.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,3 +367,145 @@ def m_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = splits.m_per_class(_author_rows(spark, sf_dir), "author", "doc_id", m=4, epochs=2,
                            seed=SEED)
     return r.select("doc_id", "author", F.col("epoch").cast("bigint").alias("epoch"), "batch")
+
+
+# ---------------------------------------------------------------------------
+# Step 5: distances, pairs, metrics
+# ---------------------------------------------------------------------------
+
+PAIR_THRESHOLD = 1.4     # attribution threshold on unit-vector Euclidean distance
+CURVE_STEP = 0.005
+F05U_RADIUS = 0.01
+HARD_PAIRS = 20
+
+
+def _embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+
+
+@query
+def manhattan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City-block distance of every unordered pair of vectors."""
+    p = pairs.all_pairs(_embeddings(spark, sf_dir), "vec_id", "embedding", ["label"], "cityblock")
+    return p.select("left_id", "right_id", round6(F.col("distance")).alias("distance"),
+                    (F.col("left_label") == F.col("right_label")).alias("is_pair"))
+
+
+def unit_pairs(spark, sf_dir):
+    """Euclidean distance of unit-normalised vectors, every unordered pair."""
+    p = pairs.all_pairs(_embeddings(spark, sf_dir), "vec_id", "embedding", ["label"],
+                        "euclidean", normalise=True)
+    return p.select("left_id", "right_id", "left_label", "right_label",
+                    round6(F.col("distance")).alias("distance"),
+                    (F.col("left_label") == F.col("right_label")).alias("is_pair"))
+
+
+@query
+def snr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal-to-noise distance var(a-b)/var(a), both orientations."""
+    p = pairs.all_pairs(_embeddings(spark, sf_dir), "vec_id", "embedding", None, "snr",
+                        normalise=True)
+    return p.select("left_id", "right_id", round6(F.col("distance")).alias("distance"))
+
+
+def _frame(spark, sf_dir):
+    return pairs.pairs_frame(unit_pairs(spark, sf_dir), PAIR_THRESHOLD)
+
+
+@query
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair table (classes, labels, Distance, Probability, Attribution, IsAPair, K)."""
+    f = _frame(spark, sf_dir)
+    return f.withColumn("Probability", round6(F.col("Probability")))
+
+
+@query
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class shares of correct attributions."""
+    s = metrics.pair_scores(_frame(spark, sf_dir))
+    return s.select("Class", *[round6(F.col(c)).alias(c) for c in ("Accuracy", "Precision",
+                                                                   "Recall")], "K")
+
+
+def _curve(spark, sf_dir):
+    return metrics.threshold_curve(unit_pairs(spark, sf_dir), CURVE_STEP)
+
+
+_CURVE_COLS = ("Threshold", "Sensitivity", "Specificity", "F1", "AuRoc")
+
+
+@query
+def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: sensitivity / specificity / F1 / AUC for thresholds 0.005 apart."""
+    c = _curve(spark, sf_dir)
+    return c.select(*[round6(F.col(x)).alias(x) for x in _CURVE_COLS], "K")
+
+
+@query
+def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold maximising sensitivity + 2 * specificity."""
+    b = metrics.best_threshold(_curve(spark, sf_dir), 1.0, 2.0)
+    return b.select(*[round6(F.col(x)).alias(x) for x in _CURVE_COLS], "K")
+
+
+@query
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: tie-aware ROC AUC of -distance against IsAPair."""
+    return metrics.roc_auc(unit_pairs(spark, sf_dir)).select(round6(F.col("auc")).alias("auc"))
+
+
+@query
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: ROC points at every distinct distance."""
+    r = metrics.roc_points(unit_pairs(spark, sf_dir))
+    return r.select("threshold", round6(F.col("fpr")).alias("fpr"),
+                    round6(F.col("tpr")).alias("tpr"))
+
+
+@query
+def strong_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25/50/75/90th percentiles of distance among true pairs."""
+    s = metrics.strong_thresholds(unit_pairs(spark, sf_dir))
+    return s.select("percentile", round6(F.col("threshold")).alias("threshold"))
+
+
+@query
+def f05u(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: F0.5u with a non-answer band of +-0.01 around the threshold."""
+    s = metrics.f05u(unit_pairs(spark, sf_dir), PAIR_THRESHOLD, F05U_RADIUS)
+    return s.select(round6(F.col("f05u")).alias("f05u"), "n_tp", "n_fp", "n_fn", "n_u")
+
+
+@query
+def hard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 closest false pairs (a top-k report)."""
+    return metrics.hard_pairs(unit_pairs(spark, sf_dir), HARD_PAIRS)
+
+
+@query
+def pair_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contrastive loss and hardest-triplet margin loss."""
+    s = metrics.pair_losses(unit_pairs(spark, sf_dir))
+    return s.select(*[round6(F.col(c)).alias(c) for c in ("pos_loss", "neg_loss",
+                                                          "contrastive_loss", "triplet_loss")],
+                    "n_anchors")
+
+
+@query
+def asof_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the train-train pairs attached to each new pair distance.
+
+    Vectors are split per label (10% held out, md5 order); pairs touching a
+    held-out vector are the new pairs, their distances rounded to 2 places.
+    """
+    split = splits.holdout_split(_embeddings(spark, sf_dir).select("vec_id", "label"),
+                                 "label", "vec_id", 0.1, SEED).select(
+        "vec_id", (F.col("split") == "holdout").alias("held"))
+    p = unit_pairs(spark, sf_dir)
+    p = (p.join(split.select(F.col("vec_id").alias("left_id"), F.col("held").alias("lh")), "left_id")
+         .join(split.select(F.col("vec_id").alias("right_id"), F.col("held").alias("rh")),
+               "right_id"))
+    ref = p.filter(~F.col("lh") & ~F.col("rh"))
+    new = p.filter(F.col("lh") | F.col("rh")).select(F.round("distance", 2).alias("distance"))
+    r = metrics.asof_rates(ref, new)
+    return r.select("distance", *[round6(F.col(c)).alias(c) for c in ("tpr", "precision", "fpr")])

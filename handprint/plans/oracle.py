@@ -342,3 +342,178 @@ WITH english AS ({ENGLISH}),
                   ORDER BY md5('42|' || epoch || '|' || doc_id), doc_id) AS rk FROM e)
 SELECT doc_id, author, epoch, (rk - 1) // 4 AS batch FROM r
 """
+
+EMB = """
+  e AS (SELECT vec_id, label, embedding,
+               sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nrm
+        FROM embeddings)
+"""
+
+UNIT_PAIRS = f"""
+  {EMB},
+  p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, a.label AS left_label,
+               b.label AS right_label,
+               round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1),
+                 lambda i: (a.embedding[i]::DOUBLE / a.nrm - b.embedding[i]::DOUBLE / b.nrm) ^ 2))), 6)
+                 AS distance,
+               a.label = b.label AS is_pair
+        FROM e a JOIN e b ON a.vec_id < b.vec_id)
+"""
+
+SQL["manhattan_pairs"] = f"""
+WITH {EMB}
+SELECT a.vec_id AS left_id, b.vec_id AS right_id,
+       round(list_sum(list_transform(range(1, len(a.embedding) + 1),
+         lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 6) AS distance,
+       a.label = b.label AS is_pair
+FROM e a JOIN e b ON a.vec_id < b.vec_id
+"""
+
+SQL["snr_pairs"] = f"""
+WITH {EMB}
+SELECT a.vec_id AS left_id, b.vec_id AS right_id,
+       round(list_var_samp(list_transform(range(1, len(a.embedding) + 1),
+               lambda i: a.embedding[i]::DOUBLE / a.nrm - b.embedding[i]::DOUBLE / b.nrm))
+             / list_var_samp(list_transform(a.embedding, lambda x: x::DOUBLE / a.nrm)), 6)
+         AS distance
+FROM e a JOIN e b ON a.vec_id <> b.vec_id
+"""
+
+FRAME = f"""
+  {UNIT_PAIRS},
+  f AS (SELECT left_label::VARCHAR AS ComparedClass, left_id::VARCHAR AS ComparedLabel,
+               right_label::VARCHAR AS ComparatorClass, right_id::VARCHAR AS ComparatorLabel,
+               distance AS Distance, round(1 - distance, 6) AS Probability,
+               distance < 1.4 AS Attribution, left_label = right_label AS IsAPair, 0 AS K
+        FROM p)
+"""
+
+SQL["vector_pairs"] = f"WITH {FRAME} SELECT * FROM f"
+
+SQL["pair_scores"] = f"""
+WITH {FRAME},
+  c AS (SELECT *, (IsAPair = Attribution)::DOUBLE AS correct FROM f WHERE IsAPair IS NOT NULL),
+  s AS (SELECT ComparedClass AS Class, avg(correct) AS Accuracy,
+               avg(CASE WHEN ComparedClass = ComparatorClass THEN correct END) AS Precision,
+               avg(CASE WHEN ComparedClass <> ComparatorClass THEN correct END) AS Recall
+        FROM c GROUP BY ComparedClass)
+SELECT Class, round(Accuracy, 6) AS Accuracy, round(Precision, 6) AS Precision,
+       round(Recall, 6) AS Recall, 0 AS K
+FROM s WHERE Precision IS NOT NULL AND Recall IS NOT NULL
+"""
+
+CURVE = f"""
+  {UNIT_PAIRS},
+  st AS (SELECT max(distance) AS mx, count(*) FILTER (WHERE is_pair) AS P,
+                count(*) FILTER (WHERE NOT is_pair) AS N FROM p),
+  t AS (SELECT 0.005::DOUBLE + i * 0.005::DOUBLE AS t
+        FROM range(0, (SELECT ceil((mx - 0.005::DOUBLE) / 0.005::DOUBLE) FROM st)::BIGINT) r(i)),
+  c AS (SELECT t.t,
+               count(*) FILTER (WHERE p.distance <= t.t AND p.is_pair) AS tp,
+               count(*) FILTER (WHERE p.distance <= t.t AND NOT p.is_pair) AS fp,
+               count(*) FILTER (WHERE p.distance < t.t AND p.is_pair) AS tps,
+               count(*) FILTER (WHERE p.distance < t.t AND NOT p.is_pair) AS fps
+        FROM t CROSS JOIN p GROUP BY t.t),
+  curve AS (
+    SELECT c.t AS Threshold, tp / P AS Sensitivity, (N - fp) / N AS Specificity,
+           CASE WHEN 2 * tps + fps + (P - tps) > 0 THEN 2 * tps / (2 * tps + fps + (P - tps))
+                ELSE 0 END AS F1,
+           (tps / P + (N - fps) / N) / 2 AS AuRoc, 0 AS K
+    FROM c CROSS JOIN st)
+"""
+
+SQL["threshold_curve"] = f"""
+WITH {CURVE}
+SELECT round(Threshold, 6) AS Threshold, round(Sensitivity, 6) AS Sensitivity,
+       round(Specificity, 6) AS Specificity, round(F1, 6) AS F1, round(AuRoc, 6) AS AuRoc, K
+FROM curve
+"""
+
+SQL["best_threshold"] = f"""
+WITH {CURVE}
+SELECT round(Threshold, 6) AS Threshold, round(Sensitivity, 6) AS Sensitivity,
+       round(Specificity, 6) AS Specificity, round(F1, 6) AS F1, round(AuRoc, 6) AS AuRoc, K
+FROM curve ORDER BY Sensitivity + 2 * Specificity DESC, Threshold LIMIT 1
+"""
+
+SQL["roc_auc"] = f"""
+WITH {UNIT_PAIRS},
+  r AS (SELECT distance, is_pair, rank() OVER (ORDER BY distance DESC) AS rk,
+               count(*) OVER (PARTITION BY distance) AS c FROM p),
+  s AS (SELECT sum(CASE WHEN is_pair THEN rk + (c - 1) / 2.0 END) AS sr,
+               count(*) FILTER (WHERE is_pair) AS P, count(*) FILTER (WHERE NOT is_pair) AS N FROM r)
+SELECT round((sr - P * (P + 1) / 2.0) / (P * N), 6) AS auc FROM s
+"""
+
+SQL["roc_curve"] = f"""
+WITH {UNIT_PAIRS},
+  st AS (SELECT count(*) FILTER (WHERE is_pair) AS P, count(*) FILTER (WHERE NOT is_pair) AS N
+         FROM p),
+  c AS (SELECT distance, count(*) FILTER (WHERE is_pair) AS pos,
+               count(*) FILTER (WHERE NOT is_pair) AS neg FROM p GROUP BY distance),
+  s AS (SELECT distance, sum(pos) OVER (ORDER BY distance) AS cp,
+               sum(neg) OVER (ORDER BY distance) AS cn FROM c)
+SELECT distance AS threshold, round(cn / N, 6) AS fpr, round(cp / P, 6) AS tpr FROM s, st
+"""
+
+SQL["strong_thresholds"] = f"""
+WITH {UNIT_PAIRS},
+  q AS (SELECT quantile_cont(distance, [0.25, 0.5, 0.75, 0.9]) AS qs FROM p WHERE is_pair)
+SELECT unnest([0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS percentile, round(unnest(qs), 6) AS threshold
+FROM q
+"""
+
+SQL["f05u"] = f"""
+WITH {UNIT_PAIRS},
+  pr AS (SELECT CASE WHEN abs(distance - 1.4) <= 0.01 THEN 0.5 WHEN distance < 1.4 THEN 1.0
+                     ELSE 0.0 END AS pred, is_pair AS t FROM p),
+  s AS (SELECT count(*) FILTER (WHERE pred = 0.5) AS n_u,
+               count(*) FILTER (WHERE pred = 1.0 AND t) AS n_tp,
+               count(*) FILTER (WHERE pred = 1.0 AND NOT t) AS n_fp,
+               count(*) FILTER (WHERE pred = 0.0 AND t) AS n_fn FROM pr)
+SELECT round(1.25 * n_tp / (1.25 * n_tp + 0.25 * (n_fn + n_u) + n_fp), 6) AS f05u,
+       n_tp, n_fp, n_fn, n_u FROM s
+"""
+
+SQL["hard_pairs"] = f"""
+WITH {UNIT_PAIRS}
+SELECT left_id, right_id, distance FROM p WHERE NOT is_pair
+ORDER BY distance, left_id, right_id LIMIT 20
+"""
+
+SQL["pair_losses"] = f"""
+WITH {UNIT_PAIRS},
+  c AS (SELECT avg(CASE WHEN is_pair AND distance > 0 THEN distance END) AS pos_loss,
+               avg(CASE WHEN NOT is_pair AND 1 - distance > 0 THEN 1 - distance END) AS neg_loss
+        FROM p),
+  a AS (SELECT left_id AS anchor, distance, is_pair FROM p
+        UNION ALL SELECT right_id, distance, is_pair FROM p),
+  m AS (SELECT anchor, max(distance) FILTER (WHERE is_pair) AS d_ap,
+               min(distance) FILTER (WHERE NOT is_pair) AS d_an FROM a GROUP BY anchor),
+  t AS (SELECT avg(CASE WHEN d_ap - d_an + 0.05 > 0 THEN d_ap - d_an + 0.05 END) AS triplet_loss,
+               count(*) AS n_anchors FROM m WHERE d_ap IS NOT NULL AND d_an IS NOT NULL)
+SELECT round(pos_loss, 6) AS pos_loss, round(neg_loss, 6) AS neg_loss,
+       round(coalesce(pos_loss, 0) + coalesce(neg_loss, 0), 6) AS contrastive_loss,
+       round(triplet_loss, 6) AS triplet_loss, n_anchors
+FROM c, t
+"""
+
+SQL["asof_rates"] = f"""
+WITH {UNIT_PAIRS},
+  h0 AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id)
+                  AS rk, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+  h AS (SELECT vec_id, rk > round_even(n * 0.9, 0) AS held FROM h0),
+  j AS (SELECT p.*, a.held AS lh, b.held AS rh FROM p JOIN h a ON p.left_id = a.vec_id
+        JOIN h b ON p.right_id = b.vec_id),
+  ref AS (SELECT * FROM j WHERE NOT lh AND NOT rh),
+  q AS (SELECT DISTINCT round(distance, 2) AS distance FROM j WHERE lh OR rh),
+  st AS (SELECT count(*) FILTER (WHERE is_pair) AS P, count(*) FILTER (WHERE NOT is_pair) AS N
+         FROM ref),
+  c AS (SELECT q.distance, count(*) FILTER (WHERE ref.is_pair) AS tp,
+               count(*) FILTER (WHERE NOT ref.is_pair) AS fp
+        FROM q LEFT JOIN ref ON ref.distance <= q.distance GROUP BY q.distance)
+SELECT distance, round(tp / P, 6) AS tpr,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision,
+       round(fp / N, 6) AS fpr
+FROM c, st
+"""
