@@ -18,3 +18,16 @@ def bind(df: DataFrame, keep: list[str] | None = None, **named: Column) -> DataF
     keep = df.columns if keep is None else keep
     keep = [c for c in keep if c not in named]
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in named.items()]))))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared checkpoint folder once.
+
+    The frame is cached first so the checkpoint job reads the cache instead
+    of recomputing the plan; the cache is released once the checkpoint
+    files exist.
+    """
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

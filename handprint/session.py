@@ -27,6 +27,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Local mode: the driver JVM is the only executor.
+            builder = builder.config("spark.driver.memory", os.environ.get(
+                "HANDPRINT_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

@@ -15,6 +15,7 @@ def spark():
     from handprint.session import checkpoint_dir
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "8g")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .getOrCreate())
