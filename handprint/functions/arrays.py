@@ -31,3 +31,16 @@ def materialize(df: DataFrame) -> DataFrame:
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
+
+
+def write_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
+    folder and reading it back: one job, and the returned frame's plan is a
+    plain file scan."""
+    import uuid
+
+    from handprint.session import checkpoint_dir
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/handprint-tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

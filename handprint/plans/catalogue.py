@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from handprint.functions import text as T
-from handprint.functions.arrays import bind
+from handprint.functions.arrays import bind, materialize
 from handprint.functions.text import round6
-from handprint.operators import features, metrics, pairs, samples, select, splits, vocab
+from handprint.operators import (clusters, features, linkage, metrics, pairs, ranking, samples,
+                                 ppm, select, splits, vocab)
+from handprint.operators import imposters as imp_op
+from handprint.functions.hashing import hash_key
 from handprint.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,17 +46,27 @@ def english_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mfw_counts(spark, sf_dir, k=N_MFW):
+    """(corpus, top-k word counts per document, top-k vocabulary).
+
+    The long count table feeds many aggregates and scalar subqueries
+    downstream, so it is checkpointed once (with the document ids) instead
+    of re-tokenising the corpus for each of them.
+    """
     docs = english_corpus(spark, sf_dir)
-    counts = vocab.term_counts(vocab.word_table(docs))
-    top = vocab.top_terms(vocab.corpus_counts(counts), k)
-    return docs, vocab.restrict(counts, top), top
+    counts = materialize(vocab.term_counts(vocab.word_table(docs)))
+    top = materialize(vocab.top_terms(vocab.corpus_counts(counts), k))
+    return docs, materialize(vocab.restrict(counts, top)), top
+
+
+def _doc_ids(docs):
+    return materialize(docs.select("doc_id", "author"))
 
 
 @query
 def moisl_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum slice: top-100 words -> counts -> MOISL z=1.91."""
     docs, fc, _ = _mfw_counts(spark, sf_dir)
-    res = select.moisl(fc.withColumnRenamed("token", "feature"), docs.select("doc_id"),
+    res = select.moisl(fc.withColumnRenamed("token", "feature"), _doc_ids(docs).select("doc_id"),
                        z=MOISL_Z)
     return res.select("feature", "freq", round6(F.col("mean_prob")).alias("mean_prob"),
                       round6(F.col("score")).alias("score"), "keep")
@@ -195,7 +208,7 @@ N_RANKED = 10
 
 def _mfw_values(spark, sf_dir, k=N_MFW):
     docs, fc, top = _mfw_counts(spark, sf_dir, k)
-    return docs, fc.select("doc_id", F.col("token").alias("feature"),
+    return _doc_ids(docs), fc.select("doc_id", F.col("token").alias("feature"),
                            F.col("n").cast("double").alias("value")), top
 
 
@@ -509,3 +522,143 @@ def asof_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = p.filter(F.col("lh") | F.col("rh")).select(F.round("distance", 2).alias("distance"))
     r = metrics.asof_rates(ref, new)
     return r.select("distance", *[round6(F.col(c)).alias(c) for c in ("tpr", "precision", "fpr")])
+
+
+# ---------------------------------------------------------------------------
+# Step 6: clustering
+# ---------------------------------------------------------------------------
+
+N_CLUSTERS = 9
+
+
+def _doc_tree(spark, sf_dir, method="ward"):
+    """MOISL -> relative -> z + L2 -> city-block pairs -> linkage."""
+    vec, _, docs = normalised_vectors(spark, sf_dir)
+    p = pairs.all_pairs(vec, "doc_id", "vec", None, "cityblock")
+    return linkage.linkage(p, docs.select("doc_id"), method), docs
+
+
+def _tree_out(tree):
+    return tree.select("step", "left", "right", round6(F.col("height")).alias("height"), "size")
+
+
+@query
+def ward_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward linkage on city-block distances of the normalised matrix."""
+    return _tree_out(_doc_tree(spark, sf_dir)[0])
+
+
+@query
+def linkage_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: average linkage on the same distances."""
+    return _tree_out(_doc_tree(spark, sf_dir, "average")[0])
+
+
+@query
+def clusters_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Ward tree cut into 9 clusters; (doc_id, cluster)."""
+    tree, docs = _doc_tree(spark, sf_dir)
+    ids = docs.select("doc_id")
+    n = ids.count()
+    leaves = ranking.global_rank(ids, ["doc_id"], "r").select(
+        "doc_id", (F.col("r") - 1).alias("leaf"))
+    cl = linkage.cut(tree, n, k=N_CLUSTERS)
+    return leaves.join(cl, "leaf").select("doc_id", "cluster")
+
+
+@query
+def eta2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation ratio of each normalised feature against the author."""
+    vec, idx, docs = normalised_vectors(spark, sf_dir)
+    long = features.vectors_to_long(vec, idx)
+    e = clusters.eta2(long, docs.select("doc_id", F.col("author").alias("cls")))
+    return e.select("feature", round6(F.col("eta2")).alias("eta2"))
+
+
+# ---------------------------------------------------------------------------
+# Step 7: compression models
+# ---------------------------------------------------------------------------
+
+PPM_ORDER = 5
+
+
+def _turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return c.withColumn("doc", F.concat_ws("-", "conv_id", "turn"))
+
+
+def _turn_pairs(turns):
+    """Verification pairs: each turn with the next two turns of its conversation."""
+    a = turns.select("conv_id", F.col("turn").alias("turn_a"), F.col("doc").alias("a"),
+                     F.col("role").alias("role_a"))
+    b = turns.select("conv_id", F.col("turn").alias("turn_b"), F.col("doc").alias("b"),
+                     F.col("role").alias("role_b"))
+    out = None
+    for gap in (1, 2):
+        j = a.withColumn("turn_b", F.col("turn_a") + gap).join(b, ["conv_id", "turn_b"])
+        out = j if out is None else out.unionByName(j)
+    return out.withColumn("is_pair", F.col("role_a") == F.col("role_b"))
+
+
+@query
+def char_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per turn and context length, distinct contexts, grams and characters."""
+    t = _turns(spark, sf_dir)
+    m = ppm.char_model(t.select("doc", "text"), "doc", "text", PPM_ORDER)
+    return (m.groupBy("doc", F.length("ctx").alias("k"))
+            .agg(F.count_distinct("ctx").alias("n_contexts"), F.count(F.lit(1)).alias("n_grams"),
+                 F.sum("n").alias("n_chars")))
+
+
+@query
+def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy of each turn under the other's order-5 model, both ways."""
+    t = _turns(spark, sf_dir)
+    docs = t.select("doc", "text")
+    v = ppm.alphabet_size(docs).select("v").scalar()
+    models = ppm.char_model(docs, "doc", "text", PPM_ORDER).withColumnRenamed("doc", "a")
+    targets = ppm.positions(docs, "doc", "text", PPM_ORDER).withColumnRenamed("doc", "b")
+    tp = _turn_pairs(t)
+    both = tp.select("a", "b").unionByName(tp.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    h = ppm.cross_entropy(models, targets, both, v)
+    ab = h.select("a", "b", F.col("h").alias("h_ab"))
+    ba = h.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("h").alias("h_ba"))
+    return (tp.join(ab, ["a", "b"]).join(ba, ["a", "b"])
+            .select("conv_id", "turn_a", "turn_b", F.round("h_ab", 4).alias("h_ab"),
+                    F.round("h_ba", 4).alias("h_ba"), "is_pair"))
+
+
+# ---------------------------------------------------------------------------
+# Step 8: imposters
+# ---------------------------------------------------------------------------
+
+N_CANDIDATES = 3
+IMP_ITERATIONS = 100
+
+
+def imposter_docs(spark, sf_dir):
+    """Roles on the English corpus: 10% of each author's texts are tests; the
+    first 3 authors in md5 order are candidates, the rest impostors."""
+    docs, fc, top = _mfw_counts(spark, sf_dir)
+    ids = _doc_ids(docs)
+    index = top.select(F.col("token").alias("feature"), F.col("rank").alias("idx"))
+    vec = features.dense_vectors(fc.select("doc_id", F.col("token").alias("feature"),
+                                           F.col("n").cast("double").alias("value")),
+                                 ids, index)
+    held = splits.holdout_split(ids, "author", "doc_id", 0.1, SEED).select("doc_id", "split")
+    cands = (ids.select("author").distinct().withColumn("h", hash_key(SEED, "author"))
+             .orderBy("h").limit(N_CANDIDATES).select(F.col("author").alias("C")))
+    role = (F.when(F.col("split") == "holdout", "test")
+            .when(F.col("C").isNotNull(), "candidate").otherwise("impostor"))
+    d = (ids.join(held, "doc_id").join(F.broadcast(cands), F.col("author") == F.col("C"), "left")
+         .join(vec, "doc_id").select("doc_id", "author", role.alias("role"), "vec"))
+    return d, cands
+
+
+@query
+def imposters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imposters tally over 100 iterations (impostor and feature ratio 0.5)."""
+    d, cands = imposter_docs(spark, sf_dir)
+    t = imp_op.imposters(d, cands, IMP_ITERATIONS, 0.5, 0.5, SEED)
+    return t.select("Text", "Candidate", "Proposal", "Proposed", "Total-Iterations",
+                    round6(F.col("Percent")).alias("Percent"))

@@ -172,8 +172,8 @@ MOISL_KEPT = """
                  / (8 * ss) <= (SELECT m FROM mint))
 """
 
-SQL["zscore_l2"] = f"""
-WITH {MFW_COUNTS}, {MOISL_KEPT},
+ZL2 = f"""
+  {MFW_COUNTS}, {MOISL_KEPT},
   grid AS (SELECT e.doc_id, k.token FROM english e CROSS JOIN kept k),
   cell AS (SELECT g.doc_id, g.token, coalesce(fc.n, 0) AS n
            FROM grid g LEFT JOIN fc USING (doc_id, token)),
@@ -182,9 +182,26 @@ WITH {MFW_COUNTS}, {MOISL_KEPT},
   st2 AS (SELECT token, avg(x) AS mu, stddev_samp(x) AS sd FROM rel GROUP BY token
           HAVING min(x) < max(x)),
   z AS (SELECT doc_id, token, (x - mu) / sd AS z FROM rel JOIN st2 USING (token)),
-  l AS (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY doc_id)) AS norm FROM z)
-SELECT doc_id, token AS feature, round(CASE WHEN norm > 0 THEN z / norm ELSE 0 END, 6) AS value
-FROM l
+  l AS (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY doc_id)) AS norm FROM z),
+  zl AS (SELECT doc_id, token AS feature, CASE WHEN norm > 0 THEN z / norm ELSE 0 END AS value
+         FROM l)
+"""
+
+SQL["zscore_l2"] = f"""
+WITH {ZL2}
+SELECT doc_id, feature, round(value, 6) AS value FROM zl
+"""
+
+SQL["eta2"] = f"""
+WITH {ZL2},
+  v AS (SELECT zl.*, e.author FROM zl JOIN english e USING (doc_id)),
+  m AS (SELECT feature, avg(value) AS mu FROM v GROUP BY feature),
+  b AS (SELECT feature, sum(nc * (mc - mu) ^ 2) AS ssb FROM (
+          SELECT feature, author, count(*) AS nc, avg(value) AS mc FROM v GROUP BY ALL)
+        JOIN m USING (feature) GROUP BY feature),
+  t AS (SELECT v.feature, sum((value - mu) ^ 2) AS sst FROM v JOIN m USING (feature)
+        GROUP BY v.feature)
+SELECT feature, round(CASE WHEN sst > 0 THEN ssb / sst END, 6) AS eta2 FROM b JOIN t USING (feature)
 """
 
 SQL["drop_low"] = f"""
@@ -517,3 +534,91 @@ SELECT distance, round(tp / P, 6) AS tpr,
        round(fp / N, 6) AS fpr
 FROM c, st
 """
+
+PPM = """
+  cv AS (SELECT conv_id, turn, role, text, conv_id || '-' || turn AS doc FROM conversations),
+  cp AS (SELECT doc, text, unnest(range(0, length(text))) AS i FROM cv WHERE length(text) > 0),
+  pos AS (SELECT doc, substring(text, greatest(i - 5, 0) + 1, least(i, 5)) AS c,
+                 substring(text, i + 1, 1) AS ch FROM cp),
+  sfx AS (SELECT doc, c, ch, unnest(range(0, length(c) + 1)) AS k FROM pos),
+  grams AS (SELECT doc, right(c, k::INT) AS ctx, ch, count(*) AS n FROM sfx GROUP BY ALL)
+"""
+
+SQL["char_model"] = f"""
+WITH {PPM}
+SELECT doc, length(ctx) AS k, count(DISTINCT ctx) AS n_contexts, count(*) AS n_grams,
+       sum(n)::BIGINT AS n_chars
+FROM grams GROUP BY ALL
+"""
+
+SQL["cross_entropy"] = f"""
+WITH {PPM},
+  v AS (SELECT count(DISTINCT ch) AS v FROM pos),
+  tot AS (SELECT doc, ctx, sum(n) AS tot FROM grams GROUP BY ALL),
+  m AS (SELECT g.doc AS a, g.ctx, g.ch, g.n / t.tot AS p FROM grams g JOIN tot t USING (doc, ctx)),
+  tc AS (SELECT doc AS b, c, ch, count(*) AS cnt FROM pos GROUP BY ALL),
+  len AS (SELECT b, sum(cnt) AS len FROM tc GROUP BY b),
+  tp AS (SELECT x.conv_id, x.turn AS turn_a, y.turn AS turn_b, x.doc AS a, y.doc AS b,
+                x.role = y.role AS is_pair
+         FROM cv x JOIN cv y ON x.conv_id = y.conv_id AND y.turn IN (x.turn + 1, x.turn + 2)),
+  op AS (SELECT a, b FROM tp UNION SELECT b, a FROM tp),
+  q AS (SELECT op.a, op.b, tc.c, tc.ch, tc.cnt, unnest(range(0, length(tc.c) + 1)) AS k
+        FROM op JOIN tc ON tc.b = op.b),
+  hit AS (SELECT q.a, q.b, q.c, q.ch, q.cnt, q.k, m.p FROM q
+          JOIN m ON m.a = q.a AND m.ctx = right(q.c, q.k::INT) AND m.ch = q.ch),
+  best AS (SELECT a, b, c, ch, cnt, arg_max(p, k) AS p FROM hit GROUP BY ALL),
+  per AS (SELECT a, b, sum(cnt * -log2(p)) AS bits, sum(cnt) AS hits FROM best GROUP BY ALL),
+  h AS (SELECT op.a, op.b, (coalesce(per.bits, 0) + (len.len - coalesce(per.hits, 0))
+                            * log2((SELECT v FROM v))) / len.len AS h
+        FROM op JOIN len ON len.b = op.b LEFT JOIN per ON per.a = op.a AND per.b = op.b)
+SELECT tp.conv_id, tp.turn_a, tp.turn_b, round(x.h, 4) AS h_ab, round(y.h, 4) AS h_ba, tp.is_pair
+FROM tp JOIN h x ON x.a = tp.a AND x.b = tp.b JOIN h y ON y.a = tp.b AND y.b = tp.a
+"""
+
+SQL["imposters"] = f"""
+WITH {MFW_COUNTS},
+  idx AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS f FROM top),
+  h0 AS (SELECT doc_id, author, row_number() OVER (PARTITION BY author
+                  ORDER BY md5('42|' || doc_id), doc_id) AS rk,
+                count(*) OVER (PARTITION BY author) AS n FROM english),
+  cands AS (SELECT author AS C FROM (SELECT DISTINCT author FROM english)
+            ORDER BY md5('42|' || author) LIMIT 3),
+  roles AS (SELECT doc_id, author,
+                   CASE WHEN rk > round_even(n * 0.9, 0) THEN 'test'
+                        WHEN author IN (SELECT C FROM cands) THEN 'candidate'
+                        ELSE 'impostor' END AS role FROM h0),
+  tasks AS (SELECT C, it FROM cands, range(0, 100) r(it)),
+  tf AS (SELECT C, it, f, row_number() OVER (PARTITION BY C, it
+                ORDER BY md5('42|' || C || '|' || it || '|' || f), f) AS r
+         FROM tasks, range(1, 101) g(f)),
+  feats AS (SELECT C, it, f FROM tf WHERE r <= 50),
+  mem AS (SELECT t.C, t.it, r.doc_id, r.author, 0 AS kind FROM tasks t
+            JOIN roles r ON r.role = 'candidate' AND r.author = t.C
+          UNION ALL
+          SELECT t.C, t.it, r.doc_id, r.author, 1 FROM tasks t JOIN roles r ON r.role = 'impostor'
+          WHERE ('0x' || substring(md5('42|' || t.C || '|' || t.it || '|' || r.doc_id), 1, 13))::BIGINT
+                / 4503599627370496.0 < 0.5
+          UNION ALL
+          SELECT t.C, t.it, r.doc_id, r.author, 2 FROM tasks t JOIN roles r ON r.role = 'test'),
+  cells AS (SELECT m.C, m.it, m.doc_id, m.author, m.kind, fe.f,
+                   coalesce(fc.n, 0)::DOUBLE AS cnt
+            FROM mem m JOIN feats fe ON fe.C = m.C AND fe.it = m.it
+            JOIN idx ON idx.f = fe.f
+            LEFT JOIN fc ON fc.doc_id = m.doc_id AND fc.token = idx.token),
+  sh AS (SELECT *, CASE WHEN sum(cnt) OVER w > 0 THEN cnt / sum(cnt) OVER w ELSE 0 END AS x
+         FROM cells WINDOW w AS (PARTITION BY C, it, doc_id, kind)),
+  st AS (SELECT C, it, f, avg(x) AS mu,
+                CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sd
+         FROM sh GROUP BY C, it, f),
+  z AS (SELECT sh.C, sh.it, sh.doc_id, sh.author, sh.kind, sh.f, (sh.x - st.mu) / st.sd AS z
+        FROM sh JOIN st USING (C, it, f)),
+  dist AS (SELECT t.C, t.it, t.doc_id AS text, r.doc_id AS ref, r.kind, r.author,
+                  round(sum(abs(t.z - r.z)), 9) AS d
+           FROM z t JOIN z r ON t.C = r.C AND t.it = r.it AND t.f = r.f
+           WHERE t.kind = 2 AND r.kind < 2
+           GROUP BY ALL),
+  win AS (SELECT C, it, text, arg_min(author, (d, kind, ref)) AS proposal FROM dist GROUP BY ALL)
+SELECT text AS Text, C AS Candidate, proposal AS Proposal, count(*) AS Proposed,
+       100::BIGINT AS "Total-Iterations", round(count(*) / 100, 6) AS Percent
+FROM win GROUP BY ALL
+"""

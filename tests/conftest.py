@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    from handprint.session import checkpoint_dir
+    from handprint.session import prepare
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.driver.memory", "8g")
@@ -20,7 +20,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(s)
+    prepare(s)
     yield s
 
 
