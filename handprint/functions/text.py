@@ -140,3 +140,26 @@ def count_non_overlapping(text: Column, needle: Column) -> Column:
 
 def round6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
+
+
+# Sentence delimiters of the document splitter (C14): . ; · ? !
+SENTENCE_PUNCT_RE = r"[.;·?!]"
+
+
+def sentence_tokens(text: Column) -> Column:
+    """C14: sentences (split on . ; · ? !, commas removed) as arrays of
+    whitespace tokens; empty sentences dropped."""
+    parts = F.split(F.regexp_replace(text, ",", ""), SENTENCE_PUNCT_RE)
+    toks = F.transform(parts, lambda s: F.filter(F.split(F.trim(s), r"\s+"),
+                                                 lambda w: w != F.lit("")))
+    return F.filter(toks, lambda s: F.size(s) > 0)
+
+
+def windows(tokens_arr: Column, size: int = 25, stride: int | None = None) -> Column:
+    """Windows of ``size`` tokens starting every ``stride`` tokens
+    (default ``size``: consecutive, tail kept)."""
+    stride = stride or size
+    n = F.size(tokens_arr)
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride))
+    return F.when(n > 0, F.transform(starts, lambda i: F.slice(tokens_arr, i + 1, size)))\
+        .otherwise(F.array().cast("array<array<string>>"))
