@@ -21,6 +21,7 @@ from handprint.functions.text import round6
 from handprint.operators import (clusters, features, linkage, metrics, pairs, ranking, samples,
                                  ppm, select, splits, vocab)
 from handprint.operators import imposters as imp_op
+from handprint.operators import classify, encode
 from handprint.functions.hashing import hash_key
 from handprint.sources.tables import table
 
@@ -662,3 +663,107 @@ def imposters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = imp_op.imposters(d, cands, IMP_ITERATIONS, 0.5, 0.5, SEED)
     return t.select("Text", "Candidate", "Proposal", "Proposed", "Total-Iterations",
                     round6(F.col("Percent")).alias("Percent"))
+
+
+# ---------------------------------------------------------------------------
+# Step 9: attribution, linear models, encoders
+# ---------------------------------------------------------------------------
+
+
+def _nearest_predictions(spark, sf_dir):
+    """Each held-out text takes the author of its nearest training text
+    (city-block on the normalised matrix, rounded to 9 places; ties -> lower id)."""
+    vec, _, docs = normalised_vectors(spark, sf_dir)
+    split = splits.holdout_split(docs.select("doc_id", "author"), "author", "doc_id", 0.1, SEED)
+    p = pairs.all_pairs(vec, "doc_id", "vec", None, "cityblock").withColumn(
+        "distance", F.round("distance", 9))
+    q = split.filter(F.col("split") == "holdout").select("doc_id")
+    r = split.filter(F.col("split") == "train").select("doc_id")
+    nn = classify.nearest_reference(p, q, r)
+    a = docs.select(F.col("doc_id").alias("q"), F.col("author").alias("truth"))
+    b = docs.select(F.col("doc_id").alias("r"), F.col("author").alias("prediction"))
+    return nn.join(a, "q").join(b, "r").select(F.col("q").alias("doc_id"), "truth", "prediction",
+                                               F.col("r").alias("nearest"), "distance")
+
+
+@query
+def nearest_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1-NN attribution of held-out texts."""
+    p = _nearest_predictions(spark, sf_dir)
+    return p.select("doc_id", "truth", "prediction", "nearest", round6(F.col("distance"))
+                    .alias("distance"))
+
+
+@query
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion counts of the 1-NN attribution (long form)."""
+    return classify.confusion(_nearest_predictions(spark, sf_dir))
+
+
+@query
+def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-author precision, recall, F1 and support of the 1-NN attribution."""
+    s = classify.class_scores(_nearest_predictions(spark, sf_dir))
+    return s.select("cls", *[round6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")],
+                    "support")
+
+
+@query
+def tomek_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mutual nearest vectors with different labels."""
+    up = unit_pairs(spark, sf_dir)
+    return classify.tomek_links(up, _embeddings(spark, sf_dir).select("vec_id", "label"))
+
+
+ENCODER_MIN_FREQ = 5
+
+
+@query
+def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as id sequences (<UNK> 0, <PAD> 1, then by frequency)."""
+    t = _turns(spark, sf_dir)
+    toks = t.select("conv_id", "turn", F.posexplode(T.words(F.col("text"))).alias("pos", "token"))
+    v = encode.build_vocabulary(toks, ENCODER_MIN_FREQ)
+    e = encode.encode(toks, v, ["conv_id", "turn"])
+    return e.select("conv_id", "turn", F.size("ids").cast("bigint").alias("n_tokens"),
+                    F.size(F.filter("ids", lambda x: x == 0)).cast("bigint").alias("n_unk"),
+                    F.array_join("ids", " ").alias("ids"))
+
+
+def _svm_data(spark, sf_dir):
+    d, _ = imposter_docs(spark, sf_dir)
+    rel = F.transform("vec", lambda x: F.when(F.aggregate("vec", F.lit(0.0), lambda a, y: a + y)
+                                               > 0, x / F.aggregate("vec", F.lit(0.0),
+                                                                    lambda a, y: a + y))
+                      .otherwise(F.lit(0.0)))
+    return d.select("doc_id", "author", "role", rel.alias("vec"))
+
+
+@query
+def svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-vs-rest linear SVM (z-score, L2, balanced weights) trained on
+    the non-test texts, predicting the held-out ones."""
+    d = _svm_data(spark, sf_dir)
+    model, labels = classify.fit_svm(d.filter(F.col("role") != "test"))
+    p = classify.predict_svm(model, labels, d.filter(F.col("role") == "test"))
+    return p.select("doc_id", F.col("author").alias("truth"), "prediction",
+                    F.round("score", 6).alias("score"))
+
+
+@query
+def svm_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class x feature coefficients of the fitted SVM."""
+    d = _svm_data(spark, sf_dir)
+    _, _, top = _mfw_counts(spark, sf_dir)
+    feats = [r.token for r in top.orderBy("rank").select("token").collect()]  # bounded top-k
+    model, labels = classify.fit_svm(d.filter(F.col("role") != "test"))
+    return classify.svm_weights(model, labels, feats)
+
+
+@query
+def verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic regression on the two cross-entropies -> P(same role)."""
+    ce = materialize(cross_entropy(spark, sf_dir))
+    m = classify.fit_pair_logistic(ce, ["h_ab", "h_ba"])
+    return classify.predict_pair_logistic(m, ce, ["h_ab", "h_ba"]).select(
+        "conv_id", "turn_a", "turn_b", "is_pair", "p_same")

@@ -622,3 +622,68 @@ SELECT text AS Text, C AS Candidate, proposal AS Proposal, count(*) AS Proposed,
        100::BIGINT AS "Total-Iterations", round(count(*) / 100, 6) AS Percent
 FROM win GROUP BY ALL
 """
+
+NEAREST = f"""
+  {ZL2},
+  h0 AS (SELECT doc_id, author, row_number() OVER (PARTITION BY author
+                  ORDER BY md5('42|' || doc_id), doc_id) AS rk,
+                count(*) OVER (PARTITION BY author) AS n FROM english),
+  roles AS (SELECT doc_id, author, rk > round_even(n * 0.9, 0) AS held FROM h0),
+  dd AS (SELECT a.doc_id AS q, b.doc_id AS r, round(sum(abs(a.value - b.value)), 9) AS distance
+         FROM zl a JOIN zl b ON a.feature = b.feature AND a.doc_id <> b.doc_id
+         WHERE a.doc_id IN (SELECT doc_id FROM roles WHERE held)
+           AND b.doc_id IN (SELECT doc_id FROM roles WHERE NOT held)
+         GROUP BY ALL),
+  nn AS (SELECT q, arg_min(r, (distance, r)) AS r, min(distance) AS distance FROM dd GROUP BY q),
+  pred AS (SELECT nn.q AS doc_id, x.author AS truth, y.author AS prediction, nn.r AS nearest,
+                  nn.distance
+           FROM nn JOIN roles x ON x.doc_id = nn.q JOIN roles y ON y.doc_id = nn.r)
+"""
+
+SQL["nearest_author"] = f"""
+WITH {NEAREST}
+SELECT doc_id, truth, prediction, nearest, round(distance, 6) AS distance FROM pred
+"""
+
+SQL["confusion"] = f"""
+WITH {NEAREST}
+SELECT truth, prediction, count(*) AS n FROM pred GROUP BY ALL
+"""
+
+SQL["fold_metrics"] = f"""
+WITH {NEAREST},
+  c AS (SELECT truth AS cls FROM pred UNION SELECT prediction FROM pred),
+  s AS (SELECT c.cls,
+               (SELECT count(*) FROM pred WHERE truth = c.cls AND prediction = c.cls) AS tp,
+               (SELECT count(*) FROM pred WHERE truth = c.cls) AS support,
+               (SELECT count(*) FROM pred WHERE prediction = c.cls) AS predicted
+        FROM c),
+  m AS (SELECT cls, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision,
+               CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall, support FROM s)
+SELECT cls, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                  ELSE 0 END, 6) AS f1, support
+FROM m
+"""
+
+SQL["tomek_links"] = f"""
+WITH {UNIT_PAIRS},
+  b AS (SELECT left_id AS q, right_id AS r, distance FROM p
+        UNION ALL SELECT right_id, left_id, distance FROM p),
+  nn AS (SELECT q, arg_min(r, (distance, r)) AS r FROM b GROUP BY q)
+SELECT x.q AS left_id, x.r AS right_id FROM nn x JOIN nn y ON x.r = y.q AND y.r = x.q
+JOIN embeddings ex ON ex.vec_id = x.q JOIN embeddings ey ON ey.vec_id = x.r
+WHERE x.q < x.r AND ex.label <> ey.label
+"""
+
+SQL["encode_docs"] = f"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '{W}') AS w FROM conversations),
+  toks AS (SELECT conv_id, turn, unnest(w) AS token, unnest(range(0, len(w))) AS pos FROM t),
+  v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id
+        FROM toks GROUP BY token HAVING count(*) >= 5),
+  e AS (SELECT toks.conv_id, toks.turn, toks.pos, coalesce(v.id, 0) AS id
+        FROM toks LEFT JOIN v USING (token))
+SELECT conv_id, turn, count(*) AS n_tokens, count(*) FILTER (WHERE id = 0) AS n_unk,
+       string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids
+FROM e GROUP BY ALL
+"""
