@@ -617,8 +617,9 @@ def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
     docs = t.select("doc", "text")
     v = ppm.alphabet_size(docs).select("v").scalar()
-    models = ppm.char_model(docs, "doc", "text", PPM_ORDER).withColumnRenamed("doc", "a")
-    targets = ppm.positions(docs, "doc", "text", PPM_ORDER).withColumnRenamed("doc", "b")
+    pos = materialize(ppm.positions(docs, "doc", "text", PPM_ORDER))  # models and targets
+    models = ppm.char_model(docs, "doc", "text", PPM_ORDER, pos).withColumnRenamed("doc", "a")
+    targets = pos.withColumnRenamed("doc", "b")
     tp = _turn_pairs(t)
     both = tp.select("a", "b").unionByName(tp.select(F.col("b").alias("a"), F.col("a").alias("b")))
     h = ppm.cross_entropy(models, targets, both, v)
