@@ -606,7 +606,7 @@ def char_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per turn and context length, distinct contexts, grams and characters."""
     t = _turns(spark, sf_dir)
     m = ppm.char_model(t.select("doc", "text"), "doc", "text", PPM_ORDER)
-    return (m.groupBy("doc", F.length("ctx").alias("k"))
+    return (m.groupBy("doc", F.length("ctx").cast("bigint").alias("k"))
             .agg(F.count_distinct("ctx").alias("n_contexts"), F.count(F.lit(1)).alias("n_grams"),
                  F.sum("n").alias("n_chars")))
 
@@ -768,3 +768,27 @@ def verify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = classify.fit_pair_logistic(ce, ["h_ab", "h_ba"])
     return classify.predict_pair_logistic(m, ce, ["h_ab", "h_ba"]).select(
         "conv_id", "turn_a", "turn_b", "is_pair", "p_same")
+
+
+@query
+def merge_minus_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-out role models (role total minus the turn), per turn and
+    context length: how many (context, char) entries and characters remain.
+
+    Computed without materialising a model per turn: remaining characters are
+    role totals minus the turn's, and an entry vanishes exactly when the turn
+    holds all of its occurrences (one equi-join on (role, ctx, ch))."""
+    t = _turns(spark, sf_dir)
+    pos = materialize(ppm.positions(t.select("doc", "text"), "doc", "text", PPM_ORDER))
+    grams = ppm.char_model(None, "doc", "text", PPM_ORDER, pos).join(t.select("doc", "role"), "doc")
+    grams = grams.withColumn("k", F.length("ctx").cast("bigint"))
+    role = grams.groupBy("role", "ctx", "ch", "k").agg(F.sum("n").alias("N"))
+    role_tot = role.groupBy("role", "k").agg(F.count(F.lit(1)).alias("role_grams"),
+                                             F.sum("N").alias("role_chars"))
+    doc_tot = grams.groupBy("doc", "role", "k").agg(F.sum("n").alias("doc_chars"))
+    gone = (grams.join(role, ["role", "ctx", "ch", "k"]).filter(F.col("n") == F.col("N"))
+            .groupBy("doc", "k").agg(F.count(F.lit(1)).alias("gone")))
+    return (doc_tot.join(role_tot, ["role", "k"]).join(gone, ["doc", "k"], "left")
+            .select("doc", "k",
+                    (F.col("role_grams") - F.coalesce("gone", F.lit(0))).alias("loo_grams"),
+                    (F.col("role_chars") - F.col("doc_chars")).cast("bigint").alias("loo_chars")))

@@ -687,3 +687,16 @@ SELECT conv_id, turn, count(*) AS n_tokens, count(*) FILTER (WHERE id = 0) AS n_
        string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids
 FROM e GROUP BY ALL
 """
+
+SQL["merge_minus_model"] = f"""
+WITH {PPM},
+  g AS (SELECT grams.*, cv.role, length(grams.ctx) AS k FROM grams JOIN cv USING (doc)),
+  role AS (SELECT role, ctx, ch, k, sum(n) AS N FROM g GROUP BY ALL),
+  role_tot AS (SELECT role, k, count(*) AS role_grams, sum(N) AS role_chars FROM role GROUP BY ALL),
+  doc_tot AS (SELECT doc, role, k, sum(n) AS doc_chars FROM g GROUP BY ALL),
+  gone AS (SELECT g.doc, g.k, count(*) AS gone FROM g JOIN role USING (role, ctx, ch, k)
+           WHERE g.n = role.N GROUP BY ALL)
+SELECT d.doc, d.k, r.role_grams - coalesce(gone.gone, 0) AS loo_grams,
+       (r.role_chars - d.doc_chars)::BIGINT AS loo_chars
+FROM doc_tot d JOIN role_tot r USING (role, k) LEFT JOIN gone USING (doc, k)
+"""

@@ -30,7 +30,6 @@ def tag_tokens(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     toks = docs.select(doc, F.posexplode(T.tokens(F.col(text), lower=False)).alias("pos", "token"))
     if tagger is None:
         toks = toks.withColumn("is_word", T.is_word(F.col("token")))
-        lower = F.lower(F.col("token"))
         return toks.select(doc, "pos", "token", F.expr(T.POS_RULE_SQL.format(
             t="lower(token)", w="is_word")).alias("tag"))
     return toks.withColumn("tag", tagger(F.col("token")))
