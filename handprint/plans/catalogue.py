@@ -782,13 +782,32 @@ def merge_minus_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = materialize(ppm.positions(t.select("doc", "text"), "doc", "text", PPM_ORDER))
     grams = ppm.char_model(None, "doc", "text", PPM_ORDER, pos).join(t.select("doc", "role"), "doc")
     grams = grams.withColumn("k", F.length("ctx").cast("bigint"))
-    role = grams.groupBy("role", "ctx", "ch", "k").agg(F.sum("n").alias("N"))
+    role = grams.groupBy("role", "ctx", "ch", "k").agg(F.sum("n").alias("n_role"))
     role_tot = role.groupBy("role", "k").agg(F.count(F.lit(1)).alias("role_grams"),
-                                             F.sum("N").alias("role_chars"))
+                                             F.sum("n_role").alias("role_chars"))
     doc_tot = grams.groupBy("doc", "role", "k").agg(F.sum("n").alias("doc_chars"))
-    gone = (grams.join(role, ["role", "ctx", "ch", "k"]).filter(F.col("n") == F.col("N"))
+    gone = (grams.join(role, ["role", "ctx", "ch", "k"]).filter(F.col("n") == F.col("n_role"))
             .groupBy("doc", "k").agg(F.count(F.lit(1)).alias("gone")))
     return (doc_tot.join(role_tot, ["role", "k"]).join(gone, ["doc", "k"], "left")
             .select("doc", "k",
                     (F.col("role_grams") - F.coalesce("gone", F.lit(0))).alias("loo_grams"),
                     (F.col("role_chars") - F.col("doc_chars")).cast("bigint").alias("loo_chars")))
+
+
+@query
+def pair_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P(same label) from a logistic layer on |a - b| of unit vectors,
+    trained on pairs of training vectors, scored on pairs touching a held-out one."""
+    emb = _embeddings(spark, sf_dir)
+    split = splits.holdout_split(emb.select("vec_id", "label"), "label", "vec_id", 0.1,
+                                 SEED).select("vec_id", (F.col("split") == "holdout").alias("held"))
+    up = unit_pairs(spark, sf_dir).select("left_id", "right_id", "is_pair")
+    up = (up.join(split.select(F.col("vec_id").alias("left_id"), F.col("held").alias("lh")),
+                  "left_id")
+          .join(split.select(F.col("vec_id").alias("right_id"), F.col("held").alias("rh")),
+                "right_id"))
+    d = materialize(classify.pair_difference(up, emb, "vec_id", "embedding"))
+    model = classify.fit_vector_logistic(d.filter(~F.col("lh") & ~F.col("rh")))
+    new = d.filter(F.col("lh") | F.col("rh"))
+    p = classify.predict_vector_logistic(model, new)
+    return p.select("left_id", "right_id", "is_pair", F.round("p_same", 3).alias("p_same"))

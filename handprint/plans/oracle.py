@@ -251,8 +251,8 @@ SAMPLES = f"""
   t AS (SELECT doc_id, unnest(toks) AS tok, unnest(range(0, len(toks))) AS pos FROM d),
   t2 AS (SELECT t.doc_id, t.tok, t.pos, regexp_matches(t.tok, '{IS_WORD}')::INT AS w
          FROM t JOIN meta USING (doc_id) WHERE t.pos >= meta.margin),
-  t3 AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000 AS sample
+  t3 AS (SELECT *, (coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000)::BIGINT AS sample
          FROM t2),
   s AS (SELECT doc_id, sample, min(pos) AS start_pos, max(pos) AS end_pos,
                count(*) AS n_tokens, sum(w)::BIGINT AS length,
