@@ -36,7 +36,10 @@ def test_entry(spark):
 
 def test_every_query_has_oracle_or_is_documented():
     qs, sql = entry.queries(), entry.oracle_sql()
-    rows_only = {"ward_linkage", "linkage_average", "clusters_k"}
+    # Iterative or model-fitting queries: no SQL form, checked by row count
+    # and by their own tests.
+    rows_only = {"ward_linkage", "linkage_average", "clusters_k", "svm_predict", "svm_weights",
+                 "verify_pairs", "pair_logistic"}
     assert set(qs) - set(sql) <= rows_only
 
 
