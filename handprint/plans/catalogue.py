@@ -811,3 +811,12 @@ def pair_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = d.filter(F.col("lh") | F.col("rh"))
     p = classify.predict_vector_logistic(model, new)
     return p.select("left_id", "right_id", "is_pair", F.round("p_same", 3).alias("p_same"))
+
+
+@query
+def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-number summary of text length (words) per author, whole table."""
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("source").alias("author"), T.word_count(F.col("text")).alias("n_words"))
+    s = metrics.group_percentiles(d, "author", "n_words", tie="doc_id")
+    return s.select("author", "percentile", round6(F.col("value")).alias("value"))

@@ -700,3 +700,13 @@ SELECT d.doc, d.k, r.role_grams - coalesce(gone.gone, 0) AS loo_grams,
        (r.role_chars - d.doc_chars)::BIGINT AS loo_chars
 FROM doc_tot d JOIN role_tot r USING (role, k) LEFT JOIN gone USING (doc, k)
 """
+
+SQL["length_summary"] = f"""
+WITH d AS (SELECT source AS author, len(regexp_extract_all(text, '{W}')) AS n_words
+           FROM documents),
+  q AS (SELECT author, quantile_cont(n_words, [0.0, 0.25, 0.5, 0.75, 1.0]) AS qs FROM d
+        GROUP BY author)
+SELECT author, unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS percentile,
+       round(unnest(qs), 6) AS value
+FROM q
+"""
