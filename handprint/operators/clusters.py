@@ -28,3 +28,12 @@ def eta2(values: DataFrame, classes: DataFrame, doc: str = "doc_id", feature: st
 def top_eta2(e: DataFrame, n: int, feature: str = "feature") -> DataFrame:
     """The n features with the largest eta2 (a top-k report)."""
     return e.orderBy(F.desc("eta2"), F.asc(feature)).limit(n)
+
+
+def eta2_to_classes(values: DataFrame, classes: DataFrame, top: DataFrame,
+                    doc: str = "doc_id", feature: str = "feature", cls: str = "cls") -> DataFrame:
+    """The values of the top features for every document with its class
+    (the data behind per-class distribution plots).  ``top`` is a bounded
+    top-k table of features, broadcast."""
+    t = F.broadcast(top.select(feature).distinct())
+    return values.join(t, feature, "left_semi").join(classes.select(doc, cls), doc)

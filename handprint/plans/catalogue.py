@@ -820,3 +820,19 @@ def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("source").alias("author"), T.word_count(F.col("text")).alias("n_words"))
     s = metrics.group_percentiles(d, "author", "n_words", tie="doc_id")
     return s.select("author", "percentile", round6(F.col("value")).alias("value"))
+
+
+N_ETA2_TOP = 3
+
+
+@query
+def eta2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised values of the 3 features with the largest eta2, per
+    document, with the document's author."""
+    vec, idx, docs = normalised_vectors(spark, sf_dir)
+    long = materialize(features.vectors_to_long(vec, idx))
+    cls = docs.select("doc_id", F.col("author").alias("cls"))
+    top = clusters.top_eta2(clusters.eta2(long, cls), N_ETA2_TOP)
+    out = clusters.eta2_to_classes(long, cls, top)
+    return out.select("doc_id", F.col("cls").alias("author"), "feature",
+                      round6(F.col("value")).alias("value"))

@@ -710,3 +710,18 @@ SELECT author, unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS percentile,
        round(unnest(qs), 6) AS value
 FROM q
 """
+
+SQL["eta2_classes"] = f"""
+WITH {ZL2},
+  v AS (SELECT zl.*, e.author FROM zl JOIN english e USING (doc_id)),
+  m AS (SELECT feature, avg(value) AS mu FROM v GROUP BY feature),
+  b AS (SELECT feature, sum(nc * (mc - mu) ^ 2) AS ssb FROM (
+          SELECT feature, author, count(*) AS nc, avg(value) AS mc FROM v GROUP BY ALL)
+        JOIN m USING (feature) GROUP BY feature),
+  t AS (SELECT v.feature, sum((value - mu) ^ 2) AS sst FROM v JOIN m USING (feature)
+        GROUP BY v.feature),
+  e2 AS (SELECT feature, CASE WHEN sst > 0 THEN ssb / sst END AS eta2 FROM b JOIN t USING (feature)),
+  top3 AS (SELECT feature FROM e2 ORDER BY eta2 DESC, feature LIMIT 3)
+SELECT doc_id, author, feature, round(value, 6) AS value FROM v
+WHERE feature IN (SELECT feature FROM top3)
+"""
