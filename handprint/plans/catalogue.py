@@ -836,3 +836,15 @@ def eta2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = clusters.eta2_to_classes(long, cls, top)
     return out.select("doc_id", F.col("cls").alias("author"), "feature",
                       round6(F.col("value")).alias("value"))
+
+
+N_FEATURE_GROUPS = 3
+
+
+@query
+def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised features agglomerated into 3 groups (Ward), pooled by mean."""
+    vec, idx, _ = normalised_vectors(spark, sf_dir)
+    long = materialize(features.vectors_to_long(vec, idx))
+    pooled, _ = linkage.feature_agglomeration(long, N_FEATURE_GROUPS)
+    return pooled.select("doc_id", "group", round6(F.col("value")).alias("value"))
