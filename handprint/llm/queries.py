@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from handprint.llm.common import read
 from handprint.llm.exact import exact_dedup
 from handprint.llm.mixture import mixture
+from handprint.llm.pieces import piece_tokens
 from handprint.llm.quality import quality_rules
+from handprint.llm.secrets import find_secrets, listed
 from handprint.llm.sharding import jump_shards
 from handprint.llm.simhash import simhash_near_dedup
 
@@ -27,6 +29,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(read(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(place: int):
+        return F.size(F.filter("found", lambda s: s["kind"] == place)).cast("bigint")
+    found = find_secrets(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(listed(F.col("found")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_tokens(read(spark, sf_dir, "documents"))
+
+
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -41,5 +57,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_simhash, op6_mixture,
-                                   op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_simhash, op4_secrets,
+                                   op5_pieces, op6_mixture, op9_quality)}
