@@ -10,6 +10,7 @@ from handprint.llm.exact import exact_dedup
 from handprint.llm.mixture import mixture
 from handprint.llm.pieces import piece_tokens
 from handprint.llm.quality import quality_rules
+from handprint.llm.repeats import remove_repeats
 from handprint.llm.secrets import find_secrets, listed
 from handprint.llm.sharding import jump_shards
 from handprint.llm.simhash import simhash_near_dedup
@@ -48,6 +49,10 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -58,4 +63,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL: dict[str, str] = {}
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_simhash, op4_secrets,
-                                   op5_pieces, op6_mixture, op9_quality)}
+                                   op5_pieces, op6_mixture, op7_repeats, op9_quality)}
