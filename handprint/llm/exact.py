@@ -148,9 +148,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = F.min(F.struct((-F.col("code_points")).alias("c"), F.col("id").isNull().alias("n"),
                           F.col("id").alias("i"), F.col("ordinal").alias("o")))
     firsts = signed.groupBy("fingerprint", "sha256").agg(best.alias("best"))
-    groups = verified.join(firsts, ["fingerprint", "sha256"]).select(
+    # Pinned: the last join is then one of two scans, whose hot keys Spark splits.
+    groups = pinned(verified.join(firsts, ["fingerprint", "sha256"]).select(
         "fingerprint", "sha256", "group_size", F.col("best.i").alias("first_id"),
-        F.col("best.o").alias("first_ordinal"))
+        F.col("best.o").alias("first_ordinal")), "groups")
     whole = signed.join(groups, ["fingerprint", "sha256"], "left")
     alone = F.col("group_size").isNull()
     return whole.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from handprint.llm.common import read
 from handprint.llm.exact import exact_dedup
+from handprint.llm.hosts import judge_urls
 from handprint.llm.mixture import mixture
 from handprint.llm.pieces import piece_tokens
 from handprint.llm.quality import quality_rules
@@ -14,6 +15,7 @@ from handprint.llm.repeats import remove_repeats
 from handprint.llm.secrets import find_secrets, listed
 from handprint.llm.sharding import jump_shards
 from handprint.llm.simhash import simhash_near_dedup
+from handprint.llm.toxicity import score_toxicity
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,14 +55,31 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: ``labels`` by page_id = doc_id; bad is quality 0 or toxic 1."""
+    outcomes = read(spark, sf_dir, "labels").select(
+        "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return judge_urls(read(spark, sf_dir, "pages"), outcomes).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    scored = score_toxicity(read(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         "predicted", "evidence", "similarity")
+
+
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_simhash, op4_secrets,
-                                   op5_pieces, op6_mixture, op7_repeats, op9_quality)}
+                                   op5_pieces, op6_mixture, op7_repeats, op8_hosts,
+                                   op9_quality, op10_toxicity)}
