@@ -15,6 +15,7 @@ from handprint.llm.repeats import remove_repeats
 from handprint.llm.secrets import find_secrets, listed
 from handprint.llm.sharding import jump_shards
 from handprint.llm.simhash import simhash_near_dedup
+from handprint.llm.sql import SQL  # noqa: F401  (read by the entry)
 from handprint.llm.toxicity import score_toxicity
 
 
@@ -77,9 +78,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "predicted", "evidence", "similarity")
 
 
-#: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
-
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_simhash, op4_secrets,
                                    op5_pieces, op6_mixture, op7_repeats, op8_hosts,
                                    op9_quality, op10_toxicity)}
