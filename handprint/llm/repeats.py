@@ -10,7 +10,7 @@ fewer rows and let go what can't be in a group:
 
 1. Among the grams of ``gram`` bytes inside a window, the one with the least
    code is the window's anchor.  Equal windows have equal anchors at equal
-   places.  Neighbouring windows with one anchor form a stretch, about 35
+   places.  Neighbouring windows with one anchor form a stretch, about 27
    bytes apart, and the first pass sorts stretches: by anchor, then by the
    bytes of the whole stretch.  A stretch equal to an earlier one repeats
    whole; a stretch alone with its anchor repeats nowhere.
@@ -37,11 +37,10 @@ from handprint.llm.common import narrowed, pinned, row_key
 from handprint.operators.ranking import global_rank
 
 THRESHOLD = 100
-GRAM = 32
+GRAM = 48
 #: Window starts handled at a time.
 CHUNK = 1 << 20
 _PLACE = np.uint64(CHUNK - 1)
-_WITNESS = np.iinfo(np.int64).min
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -163,22 +162,19 @@ def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray):
     return doc[at], start[at], (reach - lift)[ends]
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], decide) -> Iterator[pa.RecordBatch]:
-    """Feed sorted batches to decide(columns, last row before them)."""
-    last = None
-    for batch in batches:
-        if batch.num_rows:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            yield from decide(columns, last)
-            last = [c[-1] for c in columns]
+#: Kinds of rows in the passes: one to sort; a run of bytes known to repeat; a stretch
+#: whose anchor has others; word of such others.
+_SORT, _RUN, _SEVERAL, _WITNESS = range(4)
 
 
 def stretch_pass(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
     """(doc, start, stop, whole): spans that repeat (whole) or whose windows must be sorted.
 
     For a whole one, [start, stop) are bytes; for the others first and last window.
+    A row of the shuffle is four longs: anchor, code, doc, and a place that packs
+    start, last - start and kind; a run has its stop as code.
     """
-    names = ["anchor", "code", "doc", "start", "last", "kind"]
+    names = ["anchor", "code", "doc", "place"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(threshold)
@@ -194,69 +190,74 @@ def stretch_pass(docs: DataFrame, threshold: int, gram: int) -> DataFrame:
                 doc, start, last = doc[order], start[order], last[order]
                 anchor, code = anchor[order], code[order]
                 fresh = _first_of(anchor, code)
-                # What repeats inside the batch: as merged runs, kind 1.
-                late = ~fresh
-                d, s, e = _runs(doc[late], start[late], last[late] + threshold)
-                yield _rows(_mix(d.view(np.uint64) ^ s.view(np.uint64)).view(np.int64), d, d, s, e,
-                            np.ones(len(d), np.int32), names=names)
+                # What repeats inside the batch, as merged runs.
+                d, s, e = _runs(doc[~fresh], start[~fresh], last[~fresh] + threshold)
+                yield _rows(_mix(d.view(np.uint64) ^ s.view(np.uint64)).view(np.int64), e, d,
+                            s << 18 | _RUN, names=names)
                 doc, start, last = doc[fresh], start[fresh], last[fresh]
                 anchor, code = anchor[fresh], code[fresh]
                 # An anchor in several stretches already: they must be sorted anyway, so
-                # they scatter (kind 2), and a witness tells the anchor's other holders.
+                # they scatter, and a witness tells the anchor's other holders.
                 lead = _first_of(anchor)
                 several = ~lead
                 several[:-1] |= ~lead[1:]
-                witness = np.flatnonzero(lead & several)
-                scattered = np.where(several, _mix(anchor ^ code), anchor)
-                kind = np.where(several, 2, 0).astype(np.int32)
-                # Odd codes: never the witness's.
-                yield _rows(scattered.view(np.int64), code.view(np.int64) | 1, doc, start, last,
-                            kind, names=names)
-                w = len(witness)
-                yield _rows(anchor[witness].view(np.int64), np.full(w, _WITNESS), np.zeros(w, np.int64),
-                            np.full(w, -1), np.full(w, -1), np.zeros(w, np.int32), names=names)
-
-    def decide(columns, before):
-        anchor, code, doc, start, last, kind = columns
-        whole = kind == 1
-        group = _first_of(anchor)
-        stretch = _first_of(anchor, code)
-        if before is not None:
-            group[0] = anchor[0] != before[0]
-            stretch[0] = group[0] or code[0] != before[1]
-        real = ~whole & (start >= 0)
-        repeat = real & ~stretch
-        # A stretch is not alone if it is a later one of its anchor or one follows.
-        lead = np.flatnonzero(stretch)
-        follows = np.zeros(len(anchor), bool)
-        follows[lead[:-1]] = ~group[lead[1:]]
-        sort = real & stretch & (~group | follows | (kind == 2))
-        # The stretch open at the end of a batch may get company in the next.
-        open_end = np.zeros(len(anchor), bool)
-        if len(lead):
-            open_end[lead[-1]] = True
-        sort |= real & stretch & open_end
-        out = whole | repeat
-        yield _rows(np.r_[doc[out], doc[sort]], np.r_[start[out], start[sort]],
-                    np.r_[np.where(whole, last, last + threshold)[out], last[sort]],
-                    np.r_[np.ones(out.sum(), bool), np.zeros(sort.sum(), bool)],
-                    names=["doc", "start", "stop", "whole"])
-
-    rows = docs.mapInArrow(emit, "anchor bigint, code bigint, doc bigint, start bigint, "
-                                 "last bigint, kind int")
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "code", "doc", "start")
-    return rows.mapInArrow(lambda batches: _streamed(batches, decide),
-                           "doc bigint, start bigint, stop bigint, whole boolean")
+                witness = anchor[lead & several].view(np.int64)
+                kind = np.where(several, _SEVERAL, _SORT)
+                yield _rows(np.where(several, _mix(anchor ^ code), anchor).view(np.int64),
+                            code.view(np.int64), doc, start << 18 | (last - start) << 2 | kind,
+                            names=names)
+                zero = np.zeros(len(witness), np.int64)
+                yield _rows(witness, zero, zero, zero + _WITNESS, names=names)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # anchor and code of the last row but runs
+        told = None  # an anchor whose witness has been seen
+        for batch in batches:
+            anchor, code, doc, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            kind, start = place & 3, place >> 18
+            run = kind == _RUN
+            out = [(doc[run], start[run], code[run], np.ones(run.sum(), bool))]
+            word = anchor[kind == _WITNESS]
+            known = np.r_[word, told] if told is not None else word
+            told = word[-1] if len(word) else told
+            real = ~run & (kind != _WITNESS)
+            anchor, code, doc, start = anchor[real], code[real], doc[real], start[real]
+            last, kind = start + (place[real] >> 2 & 0xFFFF), kind[real]
+            if len(anchor):
+                group, stretch = _first_of(anchor), _first_of(anchor, code)
+                if before is not None:
+                    group[0] = anchor[0] != before[0]
+                    stretch[0] = group[0] or code[0] != before[1]
+                before = anchor[-1], code[-1]
+                # A stretch has company if it isn't its anchor's first, if another follows,
+                # if there is word of others, or, for all one knows, at the batch's end.
+                lead = np.flatnonzero(stretch)
+                company = ~group | (kind == _SEVERAL) | np.isin(anchor, known)
+                company[lead[:-1]] |= ~group[lead[1:]]
+                company[lead[-1:]] = True
+                sort = stretch & company
+                out += [(doc[~stretch], start[~stretch], (last + threshold)[~stretch],
+                         np.ones((~stretch).sum(), bool)),
+                        (doc[sort], start[sort], last[sort], np.zeros(sort.sum(), bool))]
+            yield _rows(*(np.concatenate(x) for x in zip(*out, strict=True)),
+                        names=["doc", "start", "stop", "whole"])
+
+    rows = docs.mapInArrow(emit, "anchor bigint, code bigint, doc bigint, place bigint")
+    # Witnesses come first in their anchor's group.
+    rows = rows.repartition("anchor").sortWithinPartitions(
+        "anchor", F.expr(f"place <> {_WITNESS}"), "code", "doc", "place")
+    return rows.mapInArrow(decide, "doc bigint, start bigint, stop bigint, whole boolean")
 
 
 def window_pass(held: DataFrame, threshold: int) -> DataFrame:
     """(doc, start, stop): bytes of windows that repeat an earlier one.
 
     ``held``: doc, text and spans, an array of (start, stop), the first and last
-    windows to sort.
+    windows to sort.  A row of the shuffle is four longs: the two digits, doc, and
+    a place that packs start and kind; a run has its stop as second digit.
     """
     half = threshold // 2
-    names = ["high", "low", "doc", "start", "stop"]
+    names = ["high", "low", "doc", "place"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(threshold)
@@ -289,26 +290,31 @@ def window_pass(held: DataFrame, threshold: int) -> DataFrame:
                 high, low = high[order], low[order]
                 fresh = _first_of(high, low)
                 d, s, e = _runs(doc[~fresh], start[~fresh], start[~fresh] + threshold)
-                # Runs that repeat inside the batch are known by their stop.
-                yield _rows(d, s, d, s, e, names=names)
+                yield _rows(_mix(d.view(np.uint64) ^ s.view(np.uint64)).view(np.int64), e, d,
+                            s << 2 | _RUN, names=names)
                 yield _rows(high[fresh].view(np.int64), low[fresh].view(np.int64), doc[fresh],
-                            start[fresh], np.full(fresh.sum(), -1), names=names)
-
-    def decide(columns, before):
-        high, low, doc, start, stop = columns
-        first = _first_of(high, low, np.minimum(stop, 0))
-        if before is not None:
-            first[0] = high[0] != before[0] or low[0] != before[1] or (stop[0] < 0) != (before[4] < 0)
-        out = (stop >= 0) | ~first
-        yield _rows(*_runs(doc[out], start[out], np.where(stop >= 0, stop, start + threshold)[out]),
-                    names=["doc", "start", "stop"])
+                            start[fresh] << 2, names=names)
 
-    rows = held.mapInArrow(emit, "high bigint, low bigint, doc bigint, start bigint, stop bigint")
-    known = F.col("stop") >= 0
-    rows = rows.repartition("high", "low").sortWithinPartitions(
-        known, "high", "low", "doc", "start")
-    return rows.mapInArrow(lambda batches: _streamed(batches, decide),
-                           "doc bigint, start bigint, stop bigint")
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            high, low, doc, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            run, start = place & 3 == _RUN, place >> 2
+            late = np.zeros(len(run), bool)
+            window = np.flatnonzero(~run)
+            if len(window):
+                first = _first_of(high[window], low[window])
+                if before is not None:
+                    first[0] = (high[window[0]], low[window[0]]) != before
+                before = high[window[-1]], low[window[-1]]
+                late[window] = ~first
+            out = run | late
+            yield _rows(*_runs(doc[out], start[out], np.where(run, low, start + threshold)[out]),
+                        names=["doc", "start", "stop"])
+
+    rows = held.mapInArrow(emit, "high bigint, low bigint, doc bigint, place bigint")
+    rows = rows.repartition("high", "low").sortWithinPartitions("high", "low", "doc", "place")
+    return rows.mapInArrow(decide, "doc bigint, start bigint, stop bigint")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -348,8 +354,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the threshold keep all.  Rows alike in id and text are one document, and
     each of them gets its result.  An empty table gives an empty result.
     """
-    if not 8 <= gram < threshold or threshold % 2:
-        raise ValueError("need 8 <= gram < threshold, threshold even")
+    if not 8 <= gram < threshold <= 1 << 16 or threshold % 2:
+        raise ValueError("need 8 <= gram < threshold <= 65536, threshold even")
     base = numbered(narrowed(docs, id=id_col, text=text_col))
     spans = repeated_spans(base, threshold, gram)
     kind = base.schema["id"].dataType.simpleString()

@@ -58,7 +58,7 @@ def passages(n, threshold, seed):
                    (10**12 + 1, "b" * 100, "a"), (10**12 + 2, "b" * 101, "a")]
 
 
-@pytest.mark.parametrize("threshold, gram, seed", [(100, 32, 1), (100, 50, 2), (40, 8, 3), (100, 99, 4)])
+@pytest.mark.parametrize("threshold, gram, seed", [(100, 48, 1), (100, 20, 2), (40, 8, 3), (100, 99, 4)])
 def test_passages(spark, threshold, gram, seed):
     rows = passages(150, threshold, seed)
     check(make_docs(spark, rows).repartition(6), rows, threshold, gram)
