@@ -2,7 +2,7 @@
 
 For merge-type vocabularies the encoding of every prefix of a text has one
 last token.  The table stores it for each prefix: of the pieces that end at
-a position (found by an automaton), it is the one whose pair with the last
+a position (matches of an Aho-Corasick automaton), it is the one whose pair with the last
 token before it is compatible, that is, encodes to exactly these two pieces.
 The ids are then recovered backwards from the last entry.
 
@@ -14,6 +14,7 @@ tests can't see; a run is merged directly, once for each length.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 
@@ -24,9 +25,12 @@ from pyspark.sql import DataFrame
 from handprint.llm.common import extended, map_rows, narrowed
 
 SPACE = "▁"
-#: Words and pairs remembered in a task; a full memory is emptied.
-WORDS = 200_000
+#: Words and pairs remembered by a Python worker.  Full words become the older ones,
+#: from which those met again return; full pairs are forgotten.
+WORDS = 500_000
 PAIRS = 1_000_000
+#: Steps over failure links that an automaton remembers.
+STEPS = 500_000
 #: Longer words are encoded but not remembered.
 LONG = 64
 
@@ -36,6 +40,51 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Automaton:
+    """Strings that end at each position of a text, longest first.
+
+    ``goto[state]`` holds the trie's edges and, as they are met, the steps over
+    failure links; ``matches[state]`` the (value, length) of strings that end there.
+    """
+
+    def __init__(self, values: dict[str, int]):
+        self.goto: list[dict[str, int]] = [{}]
+        self.matches: list[tuple[tuple[int, int], ...]] = [()]
+        for text, value in values.items():
+            state = 0
+            for char in text:
+                if char not in self.goto[state]:
+                    self.goto[state][char] = len(self.goto)
+                    self.goto.append({})
+                    self.matches.append(())
+                state = self.goto[state][char]
+            self.matches[state] = ((value, len(text)),)
+        self.fail = [0] * len(self.goto)
+        self.room = STEPS
+        level = list(self.goto[0].values())
+        while level:  # breadth first: a state's failure link is shorter than the state
+            below = []
+            for state in level:
+                self.matches[state] += self.matches[self.fail[state]]
+                for char, target in self.goto[state].items():
+                    at = self.fail[state]
+                    while at and char not in self.goto[at]:
+                        at = self.fail[at]
+                    self.fail[target] = self.goto[at].get(char, 0)
+                    below.append(target)
+            level = below
+
+    def step(self, state: int, char: str) -> int:
+        at = state
+        while at and char not in self.goto[at]:
+            at = self.fail[at]
+        at = self.goto[at].get(char, 0)
+        if self.room:
+            self.room -= 1
+            self.goto[state][char] = at
+        return at
+
+
 class PieceModel:
     """Encoder and decoder for one merge-type model given as bytes.
 
@@ -45,7 +94,6 @@ class PieceModel:
     """
 
     def __init__(self, model: bytes):
-        import ahocorasick
         import sentencepiece
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.text: list[str] = [lib.id_to_piece(i) for i in range(lib.get_piece_size())]
@@ -68,24 +116,30 @@ class PieceModel:
                 >= min(map(self.score.__getitem__, rest))
                 or lib.normalize(" x  ﬁ\t") != f"{SPACE * 2}x{SPACE * 2}ﬁ\t"):
             raise ValueError("unsupported normalisation or pieces")
-        self.known_chars = {p for p in self.id if len(p) == 1}
+        #: Single characters: no match of the automaton, but what is left without one.
+        self.single = {p: i for p, i in self.id.items() if len(p) == 1}
         #: A piece's place in the order of merges (single characters come first of all).
         order = sorted(rest, key=lambda i: -self.score[i])
         self.rank = {i: at for at, i in enumerate(order)}
         #: The two pieces whose merge made a piece.
         self.halves: dict[int, tuple[int, int]] = {}
-        self.automaton = ahocorasick.Automaton()
+        whole: dict[str, int] = {}
         for piece, i in self.id.items():
-            if len(piece) > 1 and not piece.strip(SPACE):
+            if len(piece) == 1 or not piece.strip(SPACE):
                 continue
             made, last = self.merge(piece)
             if made == [piece]:
-                self.automaton.add_word(piece, (i, len(piece)))
-                if last:
-                    self.halves[i] = tuple(self.id[p] for p in last)
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+                whole[piece] = i
+                self.halves[i] = tuple(self.id[p] for p in last)
+        self.automaton = Automaton(whole)
+        self.digits = [str(i) for i in range(len(self.text))]
+        #: Whether pieces left and right stay apart, by left * size + right.
+        self.pairs: dict[int, bool] = {}
+        #: Ids of words (with their space), joined by commas, and the text decoded
+        #: from them where that isn't a space and the word.
+        self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
         self.runs: dict[int, list[int]] = {}
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
@@ -119,11 +173,12 @@ class PieceModel:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two pieces' text encodes to exactly these two pieces."""
-        known = self.pairs.get((left, right))
+        key = left * len(self.text) + right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.stay_apart(left, right)
+            known = self.pairs[key] = self.stay_apart(left, right)
         return known
 
     def stay_apart(self, a: int, b: int) -> bool:
@@ -146,33 +201,43 @@ class PieceModel:
             else:
                 bound, b = rank_b + 1, self.halves[b][0]
 
-    def last_tokens(self, word: str) -> list[tuple[int, int]]:
-        """Last token (id, length) of every prefix; a character without piece has id -1."""
-        table: list[tuple[int, int] | None] = [None] * len(word)
-        for end, token in self.automaton.iter(word):
-            if table[end] is None:
-                start = end - token[1]
-                if start < 0:
-                    table[end] = token
-                else:
-                    # No entry: a character without piece, which joins nothing.
-                    previous = table[start]
-                    if previous is None or self.compatible(previous[0], token[0]):
-                        table[end] = token
-        return [entry or (-1, 1) for entry in table]
+    def last_tokens(self, word: str) -> tuple[list[int], list[int]]:
+        """Last token of every prefix, as ids and lengths; a character without piece has id -1."""
+        single, goto, matches = self.single.get, self.automaton.goto, self.automaton.matches
+        pairs, size = self.pairs, len(self.text)
+        ids: list[int] = []
+        lengths: list[int] = []
+        state = 0
+        for end, char in enumerate(word):
+            follow = goto[state].get(char)
+            state = self.automaton.step(state, char) if follow is None else follow
+            found, reach = single(char, -1), 1
+            for token, length in matches[state]:
+                # A start has no token before it; a character without piece joins nothing.
+                left = ids[end - length] if length <= end else -1
+                if left >= 0:
+                    apart = pairs.get(left * size + token)
+                    if apart is None:
+                        apart = self.compatible(left, token)
+                    if not apart:
+                        continue
+                found, reach = token, length
+                break
+            ids.append(found)
+            lengths.append(reach)
+        return ids, lengths
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a text in which spaces stand only in front."""
-        table = self.last_tokens(word)
+        last, lengths = self.last_tokens(word)
         ids: list[int] = []
-        at = len(word)
-        while at:
-            token, length = table[at - 1]
-            if token >= 0:
-                ids.append(token)
+        at = len(word) - 1
+        while at >= 0:
+            if last[at] >= 0:
+                ids.append(last[at])
             else:
-                ids.extend(self.byte_id[b] for b in reversed(word[at - 1].encode()))
-            at -= length
+                ids.extend([self.byte_id[b] for b in reversed(word[at].encode())])
+            at -= lengths[at]
         ids.reverse()
         return ids
 
@@ -194,54 +259,73 @@ class PieceModel:
     def decode(self, ids) -> str:
         return self.decode_raw(ids).removeprefix(" ")
 
-    def stretch(self, ids: list[int]) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and their raw text."""
-        return len(ids), ",".join(map(str, ids)), self.decode_raw(ids)
-
-    def remembered(self, word: str) -> tuple[int, str, str]:
-        """The stretch of a word with its space."""
-        found = self.stretch(self.encode_word(SPACE + word))
+    def joined(self, ids: list[int]) -> str:
+        digits = self.digits
+        return ",".join([digits[i] for i in ids])
+
+    def remembered(self, word: str) -> str:
+        """Ids of a word with its space, joined; its decoded text is kept if it differs."""
+        found = self.older.get(word)
+        if found is None:
+            ids = self.encode_word(SPACE + word)
+            found = self.joined(ids)
+            text = self.text
+            if "".join([text[i] for i in ids]) != SPACE + word:
+                raw = self.decode_raw(ids)
+                if raw != " " + word:
+                    self.decoded[word] = raw
         if len(word) <= LONG:
             if len(self.words) >= WORDS:
-                self.words.clear()
+                self.older, self.words = self.words, {}
             self.words[word] = found
         return found
 
-    def run(self, length: int) -> tuple[int, str, str]:
+    def run(self, length: int) -> list[int]:
         ids = self.runs.get(length)
         if ids is None:
             ids = self.runs[length] = [self.id[p] for p in self.merge(SPACE * length)[0]]
-        return self.stretch(ids)
+        return ids
 
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """The encoding of a text in stretches, to be joined."""
+    def parts(self, text: str) -> tuple[str, str]:
+        """Ids of a text joined by commas, and the text decoded from them."""
         if not text:
-            return []
+            return "", ""
         words = text.replace(SPACE, " ").split(" ")
-        get, remembered = self.words.get, self.remembered
+        get, remembered, odd = self.words.get, self.remembered, self.decoded
         if "" not in words:
-            return [get(w) or remembered(w) for w in words]
-        out, spaces = [], 0
-        lone = self.id[SPACE]
+            found = ",".join([get(w) or remembered(w) for w in words])
+            raw = "".join([odd.get(w) or " " + w for w in words]) if odd else " " + " ".join(words)
+            return found, raw.removeprefix(" ")
+        out, raws, spaces = [], [], 0
+        lone = self.digits[self.id[SPACE]]
         for word in words:
             if not word:
                 spaces += 1
                 continue
-            part = get(word) or remembered(word)
+            part, raw = get(word) or remembered(word), odd.get(word) or " " + word
             if spaces:
-                ids = list(map(int, part[1].split(",")))
-                if ids[0] == lone:  # this space belongs to the run
-                    spaces += 1
-                    part = self.stretch(ids[1:])
-                out.append(self.run(spaces))
+                head, _, tail = part.partition(",")
+                if head == lone:  # this space belongs to the run
+                    spaces, part, raw = spaces + 1, tail, raw.removeprefix(" ")
+                out.append(self.joined(self.run(spaces)))
+                raws.append(self.decode_raw(self.run(spaces)))
             spaces = 0
             out.append(part)
+            raws.append(raw)
         if spaces:
-            out.append(self.run(spaces))
-        return out
+            out.append(self.joined(self.run(spaces)))
+            raws.append(self.decode_raw(self.run(spaces)))
+        return ",".join(out), "".join(raws).removeprefix(" ")
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for part in self.parts(text) for i in part[1].split(",")]
+        found = self.parts(text)[0]
+        return list(map(int, found.split(","))) if found else []
+
+
+@functools.lru_cache(maxsize=2)
+def loaded(model: bytes) -> PieceModel:
+    """The model of this Python worker: later tasks find its words again."""
+    return PieceModel(model)
 
 
 def piece_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -262,7 +346,7 @@ def piece_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = extended(base.select("id"), ddl + (", ids array<int>" if ids else ""))
 
     def make():
-        pieces = PieceModel(model.value)
+        pieces = loaded(model.value)
 
         def digest(text: str) -> str:
             return hashlib.sha256(text.encode()).hexdigest()
@@ -270,13 +354,12 @@ def piece_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             count, of_ids, decoded, lists = [], [], [], []
             for text in batch.column("text").to_pylist():
-                parts = pieces.parts(text or "")
-                joined = ",".join([p[1] for p in parts])
-                count.append(sum([p[0] for p in parts]))
-                of_ids.append(digest(joined))
-                decoded.append(digest("".join([p[2] for p in parts]).removeprefix(" ")))
+                found, raw = pieces.parts(text or "")
+                count.append(found.count(",") + 1 if found else 0)
+                of_ids.append(digest(found))
+                decoded.append(digest(raw))
                 if ids:
-                    lists.append(np.fromstring(joined, dtype=np.int32, sep=","))
+                    lists.append(np.fromstring(found, dtype=np.int32, sep=","))
             made = [batch.column("id"), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()),
                     pa.array(decoded, pa.string())]
             if ids:
