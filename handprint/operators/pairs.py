@@ -7,15 +7,18 @@ every block pair is one ``applyInPandas`` group holding at most two
 blocks, whose distance matrix NumPy computes in chunks.  Task size is
 bounded by ``block_rows`` whatever the data, and there is no cross join.
 
-For corpora where all pairs is out of reach, ``candidate_pairs`` scores a
-given (left, right) table with two equi-joins.
+Verification compares a stated set of rows (compared) with a reference set
+(comparator): ``compared_pairs`` scores them in the same kind of blocks, and
+``pair_counts``, ``nearest``, ``closest_false`` and ``anchor_extremes`` reduce
+inside the block, so what leaves it is counts or a few rows per query row.
+``candidate_pairs`` scores a given (left, right) table with two equi-joins.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +28,11 @@ ASYMMETRIC = {"snr"}
 _CHUNK = 64
 
 
+def no_rows(names: list[str]) -> pd.DataFrame:
+    """An empty result for any schema."""
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+
 def _normalise(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
@@ -48,7 +56,10 @@ def distance_matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
             out[s:s + _CHUNK] = (d * d).sum(axis=2)
         elif metric == "snr":
             dc = d - d.mean(axis=2, keepdims=True)
-            out[s:s + _CHUNK] = (dc * dc).sum(axis=2) / av[s:s + _CHUNK, None]
+            num = (dc * dc).sum(axis=2)
+            # No signal: 0 to an equal vector, else without bound.
+            out[s:s + _CHUNK] = np.divide(num, av[s:s + _CHUNK, None], out=np.where(
+                num > 0, np.inf, 0.0), where=av[s:s + _CHUNK, None] > 0)
         else:
             raise ValueError(f"unknown metric {metric}")
     return out
@@ -105,7 +116,7 @@ def all_pairs(vecs: DataFrame, id_col: str, vec: str, carry: list[str] | None =
         diagonal = int(pdf["_bi"].iloc[0]) == int(pdf["_bj"].iloc[0])
         rhs = lhs if diagonal else pdf[pdf["_side"] == 1]
         if lhs.empty or rhs.empty:
-            return pd.DataFrame({f.name: [] for f in fields})
+            return no_rows([f.name for f in fields])
         a = np.stack(lhs[vec].to_numpy()).astype(np.float64)
         b = a if diagonal else np.stack(rhs[vec].to_numpy()).astype(np.float64)
         if normalise:
@@ -147,6 +158,132 @@ def all_pairs(vecs: DataFrame, id_col: str, vec: str, carry: list[str] | None =
     return rows.groupBy("_bi", "_bj").applyInPandas(block, schema)
 
 
+def blocked(left: DataFrame, right: DataFrame, id_col: str, vec: str, reduce, schema: str,
+            carry: list[str] | None = None, metric: str = "cityblock", normalise: bool = False,
+            block_rows: int = 1024) -> DataFrame:
+    """``reduce(left rows, right rows, distances)`` on every left block x right block.
+
+    Both tables are hashed into blocks of about ``block_rows`` rows and a row
+    goes to every block of the other side.  Pairs of a row with itself (same
+    id) have distance NaN; ``reduce`` must leave them out.
+    """
+    cols = [id_col, vec, *(carry or [])]
+
+    def split(rows: DataFrame, own: str, other: str, n_own, n_other, side: int) -> DataFrame:
+        return (rows.select(*cols, n_own.cast("int").alias("_n"), n_other.cast("int").alias("_m"))
+                .withColumn(own, F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+                .select(*cols, "_bl", "_br", F.lit(side).alias("_side")))
+
+    def n_blocks(rows: DataFrame) -> Column:
+        return F.greatest(F.ceil(rows.select(F.count(F.lit(1))).scalar() / block_rows), F.lit(1))
+    nl, nr = n_blocks(left), n_blocks(right)
+    rows = split(left, "_bl", "_br", nl, nr, 0).unionByName(split(right, "_br", "_bl", nr, nl, 1))
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        lhs = pdf[pdf["_side"] == 0].sort_values(id_col, ignore_index=True)
+        rhs = pdf[pdf["_side"] == 1].sort_values(id_col, ignore_index=True)
+        if lhs.empty or rhs.empty:
+            return no_rows(names)
+        a = np.stack(lhs[vec].to_numpy()).astype(np.float64)
+        b = np.stack(rhs[vec].to_numpy()).astype(np.float64)
+        if normalise:
+            a, b = _normalise(a), _normalise(b)
+        d = distance_matrix(a, b, metric)
+        d[lhs[id_col].to_numpy()[:, None] == rhs[id_col].to_numpy()[None, :]] = np.nan
+        return reduce(lhs, rhs, d)
+
+    return rows.groupBy("_bl", "_br").applyInPandas(block, schema)
+
+
+def _id_type(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.simpleString()
+
+
+def compared_pairs(compared: DataFrame, comparator: DataFrame, id_col: str, vec: str,
+                   carry: list[str], metric: str = "euclidean", normalise: bool = False,
+                   digits: int = 6, block_rows: int = 1024) -> DataFrame:
+    """Every compared row with every comparator row but itself:
+    (left_id, right_id, left_<c>, right_<c>, distance)."""
+    t = _id_type(compared, id_col)
+    schema = f"left_id {t}, right_id {t}, " + "".join(
+        f"left_{c} {_id_type(compared, c)}, right_{c} {_id_type(compared, c)}, "
+        for c in carry) + "distance double"
+
+    def listed(lhs, rhs, d):
+        i, j = np.nonzero(~np.isnan(d))
+        out = {"left_id": lhs[id_col].to_numpy()[i], "right_id": rhs[id_col].to_numpy()[j]}
+        for c in carry:
+            out[f"left_{c}"], out[f"right_{c}"] = lhs[c].to_numpy()[i], rhs[c].to_numpy()[j]
+        return pd.DataFrame(out | {"distance": np.round(d[i, j], digits)})
+    return blocked(compared, comparator, id_col, vec, listed, schema, carry, metric, normalise,
+                   block_rows)
+
+
+def pair_counts(compared: DataFrame, comparator: DataFrame, id_col: str, vec: str,
+                label: str = "label", metric: str = "euclidean", normalise: bool = False,
+                digits: int = 6, block_rows: int = 1024) -> DataFrame:
+    """(distance, is_pair, n): how many pairs have that (rounded) distance, counted per
+    block before the shuffle."""
+    def counted(lhs, rhs, d):
+        same = lhs[label].to_numpy()[:, None] == rhs[label].to_numpy()[None, :]
+        parts = []
+        for flag in (True, False):
+            values, n = np.unique(np.round(d[(same == flag) & ~np.isnan(d)], digits),
+                                  return_counts=True)
+            parts.append(pd.DataFrame({"distance": values, "is_pair": flag, "n": n}))
+        return pd.concat(parts)
+    rows = blocked(compared, comparator, id_col, vec, counted,
+                   "distance double, is_pair boolean, n bigint", [label], metric, normalise,
+                   block_rows)
+    return rows.groupBy("distance", "is_pair").agg(F.sum("n").alias("n"))
+
+
+def nearest(queries: DataFrame, refs: DataFrame, id_col: str, vec: str, k: int = 1,
+            metric: str = "cityblock", normalise: bool = False, digits: int = 9,
+            block_rows: int = 1024) -> DataFrame:
+    """(q, r, distance, rank): the k nearest references of every query but itself;
+    rounded distances, ties to the smaller id.  k rows per query leave a block."""
+    t = _id_type(queries, id_col)
+
+    def best(lhs, rhs, d):
+        d = np.where(np.isnan(d), np.inf, np.round(d, digits))
+        take = min(k, d.shape[1])
+        j = np.argsort(d, axis=1, kind="stable")[:, :take]  # columns are in id order
+        i = np.repeat(np.arange(len(lhs)), take)
+        j = j.ravel()
+        keep = np.isfinite(d[i, j])
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"q": lhs[id_col].to_numpy()[i], "r": rhs[id_col].to_numpy()[j],
+                             "distance": d[i, j]})
+    rows = blocked(queries, refs, id_col, vec, best, f"q {t}, r {t}, distance double", None,
+                   metric, normalise, block_rows)
+    # At most k rows per query and block of references.
+    w = Window.partitionBy("q").orderBy("distance", "r")
+    return (rows.withColumn("rank", F.row_number().over(w).cast("bigint"))
+            .filter(F.col("rank") <= k))
+
+
+def closest_false(compared: DataFrame, comparator: DataFrame, id_col: str, vec: str, k: int,
+                  label: str = "label", metric: str = "euclidean", normalise: bool = False,
+                  digits: int = 6, block_rows: int = 1024) -> DataFrame:
+    """The k closest pairs of different labels (a top-k report); k rows leave a block."""
+    t = _id_type(compared, id_col)
+
+    def best(lhs, rhs, d):
+        same = lhs[label].to_numpy()[:, None] == rhs[label].to_numpy()[None, :]
+        d = np.where(same | np.isnan(d), np.inf, np.round(d, digits))
+        flat = np.argsort(d, axis=None, kind="stable")[:k]
+        i, j = np.unravel_index(flat[np.isfinite(d.ravel()[flat])], d.shape)
+        return pd.DataFrame({"left_id": lhs[id_col].to_numpy()[i],
+                             "right_id": rhs[id_col].to_numpy()[j], "distance": d[i, j]})
+    rows = blocked(compared, comparator, id_col, vec, best,
+                   f"left_id {t}, right_id {t}, distance double", [label], metric, normalise,
+                   block_rows)
+    return rows.orderBy("distance", "left_id", "right_id").limit(k)
+
+
 def candidate_pairs(vecs: DataFrame, candidates: DataFrame, id_col: str, vec: str,
                     carry: list[str] | None = None, metric: str = "cityblock") -> DataFrame:
     """Score given (left_id, right_id) pairs: two equi-joins, JVM-side distance."""

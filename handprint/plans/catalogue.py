@@ -22,13 +22,12 @@ from handprint.operators import (clusters, features, linkage, metrics, pairs, ra
                                  ppm, select, splits, vocab)
 from handprint.operators import imposters as imp_op
 from handprint.operators import classify, encode
-from handprint.functions.hashing import hash_key
 from handprint.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # Fixed parameters of the catalogue.
-MIN_WORDS = 300          # length filter of the English corpus (B1)
+MIN_WORDS = 300          # length limit of the reject report (B1)
 N_MFW = 100              # vocabulary of the minimum slice
 MOISL_Z = 1.91           # z used by apply_moisl in the reference
 
@@ -38,11 +37,10 @@ def query(fn):
     return fn
 
 
-def english_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents with at least MIN_WORDS words, partitioned by doc."""
-    docs = (table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
-            .select("doc_id", F.col("source").alias("author"), "text")
-            .filter(T.word_count(F.col("text")) >= MIN_WORDS))
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their whole texts, partitioned by doc."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("author"),
+                                                    "text")
     return vocab.by_document(docs)
 
 
@@ -53,7 +51,7 @@ def _mfw_counts(spark, sf_dir, k=N_MFW):
     downstream, so it is checkpointed once (with the document ids) instead
     of re-tokenising the corpus for each of them.
     """
-    docs = english_corpus(spark, sf_dir)
+    docs = corpus(spark, sf_dir)
     counts = materialize(vocab.term_counts(vocab.word_table(docs)))
     top = materialize(vocab.top_terms(vocab.corpus_counts(counts), k))
     return docs, materialize(vocab.restrict(counts, top)), top
@@ -63,12 +61,20 @@ def _doc_ids(docs):
     return materialize(docs.select("doc_id", "author"))
 
 
+def _profiles(spark, sf_dir, k=N_MFW):
+    """(authors, top-k word counts per author): every author's whole texts as one row."""
+    docs, fc, _ = _mfw_counts(spark, sf_dir, k)
+    ids = _doc_ids(docs)
+    counts = (fc.join(ids, "doc_id").groupBy("author", F.col("token").alias("feature"))
+              .agg(F.sum("n").alias("n")))
+    return ids.select("author").distinct(), materialize(counts)
+
+
 @query
 def moisl_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minimum slice: top-100 words -> counts -> MOISL z=1.91."""
-    docs, fc, _ = _mfw_counts(spark, sf_dir)
-    res = select.moisl(fc.withColumnRenamed("token", "feature"), _doc_ids(docs).select("doc_id"),
-                       z=MOISL_Z)
+    """Minimum slice: top-100 words -> counts per author -> MOISL z=1.91."""
+    authors, counts = _profiles(spark, sf_dir)
+    res = select.moisl(counts, authors, z=MOISL_Z, doc="author")
     return res.select("feature", "freq", round6(F.col("mean_prob")).alias("mean_prob"),
                       round6(F.col("score")).alias("score"), "keep")
 
@@ -92,8 +98,8 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def author_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and words per author of the filtered corpus."""
-    d = english_corpus(spark, sf_dir)
+    """Documents and words per author."""
+    d = corpus(spark, sf_dir)
     return d.groupBy("author").agg(F.count(F.lit(1)).alias("n_docs"),
                                    F.sum(T.word_count(F.col("text"))).alias("n_words"))
 
@@ -122,7 +128,7 @@ N_MFT = 100
 @query
 def function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function-word counts per document."""
-    d = english_corpus(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     w = vocab.word_table(d).filter(F.col("token").isin(*T.FUNCTION_WORDS))
     return vocab.term_counts(w).withColumnRenamed("token", "feature")
 
@@ -130,7 +136,7 @@ def function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pos_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus counts of tag trigrams (punctuation removed first)."""
-    d = english_corpus(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     tags = F.expr(f"transform(words, w -> {T.pos_rule_lambda('w')})")
     # Tags are bound to a column once; n-grams then index into it.
     grams = (bind(bind(d, [], words=T.words(F.col("text"))), [], tags=tags)
@@ -141,7 +147,7 @@ def pos_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def affix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus counts of word affixes."""
-    d = english_corpus(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     return (vocab.affix_long(vocab.word_table(d)).groupBy("affix")
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -149,7 +155,7 @@ def affix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2 + G1: most frequent tokens, tags u and n excluded (a top-k report)."""
-    d = english_corpus(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     t = vocab.token_table(d).filter(~T.pos_rule().isin("u", "n"))
     top = vocab.top_terms(t.groupBy("token").agg(F.count(F.lit(1)).alias("n")), N_TOP_TOKENS)
     return top.select("rank", "token", "n")
@@ -168,7 +174,7 @@ def affix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     The bounded vocabulary is bound once as an array column (scalar
     subquery) and counted inside the row: no join, no shuffle of tokens.
     """
-    d = english_corpus(spark, sf_dir)
+    d = corpus(spark, sf_dir)
     top = _affix_vocab(d)
     arr = top.select(F.transform(F.array_sort(F.collect_list(F.struct("rank", "affix"))),
                                  lambda s: s["affix"])).scalar()
@@ -202,7 +208,7 @@ def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Step 4: normalise and prune
 # ---------------------------------------------------------------------------
 
-DROP_LOW_DOCS = 0.1      # share of documents (rounded half to even)
+DROP_LOW_DOCS = 0.01     # share of documents (rounded half to even)
 DROP_LOW_FREQ = 10
 N_RANKED = 10
 
@@ -221,16 +227,28 @@ def relative_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "feature", round6(F.col("value")).alias("value"))
 
 
+def _normalised(values, ids, unit):
+    """E7 -> B8 -> E8 -> E9 on a bounded feature list: (vectors, index)."""
+    rel = materialize(features.relative(values, doc=unit))
+    idx = features.feature_index(features.non_constant(rel, ids))
+    idx = materialize(idx)
+    return features.l2(features.zscore_vectors(rel, ids, idx, doc=unit)), idx
+
+
 def normalised_vectors(spark, sf_dir):
-    """I10 preprocessing: MOISL keep -> relative -> drop constant -> z -> L2."""
+    """Top-100 words -> relative -> drop constant -> z -> L2, one vector per document."""
     docs, v, _ = _mfw_values(spark, sf_dir)
-    ids = docs.select("doc_id")
-    kept = select.moisl(v, ids, z=MOISL_Z, value="value").filter("keep").select("feature")
-    rel = features.relative(features.align(v, kept))
-    live = features.non_constant(rel, ids)
-    idx = features.feature_index(live)
-    vec = features.zscore_vectors(rel, ids, idx)
-    return features.l2(vec), idx, docs
+    vec, idx = _normalised(v, docs.select("doc_id"), "doc_id")
+    return vec, idx, docs
+
+
+def author_vectors(spark, sf_dir):
+    """I10 preprocessing: author profiles, MOISL keep -> relative -> drop constant -> z -> L2."""
+    authors, counts = _profiles(spark, sf_dir)
+    v = counts.select("author", "feature", F.col("n").cast("double").alias("value"))
+    kept = select.moisl(v, authors, z=MOISL_Z, doc="author", value="value").filter("keep")
+    vec, idx = _normalised(features.align(v, kept.select("feature")), authors, "author")
+    return vec, idx, authors
 
 
 @query
@@ -256,28 +274,35 @@ def ranked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.ranked_features(fw, N_RANKED).select("rank", "feature", "n")
 
 
-def _french_counts(spark, sf_dir):
-    d = (table(spark, sf_dir, "documents").filter(F.col("lang") == "fr")
-         .select("doc_id", "text"))
-    c = vocab.term_counts(vocab.word_table(d))
-    return c.select("doc_id", F.col("token").alias("feature"),
+def _turn_counts(spark, sf_dir):
+    c = vocab.term_counts(vocab.word_table(_turns(spark, sf_dir), "doc"), "doc")
+    return c.select(F.col("doc").alias("doc_id"), F.col("token").alias("feature"),
                     F.col("n").cast("double").alias("value"))
 
 
 @query
 def align_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """French documents aligned to the English top-100 vocabulary."""
+    """Conversation turns aligned to the top-100 vocabulary of the documents."""
     _, _, top = _mfw_values(spark, sf_dir)
-    fr = _french_counts(spark, sf_dir)
-    return features.align(fr, top.select(F.col("token").alias("feature")))
+    return features.align(_turn_counts(spark, sf_dir),
+                          top.select(F.col("token").alias("feature")))
+
+
+@query
+def missing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2: words of the documents' top 1000 that no conversation turn has."""
+    _, _, top = _mfw_values(spark, sf_dir, 1000)
+    return features.missing_features(top.select(F.col("token").alias("feature")),
+                                     _turn_counts(spark, sf_dir))
 
 
 @query
 def merge_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1: English counts plus French counts aligned to them; totals per corpus."""
-    _, en, _ = _mfw_values(spark, sf_dir)
-    fr = _french_counts(spark, sf_dir)
-    m = features.merge(en.withColumn("corpus", F.lit("en")), fr.withColumn("corpus", F.lit("fr")))
+    """H1: document counts plus turn counts aligned to them; totals per corpus."""
+    _, docs, _ = _mfw_values(spark, sf_dir)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    m = features.merge(docs.withColumn("corpus", F.lit("documents")),
+                       _turn_counts(spark, sf_dir).withColumn("corpus", F.lit("turns")))
     return m.groupBy("corpus", "feature").agg(F.sum("value").cast("bigint").alias("n"),
                                               F.count(F.lit(1)).alias("n_docs"))
 
@@ -333,7 +358,7 @@ def sample_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _author_rows(spark, sf_dir):
-    return english_corpus(spark, sf_dir).select("doc_id", "author")
+    return corpus(spark, sf_dir).select("doc_id", "author")
 
 
 def _label_rows(spark, sf_dir):
@@ -397,29 +422,61 @@ def _embeddings(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
+#: The stated query set of searches and verification: every row whose id is divisible by this.
+QUERY_STEP = 20
+
+
+def _compared(vecs, id_col="vec_id"):
+    return vecs.filter(F.col(id_col) % QUERY_STEP == 0)
+
+
+def _pairs(spark, sf_dir, metric, normalise):
+    e = _embeddings(spark, sf_dir)
+    return pairs.compared_pairs(_compared(e), e, "vec_id", "embedding", ["label"], metric,
+                                normalise)
+
+
 @query
 def manhattan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """City-block distance of every unordered pair of vectors."""
-    p = pairs.all_pairs(_embeddings(spark, sf_dir), "vec_id", "embedding", ["label"], "cityblock")
-    return p.select("left_id", "right_id", round6(F.col("distance")).alias("distance"),
+    """City-block distance of the query vectors to every other vector."""
+    p = _pairs(spark, sf_dir, "cityblock", False)
+    return p.select("left_id", "right_id", "distance",
                     (F.col("left_label") == F.col("right_label")).alias("is_pair"))
 
 
 def unit_pairs(spark, sf_dir):
-    """Euclidean distance of unit-normalised vectors, every unordered pair."""
-    p = pairs.all_pairs(_embeddings(spark, sf_dir), "vec_id", "embedding", ["label"],
-                        "euclidean", normalise=True)
-    return p.select("left_id", "right_id", "left_label", "right_label",
-                    round6(F.col("distance")).alias("distance"),
-                    (F.col("left_label") == F.col("right_label")).alias("is_pair"))
+    """Euclidean distance of unit vectors, query vectors against all others."""
+    p = _pairs(spark, sf_dir, "euclidean", True)
+    return p.withColumn("is_pair", F.col("left_label") == F.col("right_label"))
+
+
+def unit_counts(spark, sf_dir):
+    """The same pairs as counts per distance, reduced inside the blocks."""
+    e = _embeddings(spark, sf_dir)
+    return pairs.pair_counts(_compared(e), e, "vec_id", "embedding", "label", "euclidean", True)
 
 
 @query
 def snr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signal-to-noise distance var(a-b)/var(a), both orientations."""
-    p = pairs.all_pairs(_embeddings(spark, sf_dir), "vec_id", "embedding", None, "snr",
-                        normalise=True)
-    return p.select("left_id", "right_id", round6(F.col("distance")).alias("distance"))
+    """Signal-to-noise distance var(a-b)/var(a) of query vectors to all others."""
+    return _pairs(spark, sf_dir, "snr", True).select("left_id", "right_id", "distance")
+
+
+@query
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine distance of the query vectors to every other vector."""
+    return _pairs(spark, sf_dir, "cosine", False).select("left_id", "right_id", "distance")
+
+
+@query
+def sqeuclidean_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared Euclidean distance of a given pair table: neighbours by id."""
+    e = _embeddings(spark, sf_dir)
+    given = e.select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 1).alias("right_id"))
+    p = pairs.candidate_pairs(e.withColumn("embedding", F.col("embedding").cast("array<double>")),
+                              given, "vec_id", "embedding", ["label"], "sqeuclidean")
+    return p.select("left_id", "right_id", "left_label", "right_label",
+                    round6(F.col("distance")).alias("distance"))
 
 
 def _frame(spark, sf_dir):
@@ -442,7 +499,7 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _curve(spark, sf_dir):
-    return metrics.threshold_curve(unit_pairs(spark, sf_dir), CURVE_STEP)
+    return metrics.threshold_curve(unit_counts(spark, sf_dir), CURVE_STEP)
 
 
 _CURVE_COLS = ("Threshold", "Sensitivity", "Specificity", "F1", "AuRoc")
@@ -462,16 +519,22 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(*[round6(F.col(x)).alias(x) for x in _CURVE_COLS], "K")
 
 
+@query
+def threshold_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: true and false positives and negatives at the attribution threshold."""
+    return metrics.confusion(unit_counts(spark, sf_dir), PAIR_THRESHOLD)
+
+
 @query
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: tie-aware ROC AUC of -distance against IsAPair."""
-    return metrics.roc_auc(unit_pairs(spark, sf_dir)).select(round6(F.col("auc")).alias("auc"))
+    return metrics.roc_auc(unit_counts(spark, sf_dir)).select(round6(F.col("auc")).alias("auc"))
 
 
 @query
 def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6: ROC points at every distinct distance."""
-    r = metrics.roc_points(unit_pairs(spark, sf_dir))
+    r = metrics.roc_points(unit_counts(spark, sf_dir))
     return r.select("threshold", round6(F.col("fpr")).alias("fpr"),
                     round6(F.col("tpr")).alias("tpr"))
 
@@ -479,21 +542,23 @@ def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def strong_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """25/50/75/90th percentiles of distance among true pairs."""
-    s = metrics.strong_thresholds(unit_pairs(spark, sf_dir))
-    return s.select("percentile", round6(F.col("threshold")).alias("threshold"))
+    s = metrics.strong_thresholds(unit_counts(spark, sf_dir))
+    return s.select("percentile", "threshold")
 
 
 @query
 def f05u(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K8: F0.5u with a non-answer band of +-0.01 around the threshold."""
-    s = metrics.f05u(unit_pairs(spark, sf_dir), PAIR_THRESHOLD, F05U_RADIUS)
+    s = metrics.f05u(unit_counts(spark, sf_dir), PAIR_THRESHOLD, F05U_RADIUS)
     return s.select(round6(F.col("f05u")).alias("f05u"), "n_tp", "n_fp", "n_fn", "n_u")
 
 
 @query
 def hard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 closest false pairs (a top-k report)."""
-    return metrics.hard_pairs(unit_pairs(spark, sf_dir), HARD_PAIRS)
+    e = _embeddings(spark, sf_dir)
+    return pairs.closest_false(_compared(e), e, "vec_id", "embedding", HARD_PAIRS, "label",
+                               "euclidean", True)
 
 
 @query
@@ -505,24 +570,31 @@ def pair_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_anchors")
 
 
+@query
+def mined_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per anchor the easy positive with its semihard and easy negatives."""
+    p = materialize(unit_pairs(spark, sf_dir))
+    semi = metrics.mine(p, "easy", "semihard")
+    easy = metrics.mine(p, "easy", "easy").select("anchor", F.col("d_an").alias("d_easy"))
+    return semi.join(easy, "anchor").select("anchor", "d_ap", "d_an", "d_easy")
+
+
 @query
 def asof_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of the train-train pairs attached to each new pair distance.
+    """Rates and counts of the training comparators attached to each new distance.
 
-    Vectors are split per label (10% held out, md5 order); pairs touching a
-    held-out vector are the new pairs, their distances rounded to 2 places.
+    Vectors are split per label (10% held out, md5 order); pairs with a
+    held-out comparator are new, their distances rounded to 2 places.
     """
     split = splits.holdout_split(_embeddings(spark, sf_dir).select("vec_id", "label"),
                                  "label", "vec_id", 0.1, SEED).select(
-        "vec_id", (F.col("split") == "holdout").alias("held"))
-    p = unit_pairs(spark, sf_dir)
-    p = (p.join(split.select(F.col("vec_id").alias("left_id"), F.col("held").alias("lh")), "left_id")
-         .join(split.select(F.col("vec_id").alias("right_id"), F.col("held").alias("rh")),
-               "right_id"))
-    ref = p.filter(~F.col("lh") & ~F.col("rh"))
-    new = p.filter(F.col("lh") | F.col("rh")).select(F.round("distance", 2).alias("distance"))
-    r = metrics.asof_rates(ref, new)
-    return r.select("distance", *[round6(F.col(c)).alias(c) for c in ("tpr", "precision", "fpr")])
+        F.col("vec_id").alias("right_id"), (F.col("split") == "holdout").alias("held"))
+    p = materialize(unit_pairs(spark, sf_dir).join(split, "right_id")
+                    .select("distance", "is_pair", "held"))
+    new = p.filter("held").select(F.round("distance", 2).alias("distance"))
+    r = metrics.asof_rates(p.filter(~F.col("held")), new)
+    return r.select("distance", *[round6(F.col(c)).alias(c) for c in ("tpr", "precision", "fpr")],
+                    "tp", "fp", "tn", "fn")
 
 
 # ---------------------------------------------------------------------------
@@ -530,41 +602,68 @@ def asof_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 N_CLUSTERS = 9
+CUT_HEIGHT = 8.0
 
 
-def _doc_tree(spark, sf_dir, method="ward"):
-    """MOISL -> relative -> z + L2 -> city-block pairs -> linkage."""
-    vec, _, docs = normalised_vectors(spark, sf_dir)
-    p = pairs.all_pairs(vec, "doc_id", "vec", None, "cityblock")
-    return linkage.linkage(p, docs.select("doc_id"), method), docs
+def _author_tree(spark, sf_dir, method="ward"):
+    """MOISL -> relative -> z + L2 on author profiles -> city-block pairs -> linkage."""
+    vec, _, authors = author_vectors(spark, sf_dir)
+    p = pairs.all_pairs(vec, "author", "vec", None, "cityblock")
+    return linkage.linkage(p, authors, method, id_col="author"), authors
 
 
 def _tree_out(tree):
     return tree.select("step", "left", "right", round6(F.col("height")).alias("height"), "size")
 
 
+def _leaf_clusters(tree, authors, **how):
+    leaves = ranking.global_rank(authors, ["author"], "r").select(
+        "author", (F.col("r") - 1).alias("leaf"))
+    return leaves.join(linkage.cut(tree, leaves.count(), **how), "leaf").select("author", "cluster")
+
+
 @query
 def ward_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ward linkage on city-block distances of the normalised matrix."""
-    return _tree_out(_doc_tree(spark, sf_dir)[0])
+    """Ward linkage on city-block distances of the author profiles."""
+    return _tree_out(_author_tree(spark, sf_dir)[0])
 
 
 @query
 def linkage_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I4: average linkage on the same distances."""
-    return _tree_out(_doc_tree(spark, sf_dir, "average")[0])
+    return _tree_out(_author_tree(spark, sf_dir, "average")[0])
+
+
+@query
+def linkage_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: complete linkage on the same distances."""
+    return _tree_out(_author_tree(spark, sf_dir, "complete")[0])
+
+
+@query
+def linkage_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single linkage on the same distances."""
+    return _tree_out(_author_tree(spark, sf_dir, "single")[0])
 
 
 @query
 def clusters_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Ward tree cut into 9 clusters; (doc_id, cluster)."""
-    tree, docs = _doc_tree(spark, sf_dir)
-    ids = docs.select("doc_id")
-    n = ids.count()
-    leaves = ranking.global_rank(ids, ["doc_id"], "r").select(
-        "doc_id", (F.col("r") - 1).alias("leaf"))
-    cl = linkage.cut(tree, n, k=N_CLUSTERS)
-    return leaves.join(cl, "leaf").select("doc_id", "cluster")
+    """The Ward tree cut into 9 clusters; (author, cluster)."""
+    return _leaf_clusters(*_author_tree(spark, sf_dir), k=N_CLUSTERS)
+
+
+@query
+def clusters_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average tree cut at a height; (author, cluster)."""
+    return _leaf_clusters(*_author_tree(spark, sf_dir, "average"), height=CUT_HEIGHT)
+
+
+@query
+def cut_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I8: the height that cuts the Ward tree into 9 clusters."""
+    tree, authors = _author_tree(spark, sf_dir)
+    return linkage.height_for(tree, authors.count(), N_CLUSTERS).select(
+        F.col("k").cast("bigint").alias("k"), round6(F.col("height")).alias("height"))
 
 
 @query
@@ -634,13 +733,13 @@ def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Step 8: imposters
 # ---------------------------------------------------------------------------
 
-N_CANDIDATES = 3
+CANDIDATES = ("src1", "src5", "src9")  # the authors to verify
 IMP_ITERATIONS = 100
 
 
 def imposter_docs(spark, sf_dir):
-    """Roles on the English corpus: 10% of each author's texts are tests; the
-    first 3 authors in md5 order are candidates, the rest impostors."""
+    """Roles: 10% of each author's texts are tests; of the others those of the
+    authors to verify are candidates, the rest impostors."""
     docs, fc, top = _mfw_counts(spark, sf_dir)
     ids = _doc_ids(docs)
     index = top.select(F.col("token").alias("feature"), F.col("rank").alias("idx"))
@@ -648,13 +747,11 @@ def imposter_docs(spark, sf_dir):
                                            F.col("n").cast("double").alias("value")),
                                  ids, index)
     held = splits.holdout_split(ids, "author", "doc_id", 0.1, SEED).select("doc_id", "split")
-    cands = (ids.select("author").distinct().withColumn("h", hash_key(SEED, "author"))
-             .orderBy("h").limit(N_CANDIDATES).select(F.col("author").alias("C")))
     role = (F.when(F.col("split") == "holdout", "test")
-            .when(F.col("C").isNotNull(), "candidate").otherwise("impostor"))
-    d = (ids.join(held, "doc_id").join(F.broadcast(cands), F.col("author") == F.col("C"), "left")
-         .join(vec, "doc_id").select("doc_id", "author", role.alias("role"), "vec"))
-    return d, cands
+            .when(F.col("author").isin(*CANDIDATES), "candidate").otherwise("impostor"))
+    d = (ids.join(held, "doc_id").join(vec, "doc_id")
+         .select("doc_id", "author", role.alias("role"), "vec"))
+    return d, list(CANDIDATES)
 
 
 @query
@@ -676,11 +773,9 @@ def _nearest_predictions(spark, sf_dir):
     (city-block on the normalised matrix, rounded to 9 places; ties -> lower id)."""
     vec, _, docs = normalised_vectors(spark, sf_dir)
     split = splits.holdout_split(docs.select("doc_id", "author"), "author", "doc_id", 0.1, SEED)
-    p = pairs.all_pairs(vec, "doc_id", "vec", None, "cityblock").withColumn(
-        "distance", F.round("distance", 9))
-    q = split.filter(F.col("split") == "holdout").select("doc_id")
-    r = split.filter(F.col("split") == "train").select("doc_id")
-    nn = classify.nearest_reference(p, q, r)
+    v = materialize(vec.join(split.select("doc_id", "split"), "doc_id"))
+    nn = pairs.nearest(v.filter(F.col("split") == "holdout"), v.filter(F.col("split") == "train"),
+                       "doc_id", "vec")
     a = docs.select(F.col("doc_id").alias("q"), F.col("author").alias("truth"))
     b = docs.select(F.col("doc_id").alias("r"), F.col("author").alias("prediction"))
     return nn.join(a, "q").join(b, "r").select(F.col("q").alias("doc_id"), "truth", "prediction",
@@ -709,11 +804,23 @@ def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "support")
 
 
+def _tomek(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    nn = pairs.nearest(e, e, "vec_id", "embedding", 1, "euclidean", True, digits=6)
+    return classify.tomek_links(nn, e.select("vec_id", "label"))
+
+
 @query
 def tomek_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mutual nearest vectors with different labels."""
-    up = unit_pairs(spark, sf_dir)
-    return classify.tomek_links(up, _embeddings(spark, sf_dir).select("vec_id", "label"))
+    return _tomek(spark, sf_dir)
+
+
+@query
+def tomek_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the vectors that stay when both ends of every Tomek link go."""
+    e = _embeddings(spark, sf_dir).select("vec_id", "label")
+    return classify.without_links(e, _tomek(spark, sf_dir), "vec_id")
 
 
 ENCODER_MIN_FREQ = 5
@@ -797,19 +904,15 @@ def merge_minus_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pair_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P(same label) from a logistic layer on |a - b| of unit vectors,
-    trained on pairs of training vectors, scored on pairs touching a held-out one."""
+    trained on pairs with a training comparator, scored on those with a held-out one."""
     emb = _embeddings(spark, sf_dir)
     split = splits.holdout_split(emb.select("vec_id", "label"), "label", "vec_id", 0.1,
-                                 SEED).select("vec_id", (F.col("split") == "holdout").alias("held"))
-    up = unit_pairs(spark, sf_dir).select("left_id", "right_id", "is_pair")
-    up = (up.join(split.select(F.col("vec_id").alias("left_id"), F.col("held").alias("lh")),
-                  "left_id")
-          .join(split.select(F.col("vec_id").alias("right_id"), F.col("held").alias("rh")),
-                "right_id"))
+                                 SEED).select(F.col("vec_id").alias("right_id"),
+                                              (F.col("split") == "holdout").alias("held"))
+    up = unit_pairs(spark, sf_dir).select("left_id", "right_id", "is_pair").join(split, "right_id")
     d = materialize(classify.pair_difference(up, emb, "vec_id", "embedding"))
-    model = classify.fit_vector_logistic(d.filter(~F.col("lh") & ~F.col("rh")))
-    new = d.filter(F.col("lh") | F.col("rh"))
-    p = classify.predict_vector_logistic(model, new)
+    model = classify.fit_vector_logistic(d.filter(~F.col("held")))
+    p = classify.predict_vector_logistic(model, d.filter("held"))
     return p.select("left_id", "right_id", "is_pair", F.round("p_same", 3).alias("p_same"))
 
 
@@ -845,6 +948,5 @@ N_FEATURE_GROUPS = 3
 def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised features agglomerated into 3 groups (Ward), pooled by mean."""
     vec, idx, _ = normalised_vectors(spark, sf_dir)
-    long = materialize(features.vectors_to_long(vec, idx))
-    pooled, _ = linkage.feature_agglomeration(long, N_FEATURE_GROUPS)
+    pooled, _ = linkage.feature_agglomeration(materialize(vec), idx, N_FEATURE_GROUPS)
     return pooled.select("doc_id", "group", round6(F.col("value")).alias("value"))

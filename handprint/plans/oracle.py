@@ -6,52 +6,62 @@ caller.  Regular expressions use explicit classes so RE2 and Java agree.
 
 from __future__ import annotations
 
-from handprint.functions.text import FUNCTION_WORDS, POS_RULE_SQL, TOKEN_RE, WORD_RE
-
 SQL: dict[str, str] = {}
 
-W = WORD_RE
-TK = TOKEN_RE
-
-ENGLISH = f"""
-  SELECT doc_id, source AS author, text
-  FROM documents
-  WHERE lang = 'en' AND len(regexp_extract_all(text, '{W}')) >= 300
-"""
+# Fixed values, written out here so that an error in the code under test shows.
+W = r"[\p{L}\p{M}\p{N}_]+"
+TK = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f\x0B]"
+POS_RULE_SQL = (
+    "CASE WHEN NOT {w} THEN 'u' WHEN length({t}) <= 2 THEN 'l' "
+    "WHEN {t} LIKE '%ly' THEN 'd' WHEN {t} LIKE '%ing' OR {t} LIKE '%ed' THEN 'v' "
+    "WHEN {t} LIKE '%tion' OR {t} LIKE '%ment' OR {t} LIKE '%ness' THEN 'n' "
+    "WHEN {t} LIKE '%er' OR {t} LIKE '%est' THEN 'a' WHEN length({t}) <= 4 THEN 'r' "
+    "WHEN length({t}) <= 6 THEN 'c' ELSE 'n' END")
+FUNCTION_WORDS = (
+    "the of and to a in is it that was for on as with by he be at this from "
+    "or an are which his her not but have were").split()
 
+CORPUS = "SELECT doc_id, source AS author, text FROM documents"
 
 
 def mfw(k: int = 100) -> str:
     return f"""
-  english AS ({ENGLISH}),
-  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english),
+  corpus AS ({CORPUS}),
+  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM corpus),
   counts AS (SELECT doc_id, token, count(*) AS n FROM words GROUP BY ALL),
   top AS (SELECT token, sum(n) AS n FROM counts GROUP BY token ORDER BY n DESC, token LIMIT {k}),
   fc AS (SELECT * FROM counts WHERE token IN (SELECT token FROM top)),
-  nd AS (SELECT count(*) AS n_docs FROM english)
+  nd AS (SELECT count(*) AS n_docs FROM corpus)
 """
 
 
 MFW_COUNTS = mfw(100)
 
 
+# Per author: counts of the top words over all of the author's texts.
+PROFILES = f"""
+  {MFW_COUNTS},
+  ac AS (SELECT author, token, sum(n) AS n FROM fc JOIN corpus USING (doc_id) GROUP BY ALL),
+  na AS (SELECT count(DISTINCT author) AS n_docs FROM corpus)
+"""
+
 SQL["moisl_features"] = f"""
-WITH {MFW_COUNTS},
-  tot AS (SELECT doc_id, sum(n) AS tot FROM fc GROUP BY doc_id),
-  mint AS (SELECT CASE WHEN count(*) < (SELECT n_docs FROM nd) THEN 0 ELSE min(tot) END AS m
+WITH {PROFILES},
+  tot AS (SELECT author, sum(n) AS tot FROM ac GROUP BY author),
+  mint AS (SELECT CASE WHEN count(*) < (SELECT n_docs FROM na) THEN 0 ELSE min(tot) END AS m
            FROM tot),
-  x AS (SELECT fc.token, fc.n, fc.n / tot.tot AS x FROM fc JOIN tot USING (doc_id)),
+  x AS (SELECT ac.token, ac.n, ac.n / tot.tot AS x FROM ac JOIN tot USING (author)),
   st AS (SELECT token, sum(n) AS freq, sum(x) AS s1, sum(x * x) AS s2, count(*) AS rows,
                 max(x) AS mx, min(x) AS mn FROM x GROUP BY token),
-  m AS (SELECT *, (mx + CASE WHEN rows < (SELECT n_docs FROM nd) THEN 0 ELSE mn END) / 2 AS m
+  m AS (SELECT *, (mx + CASE WHEN rows < (SELECT n_docs FROM na) THEN 0 ELSE mn END) / 2 AS m
         FROM st),
-  s AS (SELECT *, s2 - 2 * m * s1 + (SELECT n_docs FROM nd) * m * m AS ss FROM m)
+  s AS (SELECT *, s2 - 2 * m * s1 + (SELECT n_docs FROM na) * m * m AS ss FROM m)
 SELECT token AS feature, freq::BIGINT AS freq,
-       round(s1 / (SELECT n_docs FROM nd), 6) AS mean_prob,
+       round(s1 / (SELECT n_docs FROM na), 6) AS mean_prob,
        round(CASE WHEN ss > 0 THEN m * (1 - m) * (1.91 * 1.91)
-             * (2 * (SELECT n_docs FROM nd) - 1) / (8 * ss) END, 6) AS score,
+             * (2 * (SELECT n_docs FROM na) - 1) / (8 * ss) END, 6) AS score,
        coalesce(CASE WHEN ss > 0 THEN m * (1 - m) * (1.91 * 1.91)
-             * (2 * (SELECT n_docs FROM nd) - 1) / (8 * ss) END <= (SELECT m FROM mint), false) AS keep
+             * (2 * (SELECT n_docs FROM na) - 1) / (8 * ss) END <= (SELECT m FROM mint), false) AS keep
 FROM s
 """
 
@@ -69,9 +79,9 @@ FROM documents
 """
 
 SQL["author_counts"] = f"""
-WITH english AS ({ENGLISH})
+WITH corpus AS ({CORPUS})
 SELECT author, count(*) AS n_docs, sum(len(regexp_extract_all(text, '{W}')))::BIGINT AS n_words
-FROM english GROUP BY author
+FROM corpus GROUP BY author
 """
 
 SQL["reject_report"] = f"""
@@ -85,16 +95,16 @@ GROUP BY reason
 """
 
 SQL["function_words"] = f"""
-WITH english AS ({ENGLISH}),
-  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english)
+WITH corpus AS ({CORPUS}),
+  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM corpus)
 SELECT doc_id, token AS feature, count(*) AS n FROM words
 WHERE token IN ({FWORDS}) GROUP BY ALL
 """
 
 SQL["pos_trigrams"] = f"""
-WITH english AS ({ENGLISH}),
+WITH corpus AS ({CORPUS}),
   t AS (SELECT list_transform(regexp_extract_all(lower(text), '{W}'), lambda w: {rule('w')}) AS tags
-        FROM english),
+        FROM corpus),
   g AS (SELECT unnest(list_transform(range(1, len(tags) - 1),
                  lambda i: tags[i] || '-' || tags[i + 1] || '-' || tags[i + 2])) AS trigram
         FROM t WHERE len(tags) >= 3)
@@ -112,15 +122,15 @@ AFFIXES = """
 """
 
 SQL["affix_counts"] = f"""
-WITH english AS ({ENGLISH}),
-  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english),
+WITH corpus AS ({CORPUS}),
+  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM corpus),
   {AFFIXES}
 SELECT affix, count(*) AS n FROM a GROUP BY affix
 """
 
 SQL["top_tokens"] = f"""
-WITH english AS ({ENGLISH}),
-  toks AS (SELECT unnest(regexp_extract_all(lower(text), '{TK}')) AS token FROM english),
+WITH corpus AS ({CORPUS}),
+  toks AS (SELECT unnest(regexp_extract_all(lower(text), '{TK}')) AS token FROM corpus),
   tt AS (SELECT token, regexp_matches(token, '{IS_WORD}') AS is_word FROM toks),
   f AS (SELECT token FROM tt WHERE ({rule('token', 'is_word')}) NOT IN ('u', 'n')),
   top AS (SELECT token, count(*) AS n FROM f GROUP BY token ORDER BY n DESC, token LIMIT 200)
@@ -128,12 +138,12 @@ SELECT row_number() OVER (ORDER BY n DESC, token) AS rank, token, n FROM top
 """
 
 SQL["affix_shares"] = f"""
-WITH english AS ({ENGLISH}),
-  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english),
+WITH corpus AS ({CORPUS}),
+  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM corpus),
   {AFFIXES},
   top AS (SELECT affix, count(*) AS n FROM a GROUP BY affix ORDER BY n DESC, affix LIMIT 100),
   u AS (SELECT doc_id, replace(' ' || trim(array_to_string(regexp_extract_all(lower(text), '{TK}'), ' '))
-                               || ' ', ' ', '_') AS u FROM english),
+                               || ' ', ' ', '_') AS u FROM corpus),
   c AS (SELECT doc_id, affix AS feature,
                ((length(u) - length(replace(u, affix, ''))) // length(affix))::BIGINT AS n
         FROM u CROSS JOIN top),
@@ -148,7 +158,7 @@ WITH {MFW_COUNTS},
 SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '{TK}'),
          lambda t: CASE WHEN NOT regexp_matches(t, '{IS_WORD}') OR list_contains(mfw, t) THEN t
                         ELSE {rule('t')} END), ' ') AS masked
-FROM english CROSS JOIN v
+FROM corpus CROSS JOIN v
 """
 
 SQL["relative_freq"] = f"""
@@ -157,34 +167,111 @@ WITH {MFW_COUNTS},
 SELECT doc_id, token AS feature, round(n / tot, 6) AS value FROM fc JOIN tot USING (doc_id)
 """
 
-MOISL_KEPT = """
-  tot AS (SELECT doc_id, sum(n) AS tot FROM fc GROUP BY doc_id),
-  mint AS (SELECT CASE WHEN count(*) < (SELECT n_docs FROM nd) THEN 0 ELSE min(tot) END AS m
-           FROM tot),
-  grid0 AS (SELECT e.doc_id, t.token FROM english e CROSS JOIN top t),
-  x AS (SELECT g.doc_id, g.token, coalesce(fc.n / tot.tot, 0) AS x
-        FROM grid0 g LEFT JOIN fc USING (doc_id, token) LEFT JOIN tot USING (doc_id)),
-  st AS (SELECT token, max(x) AS mx, min(x) AS mn FROM x GROUP BY token),
-  ms AS (SELECT x.token, (st.mx + st.mn) / 2 AS m, sum((x.x - (st.mx + st.mn) / 2) ^ 2) AS ss
-         FROM x JOIN st USING (token) GROUP BY x.token, st.mx, st.mn),
-  kept AS (SELECT token FROM ms
-           WHERE ss > 0 AND m * (1 - m) * (1.91 * 1.91) * (2 * (SELECT n_docs FROM nd) - 1)
-                 / (8 * ss) <= (SELECT m FROM mint))
+def normalised(unit: str) -> str:
+    """From grid(unit, token, n) to zl(unit, feature, value)."""
+    return f"""
+  rel AS (SELECT {unit}, token, CASE WHEN sum(n) OVER (PARTITION BY {unit}) > 0
+                 THEN n / sum(n) OVER (PARTITION BY {unit}) ELSE 0 END AS x FROM cell),
+  st2 AS (SELECT token, avg(x) AS mu, stddev_samp(x) AS sd FROM rel GROUP BY token
+          HAVING min(x) < max(x)),
+  z AS (SELECT {unit}, token, (x - mu) / sd AS z FROM rel JOIN st2 USING (token)),
+  l AS (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY {unit})) AS norm FROM z),
+  zl AS (SELECT {unit}, token AS feature, CASE WHEN norm > 0 THEN z / norm ELSE 0 END AS value
+         FROM l)
 """
 
+
 ZL2 = f"""
-  {MFW_COUNTS}, {MOISL_KEPT},
-  grid AS (SELECT e.doc_id, k.token FROM english e CROSS JOIN kept k),
+  {MFW_COUNTS},
   cell AS (SELECT g.doc_id, g.token, coalesce(fc.n, 0) AS n
-           FROM grid g LEFT JOIN fc USING (doc_id, token)),
-  rel AS (SELECT doc_id, token, CASE WHEN sum(n) OVER (PARTITION BY doc_id) > 0
-                 THEN n / sum(n) OVER (PARTITION BY doc_id) ELSE 0 END AS x FROM cell),
-  st2 AS (SELECT token, avg(x) AS mu, stddev_samp(x) AS sd FROM rel GROUP BY token
-          HAVING min(x) < max(x)),
-  z AS (SELECT doc_id, token, (x - mu) / sd AS z FROM rel JOIN st2 USING (token)),
-  l AS (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY doc_id)) AS norm FROM z),
-  zl AS (SELECT doc_id, token AS feature, CASE WHEN norm > 0 THEN z / norm ELSE 0 END AS value
-         FROM l)
+           FROM (SELECT e.doc_id, t.token FROM corpus e CROSS JOIN top t) g
+           LEFT JOIN fc USING (doc_id, token)),
+  {normalised("doc_id")}
+"""
+
+AUTHOR_ZL2 = f"""
+  {PROFILES},
+  tot AS (SELECT author, sum(n) AS tot FROM ac GROUP BY author),
+  mint AS (SELECT CASE WHEN count(*) < (SELECT n_docs FROM na) THEN 0 ELSE min(tot) END AS m
+           FROM tot),
+  grid AS (SELECT a.author, t.token, coalesce(ac.n, 0) AS n
+           FROM (SELECT DISTINCT author FROM corpus) a CROSS JOIN top t
+           LEFT JOIN ac ON ac.author = a.author AND ac.token = t.token),
+  sh AS (SELECT author, token, coalesce(n / tot, 0) AS x FROM grid LEFT JOIN tot USING (author)),
+  mid AS (SELECT token, (max(x) + min(x)) / 2 AS m FROM sh GROUP BY token),
+  dev AS (SELECT token, m, sum((x - m) ^ 2) AS ss FROM sh JOIN mid USING (token) GROUP BY ALL),
+  kept AS (SELECT token FROM dev
+           WHERE ss > 0 AND m * (1 - m) * (1.91 * 1.91) * (2 * (SELECT n_docs FROM na) - 1)
+                 / (8 * ss) <= (SELECT m FROM mint)),
+  cell AS (SELECT * FROM grid WHERE token IN (SELECT token FROM kept)),
+  {normalised("author")},
+  leaf AS (SELECT author, row_number() OVER (ORDER BY author) - 1 AS leaf
+           FROM (SELECT DISTINCT author FROM corpus)),
+  base AS (SELECT x.leaf AS a, y.leaf AS b, sum(abs(u.value - v.value)) AS d
+           FROM zl u JOIN zl v ON u.feature = v.feature AND u.author < v.author
+           JOIN leaf x ON x.author = u.author JOIN leaf y ON y.author = v.author GROUP BY ALL)
+"""
+
+HEIGHT = {
+    "average": "avg(d)", "complete": "max(d)", "single": "min(d)",
+    "ward": "sqrt(2 * na * nb / (na + nb) * (sum(d * d) / (na * nb) - wa / na ^ 2 - wb / nb ^ 2))",
+}
+
+
+def tree(method: str) -> str:
+    """One merge at a time: heights of all cluster pairs from the base distances, the
+    least one merges (part: which cluster a leaf is in after a step)."""
+    return f"""
+WITH RECURSIVE {AUTHOR_ZL2},
+  part(step, leaf, c, a, b, h) AS (
+    SELECT 0, leaf, leaf, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM leaf
+    UNION ALL
+    (WITH size AS (SELECT c, count(*) AS n FROM part GROUP BY c),
+      within AS (SELECT p.c, sum(d * d) AS w FROM part p JOIN part q ON p.c = q.c AND p.leaf < q.leaf
+                 JOIN base ON base.a = p.leaf AND base.b = q.leaf GROUP BY p.c),
+      cross_d AS (SELECT least(p.c, q.c) AS x, greatest(p.c, q.c) AS y, d
+                  FROM base JOIN part p ON p.leaf = base.a JOIN part q ON q.leaf = base.b
+                  WHERE p.c <> q.c),
+      heights AS (SELECT x, y, {HEIGHT[method]} AS h
+                  FROM (SELECT x, y, d, s.n::DOUBLE AS na, t.n::DOUBLE AS nb,
+                               coalesce(u.w, 0) AS wa, coalesce(v.w, 0) AS wb
+                        FROM cross_d JOIN size s ON s.c = x JOIN size t ON t.c = y
+                        LEFT JOIN within u ON u.c = x LEFT JOIN within v ON v.c = y)
+                  GROUP BY x, y, na, nb, wa, wb),
+      best AS (SELECT x, y, h FROM heights ORDER BY h, x, y LIMIT 1)
+    SELECT step + 1, leaf, CASE WHEN c = best.y THEN best.x ELSE c END, best.x, best.y, best.h
+    FROM part, best)),
+  merges AS (SELECT step, any_value(a) AS a, any_value(b) AS b, any_value(h) AS h,
+                    count(*) FILTER (c = a) AS size FROM part WHERE step > 0 GROUP BY step),
+  n AS (SELECT count(*) AS n FROM leaf),
+  ends AS (SELECT m.step, m.h, m.size,
+             coalesce((SELECT max(e.step) FROM merges e WHERE e.a = m.a AND e.step < m.step) + n - 1,
+                      m.a) AS u,
+             coalesce((SELECT max(e.step) FROM merges e WHERE e.a = m.b AND e.step < m.step) + n - 1,
+                      m.b) AS v
+           FROM merges m, n)
+"""
+
+
+TREE_OUT = """
+SELECT step::BIGINT AS step, least(u, v)::BIGINT AS left, greatest(u, v)::BIGINT AS right,
+       round(h, 6) AS height, size FROM ends
+"""
+SQL["ward_linkage"] = tree("ward") + TREE_OUT
+SQL["linkage_average"] = tree("average") + TREE_OUT
+SQL["linkage_complete"] = tree("complete") + TREE_OUT
+SQL["linkage_single"] = tree("single") + TREE_OUT
+
+CLUSTERS = """,
+  flat AS (SELECT leaf, c FROM part WHERE step = ({step})),
+  num AS (SELECT c, row_number() OVER (ORDER BY min(leaf)) AS cluster FROM flat GROUP BY c)
+SELECT author, cluster FROM flat JOIN num USING (c) JOIN leaf USING (leaf)
+"""
+SQL["clusters_k"] = tree("ward") + CLUSTERS.format(step="SELECT n - 9 FROM n")
+SQL["clusters_height"] = tree("average") + CLUSTERS.format(
+    step="SELECT count(*) FROM merges WHERE h < 8.0")
+SQL["cut_height"] = tree("ward") + """
+SELECT 9::BIGINT AS k, round(avg(h), 6) AS height FROM merges, n WHERE step IN (n - 9, n - 8)
 """
 
 SQL["zscore_l2"] = f"""
@@ -194,7 +281,7 @@ SELECT doc_id, feature, round(value, 6) AS value FROM zl
 
 SQL["eta2"] = f"""
 WITH {ZL2},
-  v AS (SELECT zl.*, e.author FROM zl JOIN english e USING (doc_id)),
+  v AS (SELECT zl.*, e.author FROM zl JOIN corpus e USING (doc_id)),
   m AS (SELECT feature, avg(value) AS mu FROM v GROUP BY feature),
   b AS (SELECT feature, sum(nc * (mc - mu) ^ 2) AS ssb FROM (
           SELECT feature, author, count(*) AS nc, avg(value) AS mc FROM v GROUP BY ALL)
@@ -210,33 +297,38 @@ WITH {mfw(1000)},
           FROM fc GROUP BY token)
 SELECT token AS feature, total::BIGINT AS total FROM per
 WHERE total > 10 AND ndv + CASE WHEN rows < (SELECT n_docs FROM nd) THEN 1 ELSE 0 END
-      > round_even((SELECT n_docs FROM nd) * 0.1, 0)
+      > round_even((SELECT n_docs FROM nd) * 0.01, 0)
 """
 
 SQL["ranked_features"] = f"""
-WITH english AS ({ENGLISH}),
-  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM english),
+WITH corpus AS ({CORPUS}),
+  words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM corpus),
   t AS (SELECT token AS feature, count(*) AS n FROM words WHERE token IN ({FWORDS})
         GROUP BY token ORDER BY n DESC, feature LIMIT 10)
 SELECT row_number() OVER (ORDER BY n DESC, feature) AS rank, feature, n FROM t
 """
 
-FRENCH = f"""
-  fr AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token
-         FROM documents WHERE lang = 'fr'),
-  frc AS (SELECT doc_id, token AS feature, count(*)::DOUBLE AS value FROM fr GROUP BY ALL)
+TURNS = f"""
+  turn_words AS (SELECT conv_id || '-' || turn AS doc_id,
+                        unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM conversations),
+  tc AS (SELECT doc_id, token AS feature, count(*)::DOUBLE AS value FROM turn_words GROUP BY ALL)
 """
 
 SQL["align_features"] = f"""
-WITH {MFW_COUNTS}, {FRENCH}
-SELECT doc_id, feature, value FROM frc WHERE feature IN (SELECT token FROM top)
+WITH {MFW_COUNTS}, {TURNS}
+SELECT doc_id, feature, value FROM tc WHERE feature IN (SELECT token FROM top)
+"""
+
+SQL["missing_features"] = f"""
+WITH {mfw(1000)}, {TURNS}
+SELECT token AS feature FROM top WHERE token NOT IN (SELECT feature FROM tc)
 """
 
 SQL["merge_corpora"] = f"""
-WITH {MFW_COUNTS}, {FRENCH},
-  m AS (SELECT 'en' AS corpus, token AS feature, n::DOUBLE AS value FROM fc
+WITH {MFW_COUNTS}, {TURNS},
+  m AS (SELECT 'documents' AS corpus, token AS feature, n::DOUBLE AS value FROM fc
         UNION ALL
-        SELECT 'fr', feature, value FROM frc WHERE feature IN (SELECT token FROM top))
+        SELECT 'turns', feature, value FROM tc WHERE feature IN (SELECT token FROM top))
 SELECT corpus, feature, sum(value)::BIGINT AS n, count(*) AS n_docs FROM m GROUP BY ALL
 """
 
@@ -298,8 +390,8 @@ SELECT doc_id, sample, feature, round(value, 6) AS value FROM ps
 """
 
 SQL["group_split"] = f"""
-WITH english AS ({ENGLISH}),
-  per AS (SELECT author, count(*) AS c FROM english GROUP BY author),
+WITH corpus AS ({CORPUS}),
+  per AS (SELECT author, count(*) AS c FROM corpus GROUP BY author),
   elig AS (SELECT author FROM per WHERE c >= 2),
   r AS (SELECT author, row_number() OVER (ORDER BY md5('42|' || author), author) AS r FROM elig),
   nt AS (SELECT floor(count(*) * 10 / 100) AS t FROM elig),
@@ -307,7 +399,7 @@ WITH english AS ({ENGLISH}),
                             WHEN r <= 2 * (SELECT t FROM nt) THEN 'dev' ELSE 'train' END AS split
         FROM r)
 SELECT e.doc_id, e.author, coalesce(k.split, 'train') AS split
-FROM english e LEFT JOIN k USING (author)
+FROM corpus e LEFT JOIN k USING (author)
 """
 
 SQL["holdout_split"] = """
@@ -319,9 +411,9 @@ SELECT doc_id, quality, CASE WHEN rk <= round_even(n * 0.9, 0) THEN 'train' ELSE
 """
 
 SQL["kfold_roles"] = f"""
-WITH english AS ({ENGLISH}),
+WITH corpus AS ({CORPUS}),
   r AS (SELECT doc_id, author, row_number() OVER (PARTITION BY author ORDER BY doc_id) - 1 AS r0,
-               count(*) OVER (PARTITION BY author) AS n FROM english),
+               count(*) OVER (PARTITION BY author) AS n FROM corpus),
   c AS (SELECT *, n // 5 AS q, n % 5 AS m FROM r),
   c2 AS (SELECT doc_id, author,
                 CASE WHEN r0 < m * (q + 1) THEN r0 // (q + 1)
@@ -353,8 +445,8 @@ SELECT doc_id, quality, unnest(range(1, copies + 1)) AS copy FROM c
 """
 
 SQL["m_per_class"] = f"""
-WITH english AS ({ENGLISH}),
-  e AS (SELECT doc_id, author, unnest(range(0, 2)) AS epoch FROM english),
+WITH corpus AS ({CORPUS}),
+  e AS (SELECT doc_id, author, unnest(range(0, 2)) AS epoch FROM corpus),
   r AS (SELECT *, row_number() OVER (PARTITION BY epoch, author
                   ORDER BY md5('42|' || epoch || '|' || doc_id), doc_id) AS rk FROM e)
 SELECT doc_id, author, epoch, (rk - 1) // 4 AS batch FROM r
@@ -374,7 +466,7 @@ UNIT_PAIRS = f"""
                  lambda i: (a.embedding[i]::DOUBLE / a.nrm - b.embedding[i]::DOUBLE / b.nrm) ^ 2))), 6)
                  AS distance,
                a.label = b.label AS is_pair
-        FROM e a JOIN e b ON a.vec_id < b.vec_id)
+        FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 """
 
 SQL["manhattan_pairs"] = f"""
@@ -383,7 +475,7 @@ SELECT a.vec_id AS left_id, b.vec_id AS right_id,
        round(list_sum(list_transform(range(1, len(a.embedding) + 1),
          lambda i: abs(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))), 6) AS distance,
        a.label = b.label AS is_pair
-FROM e a JOIN e b ON a.vec_id < b.vec_id
+FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
 """
 
 SQL["snr_pairs"] = f"""
@@ -393,7 +485,23 @@ SELECT a.vec_id AS left_id, b.vec_id AS right_id,
                lambda i: a.embedding[i]::DOUBLE / a.nrm - b.embedding[i]::DOUBLE / b.nrm))
              / list_var_samp(list_transform(a.embedding, lambda x: x::DOUBLE / a.nrm)), 6)
          AS distance
-FROM e a JOIN e b ON a.vec_id <> b.vec_id
+FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+"""
+
+SQL["cosine_pairs"] = f"""
+WITH {EMB}
+SELECT a.vec_id AS left_id, b.vec_id AS right_id,
+       round(1 - list_sum(list_transform(range(1, len(a.embedding) + 1),
+         lambda i: a.embedding[i]::DOUBLE / a.nrm * (b.embedding[i]::DOUBLE / b.nrm))), 6) AS distance
+FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+"""
+
+SQL["sqeuclidean_pairs"] = f"""
+WITH {EMB}
+SELECT a.vec_id AS left_id, b.vec_id AS right_id, a.label AS left_label, b.label AS right_label,
+       round(list_sum(list_transform(range(1, len(a.embedding) + 1),
+         lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ^ 2)), 6) AS distance
+FROM e a JOIN e b ON b.vec_id = a.vec_id + 1
 """
 
 FRAME = f"""
@@ -476,7 +584,7 @@ SELECT distance AS threshold, round(cn / N, 6) AS fpr, round(cp / P, 6) AS tpr F
 SQL["strong_thresholds"] = f"""
 WITH {UNIT_PAIRS},
   q AS (SELECT quantile_cont(distance, [0.25, 0.5, 0.75, 0.9]) AS qs FROM p WHERE is_pair)
-SELECT unnest([0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS percentile, round(unnest(qs), 6) AS threshold
+SELECT unnest([0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS percentile, unnest(qs) AS threshold
 FROM q
 """
 
@@ -503,8 +611,7 @@ WITH {UNIT_PAIRS},
   c AS (SELECT avg(CASE WHEN is_pair AND distance > 0 THEN distance END) AS pos_loss,
                avg(CASE WHEN NOT is_pair AND 1 - distance > 0 THEN 1 - distance END) AS neg_loss
         FROM p),
-  a AS (SELECT left_id AS anchor, distance, is_pair FROM p
-        UNION ALL SELECT right_id, distance, is_pair FROM p),
+  a AS (SELECT left_id AS anchor, distance, is_pair FROM p),
   m AS (SELECT anchor, max(distance) FILTER (WHERE is_pair) AS d_ap,
                min(distance) FILTER (WHERE NOT is_pair) AS d_an FROM a GROUP BY anchor),
   t AS (SELECT avg(CASE WHEN d_ap - d_an + 0.05 > 0 THEN d_ap - d_an + 0.05 END) AS triplet_loss,
@@ -515,15 +622,31 @@ SELECT round(pos_loss, 6) AS pos_loss, round(neg_loss, 6) AS neg_loss,
 FROM c, t
 """
 
+SQL["mined_triplets"] = f"""
+WITH {UNIT_PAIRS},
+  m AS (SELECT left_id AS anchor, min(distance) FILTER (WHERE is_pair) AS d_ap,
+               max(distance) FILTER (WHERE NOT is_pair) AS d_easy FROM p GROUP BY left_id)
+SELECT anchor, d_ap, (SELECT min(distance) FROM p WHERE left_id = anchor AND NOT is_pair
+                      AND distance > d_ap) AS d_an, d_easy
+FROM m
+"""
+
+SQL["threshold_confusion"] = f"""
+WITH {UNIT_PAIRS}
+SELECT count(*) FILTER (WHERE distance <= 1.4 AND is_pair) AS tp,
+       count(*) FILTER (WHERE distance <= 1.4 AND NOT is_pair) AS fp,
+       count(*) FILTER (WHERE distance > 1.4 AND NOT is_pair) AS tn,
+       count(*) FILTER (WHERE distance > 1.4 AND is_pair) AS fn
+FROM p
+"""
+
 SQL["asof_rates"] = f"""
 WITH {UNIT_PAIRS},
   h0 AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id)
                   AS rk, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-  h AS (SELECT vec_id, rk > round_even(n * 0.9, 0) AS held FROM h0),
-  j AS (SELECT p.*, a.held AS lh, b.held AS rh FROM p JOIN h a ON p.left_id = a.vec_id
-        JOIN h b ON p.right_id = b.vec_id),
-  ref AS (SELECT * FROM j WHERE NOT lh AND NOT rh),
-  q AS (SELECT DISTINCT round(distance, 2) AS distance FROM j WHERE lh OR rh),
+  j AS (SELECT p.*, rk > round_even(n * 0.9, 0) AS held FROM p JOIN h0 ON p.right_id = h0.vec_id),
+  ref AS (SELECT * FROM j WHERE NOT held),
+  q AS (SELECT DISTINCT round(distance, 2) AS distance FROM j WHERE held),
   st AS (SELECT count(*) FILTER (WHERE is_pair) AS P, count(*) FILTER (WHERE NOT is_pair) AS N
          FROM ref),
   c AS (SELECT q.distance, count(*) FILTER (WHERE ref.is_pair) AS tp,
@@ -531,7 +654,7 @@ WITH {UNIT_PAIRS},
         FROM q LEFT JOIN ref ON ref.distance <= q.distance GROUP BY q.distance)
 SELECT distance, round(tp / P, 6) AS tpr,
        round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision,
-       round(fp / N, 6) AS fpr
+       round(fp / N, 6) AS fpr, tp, fp, N - fp AS tn, P - tp AS fn
 FROM c, st
 """
 
@@ -580,9 +703,8 @@ WITH {MFW_COUNTS},
   idx AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) AS f FROM top),
   h0 AS (SELECT doc_id, author, row_number() OVER (PARTITION BY author
                   ORDER BY md5('42|' || doc_id), doc_id) AS rk,
-                count(*) OVER (PARTITION BY author) AS n FROM english),
-  cands AS (SELECT author AS C FROM (SELECT DISTINCT author FROM english)
-            ORDER BY md5('42|' || author) LIMIT 3),
+                count(*) OVER (PARTITION BY author) AS n FROM corpus),
+  cands AS (SELECT unnest(['src1', 'src5', 'src9']) AS C),
   roles AS (SELECT doc_id, author,
                    CASE WHEN rk > round_even(n * 0.9, 0) THEN 'test'
                         WHEN author IN (SELECT C FROM cands) THEN 'candidate'
@@ -595,9 +717,13 @@ WITH {MFW_COUNTS},
   mem AS (SELECT t.C, t.it, r.doc_id, r.author, 0 AS kind FROM tasks t
             JOIN roles r ON r.role = 'candidate' AND r.author = t.C
           UNION ALL
-          SELECT t.C, t.it, r.doc_id, r.author, 1 FROM tasks t JOIN roles r ON r.role = 'impostor'
-          WHERE ('0x' || substring(md5('42|' || t.C || '|' || t.it || '|' || r.doc_id), 1, 13))::BIGINT
-                / 4503599627370496.0 < 0.5
+          SELECT C, it, doc_id, author, 1
+          FROM (SELECT t.C, t.it, r.doc_id, r.author,
+                       row_number() OVER (PARTITION BY t.C, t.it ORDER BY
+                         md5('42|' || t.C || '|' || t.it || '|' || r.doc_id), r.doc_id) AS rk,
+                       count(*) OVER (PARTITION BY t.C, t.it) AS n
+                FROM tasks t JOIN roles r ON r.role = 'impostor')
+          WHERE rk <= round_even(n * 0.5, 0)
           UNION ALL
           SELECT t.C, t.it, r.doc_id, r.author, 2 FROM tasks t JOIN roles r ON r.role = 'test'),
   cells AS (SELECT m.C, m.it, m.doc_id, m.author, m.kind, fe.f,
@@ -627,7 +753,7 @@ NEAREST = f"""
   {ZL2},
   h0 AS (SELECT doc_id, author, row_number() OVER (PARTITION BY author
                   ORDER BY md5('42|' || doc_id), doc_id) AS rk,
-                count(*) OVER (PARTITION BY author) AS n FROM english),
+                count(*) OVER (PARTITION BY author) AS n FROM corpus),
   roles AS (SELECT doc_id, author, rk > round_even(n * 0.9, 0) AS held FROM h0),
   dd AS (SELECT a.doc_id AS q, b.doc_id AS r, round(sum(abs(a.value - b.value)), 9) AS distance
          FROM zl a JOIN zl b ON a.feature = b.feature AND a.doc_id <> b.doc_id
@@ -666,14 +792,25 @@ SELECT cls, round(precision, 6) AS precision, round(recall, 6) AS recall,
 FROM m
 """
 
-SQL["tomek_links"] = f"""
-WITH {UNIT_PAIRS},
-  b AS (SELECT left_id AS q, right_id AS r, distance FROM p
-        UNION ALL SELECT right_id, left_id, distance FROM p),
-  nn AS (SELECT q, arg_min(r, (distance, r)) AS r FROM b GROUP BY q)
-SELECT x.q AS left_id, x.r AS right_id FROM nn x JOIN nn y ON x.r = y.q AND y.r = x.q
-JOIN embeddings ex ON ex.vec_id = x.q JOIN embeddings ey ON ey.vec_id = x.r
-WHERE x.q < x.r AND ex.label <> ey.label
+TOMEK = f"""
+  {EMB},
+  dd AS (SELECT a.vec_id AS q, b.vec_id AS r,
+                round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1),
+                  lambda i: (a.embedding[i]::DOUBLE / a.nrm - b.embedding[i]::DOUBLE / b.nrm) ^ 2))), 6)
+                  AS distance
+         FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+  nn AS (SELECT q, arg_min(r, (distance, r)) AS r FROM dd GROUP BY q),
+  links AS (SELECT x.q AS left_id, x.r AS right_id FROM nn x JOIN nn y ON x.r = y.q AND y.r = x.q
+            JOIN embeddings ex ON ex.vec_id = x.q JOIN embeddings ey ON ey.vec_id = x.r
+            WHERE x.q < x.r AND ex.label <> ey.label)
+"""
+
+SQL["tomek_links"] = f"WITH {TOMEK} SELECT * FROM links"
+
+SQL["tomek_removed"] = f"""
+WITH {TOMEK}
+SELECT vec_id, label FROM embeddings
+WHERE vec_id NOT IN (SELECT left_id FROM links UNION SELECT right_id FROM links)
 """
 
 SQL["encode_docs"] = f"""
@@ -713,7 +850,7 @@ FROM q
 
 SQL["eta2_classes"] = f"""
 WITH {ZL2},
-  v AS (SELECT zl.*, e.author FROM zl JOIN english e USING (doc_id)),
+  v AS (SELECT zl.*, e.author FROM zl JOIN corpus e USING (doc_id)),
   m AS (SELECT feature, avg(value) AS mu FROM v GROUP BY feature),
   b AS (SELECT feature, sum(nc * (mc - mu) ^ 2) AS ssb FROM (
           SELECT feature, author, count(*) AS nc, avg(value) AS mc FROM v GROUP BY ALL)

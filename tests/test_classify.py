@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from handprint.operators import classify, encode
+from handprint.operators import classify, encode, pairs
 
 
 def test_class_scores(spark):
@@ -19,16 +19,20 @@ def test_class_scores(spark):
 
 
 def test_nearest_and_tomek(spark):
-    pairs = spark.createDataFrame(
-        [(1, 2, 1.0), (1, 3, 5.0), (2, 3, 4.0), (3, 4, 0.5), (1, 4, 6.0), (2, 4, 4.5)],
-        "left_id long, right_id long, distance double")
-    q = spark.createDataFrame([(3,)], "doc_id long")
-    r = spark.createDataFrame([(1,), (2,)], "doc_id long")
-    nn = classify.nearest_reference(pairs, q, r).first()
-    assert (nn.q, nn.r, nn.distance) == (3, 2, 4.0)
-    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 0)], "vec_id long, label int")
-    links = {(x.left_id, x.right_id) for x in classify.tomek_links(pairs, labels).collect()}
-    assert links == {(1, 2)}  # (3, 4) are mutual but share a label
+    points = [(1, 0, [0.0]), (2, 1, [1.0]), (3, 0, [5.0]), (4, 0, [5.5]), (5, 1, [5.5])]
+    rows = spark.createDataFrame(points, "vec_id long, label int, vec array<double>")
+    for block in (2, 100):
+        nn = {r.q: (r.r, r.distance) for r in pairs.nearest(rows, rows, "vec_id", "vec",
+                                                            block_rows=block).collect()}
+        assert nn == {1: (2, 1.0), 2: (1, 1.0), 3: (4, 0.5), 4: (5, 0.0), 5: (4, 0.0)}
+    one = pairs.nearest(rows.filter("vec_id = 3"), rows.filter("vec_id < 3"), "vec_id", "vec", k=2)
+    assert [(r.r, r.distance, r["rank"]) for r in one.orderBy("rank").collect()] == [
+        (2, 4.0, 1), (1, 5.0, 2)]
+    near = pairs.nearest(rows, rows, "vec_id", "vec")
+    links = classify.tomek_links(near, rows)
+    assert {(x.left_id, x.right_id) for x in links.collect()} == {(1, 2), (4, 5)}
+    left = classify.without_links(rows, links)
+    assert {r.vec_id for r in left.collect()} == {3}
 
 
 def test_encoder(spark):
