@@ -52,15 +52,21 @@ def extended(df: DataFrame, ddl: str) -> StructType:
     return StructType(df.schema.fields + StructType.fromDDL(ddl).fields)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a few rows, so that the Python objects made of them stay few."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
              schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with one function per task, made by ``make`` on the executor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
-        for batch in batches:
+        for batch in sliced(batches):
             step = step or make()
-            if batch.num_rows:
-                yield step(batch)
+            yield step(batch)
     return df.mapInArrow(run, schema)
 
 

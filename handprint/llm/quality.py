@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from handprint.llm.common import extended, narrowed, pinned, row_key
+from handprint.llm.common import extended, narrowed, pinned, row_key, sliced
 
 #: A line is boilerplate when more than MIN_DOCS distinct documents of its host
 #: and more than MAX_SHARE of them hold it.
@@ -83,7 +83,7 @@ def measured(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [measure(t) for t in batch.column("text").to_pylist()]
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, ShortType
 
-from handprint.llm.common import narrowed, pinned, row_key
+from handprint.llm.common import narrowed, pinned, row_key, sliced
 from handprint.operators.ranking import global_rank
 
 THRESHOLD = 100
@@ -363,7 +363,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               + (", kept_bytes binary" if texts else ""))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             size, removed, runs, digest, kept_texts = [], [], [], [], []
             for text, spans in zip(batch.column("text").cast(pa.binary()),
                                    batch.column("spans"), strict=True):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from handprint.llm.common import extended, narrowed, pinned
+from handprint.llm.common import extended, narrowed, pinned, sliced
 
 #: Bounds of the fit: labelled rows, and terms.
 EXAMPLES = 8192
@@ -153,7 +153,7 @@ def _counted(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     schema = extended(docs.select("id"), "terms array<int>, counts array<int>")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             held, counts = [], []
             for text in batch.column("text").to_pylist():
                 found = sorted((place[t], n) for t, n in terms(text).items() if t in place)
@@ -168,7 +168,7 @@ def _counted(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 def choose_terms(sample: DataFrame, apart: float = APART, limit: int = TERMS) -> list[str]:
     """Terms of (text, label) whose label rate differs most from the overall one."""
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             held = [list(terms(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label"), pa.array(held, pa.list_(pa.string()))],
