@@ -163,3 +163,37 @@ def windows(tokens_arr: Column, size: int = 25, stride: int | None = None) -> Co
     starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride))
     return F.when(n > 0, F.transform(starts, lambda i: F.slice(tokens_arr, i + 1, size)))\
         .otherwise(F.array().cast("array<array<string>>"))
+
+
+# Elision mark of the tokenised texts.
+ELISION = "\u02b9"
+
+
+def plain_words(text: Column) -> Column:
+    """Elision mark to apostrophe, punctuation to spaces, split at white space.
+
+    Case is kept.  Punctuation is ASCII punctuation and Unicode class P.
+    """
+    t = F.replace(text, F.lit(ELISION), F.lit("'"))
+    t = F.regexp_replace(t, r"[\p{P}$+<=>^`|~]", " ")
+    return F.filter(F.split(t, r"[ \t\n\r\f\x0B]+"), lambda w: w != F.lit(""))
+
+
+def clean_text(text: Column) -> Column:
+    """Unicode NFKC, runs of 2+ white space or newlines to one space, trim.
+
+    NFKC has no built-in; it runs as an Arrow batch function, and only texts
+    with a non-ASCII character can change by it.
+    """
+    @F.pandas_udf("string")
+    def nfkc(texts):
+        import unicodedata
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    t = F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
+    return F.trim(F.regexp_replace(t, r"(?U)\s{2,}|\n+", " "))
+
+
+def tag_string(tags: Column, start: int = 0, end: int | None = None) -> Column:
+    """Tags from place ``start`` (0-based) to before ``end`` as one string."""
+    length = F.size(tags) if end is None else F.lit(max(0, end - start))
+    return F.array_join(F.slice(tags, start + 1, length), "")

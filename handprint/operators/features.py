@@ -39,11 +39,13 @@ def feature_stats(values: DataFrame, n_docs: Column, feature: str = "feature",
     """
     mean = values.groupBy(feature).agg((F.sum(value) / n_docs).alias("mean"),
                                        F.count(F.lit(1)).alias("rows"))
-    centred = (values.join(F.broadcast(mean), feature)
+    centred = (values.join(mean, feature)
                .groupBy(feature, "mean", "rows")
                .agg(F.sum((F.col(value) - F.col("mean")) ** 2).alias("ss_present")))
     ss = F.col("ss_present") + (n_docs - F.col("rows")) * F.col("mean") ** 2
-    return centred.select(feature, "mean", F.sqrt(ss / (n_docs - ddof)).alias("std"))
+    # Too few documents for the divisor: no spread is known, std is null.
+    std = F.when(n_docs > ddof, F.sqrt(ss / F.nullif(n_docs - ddof, F.lit(0))))
+    return centred.select(feature, "mean", std.alias("std"))
 
 
 def dense_vectors(values: DataFrame, docs: DataFrame, index: DataFrame,
@@ -62,7 +64,7 @@ def dense_vectors(values: DataFrame, docs: DataFrame, index: DataFrame,
         defaults = default.select(
             F.transform(F.array_sort(F.collect_list(F.struct("idx", "d"))),
                         lambda s: s["d"])).scalar()
-    present = (values.join(F.broadcast(index), feature)
+    present = (values.join(index, feature)
                .groupBy(doc).agg(F.map_from_entries(
                    F.collect_list(F.struct(F.col("idx"), F.col(value).cast("double"))))
                    .alias("cells")))
@@ -83,9 +85,9 @@ def zscore_vectors(values: DataFrame, docs: DataFrame, index: DataFrame,
     Zero-variance features must be removed beforehand (see ``non_constant``).
     """
     n_docs = docs.select(F.count(F.lit(1))).scalar()
-    vals = values.join(F.broadcast(index.select(feature)), feature, "left_semi")
+    vals = values.join(index.select(feature), feature, "left_semi")
     st = feature_stats(vals, n_docs, feature, value, ddof)
-    z = (vals.join(F.broadcast(st), feature)
+    z = (vals.join(st, feature)
          .select(doc, feature, ((F.col(value) - F.col("mean")) / F.col("std")).alias(value)))
     default = (st.join(index, feature)
                .select("idx", (-F.col("mean") / F.col("std")).alias("d")))
@@ -121,19 +123,19 @@ def vectors_to_long(vecs: DataFrame, index: DataFrame, doc: str = "doc_id",
                     vec: str = "vec") -> DataFrame:
     """Dense vectors back to (doc, feature, value) through the bounded index."""
     cells = vecs.select(doc, F.posexplode(vec).alias("p", value))
-    return (cells.join(F.broadcast(index), F.col("p") + 1 == F.col("idx"))
+    return (cells.join(index, F.col("p") + 1 == F.col("idx"))
             .select(doc, feature, value))
 
 
 def align(values: DataFrame, vocabulary: DataFrame, feature: str = "feature") -> DataFrame:
     """Restrict a long table to a model's vocabulary (missing = 0 implicitly)."""
-    return values.join(F.broadcast(vocabulary.select(feature).distinct()), feature, "left_semi")
+    return values.join(vocabulary.select(feature).distinct(), feature, "left_semi")
 
 
 def missing_features(vocabulary: DataFrame, values: DataFrame,
                      feature: str = "feature") -> DataFrame:
     """H2: features of the vocabulary that the table never has."""
-    return vocabulary.select(feature).distinct().exceptAll(values.select(feature).distinct())
+    return vocabulary.select(feature).distinct().join(values.select(feature), feature, "left_anti")
 
 
 def merge(first: DataFrame, other: DataFrame, feature: str = "feature") -> DataFrame:

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from handprint.functions import text as T
 
-# Upper bound on any vocabulary we broadcast or inline into a plan.  Ranked
-# vocabularies are produced by a top-k, so their size is known before use.
-MAX_VOCAB = 100_000
-
 
 def by_document(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Hash-partition a document table by its id.
@@ -51,11 +47,8 @@ def top_terms(totals: DataFrame, k: int, term: str = "token") -> DataFrame:
     """G1: the k most frequent terms, ties broken by term; adds ``rank`` (1..k).
 
     ``limit`` after ``orderBy`` plans as a TakeOrderedAndProject, so only k
-    rows per partition ever leave the executors; the ranked result is at
-    most k rows and safe to broadcast.
+    rows per partition ever leave the executors.
     """
-    if k > MAX_VOCAB:
-        raise ValueError(f"vocabulary of {k} terms exceeds MAX_VOCAB={MAX_VOCAB}")
     top = totals.orderBy(F.desc("n"), F.asc(term)).limit(k)
     w = Window.orderBy(F.desc("n"), F.asc(term))  # over k rows only
     return top.withColumn("rank", F.row_number().over(w).cast("bigint"))
@@ -63,19 +56,11 @@ def top_terms(totals: DataFrame, k: int, term: str = "token") -> DataFrame:
 
 def restrict(long: DataFrame, vocab: DataFrame, term: str = "token",
              vocab_term: str | None = None) -> DataFrame:
-    """Keep rows whose term is in a (bounded, broadcast) vocabulary."""
+    """Keep rows whose term is in a vocabulary (Spark broadcasts it by its size)."""
     v = vocab.select(F.col(vocab_term or term).alias(term)).distinct()
-    return long.join(F.broadcast(v), term, "left_semi")
+    return long.join(v, term, "left_semi")
 
 
 def affix_long(words: DataFrame, doc: str = "doc_id", token: str = "token") -> DataFrame:
     """C9 exploded: (doc, affix) for every word."""
     return words.select(doc, F.explode(T.affixes(F.col(token))).alias("affix"))
-
-
-def collect_vocab(vocab: DataFrame, term: str, limit: int = MAX_VOCAB) -> list[str]:
-    """Bring a ranked vocabulary (already a top-k) to the driver, checked."""
-    rows = vocab.orderBy("rank").select(term).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"vocabulary larger than {limit}")
-    return [r[0] for r in rows]

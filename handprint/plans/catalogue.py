@@ -21,7 +21,8 @@ from handprint.functions.text import round6
 from handprint.operators import (clusters, features, linkage, metrics, pairs, ranking, samples,
                                  ppm, select, splits, vocab)
 from handprint.operators import imposters as imp_op
-from handprint.operators import classify, encode
+from handprint.operators import classify, encode, filters, linear, resample
+from handprint.functions.hashing import hash_key
 from handprint.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -543,7 +544,7 @@ def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strong_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """25/50/75/90th percentiles of distance among true pairs."""
     s = metrics.strong_thresholds(unit_counts(spark, sf_dir))
-    return s.select("percentile", "threshold")
+    return s.select("percentile", F.round("threshold", 9).alias("threshold"))
 
 
 @query
@@ -680,6 +681,7 @@ def eta2(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 PPM_ORDER = 5
+TURN_GAPS = (1, 2)       # verification pairs: a turn and the turns so many places later
 
 
 def _turns(spark, sf_dir):
@@ -688,13 +690,13 @@ def _turns(spark, sf_dir):
 
 
 def _turn_pairs(turns):
-    """Verification pairs: each turn with the next two turns of its conversation."""
+    """The pair table to score: each turn with those TURN_GAPS places later."""
     a = turns.select("conv_id", F.col("turn").alias("turn_a"), F.col("doc").alias("a"),
                      F.col("role").alias("role_a"))
     b = turns.select("conv_id", F.col("turn").alias("turn_b"), F.col("doc").alias("b"),
                      F.col("role").alias("role_b"))
     out = None
-    for gap in (1, 2):
+    for gap in TURN_GAPS:
         j = a.withColumn("turn_b", F.col("turn_a") + gap).join(b, ["conv_id", "turn_b"])
         out = j if out is None else out.unionByName(j)
     return out.withColumn("is_pair", F.col("role_a") == F.col("role_b"))
@@ -832,28 +834,32 @@ def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
     toks = t.select("conv_id", "turn", F.posexplode(T.words(F.col("text"))).alias("pos", "token"))
     v = encode.build_vocabulary(toks, ENCODER_MIN_FREQ)
-    e = encode.encode(toks, v, ["conv_id", "turn"])
+    e = t.select("conv_id", "turn").join(encode.encode(toks, v, ["conv_id", "turn"]),
+                                         ["conv_id", "turn"], "left")
+    e = e.withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))  # no words
     return e.select("conv_id", "turn", F.size("ids").cast("bigint").alias("n_tokens"),
                     F.size(F.filter("ids", lambda x: x == 0)).cast("bigint").alias("n_unk"),
                     F.array_join("ids", " ").alias("ids"))
 
 
-def _svm_data(spark, sf_dir):
-    d, _ = imposter_docs(spark, sf_dir)
-    rel = F.transform("vec", lambda x: F.when(F.aggregate("vec", F.lit(0.0), lambda a, y: a + y)
-                                               > 0, x / F.aggregate("vec", F.lit(0.0),
-                                                                    lambda a, y: a + y))
-                      .otherwise(F.lit(0.0)))
-    return d.select("doc_id", "author", "role", rel.alias("vec"))
+SVM_FOLDS = 5
+SVM_TOP = 5
+
+
+def _svm_rows(spark, sf_dir):
+    """Normalised document vectors with author and held-out mark, and the feature index."""
+    vec, idx, docs = normalised_vectors(spark, sf_dir)
+    split = splits.holdout_split(docs.select("doc_id", "author"), "author", "doc_id", 0.1, SEED)
+    return materialize(vec.join(split.select("doc_id", "author", "split"), "doc_id")), idx
 
 
 @query
 def svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-vs-rest linear SVM (z-score, L2, balanced weights) trained on
-    the non-test texts, predicting the held-out ones."""
-    d = _svm_data(spark, sf_dir)
-    model, labels = classify.fit_svm(d.filter(F.col("role") != "test"))
-    p = classify.predict_svm(model, labels, d.filter(F.col("role") == "test"))
+    the training texts, predicting the held-out ones."""
+    d, _ = _svm_rows(spark, sf_dir)
+    model = linear.fit(d.filter(F.col("split") == "train"), "author")
+    p = linear.predict(model, d.filter(F.col("split") == "holdout"), ["doc_id", "author"])
     return p.select("doc_id", F.col("author").alias("truth"), "prediction",
                     F.round("score", 6).alias("score"))
 
@@ -861,11 +867,52 @@ def svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def svm_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class x feature coefficients of the fitted SVM."""
-    d = _svm_data(spark, sf_dir)
-    _, _, top = _mfw_counts(spark, sf_dir)
-    feats = [r.token for r in top.orderBy("rank").select("token").collect()]  # bounded top-k
-    model, labels = classify.fit_svm(d.filter(F.col("role") != "test"))
-    return classify.svm_weights(model, labels, feats)
+    d, idx = _svm_rows(spark, sf_dir)
+    train = d.filter(F.col("split") == "train")
+    return linear.weights(linear.fit(train, "author"), train, idx)
+
+
+@query
+def svm_weights_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 lowest and 5 highest coefficients of every class."""
+    return linear.weights_top(svm_weights(spark, sf_dir), SVM_TOP)
+
+
+@query
+def svm_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decision table of 5 contiguous folds in doc_id order."""
+    d, _ = _svm_rows(spark, sf_dir)
+    t = linear.cross_validate(d, "doc_id", "author", SVM_FOLDS)
+    return t.withColumn("Score", F.round("Score", 6))
+
+
+@query
+def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and macro averages per fold of the 1-NN attribution (fold: doc_id
+    modulo 5 of the held-out texts)."""
+    p = _nearest_predictions(spark, sf_dir)
+    t = p.select((F.col("doc_id") % SVM_FOLDS).alias("fold"), F.col("truth").alias("Truth"),
+                 F.col("prediction").alias("Prediction"),
+                 (F.col("truth") == F.col("prediction")).alias("Correct"))
+    return linear.fold_scores(t).select(
+        "fold", *[round6(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query
+def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors grown by SMOTE to the largest class; sums of the vectors."""
+    g = resample.smote(_embeddings(spark, sf_dir), "vec_id", "label", "embedding", seed=SEED)
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
+    return g.select("vec_id", F.col("copy").cast("bigint").alias("copy"), "label",
+                    F.round(total, 5).alias("total"))
+
+
+@query
+def smote_tomek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMOTE, then the ends of Tomek links go; what stays per class."""
+    g = resample.smote_tomek(_embeddings(spark, sf_dir), "vec_id", "label", "embedding", seed=SEED)
+    return g.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                  F.count_if(F.col("copy") > 0).alias("n_new"))
 
 
 @query
@@ -950,3 +997,144 @@ def feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec, idx, _ = normalised_vectors(spark, sf_dir)
     pooled, _ = linkage.feature_agglomeration(materialize(vec), idx, N_FEATURE_GROUPS)
     return pooled.select("doc_id", "group", round6(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------------------
+# Step 10: filters and feature-table selections
+# ---------------------------------------------------------------------------
+
+# Fixed values of the stand-in rules, on titles (a document's first line).
+TITLE_NEEDLES = ("idiot", "scum", "loser", "copyright", "licensed")
+TITLE_SUFFIXES = (" et", " and", " und")
+TITLE_PATTERN = "the |Der |qu|[0-9]"
+BLOCKED_GROUPS = ("src1", "src2", "src13")
+
+
+def _titles(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.split("text", "\n")[0].alias("title"))
+
+
+@query
+def author_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring and suffix rules on every title."""
+    return _titles(spark, sf_dir).select("doc_id", filters.any_substring(
+        F.col("title"), TITLE_NEEDLES, TITLE_SUFFIXES).alias("blocked"))
+
+
+@query
+def author_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abbreviations and `` et`` removed from every title."""
+    return _titles(spark, sf_dir).select(
+        "doc_id", filters.clean_author(F.col("title")).alias("author"))
+
+
+@query
+def filtered_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2 + B5: documents outside the blocked groups whose title doesn't match a pattern."""
+    t = _titles(spark, sf_dir)
+    return t.filter(~F.col("source").isin(*BLOCKED_GROUPS)
+                    & ~F.col("title").rlike(TITLE_PATTERN)).select("doc_id", "title")
+
+
+@query
+def reject_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per group the kept documents and the first reason of the others."""
+    t = _titles(spark, sf_dir)
+    reason = filters.reject_reason([
+        ("group", F.col("source").isin(*BLOCKED_GROUPS)),
+        ("author", filters.any_substring(F.col("title"), TITLE_NEEDLES, TITLE_SUFFIXES)),
+        ("title", F.col("title").rlike(TITLE_PATTERN))])
+    return (t.select("source", reason.alias("reason")).groupBy("source", "reason")
+            .agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+@query
+def cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NFKC and white-space clean-up of every text; length and MD5 of the result."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("t"))
+    return d.select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5(
+        F.col("t").cast("binary")).alias("digest"))
+
+
+@query
+def cased_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function words of every text by the elision rule, case kept."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(
+        T.plain_words(F.col("text"))).alias("token"))
+    return (d.filter(F.col("token").isin(*T.FUNCTION_WORDS)).groupBy("doc_id", "token")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def tag_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of a text's words 10 to 60 as one string."""
+    d = bind(_all_docs(spark, sf_dir), ["doc_id"], words=T.words(F.col("text")))
+    return bind(d, ["doc_id"], tags=_tag_array()).select(
+        "doc_id", T.tag_string(F.col("tags"), 10, 60).alias("tags"))
+
+
+@query
+def complete_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author counts of the words that every author has."""
+    authors, counts = _profiles(spark, sf_dir)
+    return filters.complete_features(counts, authors, value="n")
+
+
+@query
+def family_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample shares of the word family alone."""
+    return filters.by_family(sample_shares(spark, sf_dir), select=("$MFW$",))
+
+
+@query
+def family_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the ordered feature list of the sample shares changes family."""
+    idx = features.feature_index(sample_shares(spark, sf_dir))
+    return filters.first_family_change(idx).select(F.col("change").cast("bigint").alias("change"))
+
+
+@query
+def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E23 + B11: counts of function words as columns, and back to rows."""
+    fw = function_words(spark, sf_dir).withColumn("value", F.col("n").cast("double"))
+    wide = features.wide(fw, list(T.FUNCTION_WORDS))
+    return filters.unpivot_features(wide, ["doc_id"])
+
+
+@query
+def status_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B13 + B14: exactly half of the impostors."""
+    d, _ = imposter_docs(spark, sf_dir)
+    filters.check_status(d, "role")
+    return filters.status_subset(d, "impostor", "doc_id", "role", 0.5, SEED).select(
+        "doc_id", "author")
+
+
+KNOWN_CLASSES = tuple(range(7))
+
+
+@query
+def ood_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair table with classes beyond the known ones out of domain."""
+    p = unit_pairs(spark, sf_dir)
+    p = p.withColumns({c: filters.encode_class(F.col(c), KNOWN_CLASSES)
+                       for c in ("left_label", "right_label")})
+    f = pairs.pairs_frame(p, PAIR_THRESHOLD)
+    return f.select("ComparedClass", "ComparedLabel", "ComparatorClass", "ComparatorLabel",
+                    "Distance", "IsAPair")
+
+
+@query
+def attribution_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: share of attributed pairs."""
+    return filters.attribution_rate(_frame(spark, sf_dir)).select(
+        round6(F.col("rate")).alias("rate"), "n")
+
+
+@query
+def row_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every document's place in the md5 order."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    d = d.withColumn("h", hash_key(SEED, "doc_id"))
+    return ranking.global_rank(d, ["h", "doc_id"], "place").select("doc_id", "place")

@@ -584,7 +584,7 @@ SELECT distance AS threshold, round(cn / N, 6) AS fpr, round(cp / P, 6) AS tpr F
 SQL["strong_thresholds"] = f"""
 WITH {UNIT_PAIRS},
   q AS (SELECT quantile_cont(distance, [0.25, 0.5, 0.75, 0.9]) AS qs FROM p WHERE is_pair)
-SELECT unnest([0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS percentile, unnest(qs) AS threshold
+SELECT unnest([0.25, 0.5, 0.75, 0.9]::DOUBLE[]) AS percentile, round(unnest(qs), 9) AS threshold
 FROM q
 """
 
@@ -693,7 +693,7 @@ WITH {PPM},
   per AS (SELECT a, b, sum(cnt * -log2(p)) AS bits, sum(cnt) AS hits FROM best GROUP BY ALL),
   h AS (SELECT op.a, op.b, (coalesce(per.bits, 0) + (len.len - coalesce(per.hits, 0))
                             * log2((SELECT v FROM v))) / len.len AS h
-        FROM op JOIN len ON len.b = op.b LEFT JOIN per ON per.a = op.a AND per.b = op.b)
+        FROM op LEFT JOIN len ON len.b = op.b LEFT JOIN per ON per.a = op.a AND per.b = op.b)
 SELECT tp.conv_id, tp.turn_a, tp.turn_b, round(x.h, 4) AS h_ab, round(y.h, 4) AS h_ba, tp.is_pair
 FROM tp JOIN h x ON x.a = tp.a AND x.b = tp.b JOIN h y ON y.a = tp.b AND y.b = tp.a
 """
@@ -820,9 +820,9 @@ WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '{W}') AS w FRO
         FROM toks GROUP BY token HAVING count(*) >= 5),
   e AS (SELECT toks.conv_id, toks.turn, toks.pos, coalesce(v.id, 0) AS id
         FROM toks LEFT JOIN v USING (token))
-SELECT conv_id, turn, count(*) AS n_tokens, count(*) FILTER (WHERE id = 0) AS n_unk,
-       string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids
-FROM e GROUP BY ALL
+SELECT conv_id, turn, count(id) AS n_tokens, count(*) FILTER (WHERE id = 0) AS n_unk,
+       coalesce(string_agg(id::VARCHAR, ' ' ORDER BY pos), '') AS ids
+FROM t LEFT JOIN e USING (conv_id, turn) GROUP BY ALL
 """
 
 SQL["merge_minus_model"] = f"""
@@ -862,3 +862,160 @@ WITH {ZL2},
 SELECT doc_id, author, feature, round(value, 6) AS value FROM v
 WHERE feature IN (SELECT feature FROM top3)
 """
+
+SQL["fold_scores"] = f"""
+WITH {NEAREST},
+  f AS (SELECT doc_id % 5 AS fold, truth, prediction FROM pred),
+  c AS (SELECT fold, truth AS cls FROM f UNION SELECT fold, prediction FROM f),
+  s AS (SELECT c.fold, c.cls,
+               count(*) FILTER (f.truth = c.cls AND f.prediction = c.cls) AS tp,
+               count(*) FILTER (f.truth = c.cls) AS t, count(*) FILTER (f.prediction = c.cls) AS p
+        FROM c JOIN f USING (fold) GROUP BY ALL)
+SELECT fold, round(sum(tp) / sum(t), 6) AS accuracy,
+       round(avg(CASE WHEN p > 0 THEN tp / p ELSE 0 END), 6) AS precision,
+       round(avg(CASE WHEN t > 0 THEN tp / t ELSE 0 END), 6) AS recall,
+       round(avg(2 * tp / (p + t)), 6) AS f1
+FROM s GROUP BY fold
+"""
+
+SMOTE = """
+  v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
+  sized AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id) AS r,
+                   count(*) OVER (PARTITION BY label) AS n FROM v),
+  lg AS (SELECT max(n) AS largest FROM sized),
+  turns AS (SELECT *, (largest - n) // n + CASE WHEN r <= (largest - n) % n THEN 1 ELSE 0 END AS t
+            FROM sized, lg),
+  made AS (SELECT vec_id, label, vec, n, unnest(range(1, t + 1)) AS copy FROM turns),
+  chosen AS (SELECT *, ('0x' || left(md5('42|' || vec_id || '|' || copy), 8))::BIGINT
+                       % least(5, n - 1) + 1 AS nb,
+                    ('0x' || left(md5('42:place|' || vec_id || '|' || copy), 13))::BIGINT
+                       / 4503599627370496.0::DOUBLE AS u FROM made),
+  near AS (SELECT a.vec_id AS q, b.vec AS other,
+                  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt(list_sum(list_transform(
+                    range(1, len(a.vec) + 1), lambda i: (a.vec[i] - b.vec[i]) ^ 2))), 9), b.vec_id) AS rank
+           FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
+  grown AS (
+    SELECT vec_id, 0::BIGINT AS copy, label, vec FROM v
+    UNION ALL
+    SELECT vec_id, copy, label, list_transform(range(1, len(vec) + 1),
+             lambda i: vec[i] + u * (other[i] - vec[i]))
+    FROM chosen JOIN near ON q = vec_id AND rank = nb)
+"""
+
+SQL["smote"] = f"""
+WITH {SMOTE}
+SELECT vec_id, copy, label, round(list_sum(vec), 5) AS total FROM grown
+"""
+
+SQL["smote_tomek"] = f"""
+WITH {SMOTE},
+  g AS (SELECT *, row_number() OVER (ORDER BY vec_id, copy) AS k FROM grown),
+  dd AS (SELECT a.k AS q, b.k AS r, round(sqrt(list_sum(list_transform(range(1, len(a.vec) + 1),
+                  lambda i: (a.vec[i] - b.vec[i]) ^ 2))), 6) AS d FROM g a JOIN g b ON a.k <> b.k),
+  nn AS (SELECT q, arg_min(r, (d, r)) AS r FROM dd GROUP BY q),
+  ends AS (SELECT x.q FROM nn x JOIN nn y ON x.r = y.q AND y.r = x.q JOIN g a ON a.k = x.q
+           JOIN g b ON b.k = x.r WHERE a.label <> b.label)
+SELECT label, count(*) AS n, count(*) FILTER (copy > 0) AS n_new FROM g
+WHERE k NOT IN (SELECT q FROM ends) GROUP BY label
+"""
+
+TITLES = "t AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS title FROM documents)"
+NEEDLES = """(contains(lower(title), 'idiot') OR contains(lower(title), 'scum')
+   OR contains(lower(title), 'loser') OR contains(lower(title), 'copyright')
+   OR contains(lower(title), 'licensed') OR ends_with(lower(title), ' et')
+   OR ends_with(lower(title), ' and') OR ends_with(lower(title), ' und'))"""
+
+SQL["author_rules"] = f"WITH {TITLES} SELECT doc_id, {NEEDLES} AS blocked FROM t"
+
+SQL["author_clean"] = f"""
+WITH {TITLES}
+SELECT doc_id, replace(regexp_replace(title, '[ \\t\\n\\r\\f\\x0B]+{W}[.]', '', 'g'), ' et', '') AS author
+FROM t
+"""
+
+SQL["filtered_titles"] = f"""
+WITH {TITLES}
+SELECT doc_id, title FROM t
+WHERE source NOT IN ('src1', 'src2', 'src13') AND NOT regexp_matches(title, 'the |Der |qu|[0-9]')
+"""
+
+SQL["reject_authors"] = f"""
+WITH {TITLES}
+SELECT source, CASE WHEN source IN ('src1', 'src2', 'src13') THEN 'group'
+                    WHEN {NEEDLES} THEN 'author'
+                    WHEN regexp_matches(title, 'the |Der |qu|[0-9]') THEN 'title'
+                    ELSE 'kept' END AS reason, count(*) AS n_docs
+FROM t GROUP BY ALL
+"""
+
+SQL["cleaned_text"] = r"""
+WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s{2,}|\n+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM c
+"""
+
+SQL["cased_function_words"] = f"""
+WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(
+                  replace(text, chr(697), chr(39)), '[\\p{{P}}$+<=>^`|~]', ' ', 'g'),
+                  '[ \\t\\n\\r\\f\\x0B]+')) AS token FROM documents)
+SELECT doc_id, token, count(*) AS n FROM w WHERE token IN ({FWORDS}) GROUP BY ALL
+"""
+
+SQL["tag_strings"] = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS words FROM documents)
+SELECT doc_id, coalesce(array_to_string(list_transform(words[11:60], lambda w: {rule('w')}), ''), '') AS tags
+FROM t
+"""
+
+SQL["complete_features"] = f"""
+WITH {PROFILES}
+SELECT author, token AS feature, n::BIGINT AS n FROM ac
+WHERE token IN (SELECT token FROM ac GROUP BY token
+                HAVING count(*) = (SELECT n_docs FROM na))
+"""
+
+SQL["family_features"] = f"""
+SELECT * FROM ({SQL["sample_shares"]}) WHERE starts_with(feature, '$MFW$')
+"""
+
+SQL["family_change"] = f"""
+WITH f AS (SELECT DISTINCT feature FROM ({SQL["sample_shares"]})),
+  o AS (SELECT row_number() OVER (ORDER BY feature) - 1 AS i, split_part(feature, '$', 2) AS f,
+               lag(split_part(feature, '$', 2)) OVER (ORDER BY feature) AS g FROM f)
+SELECT coalesce(min(i) FILTER (f <> g), -1) AS change FROM o
+"""
+
+SQL["wide_features"] = f"""
+WITH fw AS ({SQL["function_words"]}),
+  names AS (SELECT unnest([{FWORDS}]) AS feature)
+SELECT d.doc_id, names.feature, coalesce(fw.n, 0)::DOUBLE AS value
+FROM (SELECT DISTINCT doc_id FROM fw) d CROSS JOIN names
+LEFT JOIN fw ON fw.doc_id = d.doc_id AND fw.feature = names.feature
+"""
+
+SQL["status_subset"] = """
+WITH h AS (SELECT doc_id, source AS author,
+                  row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS rk,
+                  count(*) OVER (PARTITION BY source) AS n FROM documents),
+  i AS (SELECT doc_id, author, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r,
+               count(*) OVER () AS m FROM h
+        WHERE rk <= round_even(n * 0.9, 0) AND author NOT IN ('src1', 'src5', 'src9'))
+SELECT doc_id, author FROM i WHERE r <= round_even(m * 0.5, 0)
+"""
+
+SQL["ood_pairs"] = f"""
+WITH {UNIT_PAIRS},
+  c AS (SELECT *, CASE WHEN left_label < 7 THEN left_label::VARCHAR ELSE '[OOD]' END AS l,
+               CASE WHEN right_label < 7 THEN right_label::VARCHAR ELSE '[OOD]' END AS r FROM p)
+SELECT l AS ComparedClass, left_id::VARCHAR AS ComparedLabel, r AS ComparatorClass,
+       right_id::VARCHAR AS ComparatorLabel, distance AS Distance,
+       CASE WHEN l = '[OOD]' OR r = '[OOD]' THEN NULL ELSE l = r END AS IsAPair
+FROM c
+"""
+
+SQL["attribution_rate"] = f"""
+WITH {FRAME} SELECT round(avg(Attribution::INT), 6) AS rate, count(*) AS n FROM f
+"""
+
+SQL["row_shuffle"] = """
+SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS place FROM documents
+"""

@@ -42,8 +42,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when nothing is configured
-    (local tests) is a scratch folder created and registered.
+    The cluster's setting always wins.  Only in local mode, with nothing
+    configured, is a scratch folder created and registered; elsewhere a
+    machine-local folder would lose rows, so that is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -54,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="handprint-ckpt-")
         sc.setCheckpointDir(local)
         spark.conf.set("spark.checkpoint.dir", local)

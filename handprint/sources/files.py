@@ -18,12 +18,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_tagged(spark: SparkSession, path: str) -> DataFrame:
-    """A7 + C6: tagged-token files, one 'token<ws>tag' per line.
+    """A7 + C6: tagged-token files, one 'token<ws>tag' per line; files that are
+    gone when they are read are skipped.
 
     Returns (file, pos, token, tag) with the token lower-cased and the tag
     cut to its first character; the line position keeps text order.
     """
-    raw = (spark.read.text(path, wholetext=True)
+    raw = (spark.read.option("ignoreMissingFiles", True).text(path, wholetext=True)
            .select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines")))
     lines = raw.select("file", F.posexplode("lines").alias("pos", "line"))
     parts = F.split(F.trim(F.col("line")), r"\s+")
@@ -53,8 +54,7 @@ def read_ranked_json(spark: SparkSession, path: str, nb: int, drop=("'",)) -> Da
         F.col("rank") <= nb).select("rank", "term", "n")
 
 
-def read_stopword_json(spark: SparkSession, path: str, keep: list[str],
-                       max_depth: int = 32) -> DataFrame:
+def read_stopword_json(spark: SparkSession, path: str, keep: list[str]) -> DataFrame:
     """Nested category -> (list | object) JSON flattened to the distinct
     words of the kept top-level categories.
 
@@ -69,7 +69,7 @@ def read_stopword_json(spark: SparkSession, path: str, keep: list[str],
     level = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("category", "j"))
     level = materialize(level.filter(F.col("category").isin(*keep)))
     found = []
-    for _ in range(max_depth):
+    while True:
         j = F.trim(F.col("j"))
         is_arr, is_obj = j.startswith("["), j.startswith("{")
         found.append(materialize(level.filter(~is_arr & ~is_obj).select(F.col("j").alias("word"))))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from handprint.functions import text as T
+from handprint.operators.filters import file_parts
 
 # XPath of the body text with excluded subtrees (S00/S01: label; S04: label,
 # note and head).
@@ -38,10 +39,11 @@ def read_tei(spark: SparkSession, path: str, exclude=("label",)) -> DataFrame:
 
 
 def name_columns(df: DataFrame, stem: str = "stem") -> DataFrame:
-    """A4: author = before '-', title = after '-', textgroup = first 7 characters."""
-    return df.select("*", F.split(F.col(stem), "-", 2)[0].alias("file_author"),
-                     F.split(F.col(stem), "-", 2)[1].alias("file_title"),
-                     F.substring(F.col(stem), 1, 7).alias("textgroup"))
+    """A4: author = before the first '-', title = the second piece, textgroup = first 7
+    characters."""
+    parts = file_parts(F.col(stem))
+    return df.select("*", parts["author"].alias("file_author"), parts["title"].alias("file_title"),
+                     parts["textgroup"].alias("textgroup"))
 
 
 def one_row_per_author(df: DataFrame) -> DataFrame:

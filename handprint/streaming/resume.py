@@ -10,18 +10,20 @@ already exists, so an interrupted run resumes.  Two Spark forms:
   restarted query tags only new files, exactly once, and
   ``trigger(availableNow=True)`` drains the backlog and stops.
 
-The tagger is pluggable: a column function (token -> tag) such as the
-stand-in rule, or any per-partition pandas function through ``mapInPandas``.
+The tagger is pluggable: a column function (token -> tag), the stand-in rule
+by default; ``lexicon_tags`` tags from a lexicon table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from handprint.functions import text as T
+from handprint.functions.arrays import materialize
 
 
 def tag_tokens(docs: DataFrame, doc: str = "doc_id", text: str = "text",
@@ -35,25 +37,37 @@ def tag_tokens(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     return toks.withColumn("tag", tagger(F.col("token")))
 
 
-def tag_with_pandas(docs: DataFrame, fn, schema: str) -> DataFrame:
-    """J27 with an arbitrary Python tagger: ``fn(pandas.DataFrame) -> DataFrame``
-    applied per Arrow batch (``mapInPandas``)."""
-    return docs.mapInPandas(lambda it: (fn(pdf) for pdf in it), schema)
+def lexicon_tags(tokens: DataFrame, lexicon: DataFrame, token: str = "token",
+                 unknown: str = "x") -> DataFrame:
+    """Tags from a (token, tag) lexicon, tried as written, then in lower case."""
+    exact = lexicon.groupBy(F.col("token").alias("_t")).agg(F.min("tag").alias("_tag"))
+    low = lexicon.groupBy(F.lower("token").alias("_l")).agg(F.min("tag").alias("_low"))
+    return (tokens.join(exact, F.col(token) == F.col("_t"), "left")
+            .join(low, F.lower(token) == F.col("_l"), "left")
+            .withColumn("tag", F.coalesce("_tag", "_low", F.lit(unknown)))
+            .drop("_t", "_tag", "_l", "_low"))
 
 
 def tag_new_documents(spark: SparkSession, docs: DataFrame, out_path: str,
-                      doc: str = "doc_id", text: str = "text") -> int:
-    """Batch resume: tag only documents missing from ``out_path``; returns their count."""
+                      doc: str = "doc_id", text: str = "text", buckets: int = 64) -> int:
+    """Batch resume: tag only documents missing from ``out_path``; returns their count.
+
+    Only a path that isn't there means that nothing is done yet; any other
+    failure to read the output rises, so no document is tagged twice.  Output
+    is partitioned by a hash of the document id, not by document.
+    """
     try:
         done = spark.read.parquet(out_path).select(doc).distinct()
-        todo = docs.join(done, doc, "left_anti")
-    except Exception:  # no output yet
-        todo = docs
-    todo = todo.cache()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = None
+    todo = materialize(docs if done is None else docs.join(done, doc, "left_anti"))
     n = todo.count()
     if n:
-        tag_tokens(todo, doc, text).write.mode("append").partitionBy(doc).parquet(out_path)
-    todo.unpersist()
+        bucket = F.pmod(F.xxhash64(doc), F.lit(buckets)).alias("bucket")
+        (tag_tokens(todo, doc, text).select("*", bucket)
+         .write.mode("append").partitionBy("bucket").parquet(out_path))
     return n
 
 

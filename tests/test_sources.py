@@ -10,11 +10,11 @@ from handprint.streaming import resume
 TEI = """<?xml version="1.0" encoding="UTF-8"?>
 <TEI xmlns="http://www.tei-c.org/ns/1.0">
   <teiHeader><fileDesc><titleStmt>
-    <title>De Susanna</title><author>Auctor Primus</author><author>Auctor Secundus</author>
+    <title>De Via</title><author>Auctor Primus</author><author>Auctor Secundus</author>
   </titleStmt></fileDesc></teiHeader>
   <text><body>
-    <div type="fragment"><head>Caput</head><p><label>1</label>Erat   vir
-    in Babylone<note>nota</note> et nomen eius.</p></div>
+    <div type="fragment"><head>Caput</head><p><label>1</label>Ibat   puer
+    per viam<note>nota</note> et canebat.</p></div>
   </body></text>
 </TEI>"""
 
@@ -32,16 +32,16 @@ def _folder(contents: dict) -> str:
 
 
 def test_read_tei(spark):
-    d = _folder({"PC2-DeSusanna.xml": TEI, "PC9-Carmen.xml": VERSE})
+    d = _folder({"AB1-DeVia-Longa.xml": TEI, "PC9-Carmen.xml": VERSE})
     df = tei.read_tei(spark, d + "/*.xml")
     rows = {r.stem: r for r in tei.name_columns(df).collect()}
-    r = rows["PC2-DeSusanna"]
-    assert r.title == "De Susanna" and r.authors == ["Auctor Primus", "Auctor Secundus"]
-    assert "1" not in r.text.split() and "Erat vir in Babylone" in r.text
+    r = rows["AB1-DeVia-Longa"]
+    assert r.title == "De Via" and r.authors == ["Auctor Primus", "Auctor Secundus"]
+    assert "1" not in r.text.split() and "Ibat puer per viam" in r.text
     assert r.has_fragment and not r.is_poetry
-    assert r.file_author == "PC2" and r.file_title == "DeSusanna" and r.textgroup == "PC2-DeS"
+    assert r.file_author == "AB1" and r.file_title == "DeVia" and r.textgroup == "AB1-DeV"
     assert rows["PC9-Carmen"].is_poetry
-    three = tei.read_tei(spark, d + "/PC2*.xml", exclude=("label", "note", "head")).first()
+    three = tei.read_tei(spark, d + "/AB1*.xml", exclude=("label", "note", "head")).first()
     assert "nota" not in three.text and "Caput" not in three.text
     assert tei.one_row_per_author(df).count() == 3
 
