@@ -190,7 +190,9 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): smallest node reachable, for every node with a link.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until
-    nothing changes.  Each round is written to the checkpoint folder.
+    nothing changes.  Each round is written to the checkpoint folder; so are the
+    least neighbours, for then a join meets them alone and Spark can split the
+    neighbours of a node that has very many.
     """
     def directed(edges):
         return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(
@@ -205,13 +207,14 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
             break
         before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(
-            F.least(F.min("b"), F.min("a")).alias("m"))
+        least = pinned(both.groupBy(F.col("a").alias("u")).agg(
+            F.least(F.min("b"), F.min("a")).alias("m")), f"{name}-least")
         large = (both.where("b > a").join(least, F.col("a") == F.col("u"))
                  .select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = pinned(directed(large.unionByName(
             least.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")))), name)
-        least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        least = pinned(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")),
+                       f"{name}-least")
         small = (edges.join(least, F.col("a") == F.col("u"))
                  .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))))
