@@ -27,7 +27,7 @@ from handprint.llm.common import extended, map_rows, narrowed
 SPACE = "▁"
 #: Words and pairs remembered by a Python worker.  Full words become the older ones,
 #: from which those met again return; full pairs are forgotten.
-WORDS = 150_000
+WORDS = 250_000
 PAIRS = 1_000_000
 #: Steps over failure links that an automaton remembers.
 STEPS = 500_000
