@@ -317,23 +317,29 @@ def window_pass(held: DataFrame, threshold: int) -> DataFrame:
     return rows.mapInArrow(decide, "doc bigint, start bigint, stop bigint")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(id, text, doc): ``doc`` orders documents by id (nulls last), then row key.
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text, doc), and documents (doc, text): each number once.
 
-    Unique integer ids are their own numbers.  Otherwise rows get ranks; rows
-    alike in id and text are one document and share a number.
+    ``doc`` orders documents by id (nulls last), then row key.  Unique integer
+    ids are their own numbers.  Otherwise rows get ranks; rows alike in id and
+    text are one document and share a number.
     """
     whole = isinstance(docs.schema["id"].dataType, (ShortType, IntegerType, LongType))
     if whole and not docs.groupBy("id").count().where("count > 1 or id is null").head(1):
-        return docs.withColumn("doc", F.col("id").cast("bigint"))
+        rows = docs.withColumn("doc", F.col("id").cast("bigint"))
+        return rows, rows.select("doc", "text")
     keyed = docs.withColumn("row", row_key(F.col("id"), F.col("text")))
     ranks = global_rank(keyed.select("id", "row").distinct(),
                         [F.col("id").asc_nulls_last(), F.col("row")], "doc")
-    return keyed.join(ranks.select("row", "doc"), "row").select("id", "text", "doc")
+    rows = keyed.join(ranks.select("row", "doc"), "row").select("id", "text", "doc")
+    return rows, rows.select("doc", "text").dropDuplicates(["doc"])
 
 
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """(doc, spans): byte spans (start, stop) to remove, of (doc, text); see the module."""
+    """(doc, spans): byte spans (start, stop) to remove, of (doc, text); see the module.
+
+    A document's number occurs once: a second row of it would repeat the first.
+    """
     once = docs.select("doc", "text")
     passed = pinned(stretch_pass(once, threshold, gram), "stretches")
     span = F.collect_list(F.struct("start", "stop")).alias("spans")
@@ -356,8 +362,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 8 <= gram < threshold <= 1 << 16 or threshold % 2:
         raise ValueError("need 8 <= gram < threshold <= 65536, threshold even")
-    base = numbered(narrowed(docs, id=id_col, text=text_col))
-    spans = repeated_spans(base, threshold, gram)
+    base, once = numbered(narrowed(docs, id=id_col, text=text_col))
+    spans = repeated_spans(once, threshold, gram)
     kind = base.schema["id"].dataType.simpleString()
     schema = (f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
               + (", kept_bytes binary" if texts else ""))

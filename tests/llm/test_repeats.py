@@ -88,6 +88,17 @@ def test_odd_rows(spark, odd_rows):
     check(make_docs(spark, rows).repartition(4), rows)
 
 
+def test_repeated_rows_keep_their_text(spark):
+    """Rows alike in id and text are one document, however long: it repeats nothing."""
+    rnd = random.Random(12)
+    own = ["".join(rnd.choice("abcdefgh ") for _ in range(400)) for _ in range(5)]
+    rows = ([(1, own[0], "a")] * 3 + [(None, own[1], "a")] * 2 + [(None, own[2], "a")]
+            + [(2, own[0] + own[3], "a"), (2, own[4] + own[1][:150], "a")] * 2 + [(3, "b" * 350, "a")] * 2)
+    check(make_docs(spark, rows).repartition(3), rows)
+    got = {r.n_removed for r in remove_repeats(make_docs(spark, rows[:3])).collect()}
+    assert got == {0}
+
+
 def test_very_long_document(spark):
     rnd = random.Random(8)
     text = "".join(rnd.choice("abcdefgh ") for _ in range(1_300_000))
