@@ -1,38 +1,48 @@
 """Toxicity from the nearest labelled examples.
 
-Texts and labelled examples are TF-IDF vectors over terms that tell the labels
-apart.  A block-max inverted index of the examples gives every text its exact
-nearest examples by cosine: blocks of examples carry each term's greatest
-weight, blocks are visited by the bound that follows, and the search ends
-where no bound reaches the k-th best.  Neighbours vote by similarity; a
-logistic curve fitted on left-out examples turns votes into scores, and the
-neighbours are the evidence.
-
-The classifier (terms, examples, curve) is fitted on at most EXAMPLES labelled
-rows; document frequencies are counted over all documents.
+Texts and labelled examples are TF-IDF vectors over all their terms, and every
+text gets its exact nearest examples by cosine; they are the evidence and vote
+by similarity.  A second vote comes from the nearest examples by the terms that
+tell the labels apart, found in a block-max inverted index: blocks of examples
+carry each term's greatest weight, blocks are visited by the bound that
+follows, and the search ends where no bound reaches the k-th best.  A logistic
+curve fitted on left-out examples turns the two votes into a score.
+
+The classifier (examples, curve) is fitted on at most EXAMPLES labelled rows;
+document frequencies are counted over all documents, those of terms that no
+example holds included: these belong to a text's length.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from handprint.llm.common import extended, narrowed, pinned, sliced
 
-#: Bounds of the fit: labelled rows, and terms.
+#: Bounds of the fit: labelled rows, and terms of the second vote.
 EXAMPLES = 8192
 TERMS = 4096
-#: A term must differ from the overall label rate by so many standard errors.
+#: Such a term must differ from the overall label rate by so many standard errors.
 APART = 5.0
 NEIGHBOURS = 16
 BLOCK = 64
 #: Evidence kept for a document.
 SHOWN = 5
+#: Texts whose cosines are computed at a time, and words whose terms a task remembers.
+TOGETHER = 128
+WORDS = 200_000
+#: No place and no hash (these are below 0).
+NO_TERM = (1 << 63) - 1
 
 _TOKEN = re.compile(r"\w+")
 _PREFIXES = (4, 5)
@@ -97,46 +107,140 @@ class BlockMaxIndex:
         return self.order[ids], sims
 
 
+class CosineIndex:
+    """All examples with all their terms, for exact nearest ones by cosine, many texts at a time.
+
+    Terms that many examples hold are a matrix, the others postings; both give
+    cosines up to rounding for every example.  Those that may be among the k
+    best are computed again from the examples' own terms, in one order.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.n = len(vectors)
+        self.bounds = np.cumsum([0, *(len(t) for t, _ in vectors)])
+        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
+        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        place = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(self.n)), np.diff(self.bounds))
+        held = np.bincount(self.term, minlength=n_terms)
+        hot = np.flatnonzero(held > max(BLOCK, self.n // 8))
+        # Twice the error that a sum in 32 bits can have.
+        self.rounding = 2e-7 * (len(hot) + 4)
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[hot] = np.arange(len(hot))
+        self.matrix = np.zeros((len(hot), self.n), np.float32)
+        of_hot = self.column[self.term] >= 0
+        self.matrix[self.column[self.term[of_hot]], place[of_hot]] = self.weight[of_hot]
+        cold = np.flatnonzero(~of_hot)
+        cold = cold[np.argsort(self.term[cold], kind="stable")]
+        self.place, self.part = place[cold], self.weight[cold].astype(np.float32)
+        held[hot] = 0
+        self.start = np.cumsum(np.r_[0, held])
+        self.scratch = np.zeros(n_terms)
+
+    def nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int,
+                skip: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each unit vector (term, weight) its k nearest: (example, cosine), best first.
+
+        Examples share a term with it; ties go to the smaller place.  With
+        ``skip``, vector i leaves out example skip + i.
+        """
+        for begin in range(0, len(asked), TOGETHER):
+            part = asked[begin:begin + TOGETHER]
+            dense = np.zeros((len(part), len(self.matrix)), np.float32)
+            for i, (term, weight) in enumerate(part):
+                hot = self.column[term] >= 0
+                dense[i, self.column[term[hot]]] = weight[hot]
+            about = dense @ self.matrix
+            for i, (term, weight) in enumerate(part):
+                low = self.start[term]
+                count = self.start[term + 1] - low
+                at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+                about[i] += np.bincount(self.place[at], np.repeat(weight, count) * self.part[at],
+                                        self.n)
+                if skip is not None:
+                    about[i, skip + begin + i] = 0
+                yield self.best(term, weight, about[i], k)
+
+    def best(self, term: np.ndarray, weight: np.ndarray, about: np.ndarray,
+             k: int) -> tuple[np.ndarray, np.ndarray]:
+        least = np.partition(about, self.n - k)[self.n - k] if self.n > k else 0
+        found = np.flatnonzero((about > 0) & (about >= least - self.rounding))
+        self.scratch[term] = weight
+        cosine = np.array([(self.weight[a:b] * self.scratch[self.term[a:b]]).sum() for a, b in
+                           zip(self.bounds[found], self.bounds[found + 1], strict=True)])
+        self.scratch[term] = 0
+        order = np.lexsort((found, -cosine))[:k]
+        return found[order], cosine[order]
+
+
 class ToxicityModel:
-    """Terms, examples, weights and curve; bounded by EXAMPLES and TERMS."""
+    """Examples with all their terms, weights and curve; bounded by EXAMPLES.
 
-    def __init__(self, vocabulary: list[str], frequency: np.ndarray, n_docs: int,
-                 examples: list[tuple[list[int], list[int]]], labels: np.ndarray, ids: list):
-        self.weight = np.log((1 + n_docs) / (1 + frequency)) + 1
-        self.labels, self.ids = labels.astype(float), ids
+    ``apart`` are the places of the terms that tell the labels apart.
+    """
+
+    def __init__(self, frequency: np.ndarray, n_docs: int, apart: np.ndarray,
+                 terms: list[bytes], counts: list[np.ndarray], labels: np.ndarray):
+        self.labels = labels.astype(float)
         self.rate = float(self.labels.mean()) if len(labels) else 0.0
-        vectors = [self.vector(np.array(t, np.int64), np.array(n, np.int64)) for t, n in examples]
-        self.index = BlockMaxIndex(vectors, max(1, len(vocabulary)))
-        votes = np.array([self.vote(*self.index.nearest(t, w, NEIGHBOURS, skip=i))
-                          for i, (t, w) in enumerate(vectors)])
-        self.curve = fit_curve(votes, self.labels)
-
-    def vector(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(term):
-            return term, np.zeros(0)
+        self.made_of = frequency, n_docs, apart, terms, counts
+        vectors, told = self.build()
+        votes = np.array([(self.vote(*self.sums(*near)), self.apart_vote(*told[i], skip=i))
+                          for i, near in enumerate(self.index.nearest(vectors, NEIGHBOURS, skip=0))])
+        self.curve = fit_curve(votes.reshape(-1, 2), self.labels)
+
+    def build(self):
+        frequency, n_docs, apart, terms, counts = self.made_of
+        self.weight = np.log((1 + n_docs) / (1 + frequency)) + 1
+        self.telling = np.full(len(frequency), -1, np.int64)
+        self.telling[apart] = np.arange(len(apart))
+        examples = [(unpacked(t), n) for t, n in zip(terms, counts, strict=True)]
+        vectors = [self.vector(t, n)[:2] for t, n in examples]
+        told = [self.told(t, n) for t, n in examples]
+        self.index = CosineIndex(vectors, len(frequency))
+        self.apart = BlockMaxIndex(told, max(1, len(apart)))
+        return vectors, told
+
+    # The indexes are many times what they are made of, so a worker makes its own.
+    def __getstate__(self):
+        kept = {k: getattr(self, k) for k in ("labels", "rate", "curve", "made_of")}
+        return zlib.compress(pickle.dumps(kept), 1)
+
+    def __setstate__(self, state):
+        self.__dict__.update(pickle.loads(zlib.decompress(state)))
+        self.build()
+        del self.made_of
+
+    def vector(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """(term, weight, squared length before it was made 1)."""
         weight = (1 + np.log(count)) * self.weight[term]
-        return term, weight / np.sqrt(weight @ weight)
+        square = float(np.sum(weight * weight))
+        return term, weight / np.sqrt(square) if len(term) else weight, square
+
+    def told(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of the terms that tell the labels apart."""
+        held = self.telling[term] >= 0
+        return (self.telling[term[held]], self.vector(term[held], count[held])[1])
 
-    def vote(self, examples: np.ndarray, cosine: np.ndarray) -> float:
+    def sums(self, examples: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
+        """Similarities to examples of label 1, and to all."""
+        return float(np.sum(cosine * self.labels[examples])), float(np.sum(cosine))
+
+    def vote(self, ones: float, every: float) -> float:
         """Similarity-weighted share of label 1, with one vote for the overall rate."""
-        return float((cosine @ self.labels[examples] + self.rate) / (cosine.sum() + 1))
+        return (ones + self.rate) / (every + 1)
 
-    def score(self, term: list[int], count: list[int]) -> tuple[float, list, list]:
-        examples, cosine = self.index.nearest(
-            *self.vector(np.array(term, np.int64), np.array(count, np.int64)), NEIGHBOURS)
-        a, b = self.curve
-        score = 1 / (1 + np.exp(-(a + b * self.vote(examples, cosine))))
-        return (float(score), [self.ids[i] for i in examples[:SHOWN]],
-                [float(c) for c in cosine[:SHOWN]])
+    def apart_vote(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> float:
+        return self.vote(*self.sums(*self.apart.nearest(term, weight, NEIGHBOURS, skip)))
 
 
-def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Logistic curve of label on vote by Newton steps, with a weak prior; (offset, slope)."""
+def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
+    """Logistic curve of label on votes by Newton steps, with a weak prior; (offset, slopes)."""
     if not len(votes):
-        return -4.0, 8.0
-    x = np.stack([np.ones_like(votes), votes], axis=1)
-    beta = np.zeros(2)
-    prior = np.diag([1e-3, 1e-3])
+        return -4.0, 8.0, 0.0
+    x = np.c_[np.ones(len(votes)), votes]
+    beta = np.zeros(x.shape[1])
+    prior = 1e-3 * np.eye(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ beta))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior,
@@ -144,27 +248,139 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
+    return tuple(float(b) for b in beta)
+
+
+def coder(place: dict[str, int]):
+    """text -> (codes, counts) of :func:`terms`, ascending: places, and hashes below 0 for others."""
+    known: dict[str, int] = {}  # word -> its row of the table
+    table = np.empty((WORDS, 1 + len(_PREFIXES)), np.int64)
+
+    def code(term: str) -> int:
+        at = place.get(term)
+        return (xxhash.xxh64_intdigest(term) >> 1) - (1 << 63) if at is None else at
+
+    def run(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal table
+        words = Counter(_TOKEN.findall((text or "").lower()))
+        if len(known) + len(words) > len(table):
+            known.clear()
+            if len(words) > len(table):
+                table = np.empty((len(words), table.shape[1]), np.int64)
+        rows = list(map(known.get, words))
+        if None in rows:
+            for i, word in enumerate(words):
+                if rows[i] is None:
+                    rows[i] = known[word] = len(known)
+                    table[rows[i]] = [code(word), *(
+                        code(word[:k] + "*") if len(word) >= k else NO_TERM for k in _PREFIXES)]
+        flat = table[np.array(rows, np.int64)].ravel()
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), table.shape[1])
+        real = flat != NO_TERM
+        order = np.argsort(flat[real])
+        flat, times = flat[real][order], times[real][order]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else order
+        return flat[first], np.add.reduceat(times, first) if len(flat) else times
+    return run
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Differences of ascending places, as four planes of bytes: mostly zeros, which compress."""
+    return np.diff(codes, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    planes = np.frombuffer(held, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int32)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    bounds = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = pa.array(np.concatenate(parts) if parts else np.zeros(0)).cast(kind)
+    return pa.ListArray.from_arrays(pa.array(bounds), flat)
 
 
-def _counted(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(id, terms, counts) of (id, text): places in the vocabulary, ascending."""
-    place = {t: i for i, t in enumerate(vocabulary)}
-    schema = extended(docs.select("id"), "terms array<int>, counts array<int>")
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    bounds = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _counted(docs: DataFrame, shared) -> DataFrame:
+    """Columns of ``docs`` but text, and its terms.
+
+    ``terms`` (:func:`packed`), ``counts``: places in the vocabulary, ascending;
+    ``rest``, ``rest_counts``: hashes of terms outside of it.
+    """
+    schema = extended(docs.drop("text"), "terms binary, counts array<int>, "
+                                         "rest array<bigint>, rest_counts array<int>")
 
     def run(batches):
+        coded = coder(places_of(shared.value))
         for batch in sliced(batches):
-            held, counts = [], []
-            for text in batch.column("text").to_pylist():
-                found = sorted((place[t], n) for t, n in terms(text).items() if t in place)
-                held.append([t for t, _ in found])
-                counts.append([n for _, n in found])
+            made = [coded(t) for t in batch.column("text").to_pylist()]
+            cut = [int(np.searchsorted(c, 0)) for c, _ in made]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(held, pa.list_(pa.int32())),
-                 pa.array(counts, pa.list_(pa.int32()))], names=schema.names)
+                [batch.column(c) for c in batch.schema.names if c != "text"]
+                + [pa.array([packed(c[k:]) for (c, _), k in zip(made, cut)], pa.binary()),
+                   _lists([n[k:] for (_, n), k in zip(made, cut)], pa.int32()),
+                   _lists([c[:k] for (c, _), k in zip(made, cut)], pa.int64()),
+                   _lists([n[:k] for (_, n), k in zip(made, cut)], pa.int32())],
+                names=schema.names)
     return docs.mapInArrow(run, schema)
 
 
+def vocabulary_of(sample: DataFrame) -> bytes:
+    """All terms of (text), those that most texts hold first; see :func:`places_of`."""
+    def run(batches):
+        for batch in sliced(batches):
+            held = Counter(t for x in batch.column("text").to_pylist() for t in terms(x))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
+                names=["term", "n"])
+    found = (sample.select("text").mapInArrow(run, "term string, n bigint").groupBy("term")
+             .agg(F.sum("n").alias("n")).toArrow())
+    ranked = found.sort_by([("n", "descending"), ("term", "ascending")]).column("term")
+    return zlib.compress("\n".join(ranked.to_pylist()).encode(), 1)
+
+
+def places_of(vocabulary: bytes) -> dict[str, int]:
+    ranked = zlib.decompress(vocabulary).decode()
+    return {t: i for i, t in enumerate(ranked.split("\n"))} if ranked else {}
+
+
+def document_frequency(counted: DataFrame, n_terms: int) -> np.ndarray:
+    """Documents of (terms) that hold each term."""
+    def run(batches):
+        held = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            for part in sliced([batch]):
+                every = [unpacked(t) for t in part.column("terms").to_pylist()]
+                held += np.bincount(np.concatenate([np.zeros(0, np.int32), *every]),
+                                    minlength=n_terms)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["term", "n"])
+    out = np.zeros(n_terms)
+    found = counted.select("terms").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(
+        F.sum("n").alias("n")).toArrow()  # one row for each term of the vocabulary at most
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def rest_squares(counted: DataFrame, n_docs: int) -> DataFrame:
+    """(of, square): squared length, times 2 ** 32, of what lies outside the vocabulary.
+
+    Whole numbers, so that the order of the sum doesn't matter.
+    """
+    cells = counted.select("row", F.explode(F.arrays_zip("rest", "rest_counts")).alias("c")).select(
+        "row", F.col("c.rest").alias("term"), F.col("c.rest_counts").alias("n"))
+    held = cells.groupBy(F.col("term").alias("t")).agg(F.count(F.lit(1)).alias("df"))
+    weight = (1 + F.log("n")) * (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1)
+    return (cells.join(held, cells["term"] == held["t"])
+            .groupBy(F.col("row").alias("of"))
+            .agg(F.sum(F.round(weight * weight * 2.0 ** 32).cast("bigint")).alias("square")))
+
+
 def choose_terms(sample: DataFrame, apart: float = APART, limit: int = TERMS) -> list[str]:
     """Terms of (text, label) whose label rate differs most from the overall one."""
     def run(batches):
@@ -193,9 +409,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ``labels``: id and label (0 or 1; null labels and ids say nothing).  At most
     ``examples`` labelled rows are learnt from, those of least MD5 of their id;
     equal texts count once.  ``score`` is between 0 and 1, ``predicted`` 1 from
-    0.5, ``evidence`` the ids of the nearest examples with their cosines.  Null
-    and empty texts, and texts without any chosen term, have no neighbours and
-    get the curve's value at the overall rate.  Without labels of both kinds
+    0.5, ``evidence`` the ids of the nearest examples with their cosines over
+    whole texts.  Null and empty texts, and texts without any term of an
+    example, have no neighbours and get the curve's value at the overall rate.  Without labels of both kinds
     every text gets the same score.  Repeated rows score alike; an empty table gives an
     empty result.
     """
@@ -212,36 +428,59 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         "id", F.coalesce("text", F.lit("")).alias("text"), "label")
     first = sample.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(
         F.min(F.struct("id", "label", "text")).alias("row"))
-    sample = pinned(first.select("row.*"), "sample")
-    vocabulary = choose_terms(sample)
-
-    counted = pinned(_counted(base, vocabulary), "terms")
+    sample = pinned(first.select("sha", "row.*"), "sample")
+    words = vocabulary_of(sample)
+    vocabulary = places_of(words)
+    n_terms = max(1, len(vocabulary))
+    apart = np.array(sorted(vocabulary[t] for t in choose_terms(sample)), np.int64)
+    del vocabulary
+    places = spark.sparkContext.broadcast(words)
+
+    counted = pinned(_counted(base, places).withColumn("row", F.monotonically_increasing_id()),
+                     "terms")
     n_docs = counted.count()
-    frequency = np.zeros(max(1, len(vocabulary)))
-    for row in (counted.select(F.explode("terms").alias("term")).groupBy("term").count()
-                .collect()):  # one row for each chosen term
-        frequency[row["term"]] = row["count"]
-    of_sample = _counted(sample.select("id", "text"), vocabulary).join(
-        F.broadcast(sample.select(F.col("id").alias("of"), "label")), F.col("id") == F.col("of"))
-    rows = of_sample.select("id", "terms", "counts", "label").orderBy("id").collect()
-    model = ToxicityModel(vocabulary, frequency, n_docs,
-                          [(r["terms"], r["counts"]) for r in rows],
-                          np.array([r["label"] for r in rows], float), [r["id"] for r in rows])
-    shared = spark.sparkContext.broadcast(model)
+    frequency = document_frequency(counted, n_terms)
+    held = _counted(sample, places).orderBy("id", "sha").select(
+        "id", "label", "terms", "counts").toArrow().combine_chunks()
+    shown = held.column("id").combine_chunks()
+    model = ToxicityModel(frequency, n_docs, apart, held.column("terms").to_pylist(),
+                          _arrays(held.column("counts").combine_chunks()),
+                          held.column("label").to_numpy())
+    shared = spark.sparkContext.broadcast((model, shown))
     kind = counted.schema["id"].dataType.simpleString()
-    schema = extended(counted.select("id"), f"score double, predicted int, evidence array<{kind}>, "
-                                            "similarity array<double>")
-    id_type = pa.array([r["id"] for r in rows[:1]]).type if rows else pa.int64()
+    schema = extended(counted.select("row", "id"),
+                      "own double, ones double, every double, apart double, "
+                      f"evidence array<{kind}>, similarity array<double>")
 
     def run(batches):
-        model = shared.value
-        for batch in batches:
-            scored = [model.score(t, n) for t, n in zip(batch.column("terms").to_pylist(),
-                                                        batch.column("counts").to_pylist(),
-                                                        strict=True)]
+        model, shown = shared.value
+        for batch in sliced(batches):
+            asked = list(zip(map(unpacked, batch.column("terms").to_pylist()),
+                             _arrays(batch.column("counts")), strict=True))
+            vectors = [model.vector(t, n) for t, n in asked]
+            near = list(model.index.nearest([(t, w) for t, w, _ in vectors], NEIGHBOURS))
+            sums = [model.sums(*x) for x in near]
+            best = _lists([e[:SHOWN] for e, _ in near], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([s[0] for s in scored], pa.float64()),
-                 pa.array([int(s[0] >= 0.5) for s in scored], pa.int32()),
-                 pa.array([s[1] for s in scored], pa.list_(id_type)),
-                 pa.array([s[2] for s in scored], pa.list_(pa.float64()))], names=schema.names)
-    return counted.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+                [batch.column("row"), batch.column("id"),
+                 pa.array([v[2] for v in vectors], pa.float64()),
+                 pa.array([x[0] for x in sums], pa.float64()),
+                 pa.array([x[1] for x in sums], pa.float64()),
+                 pa.array([model.apart_vote(*model.told(*x)) for x in asked], pa.float64()),
+                 pa.ListArray.from_arrays(best.offsets, shown.take(best.values)),
+                 _lists([c[:SHOWN] for _, c in near], pa.float64())], names=schema.names)
+
+    scored = counted.select("row", "id", "terms", "counts").mapInArrow(run, schema)
+    # Terms outside the vocabulary only make the text's vector longer.
+    rest = rest_squares(counted, n_docs)
+    square = F.coalesce(F.col("square") / F.lit(2.0 ** 32), F.lit(0.0))
+    shorter = F.when(F.col("own") > 0, F.sqrt(F.col("own") / (F.col("own") + square))).otherwise(
+        F.lit(1.0))
+    offset, by_text, by_apart = model.curve
+    vote = (F.col("ones") * F.col("part") + model.rate) / (F.col("every") * F.col("part") + 1)
+    return (scored.join(rest, scored["row"] == rest["of"], "left").withColumn("part", shorter)
+            .withColumn("score", 1 / (1 + F.exp(-(offset + by_text * vote
+                                                  + by_apart * F.col("apart")))))
+            .select(F.col("id").alias(id_col), "score",
+                    (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence",
+                    F.transform("similarity", lambda c: c * F.col("part")).alias("similarity")))

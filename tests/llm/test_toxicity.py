@@ -7,7 +7,7 @@ import pytest
 
 from handprint.llm import toxicity
 from handprint.llm.queries import QUERIES
-from handprint.llm.toxicity import BlockMaxIndex, score_toxicity, terms
+from handprint.llm.toxicity import BlockMaxIndex, CosineIndex, score_toxicity, terms
 from tests.llm.conftest import make_docs
 
 
@@ -80,6 +80,56 @@ def test_scores(spark):
         docs.repartition(9), labels.where("doc_id % 5 <> 0")).collect()))
 
 
+def brute_cosine(rows, sample):
+    """(id, text) -> {example id: cosine} over all terms, frequencies over all rows."""
+    held = [terms(t) for _, t, _ in rows]
+    df = Counter(t for h in held for t in h)
+
+    def vector(text):
+        w = {t: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1)
+             for t, n in terms(text).items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+    known = {i: vector(t) for i, t in sample.items()}
+    return {i: {e: sum(x * v.get(t, 0) for t, x in vector(text).items())
+                for e, v in known.items()} for i, text, _ in rows}
+
+
+def test_cosine_is_of_whole_texts(spark):
+    """Copies of clean examples find them; terms no example holds lengthen a text's vector."""
+    docs, rows, labels, _ = labelled(spark)
+    rows = [r for r in rows if r[0] is not None and r[0] < 700 and r[2] == "a"]
+    rows += [(20_000, rows[11][1], "a"), (20_001, rows[13][1] + " never seen by any example", "a"),
+             (20_002, "never seen", "a")]
+    few = labels.where("doc_id < 60 and toxic is not null")
+    got = {r.doc_id: r for r in score_toxicity(make_docs(spark, rows).repartition(5), few).collect()}
+    want = brute_cosine(rows, {i: t for i, t, _ in rows if i < 60})
+    assert got[20_000].evidence[0] == 11 and abs(got[20_000].similarity[0] - 1) < 1e-9
+    assert got[20_001].evidence[0] == 13 and got[20_001].similarity[0] < 0.99
+    assert got[20_002].evidence == []
+    for i, near in want.items():
+        best = sorted((c for c in near.values() if c > 1e-12), reverse=True)[:5]
+        assert np.allclose(got[i].similarity, best, atol=1e-8)
+        assert np.allclose([near[e] for e in got[i].evidence], best, atol=1e-8)
+
+
+def test_cosine_index_gives_the_exact_nearest():
+    held, asked = vectors(700, 40, 1), vectors(200, 40, 2)
+    index = CosineIndex(held, 40)
+    assert len(index.matrix) > 0
+    dense = np.zeros((700, 40))
+    for i, (t, w) in enumerate(held):
+        dense[i, t] = w
+    for k in (1, 16, 2000):
+        for (t, w), (ids, sims) in zip(asked, index.nearest(asked, k), strict=True):
+            full = np.zeros(40)
+            full[t] = w
+            cosine = dense @ full
+            assert np.allclose(sims, np.sort(cosine[cosine > 1e-12])[::-1][:k])
+            assert np.allclose(cosine[ids], sims)
+    assert all(i not in ids for i, (ids, _) in enumerate(index.nearest(held, 16, skip=0)))
+
+
 def test_sample_bound_holds(spark):
     docs, _, labels, _ = labelled(spark)
     got = score_toxicity(docs, labels, examples=64).collect()
