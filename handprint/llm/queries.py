@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from handprint.llm.audit import filter_audit
 from handprint.llm.common import read
 from handprint.llm.exact import exact_dedup
 from handprint.llm.hosts import judge_urls
@@ -78,6 +79,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "predicted", "evidence", "similarity")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 120 orders of five filters over ``documents``, by source."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return filter_audit(read(spark, sf_dir, "documents"), labels)
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_simhash, op4_secrets,
                                    op5_pieces, op6_mixture, op7_repeats, op8_hosts,
-                                   op9_quality, op10_toxicity)}
+                                   op9_quality, op10_toxicity, op11_filter_audit)}

@@ -206,5 +206,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM figures
 """
 
+AUDIT = r"""
+WITH told AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents),
+marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+  FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT t.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))
+                      > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN first_id IS NOT NULL AND (t.doc_id IS NULL OR t.doc_id > first_id)
+                 THEN 'E' ELSE '' END AS failed
+  FROM told t LEFT JOIN marks m ON t.doc_id = m.doc_id),
+cells AS (
+  SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM masks GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS letter,
+         left(filter_order, step - 1) AS earlier
+  FROM orders, unnest(generate_series(1, 5)) AS u(step)),
+met AS (
+  SELECT part, filter_order, step, letter, failed, n, good, toxic,
+         contains(failed, letter) AS fails,
+         length(translate(earlier, failed, '')) < length(earlier) AS gone
+  FROM cells, steps),
+counted AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails AND length(failed) = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counted
+"""
+
 SQL = {"op2_exact_dedup": EXACT, "op4_secrets": SECRETS, "op6_mixture": MIXTURE,
-       "op8_hosts": HOSTS, "op9_quality": QUALITY}
+       "op8_hosts": HOSTS, "op9_quality": QUALITY,
+       "op11_filter_audit": AUDIT}
