@@ -13,6 +13,7 @@ from handprint.llm.mixture import mixture
 from handprint.llm.pieces import piece_tokens
 from handprint.llm.quality import quality_rules
 from handprint.llm.repeats import remove_repeats
+from handprint.llm.runs import word_runs
 from handprint.llm.secrets import find_secrets, listed
 from handprint.llm.sharding import jump_shards
 from handprint.llm.simhash import simhash_near_dedup
@@ -85,6 +86,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(read(spark, sf_dir, "documents"), labels)
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in ``documents``, every tenth of which repeats its words."""
+    return word_runs(read(spark, sf_dir, "documents"), plant=True).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256",
+        "collapsed_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_simhash, op4_secrets,
                                    op5_pieces, op6_mixture, op7_repeats, op8_hosts,
-                                   op9_quality, op10_toxicity, op11_filter_audit)}
+                                   op9_quality, op10_toxicity, op11_filter_audit, op12_runs)}

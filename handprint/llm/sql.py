@@ -256,6 +256,61 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM counted
 """
 
+RUNS = r"""
+WITH raw AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         -- CRC-32, bit by bit: a byte is xor-ed in, then follow eight shifts.
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+               string_split(CAST(doc_id AS VARCHAR), ''),
+               lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+                               WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT)
+                               ELSE c >> 1 END), 4294967295::BIGINT) AS h
+  FROM documents),
+part AS (
+  SELECT rid, doc_id, words, h % 10 = 0 AND len(words) > 0 AS chosen, h // 10 AS g,
+         len(words) AS n,
+         CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a
+  FROM raw),
+planted AS (
+  SELECT rid, doc_id, n,
+         CASE WHEN chosen THEN list_transform(generate_series(0, n - 1), lambda i:
+                CASE WHEN i >= a THEN words[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1]
+                     ELSE words[i + 1] END) ELSE words END AS words
+  FROM part),
+tok AS (
+  SELECT rid, n, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM planted),
+same AS (
+  SELECT x.rid, x.i, y.i - x.i AS q
+  FROM tok x JOIN tok y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT rid, q, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island, i FROM same),
+repetitive AS (
+  SELECT rid, q, min(i) AS s, count(*) + q AS len FROM stretches GROUP BY rid, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM repetitive r WHERE NOT EXISTS (
+    SELECT 1 FROM repetitive o
+    WHERE o.rid = r.rid AND o.q < r.q AND o.s <= r.s AND o.s + o.len >= r.s + r.len)),
+listed AS (
+  SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), ''
+         ORDER BY s, q) AS lines,
+         arg_min({'s': s, 'len': len, 'q': q}, (-len, s, q)) AS most
+  FROM runs GROUP BY rid),
+dropped AS (
+  SELECT DISTINCT r.rid, t.i FROM runs r JOIN tok t
+    ON t.rid = r.rid AND t.i >= r.s + r.q AND t.i < r.s + r.len),
+collapsed AS (
+  SELECT t.rid, string_agg(w, ' ' ORDER BY t.i) AS kept
+  FROM tok t ANTI JOIN dropped d ON t.rid = d.rid AND t.i = d.i GROUP BY t.rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, most.s::BIGINT AS start,
+       most.len::BIGINT AS length, most.q::BIGINT AS period,
+       (1000 * most.len // most.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM planted LEFT JOIN listed USING (rid) LEFT JOIN collapsed USING (rid)
+"""
+
 SQL = {"op2_exact_dedup": EXACT, "op4_secrets": SECRETS, "op6_mixture": MIXTURE,
        "op8_hosts": HOSTS, "op9_quality": QUALITY,
-       "op11_filter_audit": AUDIT}
+       "op11_filter_audit": AUDIT, "op12_runs": RUNS}
