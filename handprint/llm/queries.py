@@ -19,6 +19,7 @@ from handprint.llm.sharding import jump_shards
 from handprint.llm.simhash import simhash_near_dedup
 from handprint.llm.sql import SQL  # noqa: F401  (read by the entry)
 from handprint.llm.toxicity import score_toxicity
+from handprint.llm.walks import edit_fingerprints
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +94,12 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "collapsed_sha256")
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit-embedding fingerprints of all ``documents``, their edited texts and near classes."""
+    return edit_fingerprints(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_simhash, op4_secrets,
                                    op5_pieces, op6_mixture, op7_repeats, op8_hosts,
-                                   op9_quality, op10_toxicity, op11_filter_audit, op12_runs)}
+                                   op9_quality, op10_toxicity, op11_filter_audit, op12_runs,
+                                   op13_fingerprints)}
