@@ -4,7 +4,8 @@
 returns a DataFrame, which is written as Parquet and read again as the next
 one's docs.  All stages but the last return the columns of ``documents``.
 Every stage treats null ids and texts, empty tables, repeated rows and extra
-columns as the operator it calls does.
+columns as the operator it calls does; rows are known by a 128-bit key of their
+id and text, so of rows alike in both the dedup stages keep one.
 """
 
 from __future__ import annotations
@@ -46,32 +47,36 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays (null and empty texts are equal)."""
     stay = exact_dedup(docs).where("kept").select(F.col("row_key").alias("__row")).distinct()
     met = _keyed(docs).join(stay, F.col(KEY) == F.col("__row"), "left_semi")
     return met.dropDuplicates([KEY]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays (nulls last)."""
+    """Of each component the document with the smallest id stays (nulls last).
+
+    Components are told apart by their root, so documents that share an id, or
+    have none, but not their component, all stay.
+    """
     rows = simhash_near_dedup(docs)
     named = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"),
                      F.col("row_key").alias("k"))
-    # A component without any id is known by its rows' fingerprint instead.
-    stay = rows.groupBy("component_id", F.when(F.col("component_id").isNull(),
-                                               F.col("fingerprint")).alias("f")).agg(
-        F.min(named)["k"].alias("__row")).select("__row")
+    stay = rows.groupBy("root").agg(F.min(named)["k"].alias("__row")).select("__row")
     met = _keyed(docs).join(stay, F.col(KEY) == F.col("__row"), "left_semi")
     return met.dropDuplicates([KEY]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it; empty texts have no words and go."""
     return repeated(docs, mixture(docs))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every emitted document, with the digests of ids and decoded text."""
+    """Token ids of every emitted document, with the digests of ids and decoded text.
+
+    A null or empty text has no ids.
+    """
     return piece_tokens(docs, ids=True)
 
 

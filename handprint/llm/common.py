@@ -42,9 +42,10 @@ def narrowed(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def row_key(row_id: Column, text: Column) -> Column:
-    """64-bit key of a row: its id and its text.  Rows alike in both share it."""
-    return F.xxhash64(F.coalesce(row_id.cast("string"), F.lit("\x00null")),
-                      row_id.isNull(), F.coalesce(text, F.lit("")), text.isNull())
+    """128-bit key of a row: its id and its text.  Rows alike in both share it."""
+    def told(x: Column) -> Column:
+        return F.when(x.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), x.cast("string")))
+    return F.unhex(F.md5(F.concat(told(row_id), F.lit("\n"), told(text)).cast("binary")))
 
 
 def extended(df: DataFrame, ddl: str) -> StructType:

@@ -23,20 +23,24 @@ from handprint.llm.walks import edit_fingerprints
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 16 shards by key, and in 17."""
     out = jump_shards(read(spark, sf_dir, "documents"), 16, grown=17)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
                       "grown_shard")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of all ``documents``."""
     return exact_dedup(read(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_near_dedup(read(spark, sf_dir, "documents")).drop("row_key")
+    """SimHash fingerprints and components of all ``documents``."""
+    return simhash_near_dedup(read(spark, sf_dir, "documents")).drop("row_key", "root")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all ``documents``: counts, digest and list of spans."""
     def count(place: int):
         return F.size(F.filter("found", lambda s: s["kind"] == place)).cast("bigint")
     found = find_secrets(read(spark, sf_dir, "documents"))
@@ -47,15 +51,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all ``documents`` and their decoded texts, as digests."""
     return piece_tokens(read(spark, sf_dir, "documents"))
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each of all ``documents``, in words."""
     return mixture(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated passages removed from all ``documents``."""
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
@@ -68,12 +75,14 @@ def op8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures and verdicts of all ``documents``."""
     return quality_rules(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all ``documents``, learnt from labels that are not held out."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
     scored = score_toxicity(read(spark, sf_dir, "documents"), labels)

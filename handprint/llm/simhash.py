@@ -5,8 +5,9 @@ hashes.  Distinct fingerprints that differ in at most ``max_bits`` bits link.
 
 Candidates: by the pigeonhole principle two such fingerprints agree on
 ``pieces - max_bits`` of ``pieces`` bit ranges, so they meet in the bucket of
-that choice of ranges.  Inside a bucket every fingerprint's Hamming distances
-to many reference fingerprints (the pivots) are computed first; by the
+that choice of ranges.  The more fingerprints, the more ranges are chosen, so
+that a bucket's bits outgrow them.  Inside a bucket every fingerprint's Hamming
+distances to several reference fingerprints (the pivots) are computed first; by the
 triangle inequality a pair whose distances to any pivot differ by more than
 ``max_bits`` cannot link and is discarded; survivors are verified.  Buckets
 are cut into tiles, so no bucket is one task, and a tile returns a spanning
@@ -16,6 +17,7 @@ linear in the bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,13 +31,15 @@ from handprint.llm.common import extended, map_rows, narrowed, pinned, row_key
 
 SHINGLE = 4
 MAX_BITS = 4
+#: Bit ranges at least; see :func:`pieces_for`.
 PIECES = 6
+PIVOTS = 8
 #: Fingerprints on one side of a tile.
 TILE = 2048
 SEED = 42
 
 
-def pivots(n: int = 32) -> np.ndarray:
+def pivots(n: int = PIVOTS) -> np.ndarray:
     """Reference fingerprints: the first n outputs of splitmix64 from 0."""
     with np.errstate(over="ignore"):
         z = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -127,6 +131,15 @@ def bit_ranges(pieces: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
+def pieces_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """The fewest bit ranges whose buckets have over log2(n) bits, so that unlike
+    fingerprints meet about once in a choice of ranges, however many there are."""
+    pieces = max(PIECES, max_bits + 2)
+    while pieces < 64 and 64 * (pieces - max_bits) // pieces <= math.log2(max(2, n)):
+        pieces += 1
+    return pieces
+
+
 def bucketed(prints: DataFrame, max_bits: int, pieces: int) -> DataFrame:
     """(bucket, fp): every fingerprint once for each choice of agreeing ranges."""
     if not 0 <= max_bits < pieces <= 64:
@@ -189,8 +202,9 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS, pieces: int =
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root): smallest node reachable, for every node with a link.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until
-    nothing changes.  Each round is written to the checkpoint folder; so are the
+    Alternates large-star and small-star steps (Kiveris et al., 2014) until the
+    links are stars: no node has two smaller neighbours, or one that has a
+    smaller neighbour itself.  Each round is written to the checkpoint folder; so are the
     least neighbours, for then a join meets them alone and Spark can split the
     neighbours of a node that has very many.
     """
@@ -199,13 +213,12 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
             "a <> b").distinct()
 
     edges = pinned(directed(links), name)
-    sign = F.xxhash64("a", "b") % 1_000_003
-    before = None
     while True:
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(sign).alias("s")).first()
-        if state == before or not state["n"]:
+        forks = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        chains = edges.select(F.col("b").alias("u")).distinct().join(
+            edges.select(F.col("a").alias("u")).distinct(), "u")
+        if forks.select("a").union(chains.select("u")).isEmpty():
             break
-        before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = pinned(both.groupBy(F.col("a").alias("u")).agg(
             F.least(F.min("b"), F.min("a")).alias("m")), f"{name}-least")
@@ -224,11 +237,12 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                       pieces: int = PIECES) -> DataFrame:
-    """One row per document: id, row_key, fingerprint (16 hex digits), component_id.
+                       pieces: int | None = None) -> DataFrame:
+    """One row per document: id, row_key, fingerprint (16 hex digits), component_id, root.
 
     ``component_id`` is the smallest id reachable over links, the document
-    itself included.  Texts without words (null, empty, white space) have
+    itself included; ``root`` is the component's own name, one of its
+    fingerprints.  ``pieces``: by default chosen from the number of fingerprints.  Texts without words (null, empty, white space) have
     fingerprint zero and link like any other; null ids never become a
     component's id (all ids null: null); repeated rows share fingerprint and
     component; an empty table gives an empty result.
@@ -249,11 +263,18 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = extended(base.select("id", "row"), "fp bigint")
     signed = pinned(map_rows(base, make, schema), "fingerprints")
     nodes = pinned(signed.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    pieces = pieces or pieces_for(nodes.count(), max_bits)
     roots = components(fingerprint_links(nodes.select("fp"), max_bits, pieces))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.join(least, "root").select("fp", "component_id")
-    return signed.join(known, "fp").select(
+    # Pinned: a join then has scans on both sides, and Spark can split a large component.
+    rooted = pinned(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = pinned(rooted.groupBy(F.col("root").alias("of")).agg(
+        F.min("first").alias("component_id")), "least")
+    known = pinned(rooted.join(least, rooted["root"] == least["of"]).select(
+        F.col("fp").alias("known"), "component_id", "root"), "known")
+
+    def hexed(fp: str):
+        return F.lower(F.lpad(F.hex(fp), 16, "0"))
+    return signed.join(known, signed["fp"] == known["known"]).select(
         F.col("id").alias(id_col), F.col("row").alias("row_key"),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("root"))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
 import sentencepiece
+from handprint.llm.common import row_key
 from handprint.llm.mixture import mixture
 from handprint.llm.pieces import default_model
 from handprint.llm.queries import QUERIES
@@ -14,7 +15,7 @@ from tests.llm.conftest import make_docs
 
 def test_stage_names():
     assert [n for n, _ in cp.STAGES] == ["quality", "exact", "near", "mixture", "tokens"]
-    assert len([q for q in QUERIES if re.match(r"op\d+_", q)]) == 10
+    assert len([q for q in QUERIES if re.match(r"op\d+_", q)]) == 13
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark, odd_docs, no_docs, tmp_path):
@@ -45,14 +46,29 @@ def test_exact_stage(spark, odd_docs, odd_rows):
 
 
 def test_near_stage(spark, odd_docs, odd_rows):
-    out = cp.near_stage(spark, odd_docs, "").collect()
-    known = brute_components([(i, fingerprint(t)) for i, t, _ in odd_rows])
-    least = {v for v in known.values() if v is not None}
-    assert Counter(r.doc_id for r in out if r.doc_id is not None) == Counter(least)
-    groups = defaultdict(list)
-    for r in out:
-        groups[fingerprint(r.text)].append(r)
-    assert all(len(g) == 1 for g in groups.values())
+    """One row of every component, counted: also where an id occurs in two of them."""
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = odd_rows + [(1, " ".join(words), "a"), (1, " ".join(reversed(words)), "a"),
+                       (None, "alpha beta gamma", "a"), (None, "delta epsilon zeta", "a")]
+    out = cp.near_stage(spark, make_docs(spark, rows).repartition(4), "").collect()
+    prints = [fingerprint(t) for _, t, _ in rows]
+    # Every fingerprint as its own id, so that a component's name is its least fingerprint.
+    component = brute_components([(f, f) for f in set(prints)])
+    want = {}
+    for (i, _, _), f in zip(rows, prints, strict=True):
+        least = want.setdefault(component[f], (True, None))
+        want[component[f]] = min(least, (i is None, i), key=lambda x: (x[0], x[1] or 0))
+    assert len(out) == len(want)
+    assert Counter(component[fingerprint(r.text)] for r in out) == Counter(list(want))
+    assert all(want[component[fingerprint(r.text)]][1] == r.doc_id for r in out)
+    assert sum(r.doc_id == 1 for r in out) == 2 and sum(r.doc_id is None for r in out) >= 2
+
+
+def test_row_keys_tell_rows_apart(spark):
+    rows = [(1, None), (1, ""), (None, "1"), (1, "1"), (None, None), (1, "-"), (1, "x"), (1, "x")]
+    frame = spark.createDataFrame(rows, "i bigint, t string")
+    keys = [bytes(r[0]) for r in frame.select(row_key(frame["i"], frame["t"])).collect()]
+    assert len(set(keys)) == len(set(rows)) and all(len(k) == 16 for k in keys)
 
 
 def test_mixture_and_token_stage(spark, odd_docs):

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -6,8 +7,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from handprint.llm.simhash import (components, fingerprint, fingerprint_links, pivots,
-                                   simhash_near_dedup, tile_components)
+from handprint.llm.simhash import (components, fingerprint, fingerprint_links, pieces_for,
+                                   pivots, simhash_near_dedup, tile_components)
 
 
 def brute_print(text, k=4):
@@ -78,6 +79,15 @@ def test_links_of_close_prints_across_tiles(spark):
         assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
 
 
+def test_pieces_grow_with_the_fingerprints():
+    assert pieces_for(0) == pieces_for(1 << 20) == 6
+    assert pieces_for(30_000_000_000) == 9
+    for n in (10, 1 << 22, 1 << 30, 1 << 35):
+        p = pieces_for(n)
+        assert 64 * (p - 4) // p > math.log2(n)
+    assert pieces_for(100, 9) == 11
+
+
 def test_tile_keeps_pairs_between_blocks_only():
     fps = np.array([0, 1, 3, 1 << 40], np.uint64)
     tiles = np.zeros(4, np.int64)
