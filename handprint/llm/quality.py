@@ -17,12 +17,11 @@ from pyspark.sql import functions as F
 
 from handprint.llm.common import extended, narrowed, pinned, row_key, sliced
 
-#: A line is boilerplate when more than MIN_DOCS distinct documents of its host
-#: and more than MAX_SHARE of them hold it.
-MIN_DOCS = 20
-MAX_SHARE = 0.05
-#: A document is depleted when the removal takes more than this share of its words.
-MAX_REMOVED = 0.8
+#: A line is boilerplate when more than so many distinct documents of its host hold it.
+MAX_DOCS = 5
+#: A document is depleted when the removal takes more than so many percent of its
+#: words, or leaves fewer than MIN_WORDS.
+MAX_REMOVED = 25
 MIN_WORDS = 50
 MAX_REPEATED = 50
 
@@ -68,19 +67,19 @@ def measure(text: str | None) -> tuple:
                           len(held)))
             dup += line in seen
             seen.add(line)
-    content = xxhash.xxh64_intdigest(np.array([x[0] for x in lines], np.int64).tobytes())
+    content = xxhash.xxh3_128_digest(np.array([x[0] for x in lines], np.int64).tobytes())
     return (len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), dup,
-            repeated_words(words), content - (1 << 63), [x[0] for x in lines], [x[1] for x in lines])
+            repeated_words(words), content, [x[0] for x in lines], [x[1] for x in lines])
 
 
 _MEASURED = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-             "n_repeat_words bigint, content bigint, lines array<bigint>, sizes array<bigint>")
+             "n_repeat_words bigint, content binary, lines array<bigint>, sizes array<bigint>")
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """Base figures and line hashes of (id, host, text, row), without the texts."""
     schema = extended(docs.drop("text"), _MEASURED)
-    kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+    kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.list_(pa.int64())] * 2
 
     def run(batches):
         for batch in sliced(batches):
@@ -92,27 +91,36 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS,
-                   max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, n_docs) of lines above the limit.
+def distinct_contents(figures: DataFrame) -> DataFrame:
+    """(host, content, lines, sizes): copies of one text on a host are one document.
 
-    ``lines``: host, content, lines.  Copies of one text are one document:
-    ``content`` is the
-    hash of the normalised lines.
+    ``content`` is the hash of a text's normalised lines; copies are put
+    together before the shuffle.
     """
-    distinct = lines.groupBy("host", "content").agg(F.first("lines").alias("lines"))
-    hosts = distinct.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("n_host"))
-    held = (distinct.select("host", F.explode(F.array_distinct("lines")).alias("line"))
+    return figures.groupBy("host", "content").agg(F.first("lines").alias("lines"),
+                                                  F.first("sizes").alias("sizes"))
+
+
+def frequent_lines(contents: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line, n_docs) of lines that more than ``max_docs`` contents of a host hold."""
+    return (contents.select("host", F.explode(F.array_distinct("lines")).alias("line"))
             .groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
-            .where(F.col("n_docs") > min_docs))
-    return (held.join(hosts, held["host"].eqNullSafe(hosts["of"]))
-            .where(F.col("n_docs") > F.lit(max_share) * F.col("n_host"))
-            .select("host", "line", "n_docs"))
+            .where(F.col("n_docs") > max_docs))
+
+
+def hits(contents: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(of_host, of_content, frequent, removed_words) of contents with frequent lines."""
+    held = contents.select(F.col("host").alias("of_host"), F.col("content").alias("of_content"),
+                           F.explode(F.arrays_zip("lines", "sizes")).alias("one"))
+    met = held.join(frequent, held["of_host"].eqNullSafe(frequent["host"])
+                    & (held["one.lines"] == frequent["line"]))
+    return met.groupBy("of_host", "of_content").agg(
+        F.collect_set("line").alias("frequent"), F.sum("one.sizes").alias("removed_words"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  host_col: str = "source", min_docs: int = MIN_DOCS,
-                  max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+                  host_col: str = "source", max_docs: int = MAX_DOCS,
+                  max_removed: int = MAX_REMOVED) -> DataFrame:
     """One row per document: base figures, verdict and the lines to remove.
 
     Columns: id, row_key, n_words, word_chars, n_symbols, n_dup_lines,
@@ -120,41 +128,35 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document's lines above the limit, see :func:`without_lines`), kept.
 
     ``base_failed``: fewer than 50 words, or over half of the words in
-    repeated 3-word windows.  ``kept``: passes the base rules and loses at
-    most ``max_removed`` of its words to the line removal.  Null and empty
-    texts have no words and fail the base rules; a null host is a host;
-    repeated rows count as one document and get the same verdict; an empty
-    table gives an empty result.
-
-    The limit is a share of the host's distinct documents, with a floor, so at
-    most 1 / max_share times a document's lines can be above it: the table of
-    frequent lines grows with the hosts, not with the corpus.
+    repeated 3-word windows.  ``kept``: passes the base rules, loses at most
+    ``max_removed`` percent of its words to the line removal and has 50 left.
+    Null and empty texts have no words and fail the base rules; a null host is
+    a host; repeated rows count as one document and get the same verdict; an
+    empty table gives an empty result.
+
+    The limit is a number of documents, the same for hosts of any size.
+    Frequent lines meet documents as rows of (host, line), counted before the
+    shuffle; contents and frequent lines are written first, so that Spark can
+    split a line that very many documents hold.
     """
     base = narrowed(docs, id=id_col, text=text_col, host=host_col).withColumn(
         "row", row_key(F.col("id"), F.col("text")))
     figures = pinned(measured(base.select("id", "host", "row", "text")), "quality")
-    frequent = frequent_lines(figures.select("host", "content", "lines"), min_docs, max_share)
-    # One row per host with its frequent lines; documents meet it on the host.
-    per_host = pinned(frequent.groupBy(F.col("host").alias("of"))
-                      .agg(F.collect_list("line").alias("above")), "frequent")
-    joined = figures.join(per_host, figures["host"].eqNullSafe(per_host["of"]), "left")
-    above = F.coalesce("above", F.array().cast("array<bigint>"))
-    hit = F.array_intersect("lines", above)
-    removed = F.aggregate(
-        F.zip_with("lines", "sizes", lambda line, n: F.when(
-            F.array_contains(F.col("frequent"), line), n).otherwise(F.lit(0).cast("bigint"))),
-        F.lit(0).cast("bigint"), lambda a, b: a + b)
+    contents = pinned(distinct_contents(figures), "contents")
+    found = pinned(hits(contents, pinned(frequent_lines(contents, max_docs), "frequent")), "hits")
+    joined = figures.join(found, figures["host"].eqNullSafe(found["of_host"])
+                          & (figures["content"] == found["of_content"]), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return (joined.withColumn("frequent", hit)
-            .withColumn("removed_words", F.when(F.size("frequent") > 0, removed)
-                        .otherwise(F.lit(0).cast("bigint")))
-            .withColumn("base_failed", failed)
-            .withColumn("kept", ~F.col("base_failed")
-                        & (F.col("removed_words") <= F.lit(max_removed) * F.col("n_words")))
-            .select(F.col("id").alias(id_col), F.col("row").alias("row_key"), "n_words",
-                    "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                    "removed_words", "frequent", "kept"))
+    removed = F.coalesce("removed_words", F.lit(0)).cast("bigint")
+    depleted = (100 * removed > max_removed * F.col("n_words")) | (
+        F.col("n_words") - removed < MIN_WORDS)
+    return joined.select(
+        F.col("id").alias(id_col), F.col("row").alias("row_key"), "n_words", "word_chars",
+        "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        removed.alias("removed_words"),
+        F.coalesce("frequent", F.array().cast("array<bigint>")).alias("frequent"),
+        (~failed & ~depleted).alias("kept"))
 
 
 def without_lines(text: Column, frequent: Column) -> Column:

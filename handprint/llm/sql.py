@@ -180,13 +180,11 @@ covered AS (
   SELECT rid, count(DISTINCT i + d) AS n_repeat_words
   FROM twice, unnest([0, 1, 2]) AS u(d) GROUP BY rid),
 contents AS (SELECT DISTINCT source, plain FROM held),
-hosts AS (SELECT source, count(*) AS n_host FROM contents GROUP BY source),
 lined AS (
   SELECT source, line, count(*) AS n_docs
   FROM (SELECT source, unnest(list_distinct(plain)) AS line FROM contents) GROUP BY ALL),
 frequent AS (
-  SELECT l.source, l.line FROM lined l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  WHERE n_docs > 20 AND n_docs > 0.05 * n_host),
+  SELECT source, line FROM lined WHERE n_docs > 5),
 removed AS (
   SELECT o.rid, sum(len(string_split(o.line, ' '))) AS removed_words
   FROM (SELECT rid, source, unnest(plain) AS line FROM held) o JOIN frequent f
@@ -202,7 +200,7 @@ figures AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-         AND removed_words <= 0.8 * n_words AS kept
+         AND 100 * removed_words <= 25 * n_words AND n_words - removed_words >= 50 AS kept
 FROM figures
 """
 

@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from handprint.llm.quality import (MAX_REMOVED, MAX_SHARE, MIN_DOCS, line_hash, quality_rules,
+from handprint.llm.quality import (MAX_DOCS, MAX_REMOVED, line_hash, quality_rules,
                                    repeated_words, without_lines)
 from tests.llm.conftest import make_docs
 
@@ -31,11 +31,10 @@ def brute(rows):
     counts = {s: Counter(x for c in cs for x in set(c)) for s, cs in contents.items()}
     out = []
     for i, t, s in rows:
-        frequent = {x for x in plain[t] if counts[s][x] > MIN_DOCS
-                    and counts[s][x] > MAX_SHARE * len(contents[s])}
+        frequent = {x for x in plain[t] if counts[s][x] > MAX_DOCS}
         gone = sum(len(x.split(" ")) for x in plain[t] if x in frequent)
         b = base(t)
-        out.append((i, *b, gone, not b[5] and gone <= MAX_REMOVED * b[0]))
+        out.append((i, *b, gone, not b[5] and 100 * gone <= MAX_REMOVED * b[0] and b[0] - gone >= 50))
     return Counter(out)
 
 
@@ -87,5 +86,27 @@ def test_repeated_words():
     assert repeated_words("a a a".split()) == repeated_words([]) == 0
 
 
+def test_limit_is_the_same_for_hosts_of_any_size(spark):
+    """Six documents with a line lose it on a host of six and on one of four hundred."""
+    def own(i):
+        return " ".join(f"o{i}x{j}" for j in range(100))
+    rows = [(i, f"{own(i)}\na line of some", "ab"[i % 2]) for i in range(12)]
+    rows += [(100 + i, own(100 + i), "a") for i in range(400)]
+    rows += [(600 + i, f"{own(600 + i)}\nfive only", "a") for i in range(5)]
+    rows += [(700 + i, "\n".join([own(700 + i)[:300], *(f"many shared lines here {k}"
+              for k in range(12))]), "c") for i in range(6)]
+    check(make_docs(spark, rows).repartition(5), rows)
+    got = {r.doc_id: r for r in quality_rules(make_docs(spark, rows)).collect()}
+    assert {got[i].removed_words for i in range(12)} == {4}
+    assert {got[600 + i].removed_words for i in range(5)} == {0}
+    assert not any(got[700 + i].kept or got[700 + i].base_failed for i in range(6))
+
+
+def test_the_method_itself_rejects(spark):
+    """On the given rows some documents pass the base rules and are rejected as depleted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert quality_rules(docs).where("not base_failed and not kept").count() > 0
+
+
 def test_empty(no_docs):
     assert quality_rules(no_docs).count() == 0
