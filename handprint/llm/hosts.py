@@ -3,9 +3,9 @@
 Labelled page outcomes (bad or not) are counted per host.  Beta-binomial
 priors shrink a suffix towards all pages, a registered domain towards its
 suffix and a host towards its domain; the strength of each prior is estimated
-from how much the children of that level differ.  A host whose posterior bad
-rate is above a limit with the wanted certainty is blocked.  DataFrame
-functions only.
+from how much the children of that level differ.  A host is blocked whose
+posterior bad rate is above the overall rate (times LIFT) with the wanted
+certainty.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
          ("allow", "org/fr/"))
 #: Labels under a two-letter country code that belong to the public suffix.
 SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
-#: A host is blocked if its bad rate is above LIMIT, by CERTAIN standard deviations.
-LIMIT = 0.5
+#: A host is blocked if its bad rate is above LIFT times the overall rate, by LIKELY
+#: standard deviations (0.253: with 60 % certainty).
+LIFT = 1.0
+LIKELY = 0.253
+#: Standard deviations of a bound with 95 % certainty.
 CERTAIN = 1.645
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
@@ -90,11 +93,12 @@ def strength(children: DataFrame) -> float:
     return min(STRONGEST, max(WEAKEST, 1 / rho - 1)) if rho > 0 else STRONGEST
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, domain, suffix, rate, bound) for every host of ``outcomes``.
+def reputations(outcomes: DataFrame, certain: float = CERTAIN) -> DataFrame:
+    """(host, n, bad, domain, suffix, rate, bound, overall) for every host of ``outcomes``.
 
     ``outcomes``: host, bad (boolean, null: page without label).  ``rate`` is the
-    posterior mean of the bad rate, ``bound`` its lower bound.  Hosts without
+    posterior mean of the bad rate, ``bound`` its lower bound (``certain``
+    standard deviations below), ``overall`` the bad rate of all labelled pages.  Hosts without
     labelled pages get what their domain says.  Without any label all rates
     are 0 and nothing is blocked.
     """
@@ -119,19 +123,21 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     rate = shrunk(by_host, F.col("of_domain"))
     sd = F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(by_host) + 1))
     return met.select("host", "n", "bad", "domain", "suffix", rate.alias("rate"),
-                      F.greatest(F.lit(0.0), rate - F.lit(CERTAIN) * sd).alias("bound"))
+                      F.greatest(F.lit(0.0), rate - F.lit(certain) * sd).alias("bound"),
+                      F.lit(overall).alias("overall"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id",
                url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES,
-               limit: float = LIMIT) -> DataFrame:
+               lift: float = LIFT, certain: float = LIKELY) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, rate, bound.
 
     ``outcomes``: id, bad (boolean): labelled pages; a page is bad if any of
     its labels says so, null labels say nothing.  A url without ``://``, or
     null, has empty host and path; such pages are one host.  The longest rule
     that fits decides (rule and verdict); otherwise rule is null and the
-    host's reputation decides.  Repeated rows count as pages of their own and get the same
+    host's reputation decides: block where ``bound`` is above ``lift`` times the
+    overall rate.  Repeated rows count as pages of their own and get the same
     verdict; pages with a null id have no label; an empty table gives an
     empty result.
 
@@ -144,10 +150,12 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id",
     label = (narrowed(outcomes, of=outcomes.columns[0], bad=outcomes.columns[1])
              .groupBy("of").agg(F.max("bad").alias("bad")))
     labelled = base.join(label, base["id"] == label["of"], "left").select("host", "bad")
-    known = pinned(reputations(labelled).select("host", "rate", "bound"), "reputations")
+    known = pinned(reputations(labelled, certain).select("host", "rate", "bound", "overall"),
+                   "reputations")
     rule = rule_for(F.col("host"), F.col("path"), rules)
     met = base.join(known, "host", "left").withColumn("by", rule)
     verdict = F.coalesce(F.col("by.verdict"),
-                         F.when(F.col("bound") > limit, "block").otherwise("allow"))
+                         F.when(F.col("bound") > lift * F.col("overall"), "block")
+                         .otherwise("allow"))
     return met.select(F.col("id").alias(id_col), "host", "path", F.col("by.rule").alias("rule"),
                       verdict.alias("verdict"), "rate", "bound")

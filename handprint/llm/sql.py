@@ -138,7 +138,7 @@ m AS (
          (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(n), 0), 0) FROM suffixes) AS overall
   FROM strength),
 rated AS (
-  SELECT h.host, h.n, mh,
+  SELECT h.host, h.n, mh, overall,
          (h.bad + mh * (d.bad + md * (s.bad + ms * overall) / (s.n + ms)) / (d.n + md))
            / (h.n + mh) AS rate
   FROM hosts h JOIN domains d USING (domain, suffix) JOIN suffixes s USING (suffix), m),
@@ -153,8 +153,8 @@ fitting AS (
        AND starts_with(p.path, substr(rule, instr(rule, '/')))
   GROUP BY p.host, p.path)
 SELECT page_id, p.host, p.path, rule,
-       coalesce(verdict, CASE WHEN greatest(0, rate - 1.645 * sqrt(rate * (1 - rate)
-                                   / (n + mh + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN greatest(0, rate - 0.253 * sqrt(rate * (1 - rate)
+                                   / (n + mh + 1))) > overall THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN rated USING (host) LEFT JOIN fitting f
   ON p.host = f.host AND p.path = f.path
 """

@@ -1,16 +1,16 @@
 """Toxicity from the nearest labelled examples.
 
-Texts and labelled examples are TF-IDF vectors over all their terms, and every
-text gets its exact nearest examples by cosine; they are the evidence and vote
-by similarity.  A second vote comes from the nearest examples by the terms that
-tell the labels apart, found in a block-max inverted index: blocks of examples
-carry each term's greatest weight, blocks are visited by the bound that
-follows, and the search ends where no bound reaches the k-th best.  A logistic
-curve fitted on left-out examples turns the two votes into a score.
-
-The classifier (examples, curve) is fitted on at most EXAMPLES labelled rows;
-document frequencies are counted over all documents, those of terms that no
-example holds included: these belong to a text's length.
+Texts and labelled examples are TF-IDF vectors over all their terms.  One
+block-max inverted index gives every text its exact nearest examples by cosine;
+they are the evidence.  They vote twice: by their cosine, and by the greatest
+part that a single shared rare term has in it, which tells one telling term from
+many common ones.  A logistic curve fitted on left-out examples turns
+the two votes into a score.
+
+The classifier (examples, curve) is fitted on at most EXAMPLES labelled rows
+with at most EXAMPLE_CHARS characters; document frequencies are counted over all
+documents, those of terms that no example holds included: these belong to a
+text's length.
 """
 
 from __future__ import annotations
@@ -24,22 +24,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from handprint.llm.common import extended, narrowed, pinned, sliced
 
-#: Bounds of the fit: labelled rows, and terms of the second vote.
+#: Bounds of the fit: labelled rows, and their characters.
 EXAMPLES = 8192
-TERMS = 4096
-#: Such a term must differ from the overall label rate by so many standard errors.
-APART = 5.0
-NEIGHBOURS = 16
+EXAMPLE_CHARS = 64_000_000
+NEIGHBOURS = 128
 BLOCK = 64
+#: A term is frequent if more than one example in so many holds it.
+FREQUENT = 16
+#: Votes for the overall rate, in sums of cosines and of greatest parts.
+PRIOR, PART_PRIOR = 1.0, 0.02
 #: Evidence kept for a document.
 SHOWN = 5
 #: Texts whose cosines are computed at a time, and words whose terms a task remembers.
-TOGETHER = 128
+TOGETHER = 32
 WORDS = 200_000
 #: No place and no hash (these are below 0).
 NO_TERM = (1 << 63) - 1
@@ -59,149 +61,169 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-class BlockMaxIndex:
-    """Inverted index of example vectors (unit length), in blocks of examples."""
+def fixed(weight: np.ndarray) -> np.ndarray:
+    """The nearest whole multiples of 2 ** -24, which 32 bits hold exactly."""
+    return np.rint(weight * 2.0 ** 24) * 2.0 ** -24
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        # Examples with the same heaviest term share blocks, which tightens bounds.
-        lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        self.order = np.argsort(np.array(lead, np.int64), kind="stable")
-        self.n, self.n_terms = len(vectors), n_terms
-        self.blocks = max(1, -(-self.n // BLOCK))
-        place = np.concatenate([np.full(len(vectors[v][0]), at)
-                                for at, v in enumerate(self.order)] or [np.zeros(0)]).astype(np.int64)
-        term = np.concatenate([vectors[v][0] for v in self.order]
-                              or [np.zeros(0)]).astype(np.int64)
-        weight = np.concatenate([vectors[v][1] for v in self.order] or [np.zeros(0)])
-        key = (place // BLOCK) * n_terms + term
-        by = np.lexsort((place, key))
-        self.place, self.weight = (place % BLOCK)[by], weight[by]
-        self.start = np.searchsorted(key[by], np.arange(self.blocks * n_terms + 1))
-        self.greatest = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.greatest, (term, place // BLOCK), weight)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int,
-                skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Exact k nearest examples that share a term: (example, cosine), best first.
-
-        Ties go to the smaller place in the index.  ``skip`` leaves out one example.
-        """
-        bounds = weight @ self.greatest[term]
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or (len(sims) >= k and bounds[block] < sims[k - 1] - 1e-12):
-                break
-            low = self.start[block * self.n_terms + term]
-            count = self.start[block * self.n_terms + term + 1] - low
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at += np.repeat(low, count)
-            cosine = np.bincount(self.place[at], np.repeat(weight, count) * self.weight[at], BLOCK)
-            hit = np.flatnonzero(cosine > 0)
-            found = block * BLOCK + hit
-            if skip >= 0:
-                keep = self.order[found] != skip
-                hit, found = hit[keep], found[keep]
-            ids, sims = np.r_[ids, found], np.r_[sims, cosine[hit]]
-            best = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[best], sims[best]
-        return self.order[ids], sims
-
-
-class CosineIndex:
-    """All examples with all their terms, for exact nearest ones by cosine, many texts at a time.
-
-    Terms that many examples hold are a matrix, the others postings; both give
-    cosines up to rounding for every example.  Those that may be among the k
-    best are computed again from the examples' own terms, in one order.
+
+def similar_order(rows: np.ndarray, groups: int = 32, rounds: int = 3) -> np.ndarray:
+    """Order in which similar rows stand together (a few rounds of spherical k-means)."""
+    n = len(rows)
+    if n <= groups or not rows.shape[1]:
+        return np.arange(n)
+    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    centres = rows[np.linspace(0, n - 1, groups).astype(int)]
+    for _ in range(rounds):
+        near = rows @ centres.T
+        of = near.argmax(axis=1)
+        centres = np.stack([rows[of == g].sum(axis=0) if (of == g).any() else centres[g]
+                            for g in range(groups)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return np.lexsort((-near[np.arange(n), of], of))
+
+
+class BlockMaxIndex:
+    """Inverted index of example vectors (unit length), in blocks of similar examples.
+
+    Frequent terms (held by more than one example in FREQUENT) are kept as a
+    matrix for each block, with each term's greatest weight in the block; rare
+    ones as postings.  A text's postings are added up first; with the block
+    maxima of its frequent terms they bound the cosines of a block.  Blocks are
+    visited by their bound, for many texts at a time, until no bound reaches a
+    text's k-th best.  Weights are whole multiples of 2 ** -24, so sums of
+    products (of 64 bits) are exact in any order; cosines are those of the rounded
+    vectors, within 1e-7 of the unrounded ones.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         self.n = len(vectors)
-        self.bounds = np.cumsum([0, *(len(t) for t, _ in vectors)])
-        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
-        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        place = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(self.n)), np.diff(self.bounds))
-        held = np.bincount(self.term, minlength=n_terms)
-        hot = np.flatnonzero(held > max(BLOCK, self.n // 8))
-        # Twice the error that a sum in 32 bits can have.
-        self.rounding = 2e-7 * (len(hot) + 4)
+        self.blocks = max(1, -(-self.n // BLOCK))
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int64)
+        held = np.bincount(term, minlength=n_terms)
+        del term
+        hot = np.flatnonzero(held > max(BLOCK, self.n // FREQUENT))
         self.column = np.full(n_terms, -1, np.int32)
         self.column[hot] = np.arange(len(hot))
-        self.matrix = np.zeros((len(hot), self.n), np.float32)
-        of_hot = self.column[self.term] >= 0
-        self.matrix[self.column[self.term[of_hot]], place[of_hot]] = self.weight[of_hot]
-        cold = np.flatnonzero(~of_hot)
-        cold = cold[np.argsort(self.term[cold], kind="stable")]
-        self.place, self.part = place[cold], self.weight[cold].astype(np.float32)
+        dense = np.zeros((self.blocks * BLOCK, len(hot)), np.float32)
+        for i, (t, w) in enumerate(vectors):
+            of_hot = self.column[t] >= 0
+            dense[i, self.column[t[of_hot]]] = fixed(w[of_hot])
+        #: Example at each place; places behind the last example are empty.
+        self.order = similar_order(dense[:self.n])
+        self.place_of = np.argsort(self.order)
+        dense[:self.n] = dense[self.order]
+        self.matrix = np.ascontiguousarray(
+            dense.reshape(self.blocks, BLOCK, len(hot)).transpose(0, 2, 1))
+        del dense
+        self.greatest = self.matrix.max(axis=2).T.astype(float)
+        rare = [(t[c], w[c]) for t, w in (vectors[v] for v in self.order)
+                for c in [self.column[t] < 0]]
+        term = np.concatenate([t for t, _ in rare] or [np.zeros(0)]).astype(np.int32)
+        by = np.argsort(term, kind="stable")
+        place = np.repeat(np.arange(self.n), [len(t) for t, _ in rare])
+        self.place = place.astype(np.min_scalar_type(self.n))[by]
+        part = fixed(np.concatenate([w for _, w in rare] or [np.zeros(0)]))
+        self.part = part[by].astype(np.float32)
+        #: Length of each example's rounded vector, by place.
+        self.length = np.array([np.sqrt(np.sum(fixed(vectors[v][1]) ** 2)) for v in self.order])
         held[hot] = 0
         self.start = np.cumsum(np.r_[0, held])
-        self.scratch = np.zeros(n_terms)
+        self.visited = 0
 
-    def nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int,
-                skip: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each unit vector (term, weight) its k nearest: (example, cosine), best first.
+    def nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, skip: int | None = None
+                ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each unit vector (term, weight): its k nearest examples, best first.
 
-        Examples share a term with it; ties go to the smaller place.  With
+        Gives (example, cosine, greatest part of one rare term in it).  Examples
+        share a term with the vector; ties go to the smaller example.  With
         ``skip``, vector i leaves out example skip + i.
         """
         for begin in range(0, len(asked), TOGETHER):
-            part = asked[begin:begin + TOGETHER]
-            dense = np.zeros((len(part), len(self.matrix)), np.float32)
-            for i, (term, weight) in enumerate(part):
-                hot = self.column[term] >= 0
-                dense[i, self.column[term[hot]]] = weight[hot]
-            about = dense @ self.matrix
-            for i, (term, weight) in enumerate(part):
-                low = self.start[term]
-                count = self.start[term + 1] - low
-                at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
-                about[i] += np.bincount(self.place[at], np.repeat(weight, count) * self.part[at],
-                                        self.n)
-                if skip is not None:
-                    about[i, skip + begin + i] = 0
-                yield self.best(term, weight, about[i], k)
-
-    def best(self, term: np.ndarray, weight: np.ndarray, about: np.ndarray,
-             k: int) -> tuple[np.ndarray, np.ndarray]:
-        least = np.partition(about, self.n - k)[self.n - k] if self.n > k else 0
-        found = np.flatnonzero((about > 0) & (about >= least - self.rounding))
-        self.scratch[term] = weight
-        cosine = np.array([(self.weight[a:b] * self.scratch[self.term[a:b]]).sum() for a, b in
-                           zip(self.bounds[found], self.bounds[found + 1], strict=True)])
-        self.scratch[term] = 0
-        order = np.lexsort((found, -cosine))[:k]
-        return found[order], cosine[order]
+            yield from self.batch(asked[begin:begin + TOGETHER], k,
+                                  None if skip is None else skip + begin)
+
+    def batch(self, asked, k: int, skip: int | None):
+        places = self.blocks * BLOCK
+        dense = np.zeros((len(asked), len(self.greatest)))
+        rare = np.empty((len(asked), places))
+        kept = []
+        for i, (term, weight) in enumerate(asked):
+            weight = fixed(weight)
+            length = np.sqrt(np.sum(weight * weight))
+            hot = self.column[term]
+            dense[i, hot[hot >= 0]] = weight[hot >= 0]
+            low = self.start[term]
+            count = self.start[term + 1] - low
+            at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+            place, part = self.place[at], np.repeat(weight, count) * self.part[at]
+            kept.append((place, part, length))
+            rare[i] = np.bincount(place, part, places)
+            if skip is not None:
+                rare[i, self.place_of[skip + i]] = -9
+        about = self.cosines(dense, rare.reshape(len(asked), self.blocks, BLOCK), k)
+        for row, (place, part, length) in zip(about, kept, strict=True):
+            found = np.flatnonzero(row > 0)
+            if len(found) > k:
+                least = np.partition(row[found], len(found) - k)[len(found) - k]
+                found = found[row[found] >= least]
+            greatest = np.zeros(places)
+            near = np.zeros(places, bool)
+            near[found] = True
+            own = near[place]
+            np.maximum.at(greatest, place[own], part[own])
+            best = np.lexsort((self.order[found], -row[found]))[:k]
+            found = found[best]
+            yield (self.order[found], row[found] / (length * self.length[found]), greatest[found])
+
+    def cosines(self, dense: np.ndarray, rare: np.ndarray, k: int) -> np.ndarray:
+        """Cosines by text and place; -1 in blocks that were not visited."""
+        texts, places = len(dense), self.blocks * BLOCK
+        bound = dense @ self.greatest + rare.max(axis=2)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        about = np.full(rare.shape, -1.0)
+        least = np.zeros(texts)
+        done, step = 0, max(-(-k // BLOCK), self.blocks // 8, 1)
+        while done < self.blocks:
+            # The next blocks of every text whose bound may still reach its k-th best.
+            ahead = order[:, done:done + step]
+            row, at = np.nonzero(np.take_along_axis(bound, ahead, 1) >= least[:, None])
+            if not len(row):
+                break
+            block = ahead[row, at]
+            by = np.argsort(block, kind="stable")
+            row, block = row[by], block[by]
+            self.visited += len(row)
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for rows, b in zip(np.split(row, cuts), block[np.r_[0, cuts]], strict=True):
+                about[rows, b] = dense[rows] @ self.matrix[b].astype(float) + rare[rows, b]
+            if k < places:
+                kth = np.partition(about.reshape(texts, -1), places - k, axis=1)[:, places - k]
+                least = np.maximum(0, kth)
+            done, step = done + step, 2 * step
+        return about.reshape(texts, -1)
 
 
 class ToxicityModel:
-    """Examples with all their terms, weights and curve; bounded by EXAMPLES.
+    """Examples with all their terms, weights and curve; bounded by EXAMPLES and EXAMPLE_CHARS."""
 
-    ``apart`` are the places of the terms that tell the labels apart.
-    """
-
-    def __init__(self, frequency: np.ndarray, n_docs: int, apart: np.ndarray,
-                 terms: list[bytes], counts: list[np.ndarray], labels: np.ndarray):
+    def __init__(self, frequency: np.ndarray, n_docs: int, terms: list[bytes],
+                 counts: list[np.ndarray], labels: np.ndarray):
         self.labels = labels.astype(float)
         self.rate = float(self.labels.mean()) if len(labels) else 0.0
-        self.made_of = frequency, n_docs, apart, terms, counts
-        vectors, told = self.build()
-        votes = np.array([(self.vote(*self.sums(*near)), self.apart_vote(*told[i], skip=i))
-                          for i, near in enumerate(self.index.nearest(vectors, NEIGHBOURS, skip=0))])
+        self.made_of = frequency, n_docs, terms, counts
+        vectors = self.build()
+        votes = np.array([self.votes(*self.sums(*near))
+                          for near in self.index.nearest(vectors, NEIGHBOURS, skip=0)])
         self.curve = fit_curve(votes.reshape(-1, 2), self.labels)
 
-    def build(self):
-        frequency, n_docs, apart, terms, counts = self.made_of
+    def build(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        frequency, n_docs, terms, counts = self.made_of
         self.weight = np.log((1 + n_docs) / (1 + frequency)) + 1
-        self.telling = np.full(len(frequency), -1, np.int64)
-        self.telling[apart] = np.arange(len(apart))
-        examples = [(unpacked(t), n) for t, n in zip(terms, counts, strict=True)]
-        vectors = [self.vector(t, n)[:2] for t, n in examples]
-        told = [self.told(t, n) for t, n in examples]
-        self.index = CosineIndex(vectors, len(frequency))
-        self.apart = BlockMaxIndex(told, max(1, len(apart)))
-        return vectors, told
-
-    # The indexes are many times what they are made of, so a worker makes its own.
+        vectors = [self.vector(unpacked(t), n)[:2] for t, n in zip(terms, counts, strict=True)]
+        self.index = BlockMaxIndex(vectors, len(frequency))
+        return vectors
+
+    # The index is many times what it is made of, so a worker makes its own.
     def __getstate__(self):
         kept = {k: getattr(self, k) for k in ("labels", "rate", "curve", "made_of")}
         return zlib.compress(pickle.dumps(kept), 1)
@@ -217,21 +239,17 @@ class ToxicityModel:
         square = float(np.sum(weight * weight))
         return term, weight / np.sqrt(square) if len(term) else weight, square
 
-    def told(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The unit vector of the terms that tell the labels apart."""
-        held = self.telling[term] >= 0
-        return (self.telling[term[held]], self.vector(term[held], count[held])[1])
-
-    def sums(self, examples: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
-        """Similarities to examples of label 1, and to all."""
-        return float(np.sum(cosine * self.labels[examples])), float(np.sum(cosine))
-
-    def vote(self, ones: float, every: float) -> float:
-        """Similarity-weighted share of label 1, with one vote for the overall rate."""
-        return (ones + self.rate) / (every + 1)
+    def sums(self, examples: np.ndarray, cosine: np.ndarray,
+             greatest: np.ndarray) -> tuple[float, float, float, float]:
+        """Cosines to examples of label 1 and to all; greatest parts likewise."""
+        ones = self.labels[examples]
+        return (float(np.sum(cosine * ones)), float(np.sum(cosine)),
+                float(np.sum(greatest * ones)), float(np.sum(greatest)))
 
-    def apart_vote(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> float:
-        return self.vote(*self.sums(*self.apart.nearest(term, weight, NEIGHBOURS, skip)))
+    def votes(self, ones, every, part_ones, part_every) -> tuple:
+        """Weighted shares of label 1, drawn a little to the overall rate."""
+        return ((ones + self.rate * PRIOR) / (every + PRIOR),
+                (part_ones + self.rate * PART_PRIOR) / (part_every + PART_PRIOR))
 
 
 def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
@@ -381,34 +399,13 @@ def rest_squares(counted: DataFrame, n_docs: int) -> DataFrame:
             .agg(F.sum(F.round(weight * weight * 2.0 ** 32).cast("bigint")).alias("square")))
 
 
-def choose_terms(sample: DataFrame, apart: float = APART, limit: int = TERMS) -> list[str]:
-    """Terms of (text, label) whose label rate differs most from the overall one."""
-    def run(batches):
-        for batch in sliced(batches):
-            held = [list(terms(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(held, pa.list_(pa.string()))],
-                names=["label", "terms"])
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).first()
-    if not total["n"] or total["rate"] in (0.0, 1.0):
-        return []
-    rate = F.lit(total["rate"])
-    z = F.abs(F.col("hits") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    ranked = (sample.select("label", "text").mapInArrow(run, "label double, terms array<string>")
-              .select("label", F.explode("terms").alias("term"))
-              .groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits"))
-              .withColumn("z", z).where(F.col("z") >= apart)
-              .orderBy(F.desc("z"), "term").limit(limit))
-    return [r["term"] for r in ranked.collect()]
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text", examples: int = EXAMPLES) -> DataFrame:
     """One row per document: id, score, predicted, evidence, similarity.
 
     ``labels``: id and label (0 or 1; null labels and ids say nothing).  At most
-    ``examples`` labelled rows are learnt from, those of least MD5 of their id;
-    equal texts count once.  ``score`` is between 0 and 1, ``predicted`` 1 from
+    ``examples`` labelled rows are learnt from, those of least MD5 of their id, up
+    to EXAMPLE_CHARS characters; equal texts count once.  ``score`` is between 0 and 1, ``predicted`` 1 from
     0.5, ``evidence`` the ids of the nearest examples with their cosines over
     whole texts.  Null and empty texts, and texts without any term of an
     example, have no neighbours and get the curve's value at the overall rate.  Without labels of both kinds
@@ -429,11 +426,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     first = sample.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(
         F.min(F.struct("id", "label", "text")).alias("row"))
     sample = pinned(first.select("sha", "row.*"), "sample")
+    so_far = F.sum(F.length("text")).over(Window.orderBy(
+        F.md5(F.col("id").cast("string").cast("binary")), "id", "sha"))
+    sample = sample.withColumn("so_far", so_far).where(F.col("so_far") <= EXAMPLE_CHARS)
     words = vocabulary_of(sample)
-    vocabulary = places_of(words)
-    n_terms = max(1, len(vocabulary))
-    apart = np.array(sorted(vocabulary[t] for t in choose_terms(sample)), np.int64)
-    del vocabulary
+    n_terms = max(1, len(places_of(words)))
     places = spark.sparkContext.broadcast(words)
 
     counted = pinned(_counted(base, places).withColumn("row", F.monotonically_increasing_id()),
@@ -443,13 +440,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     held = _counted(sample, places).orderBy("id", "sha").select(
         "id", "label", "terms", "counts").toArrow().combine_chunks()
     shown = held.column("id").combine_chunks()
-    model = ToxicityModel(frequency, n_docs, apart, held.column("terms").to_pylist(),
+    model = ToxicityModel(frequency, n_docs, held.column("terms").to_pylist(),
                           _arrays(held.column("counts").combine_chunks()),
                           held.column("label").to_numpy())
     shared = spark.sparkContext.broadcast((model, shown))
     kind = counted.schema["id"].dataType.simpleString()
     schema = extended(counted.select("row", "id"),
-                      "own double, ones double, every double, apart double, "
+                      "own double, ones double, every double, part_ones double, "
+                      "part_every double, "
                       f"evidence array<{kind}>, similarity array<double>")
 
     def run(batches):
@@ -460,15 +458,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             vectors = [model.vector(t, n) for t, n in asked]
             near = list(model.index.nearest([(t, w) for t, w, _ in vectors], NEIGHBOURS))
             sums = [model.sums(*x) for x in near]
-            best = _lists([e[:SHOWN] for e, _ in near], pa.int64())
+            best = _lists([x[0][:SHOWN] for x in near], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("id"),
                  pa.array([v[2] for v in vectors], pa.float64()),
-                 pa.array([x[0] for x in sums], pa.float64()),
-                 pa.array([x[1] for x in sums], pa.float64()),
-                 pa.array([model.apart_vote(*model.told(*x)) for x in asked], pa.float64()),
+                 *[pa.array([x[i] for x in sums], pa.float64()) for i in range(4)],
                  pa.ListArray.from_arrays(best.offsets, shown.take(best.values)),
-                 _lists([c[:SHOWN] for _, c in near], pa.float64())], names=schema.names)
+                 _lists([x[1][:SHOWN] for x in near], pa.float64())], names=schema.names)
 
     scored = counted.select("row", "id", "terms", "counts").mapInArrow(run, schema)
     # Terms outside the vocabulary only make the text's vector longer.
@@ -476,11 +472,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     square = F.coalesce(F.col("square") / F.lit(2.0 ** 32), F.lit(0.0))
     shorter = F.when(F.col("own") > 0, F.sqrt(F.col("own") / (F.col("own") + square))).otherwise(
         F.lit(1.0))
-    offset, by_text, by_apart = model.curve
-    vote = (F.col("ones") * F.col("part") + model.rate) / (F.col("every") * F.col("part") + 1)
+    offset, by_cosine, by_part = model.curve
+    sums = [F.col(c) * F.col("part") for c in ("ones", "every", "part_ones", "part_every")]
+    votes = model.votes(*sums)
     return (scored.join(rest, scored["row"] == rest["of"], "left").withColumn("part", shorter)
-            .withColumn("score", 1 / (1 + F.exp(-(offset + by_text * vote
-                                                  + by_apart * F.col("apart")))))
+            .withColumn("score", 1 / (1 + F.exp(-(offset + by_cosine * votes[0]
+                                                  + by_part * votes[1]))))
             .select(F.col("id").alias(id_col), "score",
                     (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence",
                     F.transform("similarity", lambda c: c * F.col("part")).alias("similarity")))

@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from handprint.llm.queries import QUERIES
 from handprint.llm.hosts import RULES, judge_urls, reputations, strength, suffix_of
 
 URLS = ["http://A.Example.NET/en/x?q#f", "https://example.com/de/", "http://example.com/DE/",
@@ -68,6 +69,35 @@ def test_strength_follows_the_spread(spark):
     assert of([0.5]) == 1000.0
 
 
+def test_hosts_above_the_overall_rate_are_blocked(spark):
+    """The limit follows the labels: a host stands out against the others, not against a number."""
+    for bad, good in ((0.6, 0.2), (0.12, 0.02)):
+        urls = [(i, f"http://{'bad' if i < 100 else f'h{i % 9}'}.com/{i}") for i in range(1000)]
+        urls += [(None, "http://bad.com/x"), (5000, "http://bad.com/y"), (5001, "http://new.org/")]
+        outcomes = [(i, (i % 100) < 100 * (bad if i < 100 else good)) for i in range(1000)]
+        got = judge_urls(spark.createDataFrame(urls, "page_id bigint, url string"),
+                         spark.createDataFrame(outcomes, "doc_id bigint, bad boolean")).collect()
+        assert {r.verdict for r in got if r.host == "bad.com"} == {"block"}
+        assert {r.verdict for r in got if r.host != "bad.com"} == {"allow"}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_reputation_decides_on_the_given_pages(spark, sf):
+    verdicts = Counter((r.rule is None, r.verdict) for r in
+                       QUERIES["op8_hosts"](spark, f"/root/testdata/{sf}").collect())
+    assert verdicts[True, "block"] > 0 and verdicts[True, "allow"] > 0
+
+
+def test_very_long_url(spark):
+    path = "/de/" + "x" * 300_000
+    pages = spark.createDataFrame([(1, "http://example.com" + path), (2, "http://" + "a." * 9000 + "net/")],
+                                  "page_id bigint, url string")
+    none = spark.createDataFrame([], "doc_id bigint, bad boolean")
+    got = {r.page_id: r for r in judge_urls(pages, none).collect()}
+    assert (got[1].path, got[1].rule, got[1].verdict) == (path, "example.com/de/", "block")
+    assert (got[2].rule, got[2].verdict) == ("net/", "block")
+
+
 def test_suffixes(spark):
     frame = spark.createDataFrame([("a.b.co.uk",), ("a.com",), ("co.uk",), ("x",), ("",)], "host string")
     assert [r[0] for r in frame.select(suffix_of(F.col("host"))).collect()] == [

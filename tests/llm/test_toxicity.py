@@ -7,7 +7,7 @@ import pytest
 
 from handprint.llm import toxicity
 from handprint.llm.queries import QUERIES
-from handprint.llm.toxicity import BlockMaxIndex, CosineIndex, score_toxicity, terms
+from handprint.llm.toxicity import BlockMaxIndex, score_toxicity, terms
 from tests.llm.conftest import make_docs
 
 
@@ -21,28 +21,38 @@ def vectors(n, n_terms, seed):
     return out
 
 
-def test_index_gives_the_exact_nearest():
-    held, asked = vectors(700, 60, 1), vectors(60, 60, 2)
-    index = BlockMaxIndex(held, 60)
-    dense = np.zeros((700, 60))
+@pytest.mark.parametrize("n_terms", [40, 60, 3000])
+def test_index_gives_the_exact_nearest(n_terms):
+    held, asked = vectors(700, n_terms, 1), vectors(200, n_terms, 2) + vectors(700, n_terms, 1)[:20]
+    index = BlockMaxIndex(held, n_terms)
+    assert n_terms > 40 or len(index.greatest) > 0
+    dense = np.zeros((700, n_terms))
     for i, (t, w) in enumerate(held):
         dense[i, t] = w
     for k in (1, 16, 2000):
-        for t, w in asked + held[:20]:
-            full = np.zeros(60)
+        for (t, w), (ids, sims, most) in zip(asked, index.nearest(asked, k), strict=True):
+            full = np.zeros(n_terms)
             full[t] = w
             cosine = dense @ full
-            ids, sims = index.nearest(t, w, k)
             assert np.allclose(sims, np.sort(cosine[cosine > 1e-12])[::-1][:k])
             assert np.allclose(cosine[ids], sims)
+            rare = index.column < 0
+            assert np.allclose((dense[ids] * full)[:, rare].max(axis=1, initial=0), most)
+    assert all(i not in ids for i, (ids, _, _) in enumerate(index.nearest(held, 16, skip=0)))
 
 
-def test_index_visits_few_blocks_for_a_clear_match():
-    held = vectors(5000, 2000, 3)
-    index = BlockMaxIndex(held, 2000)
-    t, w = held[17] if len(held[17][0]) else held[18]
-    bounds = w @ index.greatest[t]
-    assert (bounds >= 1 - 1e-9).sum() < index.blocks / 4
+def test_index_visits_few_blocks_of_other_kinds():
+    """Texts of one kind end their search before the blocks of the others."""
+    rnd = np.random.default_rng(3)
+    held = []
+    for i in range(4096):
+        t = np.unique(np.r_[np.arange(4), 4 + (i % 4) * 25 + rnd.integers(0, 25, 25)])
+        w = np.r_[np.full(4, 0.3), rnd.random(len(t) - 4) + 0.5]
+        held.append((t, w / np.sqrt(w @ w)))
+    index = BlockMaxIndex(held, 104)
+    assert len(index.greatest) > 50
+    list(index.nearest(held[:256], 16))
+    assert index.visited < 256 * index.blocks / 2
 
 
 def labelled(spark):
@@ -113,23 +123,6 @@ def test_cosine_is_of_whole_texts(spark):
         assert np.allclose([near[e] for e in got[i].evidence], best, atol=1e-8)
 
 
-def test_cosine_index_gives_the_exact_nearest():
-    held, asked = vectors(700, 40, 1), vectors(200, 40, 2)
-    index = CosineIndex(held, 40)
-    assert len(index.matrix) > 0
-    dense = np.zeros((700, 40))
-    for i, (t, w) in enumerate(held):
-        dense[i, t] = w
-    for k in (1, 16, 2000):
-        for (t, w), (ids, sims) in zip(asked, index.nearest(asked, k), strict=True):
-            full = np.zeros(40)
-            full[t] = w
-            cosine = dense @ full
-            assert np.allclose(sims, np.sort(cosine[cosine > 1e-12])[::-1][:k])
-            assert np.allclose(cosine[ids], sims)
-    assert all(i not in ids for i, (ids, _) in enumerate(index.nearest(held, 16, skip=0)))
-
-
 def test_sample_bound_holds(spark):
     docs, _, labels, _ = labelled(spark)
     got = score_toxicity(docs, labels, examples=64).collect()
