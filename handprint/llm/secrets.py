@@ -118,11 +118,40 @@ def trigram_query(pattern: str) -> Query:
     return _walk(rp.parse(pattern))[1]
 
 
+def _any_case(char: str) -> str:
+    """A class of a lower-case character and its upper-case form."""
+    forms = [char] + [u for u in (char.upper(),) if len(u) == 1 and u != char]
+    return "".join(f"\\x{{{ord(c):x}}}" for c in forms)
+
+
+def one_of(words: set[str]) -> str:
+    """A pattern for any of some strings of equal length, in any case, branching by character.
+
+    Characters with the same continuations share a class, so that a text's
+    character is mostly compared once.
+    """
+    tails: dict[str, set[str]] = {}
+    for word in words:
+        tails.setdefault(word[0], set()).add(word[1:])
+    same: dict[frozenset[str], list[str]] = {}
+    for char, rest in sorted(tails.items()):
+        same.setdefault(frozenset(rest), []).append(char)
+    branches = [f"[{''.join(map(_any_case, chars))}]" + (one_of(set(rest)) if "" not in rest else "")
+                for rest, chars in same.items()]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(trigram, row): documents whose lower-cased text holds a trigram, of those given."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t))
-                                     for t in trigrams]))
+    """(trigram, row): documents whose text holds a trigram in any case, of those given.
+
+    One pass over a text finds them all: at every place the pattern looks ahead
+    for any of the trigrams, which may overlap, if one begins with the character
+    there.
+    """
+    first = f"[{''.join(_any_case(c) for c in sorted({t[0] for t in trigrams}))}]"
+    found = F.regexp_extract_all("text", F.lit(f"(?={first})(?=({one_of(set(trigrams))}))"),
+                                 F.lit(1))
+    held = F.array_distinct(F.transform(found, F.lower))
     return docs.select(F.explode(held).alias("trigram"), "row")
 
 

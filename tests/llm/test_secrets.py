@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from handprint.llm.secrets import RULES, Rule, find_secrets, listed, trigram_query
+from handprint.llm.secrets import (RULES, Rule, find_secrets, listed, postings,
+                                   trigram_query)
 from tests.llm.conftest import make_docs
 
 BASE = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]"""
@@ -59,5 +60,28 @@ def test_rules_are_a_parameter(spark):
     assert {r.doc_id: r.s for r in got} == {1: "hub:3:13", 2: ""}
 
 
+def test_postings_of_many_trigrams(spark):
+    rnd = random.Random(4)
+    alphabet = "abcAB_.^]-\\é\n"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    trigrams = sorted({t.lower()[i:i + 3] for t in texts[:40] for i in range(len(t) - 2)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    got = {(r.trigram, r.row) for r in postings(docs, trigrams).collect()}
+    assert got == {(g, i) for i, t in enumerate(texts) for g in trigrams if g in t.lower()}
+
+
+def test_fifty_rules_find_what_their_regexes_find(spark, odd_docs):
+    rules = RULES + tuple(Rule(f"r{i}", f"(?i)w{i}[0-9]? (w[0-9]+) w[0-9]{{2,}}", 1, 3)
+                          for i in range(47))
+    got = {(r.doc_id, r.s) for r in find_secrets(odd_docs, rules=rules).select(
+        "doc_id", listed(F.col("found"), rules).alias("s")).collect()}
+    want = set()
+    for doc_id, text in {(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()}:
+        spans = [(m.start(), place, m.end()) for place, rule in enumerate(rules)
+                 for m in re.finditer(rule.pattern, text or "") if len(m[rule.group]) >= rule.least]
+        want.add((doc_id, ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in sorted(spans))))
+    assert got == want and any("r1" in s for _, s in want)
+
+
 def test_empty(no_docs):
     assert find_secrets(no_docs).count() == 0
