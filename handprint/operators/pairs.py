@@ -9,7 +9,7 @@ bounded by ``block_rows`` whatever the data, and there is no cross join.
 
 Verification compares a stated set of rows (compared) with a reference set
 (comparator): ``compared_pairs`` scores them in the same kind of blocks, and
-``pair_counts``, ``nearest``, ``closest_false`` and ``anchor_extremes`` reduce
+``pair_counts``, ``nearest`` and ``closest_false`` reduce
 inside the block, so what leaves it is counts or a few rows per query row.
 ``candidate_pairs`` scores a given (left, right) table with two equi-joins.
 """
@@ -159,10 +159,12 @@ def all_pairs(vecs: DataFrame, id_col: str, vec: str, carry: list[str] | None =
 
 
 def blocked(left: DataFrame, right: DataFrame, id_col: str, vec: str, reduce, schema: str,
-            carry: list[str] | None = None, metric: str = "cityblock", normalise: bool = False,
-            block_rows: int = 1024) -> DataFrame:
+            carry: list[str] | None = None, metric: str | None = "cityblock",
+            normalise: bool = False, block_rows: int = 1024) -> DataFrame:
     """``reduce(left rows, right rows, distances)`` on every left block x right block.
 
+    With ``metric`` None the distances are 0.
+
     Both tables are hashed into blocks of about ``block_rows`` rows and a row
     goes to every block of the other side.  Pairs of a row with itself (same
     id) have distance NaN; ``reduce`` must leave them out.
@@ -190,7 +192,7 @@ def blocked(left: DataFrame, right: DataFrame, id_col: str, vec: str, reduce, sc
         b = np.stack(rhs[vec].to_numpy()).astype(np.float64)
         if normalise:
             a, b = _normalise(a), _normalise(b)
-        d = distance_matrix(a, b, metric)
+        d = np.zeros((len(a), len(b))) if metric is None else distance_matrix(a, b, metric)
         d[lhs[id_col].to_numpy()[:, None] == rhs[id_col].to_numpy()[None, :]] = np.nan
         return reduce(lhs, rhs, d)
 

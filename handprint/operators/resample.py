@@ -79,4 +79,4 @@ def smote_tomek(rows: DataFrame, row_id: str, target: str, vec: str = "vec", k:
     grown = materialize(grown.withColumn("_key", key))
     near = pairs.nearest(grown, grown, "_key", "vec", 1, "euclidean", digits=6)
     links = classify.tomek_links(near, grown.select("_key", target), "_key", target)
-    return classify.without_links(grown, links, "_key").drop("_key")
+    return classify.without_links(grown, links, "_key", both=True).drop("_key")

@@ -21,7 +21,8 @@ from handprint.functions.text import round6
 from handprint.operators import (clusters, features, linkage, metrics, pairs, ranking, samples,
                                  ppm, select, splits, vocab)
 from handprint.operators import imposters as imp_op
-from handprint.operators import classify, encode, filters, linear, resample
+from handprint.operators import (classify, encode, filters, linear, logistic, pca, resample,
+                                 spanning, ward)
 from handprint.functions.hashing import hash_key
 from handprint.sources.tables import table
 
@@ -39,10 +40,9 @@ def query(fn):
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their whole texts, partitioned by doc."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("author"),
+    """All documents with their whole texts, as they are read: texts are never shuffled."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("author"),
                                                     "text")
-    return vocab.by_document(docs)
 
 
 def _mfw_counts(spark, sf_dir, k=N_MFW):
@@ -471,13 +471,8 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sqeuclidean_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squared Euclidean distance of a given pair table: neighbours by id."""
-    e = _embeddings(spark, sf_dir)
-    given = e.select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 1).alias("right_id"))
-    p = pairs.candidate_pairs(e.withColumn("embedding", F.col("embedding").cast("array<double>")),
-                              given, "vec_id", "embedding", ["label"], "sqeuclidean")
-    return p.select("left_id", "right_id", "left_label", "right_label",
-                    round6(F.col("distance")).alias("distance"))
+    """Squared Euclidean distance of the query vectors to every other vector."""
+    return _pairs(spark, sf_dir, "sqeuclidean", False)
 
 
 def _frame(spark, sf_dir):
@@ -540,6 +535,14 @@ def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
                     round6(F.col("tpr")).alias("tpr"))
 
 
+@query
+def roc_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: every 10th ROC point at which the sensitivity has changed."""
+    r = metrics.roc_thinned(metrics.roc_points(unit_counts(spark, sf_dir)), 10)
+    return r.select("threshold", round6(F.col("fpr")).alias("fpr"),
+                    round6(F.col("tpr")).alias("tpr"))
+
+
 @query
 def strong_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """25/50/75/90th percentiles of distance among true pairs."""
@@ -643,7 +646,7 @@ def linkage_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def linkage_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single linkage on the same distances."""
+    """I4: single linkage on the same distances."""
     return _tree_out(_author_tree(spark, sf_dir, "single")[0])
 
 
@@ -667,6 +670,27 @@ def cut_height(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("k").cast("bigint").alias("k"), round6(F.col("height")).alias("height"))
 
 
+@query
+def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4: the edges of the minimum spanning tree of all vectors (single linkage)."""
+    tree = spanning.spanning_tree(_embeddings(spark, sf_dir), "vec_id", "embedding")
+    return tree.withColumn("distance", round6(F.col("distance")))
+
+
+@query
+def single_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 9 single-linkage clusters, named by their smallest id."""
+    e = _embeddings(spark, sf_dir)
+    tree = spanning.spanning_tree(e, "vec_id", "embedding")
+    return spanning.tree_clusters(tree, e.select("vec_id"), k=N_CLUSTERS)
+
+
+@query
+def ward_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward's tree of all vectors by Euclidean distance."""
+    return _tree_out(ward.ward_tree(_embeddings(spark, sf_dir), "vec_id", "embedding"))
+
+
 @query
 def eta2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation ratio of each normalised feature against the author."""
@@ -820,7 +844,7 @@ def tomek_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tomek_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the vectors that stay when both ends of every Tomek link go."""
+    """the vectors that stay when the ends of Tomek links go, but for the minority class."""
     e = _embeddings(spark, sf_dir).select("vec_id", "label")
     return classify.without_links(e, _tomek(spark, sf_dir), "vec_id")
 
@@ -842,8 +866,80 @@ def encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join("ids", " ").alias("ids"))
 
 
+@query
+def encode_bilevel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as turns x words of ids, both padded to the longest."""
+    t = _turns(spark, sf_dir)
+    words = F.posexplode_outer(T.words(F.col("text"))).alias("pos", "token")
+    toks = materialize(t.select("conv_id", "turn", words))
+    v = encode.build_vocabulary(toks.filter("token is not null"), ENCODER_MIN_FREQ)
+    e = encode.encode_bilevel(toks, v, "conv_id", "turn")
+    longest = toks.groupBy("conv_id", "turn").agg(F.count("token").alias("n")).groupBy(
+        "conv_id").agg(F.max("n").alias("longest"))
+    return e.join(longest, "conv_id").select(
+        "conv_id", "n_sentences", "longest",
+        F.array_join(F.transform("ids", lambda s: F.array_join(s, " ")), "/").alias("ids"))
+
+
 SVM_FOLDS = 5
 SVM_TOP = 5
+N_COMPONENTS = 20
+
+
+@query
+def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance explained by the first 20 components of the normalised documents."""
+    vec, _, _ = normalised_vectors(spark, sf_dir)
+    rows = materialize(vec.select("doc_id", "vec"))
+    p = pca.explained(pca.fit_pca(rows, "vec", N_COMPONENTS), rows)
+    return p.select("component", round6(F.col("variance")).alias("variance"),
+                    round6(F.col("ratio")).alias("ratio"))
+
+
+@query
+def svm_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SVM on 20 components, fitted on the training texts only, predicting the others."""
+    d, _ = _svm_rows(spark, sf_dir)
+    d = d.select("doc_id", "author", "split", "vec")
+    model = pca.fit_pca(d.filter(F.col("split") == "train"), "vec", N_COMPONENTS)
+    d = materialize(pca.project(model, d, "vec"))
+    svm = linear.fit(d.filter(F.col("split") == "train"), "author")
+    p = linear.predict(svm, d.filter(F.col("split") == "holdout"), ["doc_id", "author"])
+    return p.select("doc_id", F.col("author").alias("truth"), "prediction",
+                    F.round("score", 6).alias("score"))
+
+
+VERIFY_FOLDS = 5
+
+
+def _verified(spark, sf_dir):
+    e = materialize(logistic.fold_chunks(_embeddings(spark, sf_dir), "label", "vec_id", VERIFY_FOLDS))
+    w = logistic.fit_folds(_compared(e), e, "vec_id", "embedding", "label", VERIFY_FOLDS)
+    return logistic.score_folds(w, _compared(e), e, "vec_id", "embedding", "label")
+
+
+@query
+def verify_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P(same label) of every fold's test pairs: the query vectors of its test
+    chunk against its training vectors, by a model fitted on training pairs only."""
+    return _verified(spark, sf_dir).withColumn("p_same", round6(F.col("p_same")))
+
+
+@query
+def verify_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, precision and recall of the verification, fold by fold."""
+    hit = F.col("p_same") >= 0.5
+    t = _verified(spark, sf_dir).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(hit & F.col("is_pair")).alias("tp"),
+        F.count_if(hit & ~F.col("is_pair")).alias("fp"),
+        F.count_if(~hit & F.col("is_pair")).alias("fn"))
+
+    def share(a, b):
+        return F.when(b > 0, F.round(a / b, 4)).otherwise(F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return t.select("fold", "n", "tp", "fp", "fn", share(F.col("n") - fp - fn, F.col("n"))
+                    .alias("accuracy"), share(tp, tp + fp).alias("precision"),
+                    share(tp, tp + fn).alias("recall"))
 
 
 def _svm_rows(spark, sf_dir):

@@ -501,7 +501,7 @@ WITH {EMB}
 SELECT a.vec_id AS left_id, b.vec_id AS right_id, a.label AS left_label, b.label AS right_label,
        round(list_sum(list_transform(range(1, len(a.embedding) + 1),
          lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ^ 2)), 6) AS distance
-FROM e a JOIN e b ON b.vec_id = a.vec_id + 1
+FROM e a JOIN e b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
 """
 
 FRAME = f"""
@@ -581,6 +581,44 @@ WITH {UNIT_PAIRS},
 SELECT distance AS threshold, round(cn / N, 6) AS fpr, round(cp / P, 6) AS tpr FROM s, st
 """
 
+SQL["roc_thinned"] = f"""
+WITH {UNIT_PAIRS},
+  st AS (SELECT count(*) FILTER (WHERE is_pair) AS P, count(*) FILTER (WHERE NOT is_pair) AS N
+         FROM p),
+  c AS (SELECT distance, count(*) FILTER (WHERE is_pair) AS pos,
+               count(*) FILTER (WHERE NOT is_pair) AS neg FROM p GROUP BY distance),
+  s AS (SELECT distance, sum(pos) OVER (ORDER BY distance) AS cp,
+               sum(neg) OVER (ORDER BY distance) AS cn,
+               row_number() OVER (ORDER BY distance) - 1 AS place FROM c),
+  t AS (SELECT *, lag(cp) OVER (ORDER BY distance) AS before FROM s WHERE place % 10 = 0)
+SELECT distance AS threshold, round(cn / N, 6) AS fpr, round(cp / P, 6) AS tpr
+FROM t, st WHERE before IS NULL OR cp <> before
+"""
+
+SQL["encode_bilevel"] = f"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '{W}') AS w FROM conversations),
+  toks AS (SELECT conv_id, turn, unnest(w) AS token, unnest(range(0, len(w))) AS pos FROM t),
+  v AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 1 AS id
+        FROM toks GROUP BY token HAVING count(*) >= 5),
+  sized AS (SELECT max(n) AS sentences, max(words) AS words FROM (
+              SELECT conv_id, count(*) AS n, max(len(w)) AS words FROM t GROUP BY conv_id)),
+  padded AS (
+    SELECT conv_id, turn, list_resize(list_transform(w, lambda x: 1), (SELECT words FROM sized), 1)
+             AS plain FROM t),
+  coded AS (SELECT conv_id, turn, toks.pos, coalesce(v.id, 0) AS id FROM toks LEFT JOIN v USING (token)),
+  sent AS (
+    SELECT p.conv_id, p.turn, coalesce(string_agg(id::VARCHAR, ' ' ORDER BY c.pos), '') AS ids,
+           count(id) AS n FROM padded p LEFT JOIN coded c USING (conv_id, turn) GROUP BY ALL),
+  full_sent AS (
+    SELECT conv_id, turn, n, trim(ids || repeat(' 1', ((SELECT words FROM sized) - n)::INT)) AS ids
+    FROM sent)
+SELECT conv_id, count(*) AS n_sentences, max(n) AS longest,
+       string_agg(ids, '/' ORDER BY turn)
+         || repeat('/' || trim(repeat(' 1', (SELECT words FROM sized)::INT)),
+                   ((SELECT sentences FROM sized) - count(*))::INT) AS ids
+FROM full_sent GROUP BY conv_id
+"""
+
 SQL["strong_thresholds"] = f"""
 WITH {UNIT_PAIRS},
   q AS (SELECT quantile_cont(distance, [0.25, 0.5, 0.75, 0.9]) AS qs FROM p WHERE is_pair)
@@ -811,6 +849,7 @@ SQL["tomek_removed"] = f"""
 WITH {TOMEK}
 SELECT vec_id, label FROM embeddings
 WHERE vec_id NOT IN (SELECT left_id FROM links UNION SELECT right_id FROM links)
+   OR label = (SELECT label FROM embeddings GROUP BY label ORDER BY count(*), label LIMIT 1)
 """
 
 SQL["encode_docs"] = f"""

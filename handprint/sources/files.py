@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A5: CSV with a header; texts may hold newlines and quotes."""
+    """A5: CSV with a header; texts may hold newlines and quotes.
+
+    Without a schema all columns are strings, as types would take a second read
+    of the file.
+    """
     r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
+    return r.schema(schema).csv(path) if schema else r.csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

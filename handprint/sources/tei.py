@@ -33,8 +33,7 @@ def read_tei(spark: SparkSession, path: str, exclude=("label",)) -> DataFrame:
         F.xpath_boolean("xml", F.lit("//body//l")).alias("is_poetry"),
         F.xpath_boolean("xml", F.lit("//div[@type='fragment']")).alias("has_fragment"),
         "xml")
-    text = T.collapse_space(body)
-    return (out.withColumn("text", text).drop("xml")
+    return (out.withColumn("text", T.clean_text(body)).drop("xml")
             .withColumn("tokens", T.word_count(F.col("text"))))
 
 

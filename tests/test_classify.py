@@ -31,8 +31,11 @@ def test_nearest_and_tomek(spark):
     near = pairs.nearest(rows, rows, "vec_id", "vec")
     links = classify.tomek_links(near, rows)
     assert {(x.left_id, x.right_id) for x in links.collect()} == {(1, 2), (4, 5)}
-    left = classify.without_links(rows, links)
+    left = classify.without_links(rows, links, both=True)
     assert {r.vec_id for r in left.collect()} == {3}
+    # Class 1 is the minority: its members stay.
+    left = classify.without_links(rows, links)
+    assert {r.vec_id for r in left.collect()} == {2, 3, 5}
 
 
 def test_encoder(spark):
@@ -43,6 +46,16 @@ def test_encoder(spark):
     assert {r.token: r.id for r in v.collect()} == {"b": 2, "a": 3}
     e = encode.encode(toks, v, ["doc"]).first()
     assert e.ids == [2, 3, 2, 0, 2, 3, 0]
+    two = spark.createDataFrame([(1, 0, 0, "b"), (1, 0, 1, "d"), (1, 2, 0, "a"), (2, 5, None, None),
+                                 (3, 1, 0, "b"), (3, 1, 1, "a"), (3, 1, 2, "b")],
+                                "doc long, sent long, pos long, token string")
+    got = {r.doc: (r.n_sentences, r.ids) for r in encode.encode_bilevel(
+        two, v, "doc", "sent").collect()}
+    assert got == {1: (2, [[2, 0, 1], [3, 1, 1]]), 2: (1, [[1, 1, 1], [1, 1, 1]]),
+                   3: (1, [[2, 3, 2], [1, 1, 1]])}
+    cut = encode.encode_bilevel(two, v, "doc", "sent", sentences=1, words=2)
+    assert {r.doc: r.ids for r in cut.collect()} == {1: [[2, 0]], 2: [[1, 1]], 3: [[2, 3]]}
+    assert encode.encode_bilevel(two.where("false"), v, "doc", "sent").count() == 0
     padded = spark.createDataFrame([([2, 3],)], "ids array<bigint>").select(
         encode.pad(F.col("ids"), 4).alias("p")).first().p
     assert padded == [2, 3, 1, 1]
