@@ -10,6 +10,7 @@ can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,9 +22,10 @@ from handprint.functions.text import round6
 from handprint.operators import (clusters, features, linkage, metrics, pairs, ranking, samples,
                                  ppm, select, splits, vocab)
 from handprint.operators import imposters as imp_op
-from handprint.operators import (classify, encode, filters, linear, logistic, pca, resample,
-                                 spanning, ward)
+from handprint.operators import (batches, classify, encode, filters, linear, logistic, models,
+                                 pca, resample, spanning, ward)
 from handprint.functions.hashing import hash_key
+from handprint.session import checkpoint_dir
 from handprint.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -583,6 +585,21 @@ def mined_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semi.join(easy, "anchor").select("anchor", "d_ap", "d_an", "d_easy")
 
 
+@query
+def batch_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 4 vectors per label over two epochs, each forming, scoring and
+    mining its own pairs."""
+    e = _embeddings(spark, sf_dir)
+    plan = splits.m_per_class(e.select("vec_id", "label"), "label", "vec_id", m=4, epochs=2,
+                              seed=SEED).select("vec_id", F.col("epoch").cast("bigint").alias("epoch"),
+                                                "batch")
+    s = batches.batch_scores(plan.join(e, "vec_id"), ["epoch", "batch"], "embedding", "label",
+                             "vec_id")
+    return s.select("epoch", "batch", "n_rows", "n_pairs", "n_true", "n_anchors", "n_semihard",
+                    F.round("auroc", 5).alias("auroc"),
+                    *[round6(F.col(c)).alias(c) for c in batches.MINED])
+
+
 @query
 def asof_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates and counts of the training comparators attached to each new distance.
@@ -960,6 +977,17 @@ def svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("score", 6).alias("score"))
 
 
+@query
+def svm_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SVM fitted, saved as a table, read back and used without training."""
+    d, _ = _svm_rows(spark, sf_dir)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    p = models.Attributor(folder, "authors", N_COMPONENTS).fit(
+        d.select("doc_id", "author", "split", "vec"), "author")
+    return p.select("doc_id", F.col("author").alias("truth"), "prediction",
+                    F.round("score", 6).alias("score"))
+
+
 @query
 def svm_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class x feature coefficients of the fitted SVM."""

@@ -581,6 +581,43 @@ WITH {UNIT_PAIRS},
 SELECT distance AS threshold, round(cn / N, 6) AS fpr, round(cp / P, 6) AS tpr FROM s, st
 """
 
+SQL["batch_mining"] = f"""
+WITH {EMB},
+  r AS (SELECT vec_id, label, embedding, nrm, epoch,
+               (row_number() OVER (PARTITION BY epoch, label
+                  ORDER BY md5('42|' || epoch || '|' || vec_id), vec_id) - 1) // 4 AS batch
+        FROM e, unnest(range(0, 2)) AS u(epoch)),
+  p AS (SELECT a.epoch, a.batch, a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same,
+               round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1),
+                 lambda i: (a.embedding[i]::DOUBLE / a.nrm - b.embedding[i]::DOUBLE / b.nrm) ^ 2))), 6)
+                 AS d
+        FROM r a JOIN r b ON a.epoch = b.epoch AND a.batch = b.batch AND a.vec_id <> b.vec_id),
+  once AS (SELECT *, rank() OVER (PARTITION BY epoch, batch ORDER BY d DESC) AS rk,
+                  count(*) OVER (PARTITION BY epoch, batch, d) AS c FROM p WHERE anchor < other),
+  auc AS (SELECT epoch, batch, count(*) AS n_pairs, count(*) FILTER (same) AS n_true,
+                 sum(CASE WHEN same THEN rk + (c - 1) / 2.0 END) AS sr FROM once GROUP BY ALL),
+  anchors AS (SELECT epoch, batch, anchor, min(d) FILTER (same) AS ep, max(d) FILTER (same) AS hp,
+                     max(d) FILTER (NOT same) AS en, min(d) FILTER (NOT same) AS hn
+              FROM p GROUP BY ALL),
+  mined AS (SELECT a.*, (SELECT min(d) FROM p WHERE p.epoch = a.epoch AND p.batch = a.batch
+                        AND p.anchor = a.anchor AND NOT same AND d > a.ep) AS sn
+           FROM anchors a WHERE ep IS NOT NULL AND hn IS NOT NULL),
+  sums AS (SELECT epoch, batch, count(*) AS n_anchors, count(sn) AS n_semihard,
+                  sum(ep) AS easy_positive, sum(hp) AS hard_positive, sum(en) AS easy_negative,
+                  coalesce(sum(sn), 0) AS semihard_negative, sum(hn) AS hard_negative
+            FROM mined GROUP BY ALL),
+  sizes AS (SELECT epoch, batch, count(*) AS n_rows FROM r GROUP BY ALL)
+SELECT epoch, batch, n_rows, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_true, 0) AS n_true,
+       coalesce(n_anchors, 0) AS n_anchors, coalesce(n_semihard, 0) AS n_semihard,
+       round((sr - n_true * (n_true + 1) / 2.0) / (n_true * nullif(n_pairs - n_true, 0)), 5) AS auroc,
+       round(coalesce(easy_positive, 0), 6) AS easy_positive,
+       round(coalesce(hard_positive, 0), 6) AS hard_positive,
+       round(coalesce(easy_negative, 0), 6) AS easy_negative,
+       round(coalesce(semihard_negative, 0), 6) AS semihard_negative,
+       round(coalesce(hard_negative, 0), 6) AS hard_negative
+FROM sizes LEFT JOIN auc USING (epoch, batch) LEFT JOIN sums USING (epoch, batch)
+"""
+
 SQL["roc_thinned"] = f"""
 WITH {UNIT_PAIRS},
   st AS (SELECT count(*) FILTER (WHERE is_pair) AS P, count(*) FILTER (WHERE NOT is_pair) AS N
