@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from handprint.functions import text as T
 
 
-def by_document(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Hash-partition a document table by its id.
-
-    Everything exploded from a document row then stays in that partition,
-    so per-document aggregates and windows need no further shuffle.
-    """
-    return docs.repartition(doc)
-
-
 def token_table(docs: DataFrame, doc: str = "doc_id", text: str = "text",
                 lower: bool = True) -> DataFrame:
     """Long token table (doc, pos, token, is_word) in text order."""
@@ -64,3 +59,67 @@ def restrict(long: DataFrame, vocab: DataFrame, term: str = "token",
 def affix_long(words: DataFrame, doc: str = "doc_id", token: str = "token") -> DataFrame:
     """C9 exploded: (doc, affix) for every word."""
     return words.select(doc, F.explode(T.affixes(F.col(token))).alias("affix"))
+
+
+#: Longest affix (C9), and bits of a code point.
+AFFIX_CHARS, CHAR_BITS = 3, 21
+
+
+def affix_code(affix: str) -> int:
+    """A number for a string of up to AFFIX_CHARS characters."""
+    return sum((ord(c) + 1) << (CHAR_BITS * i) for i, c in enumerate(affix))
+
+
+def affix_matches(text: str, affixes: list[str], codes: dict[int, np.ndarray],
+                  places: dict[int, np.ndarray]) -> dict[int, int]:
+    """Place in ``affixes`` -> non-overlapping occurrences, from one pass over the text.
+
+    ``codes`` and ``places``: by length, the sorted codes and where each one stands.
+    """
+    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    found: dict[int, int] = {}
+    for length, known in codes.items():
+        n = len(chars) - length + 1
+        if n <= 0:
+            continue
+        windows = sum(chars[i:i + n] << (CHAR_BITS * i) for i in range(length))
+        at = np.minimum(np.searchsorted(known, windows), len(known) - 1)
+        hit = np.flatnonzero(known[at] == windows)
+        which, counts = np.unique(places[length][at[hit]], return_counts=True)
+        for place, count in zip(which.tolist(), counts.tolist(), strict=True):
+            affix = affixes[place]
+            if any(affix[k:] == affix[:-k] for k in range(1, length)):  # may overlap itself
+                count = text.count(affix)
+            found[place] = count
+    return found
+
+
+def affix_occurrences(texts: DataFrame, affixes: list[str], doc: str = "doc_id",
+                      text: str = "text") -> DataFrame:
+    """(doc, feature, n) for the affixes (1 to 3 characters) that a text holds.
+
+    The vocabulary, a top-k list, goes to every task; a text is read once,
+    however long the list is.
+    """
+    if any(not 1 <= len(a) <= AFFIX_CHARS for a in affixes):
+        raise ValueError(f"affixes have 1 to {AFFIX_CHARS} characters")
+    shared = texts.sparkSession.sparkContext.broadcast(sorted(set(affixes)))
+    kind = texts.schema[doc].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        codes, places = {}, {}
+        for length in sorted({len(w) for w in words}):
+            own = sorted((affix_code(w), i) for i, w in enumerate(words) if len(w) == length)
+            codes[length], places[length] = (np.array(x, np.int64) for x in zip(*own))
+        for batch in batches:
+            rows, features, counts = [], [], []
+            for i, value in enumerate(batch.column(text).to_pylist()):
+                for place, n in affix_matches(value or "", words, codes, places).items():
+                    rows.append(i)
+                    features.append(words[place])
+                    counts.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(doc).take(pa.array(rows, pa.int64())), pa.array(features, pa.string()),
+                 pa.array(counts, pa.int64())], names=[doc, "feature", "n"])
+    return texts.select(doc, text).mapInArrow(count, f"{doc} {kind}, feature string, n bigint")

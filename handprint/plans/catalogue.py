@@ -125,7 +125,7 @@ def reject_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 N_TOP_TOKENS = 200
-N_MFT = 100
+N_MFT = 1000
 
 
 @query
@@ -174,24 +174,15 @@ def _affix_vocab(d):
 def affix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each top affix in the document's ``_`` text.
 
-    The bounded vocabulary is bound once as an array column (scalar
-    subquery) and counted inside the row: no join, no shuffle of tokens.
+    The bounded vocabulary goes to every task and texts are read once: no join,
+    no shuffle of tokens.
     """
     d = corpus(spark, sf_dir)
-    top = _affix_vocab(d)
-    arr = top.select(F.transform(F.array_sort(F.collect_list(F.struct("rank", "affix"))),
-                                 lambda s: s["affix"])).scalar()
+    top = [r["affix"] for r in _affix_vocab(d).select("affix").collect()]  # N_MFT rows
     u = T.underscore_text(F.array_join(T.tokens(F.col("text")), " "))
-    per = (bind(d, ["doc_id"], u=u).withColumn("mft", arr)
-           .select("doc_id", F.explode(F.arrays_zip(
-               F.col("mft").alias("feature"),
-               F.transform("mft", lambda f: T.count_non_overlapping(F.col("u"), f)).alias("n")))
-               .alias("c"))
-           .select("doc_id", "c.feature", "c.n"))
-    tot = F.sum("n").over(Window.partitionBy("doc_id"))
-    return (per.withColumn("value", F.when(tot > 0, F.col("n") / tot).otherwise(F.lit(0.0)))
-            .filter(F.col("n") > 0)
-            .select("doc_id", "feature", "n", round6(F.col("value")).alias("value")))
+    per = vocab.affix_occurrences(d.select("doc_id", u.alias("u")), top, "doc_id", "u")
+    tot = F.sum("n").over(Window.partitionBy("doc_id"))  # at most N_MFT rows a document
+    return per.select("doc_id", "feature", "n", round6(F.col("n") / tot).alias("value"))
 
 
 @query
@@ -776,30 +767,34 @@ def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Step 8: imposters
 # ---------------------------------------------------------------------------
 
-CANDIDATES = ("src1", "src5", "src9")  # the authors to verify
 IMP_ITERATIONS = 100
 
 
+def _held_out(spark, sf_dir):
+    """(doc_id, author, split): 10% of each author's texts are held out."""
+    ids = _author_rows(spark, sf_dir)
+    return splits.holdout_split(ids, "author", "doc_id", 0.1, SEED).select("doc_id", "author", "split")
+
+
 def imposter_docs(spark, sf_dir):
-    """Roles: 10% of each author's texts are tests; of the others those of the
-    authors to verify are candidates, the rest impostors."""
+    """(texts, candidates): held-out texts are tests, the others train: candidates for their
+    own author, impostors for the rest.  Every author of two or more of these is verified."""
     docs, fc, top = _mfw_counts(spark, sf_dir)
-    ids = _doc_ids(docs)
     index = top.select(F.col("token").alias("feature"), F.col("rank").alias("idx"))
     vec = features.dense_vectors(fc.select("doc_id", F.col("token").alias("feature"),
                                            F.col("n").cast("double").alias("value")),
-                                 ids, index)
-    held = splits.holdout_split(ids, "author", "doc_id", 0.1, SEED).select("doc_id", "split")
-    role = (F.when(F.col("split") == "holdout", "test")
-            .when(F.col("author").isin(*CANDIDATES), "candidate").otherwise("impostor"))
-    d = (ids.join(held, "doc_id").join(vec, "doc_id")
-         .select("doc_id", "author", role.alias("role"), "vec"))
-    return d, list(CANDIDATES)
+                                 _doc_ids(docs), index)
+    held = materialize(_held_out(spark, sf_dir))
+    role = F.when(F.col("split") == "holdout", "test").otherwise("train")
+    d = held.join(vec, "doc_id").select("doc_id", "author", role.alias("role"), "vec")
+    cands = (held.filter("split = 'train'").groupBy("author").agg(F.count(F.lit(1)).alias("n"))
+             .filter("n >= 2").select("author"))
+    return d, cands
 
 
 @query
 def imposters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imposters tally over 100 iterations (impostor and feature ratio 0.5)."""
+    """Imposters tally of all authors over 100 iterations (impostor and feature ratio 0.5)."""
     d, cands = imposter_docs(spark, sf_dir)
     t = imp_op.imposters(d, cands, IMP_ITERATIONS, 0.5, 0.5, SEED)
     return t.select("Text", "Candidate", "Proposal", "Proposed", "Total-Iterations",
@@ -1228,8 +1223,11 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def status_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B13 + B14: exactly half of the impostors."""
-    d, _ = imposter_docs(spark, sf_dir)
+    """B13 + B14: exactly half of the impostors; the first author is the candidate."""
+    d = _held_out(spark, sf_dir)
+    first = d.select(F.min("author")).scalar()
+    d = d.withColumn("role", F.when(F.col("split") == "holdout", "test")
+                     .when(F.col("author") == first, "candidate").otherwise("impostor"))
     filters.check_status(d, "role")
     return filters.status_subset(d, "impostor", "doc_id", "role", 0.5, SEED).select(
         "doc_id", "author")

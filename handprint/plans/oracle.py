@@ -141,7 +141,7 @@ SQL["affix_shares"] = f"""
 WITH corpus AS ({CORPUS}),
   words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM corpus),
   {AFFIXES},
-  top AS (SELECT affix, count(*) AS n FROM a GROUP BY affix ORDER BY n DESC, affix LIMIT 100),
+  top AS (SELECT affix, count(*) AS n FROM a GROUP BY affix ORDER BY n DESC, affix LIMIT 1000),
   u AS (SELECT doc_id, replace(' ' || trim(array_to_string(regexp_extract_all(lower(text), '{TK}'), ' '))
                                || ' ', ' ', '_') AS u FROM corpus),
   c AS (SELECT doc_id, affix AS feature,
@@ -779,25 +779,25 @@ WITH {MFW_COUNTS},
   h0 AS (SELECT doc_id, author, row_number() OVER (PARTITION BY author
                   ORDER BY md5('42|' || doc_id), doc_id) AS rk,
                 count(*) OVER (PARTITION BY author) AS n FROM corpus),
-  cands AS (SELECT unnest(['src1', 'src5', 'src9']) AS C),
   roles AS (SELECT doc_id, author,
-                   CASE WHEN rk > round_even(n * 0.9, 0) THEN 'test'
-                        WHEN author IN (SELECT C FROM cands) THEN 'candidate'
-                        ELSE 'impostor' END AS role FROM h0),
+                   CASE WHEN rk > round_even(n * 0.9, 0) THEN 'test' ELSE 'train' END AS role
+            FROM h0),
+  cands AS (SELECT author AS C FROM roles WHERE role = 'train' GROUP BY author
+            HAVING count(*) >= 2),
   tasks AS (SELECT C, it FROM cands, range(0, 100) r(it)),
   tf AS (SELECT C, it, f, row_number() OVER (PARTITION BY C, it
                 ORDER BY md5('42|' || C || '|' || it || '|' || f), f) AS r
          FROM tasks, range(1, 101) g(f)),
   feats AS (SELECT C, it, f FROM tf WHERE r <= 50),
   mem AS (SELECT t.C, t.it, r.doc_id, r.author, 0 AS kind FROM tasks t
-            JOIN roles r ON r.role = 'candidate' AND r.author = t.C
+            JOIN roles r ON r.role = 'train' AND r.author = t.C
           UNION ALL
           SELECT C, it, doc_id, author, 1
           FROM (SELECT t.C, t.it, r.doc_id, r.author,
                        row_number() OVER (PARTITION BY t.C, t.it ORDER BY
                          md5('42|' || t.C || '|' || t.it || '|' || r.doc_id), r.doc_id) AS rk,
                        count(*) OVER (PARTITION BY t.C, t.it) AS n
-                FROM tasks t JOIN roles r ON r.role = 'impostor')
+                FROM tasks t JOIN roles r ON r.role = 'train' AND r.author <> t.C)
           WHERE rk <= round_even(n * 0.5, 0)
           UNION ALL
           SELECT t.C, t.it, r.doc_id, r.author, 2 FROM tasks t JOIN roles r ON r.role = 'test'),
@@ -1074,7 +1074,7 @@ WITH h AS (SELECT doc_id, source AS author,
                   count(*) OVER (PARTITION BY source) AS n FROM documents),
   i AS (SELECT doc_id, author, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r,
                count(*) OVER () AS m FROM h
-        WHERE rk <= round_even(n * 0.9, 0) AND author NOT IN ('src1', 'src5', 'src9'))
+        WHERE rk <= round_even(n * 0.9, 0) AND author <> (SELECT min(source) FROM documents))
 SELECT doc_id, author FROM i WHERE r <= round_even(m * 0.5, 0)
 """
 
