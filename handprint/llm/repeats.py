@@ -38,6 +38,9 @@ from handprint.operators.ranking import global_rank
 
 THRESHOLD = 100
 GRAM = 48
+#: Longest threshold: strings of about twice the length are coded, and up to 1,023 bytes no two
+#: of one self-similar family (Thue and Morse's) meet in a code modulo 2 ** 64.
+LONGEST = 256
 #: Window starts handled at a time.
 CHUNK = 1 << 20
 _PLACE = np.uint64(CHUNK - 1)
@@ -356,12 +359,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removes each byte covered by a ``threshold``-byte string that also starts
     earlier: in a document of smaller id (nulls last, then by row key), or in the
-    same one.  Texts are UTF-8 bytes, null counts as empty; texts shorter than
+    same one.  ``threshold`` is at most LONGEST.  Texts are UTF-8 bytes, null counts as empty; texts shorter than
     the threshold keep all.  Rows alike in id and text are one document, and
     each of them gets its result.  An empty table gives an empty result.
     """
-    if not 8 <= gram < threshold <= 1 << 16 or threshold % 2:
-        raise ValueError("need 8 <= gram < threshold <= 65536, threshold even")
+    if not 8 <= gram < threshold <= LONGEST or threshold % 2:
+        raise ValueError(f"need 8 <= gram < threshold <= {LONGEST}, threshold even")
     base, once = numbered(narrowed(docs, id=id_col, text=text_col))
     spans = repeated_spans(once, threshold, gram)
     kind = base.schema["id"].dataType.simpleString()

@@ -7,7 +7,7 @@ import pytest
 
 from handprint.llm import repeats
 from handprint.llm.common import row_key
-from handprint.llm.repeats import remove_repeats, sliding_min
+from handprint.llm.repeats import Codes, remove_repeats, sliding_min
 from tests.llm.conftest import make_docs
 from pyspark.sql import functions as F
 
@@ -116,3 +116,23 @@ def test_sliding_min():
 
 def test_empty(no_docs):
     assert remove_repeats(no_docs).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_self_similar_texts_are_not_taken_as_equal(spark):
+    """Thue and Morse's string and its complement, whose codes meet from 1,024 bytes on."""
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    codes = Codes(4096)
+    for size in (64, 128, 256, 512):
+        found = [codes.of(codes.sums(np.frombuffer(t[:size].encode(), np.uint8)), np.array([0]),
+                          np.array([size]))[0] for t in (one, other)]
+        assert found[0] != found[1]
+    rows = [(1, one[:700], "a"), (2, other[:700], "a"), (3, thue_morse(90), "a")]
+    for threshold in (100, 256):
+        check(make_docs(spark, rows), rows, threshold, 32)
+    with pytest.raises(ValueError):
+        remove_repeats(make_docs(spark, rows), threshold=512)
