@@ -306,8 +306,8 @@ def merge_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 SEED = 42
-N_SAMPLE_MFW = 100
-N_SAMPLE_MFP = 50
+N_SAMPLE_MFW = 1000
+N_SAMPLE_MFP = 100
 
 
 def _all_docs(spark, sf_dir):

@@ -365,13 +365,13 @@ WITH {SAMPLES},
   st AS (SELECT t3.* FROM t3 JOIN sel USING (doc_id, sample)),
   aw AS (SELECT unnest(regexp_extract_all(lower(text), '{W}')) AS token FROM documents),
   mfw AS (SELECT token FROM aw WHERE ({rule('token')}) <> 'n'
-          GROUP BY token ORDER BY count(*) DESC, token LIMIT 100),
+          GROUP BY token ORDER BY count(*) DESC, token LIMIT 1000),
   tg AS (SELECT list_transform(regexp_extract_all(lower(text), '{W}'), lambda w: {rule('w')})
            AS tags FROM documents),
   tri AS (SELECT unnest(list_transform(range(1, len(tags) - 1),
                  lambda i: tags[i] || '-' || tags[i + 1] || '-' || tags[i + 2])) AS trigram
           FROM tg WHERE len(tags) >= 3),
-  mfp AS (SELECT trigram FROM tri GROUP BY trigram ORDER BY count(*) DESC, trigram LIMIT 50),
+  mfp AS (SELECT trigram FROM tri GROUP BY trigram ORDER BY count(*) DESC, trigram LIMIT 100),
   wc AS (SELECT doc_id, sample, tok, count(*) AS n FROM st
          WHERE w = 1 AND tok IN (SELECT token FROM mfw) GROUP BY ALL),
   ws AS (SELECT doc_id, sample, '$MFW$' || tok AS feature,
