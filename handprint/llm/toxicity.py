@@ -34,14 +34,15 @@ EXAMPLES = 8192
 EXAMPLE_CHARS = 64_000_000
 NEIGHBOURS = 128
 BLOCK = 64
-#: A term is frequent if more than one example in so many holds it.
-FREQUENT = 16
+#: A term is frequent if more than one example in so many holds it, and rare (its
+#: part counts in the second vote) if at most one in so many does.
+FREQUENT, RARE = 8, 16
 #: Votes for the overall rate, in sums of cosines and of greatest parts.
 PRIOR, PART_PRIOR = 1.0, 0.02
 #: Evidence kept for a document.
 SHOWN = 5
 #: Texts whose cosines are computed at a time, and words whose terms a task remembers.
-TOGETHER = 32
+TOGETHER = 64
 WORDS = 200_000
 #: No place and no hash (these are below 0).
 NO_TERM = (1 << 63) - 1
@@ -90,7 +91,8 @@ class BlockMaxIndex:
     ones as postings.  A text's postings are added up first; with the block
     maxima of its frequent terms they bound the cosines of a block.  Blocks are
     visited by their bound, for many texts at a time, until no bound reaches a
-    text's k-th best.  Weights are whole multiples of 2 ** -24, so sums of
+    text's k-th best.  Sums of 32 bits choose the candidates, with room for their
+    rounding.  Weights are whole multiples of 2 ** -24, so the candidates' sums of
     products (of 64 bits) are exact in any order; cosines are those of the rounded
     vectors, within 1e-7 of the unrounded ones.
     """
@@ -112,20 +114,24 @@ class BlockMaxIndex:
         self.order = similar_order(dense[:self.n])
         self.place_of = np.argsort(self.order)
         dense[:self.n] = dense[self.order]
-        self.matrix = np.ascontiguousarray(
-            dense.reshape(self.blocks, BLOCK, len(hot)).transpose(0, 2, 1))
-        del dense
-        self.greatest = self.matrix.max(axis=2).T.astype(float)
+        self.matrix = dense
+        self.greatest = np.ascontiguousarray(
+            dense.reshape(self.blocks, BLOCK, len(hot)).max(axis=1).T)
+        # Twice the error that a sum in 32 bits can have.
+        self.rounding = 2e-7 * (len(hot) + 4)
         rare = [(t[c], w[c]) for t, w in (vectors[v] for v in self.order)
                 for c in [self.column[t] < 0]]
         term = np.concatenate([t for t, _ in rare] or [np.zeros(0)]).astype(np.int32)
         by = np.argsort(term, kind="stable")
         place = np.repeat(np.arange(self.n), [len(t) for t, _ in rare])
-        self.place = place.astype(np.min_scalar_type(self.n))[by]
+        # (place, weight) side by side, so that a term's postings are one copy.
+        self.postings = np.empty((len(by), 2), np.float32)
+        self.postings[:, 0] = place[by]
         part = fixed(np.concatenate([w for _, w in rare] or [np.zeros(0)]))
-        self.part = part[by].astype(np.float32)
+        self.postings[:, 1] = part[by]
         #: Length of each example's rounded vector, by place.
         self.length = np.array([np.sqrt(np.sum(fixed(vectors[v][1]) ** 2)) for v in self.order])
+        self.rare = held <= max(BLOCK, self.n // RARE)
         held[hot] = 0
         self.start = np.cumsum(np.r_[0, held])
         self.visited = 0
@@ -134,7 +140,7 @@ class BlockMaxIndex:
                 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each unit vector (term, weight): its k nearest examples, best first.
 
-        Gives (example, cosine, greatest part of one rare term in it).  Examples
+        Gives (example, cosine, greatest part that one rare term has in it).  Examples
         share a term with the vector; ties go to the smaller example.  With
         ``skip``, vector i leaves out example skip + i.
         """
@@ -145,43 +151,54 @@ class BlockMaxIndex:
     def batch(self, asked, k: int, skip: int | None):
         places = self.blocks * BLOCK
         dense = np.zeros((len(asked), len(self.greatest)))
-        rare = np.empty((len(asked), places))
+        rare = np.zeros((len(asked), places))
         kept = []
         for i, (term, weight) in enumerate(asked):
             weight = fixed(weight)
             length = np.sqrt(np.sum(weight * weight))
-            hot = self.column[term]
-            dense[i, hot[hot >= 0]] = weight[hot >= 0]
-            low = self.start[term]
-            count = self.start[term + 1] - low
-            at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
-            place, part = self.place[at], np.repeat(weight, count) * self.part[at]
+            column = self.column[term]
+            hot = column >= 0
+            dense[i, column[hot]] = weight[hot]
+            place, part = np.zeros(0, np.intp), np.zeros(0)
+            held = np.flatnonzero(self.start[term] < self.start[term + 1])
+            held = held[np.argsort(self.rare[term[held]], kind="stable")]  # rare ones last
+            if len(held):
+                ranges = [slice(a, b) for a, b in zip(self.start[term[held]].tolist(),
+                                                      self.start[term[held] + 1].tolist(),
+                                                      strict=True)]
+                found = np.concatenate([self.postings[r] for r in ranges])
+                place = found[:, 0].astype(np.intp)
+                part = found[:, 1] * np.repeat(weight[held], [r.stop - r.start for r in ranges])
+                rare[i] = np.bincount(place, part, places)
+                common = sum(r.stop - r.start for r, t in
+                             zip(ranges, self.rare[term[held]].tolist(), strict=True) if not t)
+                place, part = place[common:], part[common:]
             kept.append((place, part, length))
-            rare[i] = np.bincount(place, part, places)
             if skip is not None:
                 rare[i, self.place_of[skip + i]] = -9
-        about = self.cosines(dense, rare.reshape(len(asked), self.blocks, BLOCK), k)
-        for row, (place, part, length) in zip(about, kept, strict=True):
-            found = np.flatnonzero(row > 0)
-            if len(found) > k:
-                least = np.partition(row[found], len(found) - k)[len(found) - k]
-                found = found[row[found] >= least]
+        about, least = self.cosines(dense.astype(np.float32), rare.astype(np.float32), k)
+        for i, (place, part, length) in enumerate(kept):
+            found = np.flatnonzero((about[i] > 0) & (about[i] >= least[i]))
+            cosine = self.matrix[found].astype(float) @ dense[i] + rare[i, found]
+            best = np.lexsort((self.order[found], -cosine))[:k]
+            found, cosine = found[best], cosine[best]
             greatest = np.zeros(places)
             near = np.zeros(places, bool)
             near[found] = True
             own = near[place]
             np.maximum.at(greatest, place[own], part[own])
-            best = np.lexsort((self.order[found], -row[found]))[:k]
-            found = found[best]
-            yield (self.order[found], row[found] / (length * self.length[found]), greatest[found])
+            found, cosine = found[cosine > 0], cosine[cosine > 0]
+            yield (self.order[found], cosine / (length * self.length[found]), greatest[found])
 
-    def cosines(self, dense: np.ndarray, rare: np.ndarray, k: int) -> np.ndarray:
-        """Cosines by text and place; -1 in blocks that were not visited."""
+    def cosines(self, dense: np.ndarray, rare: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines by text and place, up to rounding (-1 in blocks that were not
+        visited), and what each text's k-th best has at least."""
         texts, places = len(dense), self.blocks * BLOCK
-        bound = dense @ self.greatest + rare.max(axis=2)
+        rare = rare.reshape(texts, self.blocks, BLOCK)
+        bound = dense @ self.greatest + rare.max(axis=2) + self.rounding
         order = np.argsort(-bound, axis=1, kind="stable")
-        about = np.full(rare.shape, -1.0)
-        least = np.zeros(texts)
+        about = np.full(rare.shape, -1, np.float32)
+        least = np.zeros(texts, np.float32)
         done, step = 0, max(-(-k // BLOCK), self.blocks // 8, 1)
         while done < self.blocks:
             # The next blocks of every text whose bound may still reach its k-th best.
@@ -195,12 +212,13 @@ class BlockMaxIndex:
             self.visited += len(row)
             cuts = np.flatnonzero(np.diff(block)) + 1
             for rows, b in zip(np.split(row, cuts), block[np.r_[0, cuts]], strict=True):
-                about[rows, b] = dense[rows] @ self.matrix[b].astype(float) + rare[rows, b]
+                own = self.matrix[b * BLOCK:(b + 1) * BLOCK]
+                about[rows, b] = dense[rows] @ own.T + rare[rows, b]
             if k < places:
                 kth = np.partition(about.reshape(texts, -1), places - k, axis=1)[:, places - k]
-                least = np.maximum(0, kth)
+                least = np.maximum(0, kth - 2 * self.rounding)
             done, step = done + step, 2 * step
-        return about.reshape(texts, -1)
+        return about.reshape(texts, -1), least
 
 
 class ToxicityModel:
@@ -428,7 +446,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     sample = pinned(first.select("sha", "row.*"), "sample")
     so_far = F.sum(F.length("text")).over(Window.orderBy(
         F.md5(F.col("id").cast("string").cast("binary")), "id", "sha"))
-    sample = sample.withColumn("so_far", so_far).where(F.col("so_far") <= EXAMPLE_CHARS)
+    # One task for the sum over at most ``examples`` rows, many again for what follows.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = pinned(sample.withColumn("so_far", so_far).where(F.col("so_far") <= EXAMPLE_CHARS)
+                    .drop("so_far").repartition(parts), "sample")
     words = vocabulary_of(sample)
     n_terms = max(1, len(places_of(words)))
     places = spark.sparkContext.broadcast(words)

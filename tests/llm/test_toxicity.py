@@ -36,8 +36,7 @@ def test_index_gives_the_exact_nearest(n_terms):
             cosine = dense @ full
             assert np.allclose(sims, np.sort(cosine[cosine > 1e-12])[::-1][:k])
             assert np.allclose(cosine[ids], sims)
-            rare = index.column < 0
-            assert np.allclose((dense[ids] * full)[:, rare].max(axis=1, initial=0), most)
+            assert np.allclose((dense[ids] * full)[:, index.rare].max(axis=1, initial=0), most)
     assert all(i not in ids for i, (ids, _, _) in enumerate(index.nearest(held, 16, skip=0)))
 
 
