@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 SYMMETRIC = {"cityblock", "manhattan", "l1", "euclidean", "l2", "sqeuclidean", "cosine"}
 ASYMMETRIC = {"snr"}
 
-_CHUNK = 64
+#: Numbers of a chunk of differences, which stays in a core's cache.
+_CHUNK = 1 << 17
 
 
 def no_rows(names: list[str]) -> pd.DataFrame:
@@ -46,20 +47,22 @@ def distance_matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         return 1.0 - an @ bn.T
     if metric == "snr":
         av = ((a - a.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
-    for s in range(0, a.shape[0], _CHUNK):
-        d = a[s:s + _CHUNK, None, :] - b[None, :, :]
+    rows = max(1, _CHUNK // max(1, b.size))
+    for s in range(0, a.shape[0], rows):
+        part = slice(s, s + rows)
+        d = a[part, None, :] - b[None, :, :]
         if metric in ("cityblock", "manhattan", "l1"):
-            out[s:s + _CHUNK] = np.abs(d).sum(axis=2)
+            out[part] = np.abs(d, out=d).sum(axis=2)
         elif metric in ("euclidean", "l2"):
-            out[s:s + _CHUNK] = np.sqrt((d * d).sum(axis=2))
+            out[part] = np.sqrt(np.multiply(d, d, out=d).sum(axis=2))
         elif metric == "sqeuclidean":
-            out[s:s + _CHUNK] = (d * d).sum(axis=2)
+            out[part] = np.multiply(d, d, out=d).sum(axis=2)
         elif metric == "snr":
             dc = d - d.mean(axis=2, keepdims=True)
             num = (dc * dc).sum(axis=2)
             # No signal: 0 to an equal vector, else without bound.
-            out[s:s + _CHUNK] = np.divide(num, av[s:s + _CHUNK, None], out=np.where(
-                num > 0, np.inf, 0.0), where=av[s:s + _CHUNK, None] > 0)
+            out[part] = np.divide(num, av[part, None], out=np.where(
+                num > 0, np.inf, 0.0), where=av[part, None] > 0)
         else:
             raise ValueError(f"unknown metric {metric}")
     return out
