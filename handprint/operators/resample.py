@@ -20,18 +20,16 @@ def class_neighbours(rows: DataFrame, row_id: str, target: str, vec: str, k: int
     k rows per query leave a block of rows, whatever the class's size."""
     t = rows.schema[row_id].dataType.simpleString()
 
-    def best(lhs, rhs, d):
+    def screened(lhs, rhs, a, b, own):
         other = lhs[target].to_numpy()[:, None] != rhs[target].to_numpy()[None, :]
-        d = np.where(other | np.isnan(d), np.inf, np.round(d, digits))
-        take = min(k, d.shape[1])
-        j = np.argsort(d, axis=1, kind="stable")[:, :take].ravel()
-        i = np.repeat(np.arange(len(lhs)), take)
-        keep = np.isfinite(d[i, j])
-        i, j = i[keep], j[keep]
+        return pairs.near_distances(a, b, own | other, k, digits)
+
+    def best(lhs, rhs, d):
+        i, j, d = pairs.first_columns(np.round(d, digits), k)
         return pd.DataFrame({"q": lhs[row_id].to_numpy()[i], "r": rhs[row_id].to_numpy()[j],
-                             "distance": d[i, j]})
+                             "distance": d})
     near = pairs.blocked(rows, rows, row_id, vec, best, f"q {t}, r {t}, distance double", [target],
-                         "euclidean", False, block_rows)
+                         "euclidean", False, block_rows, screened, pairs.nearest_of(k))
     w = Window.partitionBy("q").orderBy("distance", "r")
     return (near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("q", "r", "rank"))

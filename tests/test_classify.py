@@ -1,5 +1,6 @@
 """Reports, nearest reference, Tomek links and the sequence encoder."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,30 @@ def test_encoder(spark):
     padded = spark.createDataFrame([([2, 3],)], "ids array<bigint>").select(
         encode.pad(F.col("ids"), 4).alias("p")).first().p
     assert padded == [2, 3, 1, 1]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_screened_nearest_is_exact(spark, k):
+    """Close ties, equal rows and long vectors: as if every distance were computed."""
+    rng = np.random.default_rng(k)
+    x = rng.normal(size=(90, 12))
+    x[30:60] = x[:30] + rng.choice([0.0, 1e-7, 1e-6, 2e-6], (30, 1))
+    x[60:70] *= 1e4
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                                 "vec_id long, vec array<double>")
+    d = np.round(pairs.distance_matrix(x, x, "euclidean"), 6)
+    np.fill_diagonal(d, np.inf)
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    truth = {(i, int(j), n + 1) for i in range(90) for n, j in enumerate(order[i])}
+    for block in (16, 1024):
+        got = pairs.nearest(rows, rows, "vec_id", "vec", k, "euclidean", digits=6, block_rows=block)
+        assert {(r.q, r.r, r["rank"]) for r in got.collect()} == truth
+
+
+def test_shuffled_blocks_grow():
+    """Copies of a row: 51 GB of vectors at 60,000 x 540,000 rows of 100 numbers before."""
+    size = pairs.shuffle_rows(60_000, 540_000, 1024, 100, 128)
+    copies = 60_000 * -(-540_000 // size) + 540_000 * -(-60_000 // size)
+    assert copies * 800 < 5e9 and -(-540_000 // size) * -(-60_000 // size) >= 128
+    assert pairs.shuffle_rows(1000, 9000, 1024, 100, 128) == 1024
+    assert pairs.shuffle_rows(10**9, 10**9, 1024, 100, 128) * 100 <= pairs.BLOCK_NUMBERS
