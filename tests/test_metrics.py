@@ -69,3 +69,20 @@ def test_asof_rates(table, spark):
         tp, fp = ((d <= t) & y).sum(), ((d <= t) & ~y).sum()
         assert got[t].tpr == pytest.approx(tp / y.sum())
         assert got[t].fpr == pytest.approx(fp / (~y).sum())
+
+
+def test_counts_parted_by_a_mark(spark):
+    """Pairs counted in their blocks by a mark of the comparator, labels null or not."""
+    from handprint.operators import pairs
+    rng = np.random.default_rng(6)
+    rows = [(i, None if i % 7 == 0 else i % 3, i % 4 == 0, rng.normal(size=3).round(1).tolist())
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, held boolean, vec array<double>")
+    few = df.filter("vec_id % 5 = 0").drop("held")
+    got = pairs.pair_counts(few, df, "vec_id", "vec", block_rows=16, by="held").collect()
+    one = pairs.compared_pairs(few.withColumn("held", few.vec_id < 0), df, "vec_id", "vec",
+                               ["label", "held"])
+    want = one.groupBy("distance", (one.left_label == one.right_label).alias("is_pair"),
+                       one.right_held.alias("held")).count().collect()
+    assert {(r.distance, r.is_pair, r.n, r.held) for r in got} == {
+        (r.distance, r.is_pair, r["count"], r.held) for r in want}
