@@ -86,3 +86,23 @@ def test_components_equal_numpy(spark):
     assert [r.component for r in pca.explained(model, rows).collect()] == [1, 2, 3]
     with pytest.raises(ValueError):
         pca.fit_pca(rows.where("false"), "vec", 2)
+
+
+def test_held_out_pairs_are_not_written(spark):
+    """As Spark's logistic regression on a table of all differences gives it."""
+    from handprint.operators import classify, pairs
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(40, 4)) + np.arange(40)[:, None] % 3
+    rows = spark.createDataFrame([(i, i % 3, i % 5 == 1, v.tolist()) for i, v in enumerate(x)],
+                                 "vec_id long, label int, held boolean, vec array<double>")
+    few = rows.filter("vec_id % 4 = 0").drop("held")
+    got = {(r.left_id, r.right_id): (r.is_pair, r.p_same) for r in logistic.held_out_pairs(
+        few, rows, "vec_id", "vec", "label").collect()}
+    one = pairs.compared_pairs(few, rows.drop("held"), "vec_id", "vec", ["label"])
+    one = one.select("left_id", "right_id", (one.left_label == one.right_label).alias("is_pair"))
+    d = classify.pair_difference(one, rows, "vec_id", "vec").cache()
+    held = d.right_id % 5 == 1
+    p = classify.predict_vector_logistic(classify.fit_vector_logistic(d.filter(~held)),
+                                         d.filter(held)).collect()
+    assert {(r.left_id, r.right_id): r.is_pair for r in p} == {k: v[0] for k, v in got.items()}
+    assert all(abs(r.p_same - got[r.left_id, r.right_id][1]) < 2e-3 for r in p)
