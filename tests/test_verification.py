@@ -106,3 +106,21 @@ def test_held_out_pairs_are_not_written(spark):
                                          d.filter(held)).collect()
     assert {(r.left_id, r.right_id): r.is_pair for r in p} == {k: v[0] for k, v in got.items()}
     assert all(abs(r.p_same - got[r.left_id, r.right_id][1]) < 2e-3 for r in p)
+
+
+def test_start_on_few_comparators_changes_nothing(spark, monkeypatch):
+    """Steps on a part of the pairs only find the start: fewer steps on all pairs, same weights."""
+    rows = logistic.fold_chunks(_rows(spark, 300), "label", "id", 5).cache()
+    compared = rows.filter("id % 3 = 0")
+    sizes = []
+    blocked = logistic.blocked
+    monkeypatch.setattr(logistic, "blocked", lambda *a, **b: sizes.append(a[1].count()) or blocked(*a, **b))
+    want = logistic.fit_folds(compared, rows, "id", "vec", "label", 5)
+    steps = len(sizes)
+    assert set(sizes) == {300}
+    monkeypatch.setattr(logistic, "MANY_PAIRS", 1)
+    monkeypatch.setattr(logistic, "FEW", 4)
+    sizes.clear()
+    got = logistic.fit_folds(compared, rows, "id", "vec", "label", 5)
+    assert np.abs(got - want).max() < 1e-6
+    assert sizes.count(300) < steps and 0 < min(sizes) < 150
