@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,19 +137,21 @@ class BlockMaxIndex:
         self.start = np.cumsum(np.r_[0, held])
         self.visited = 0
 
-    def nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, skip: int | None = None
-                ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int,
+                skip: int | list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each unit vector (term, weight): its k nearest examples, best first.
 
         Gives (example, cosine, greatest part that one rare term has in it).  Examples
         share a term with the vector; ties go to the smaller example.  With
-        ``skip``, vector i leaves out example skip + i.
+        ``skip``, vector i leaves out example skip + i, or skip[i] of a list.
         """
+        if isinstance(skip, int):
+            skip = range(skip, skip + len(asked))
         for begin in range(0, len(asked), TOGETHER):
             yield from self.batch(asked[begin:begin + TOGETHER], k,
-                                  None if skip is None else skip + begin)
+                                  None if skip is None else skip[begin:begin + TOGETHER])
 
-    def batch(self, asked, k: int, skip: int | None):
+    def batch(self, asked, k: int, skip):
         places = self.blocks * BLOCK
         dense = np.zeros((len(asked), len(self.greatest)))
         rare = np.zeros((len(asked), places))
@@ -175,7 +178,7 @@ class BlockMaxIndex:
                 place, part = place[common:], part[common:]
             kept.append((place, part, length))
             if skip is not None:
-                rare[i, self.place_of[skip + i]] = -9
+                rare[i, self.place_of[skip[i]]] = -9
         about, least = self.cosines(dense.astype(np.float32), rare.astype(np.float32), k)
         for i, (place, part, length) in enumerate(kept):
             found = np.flatnonzero((about[i] > 0) & (about[i] >= least[i]))
@@ -222,28 +225,26 @@ class BlockMaxIndex:
 
 
 class ToxicityModel:
-    """Examples with all their terms, weights and curve; bounded by EXAMPLES and EXAMPLE_CHARS."""
+    """Examples with all their terms and weights; bounded by EXAMPLES and EXAMPLE_CHARS.
+
+    The driver holds what the index is made of; the index, many times that, is made by
+    every worker that reads the model.
+    """
 
     def __init__(self, frequency: np.ndarray, n_docs: int, terms: list[bytes],
                  counts: list[np.ndarray], labels: np.ndarray):
         self.labels = labels.astype(float)
         self.rate = float(self.labels.mean()) if len(labels) else 0.0
         self.made_of = frequency, n_docs, terms, counts
-        vectors = self.build()
-        votes = np.array([self.votes(*self.sums(*near))
-                          for near in self.index.nearest(vectors, NEIGHBOURS, skip=0)])
-        self.curve = fit_curve(votes.reshape(-1, 2), self.labels)
 
-    def build(self) -> list[tuple[np.ndarray, np.ndarray]]:
+    def build(self) -> None:
         frequency, n_docs, terms, counts = self.made_of
         self.weight = np.log((1 + n_docs) / (1 + frequency)) + 1
         vectors = [self.vector(unpacked(t), n)[:2] for t, n in zip(terms, counts, strict=True)]
         self.index = BlockMaxIndex(vectors, len(frequency))
-        return vectors
 
-    # The index is many times what it is made of, so a worker makes its own.
     def __getstate__(self):
-        kept = {k: getattr(self, k) for k in ("labels", "rate", "curve", "made_of")}
+        kept = {k: getattr(self, k) for k in ("labels", "rate", "made_of")}
         return zlib.compress(pickle.dumps(kept), 1)
 
     def __setstate__(self, state):
@@ -287,6 +288,27 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
     return tuple(float(b) for b in beta)
 
 
+def left_out_votes(sample: DataFrame, shared) -> np.ndarray:
+    """Votes for each example, itself left out, in the order of ``place``.
+
+    ``sample``: (place, terms, counts); two numbers for each example meet at the driver.
+    """
+    def run(batches):
+        model, _ = shared.value
+        for batch in sliced(batches):
+            vectors = [model.vector(unpacked(t), n)[:2] for t, n in
+                       zip(batch.column("terms").to_pylist(), _arrays(batch.column("counts")),
+                           strict=True)]
+            found = [model.votes(*model.sums(*near)) for near in model.index.nearest(
+                vectors, NEIGHBOURS, batch.column("place").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("place"), *[pa.array([v[i] for v in found], pa.float64())
+                                          for i in range(2)]], names=["place", "a", "b"])
+    found = (sample.select("place", "terms", "counts")
+             .mapInArrow(run, "place int, a double, b double").orderBy("place").toArrow())
+    return np.c_[found.column("a").to_numpy(), found.column("b").to_numpy()]
+
+
 def coder(place: dict[str, int]):
     """text -> (codes, counts) of :func:`terms`, ascending: places, and hashes below 0 for others."""
     known: dict[str, int] = {}  # word -> its row of the table
@@ -366,8 +388,9 @@ def _counted(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def vocabulary_of(sample: DataFrame) -> bytes:
-    """All terms of (text), those that most texts hold first; see :func:`places_of`."""
+def vocabulary_of(sample: DataFrame) -> tuple[bytes, int]:
+    """All terms of (text), those that most texts hold first (see :func:`places_of`), and
+    their number."""
     def run(batches):
         for batch in sliced(batches):
             held = Counter(t for x in batch.column("text").to_pylist() for t in terms(x))
@@ -377,7 +400,10 @@ def vocabulary_of(sample: DataFrame) -> bytes:
     found = (sample.select("text").mapInArrow(run, "term string, n bigint").groupBy("term")
              .agg(F.sum("n").alias("n")).toArrow())
     ranked = found.sort_by([("n", "descending"), ("term", "ascending")]).column("term")
-    return zlib.compress("\n".join(ranked.to_pylist()).encode(), 1)
+    # The driver makes no Python string for each term.
+    every = pa.ListArray.from_arrays(pa.array([0, len(ranked)], pa.int32()),
+                                     pa.concat_arrays([pa.array([], ranked.type), *ranked.chunks]))
+    return zlib.compress(pc.binary_join(every, "\n")[0].as_buffer(), 1), len(ranked)
 
 
 def places_of(vocabulary: bytes) -> dict[str, int]:
@@ -446,25 +472,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     sample = pinned(first.select("sha", "row.*"), "sample")
     so_far = F.sum(F.length("text")).over(Window.orderBy(
         F.md5(F.col("id").cast("string").cast("binary")), "id", "sha"))
+    place = F.row_number().over(Window.orderBy("id", "sha")) - 1
     # One task for the sum over at most ``examples`` rows, many again for what follows.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sample = pinned(sample.withColumn("so_far", so_far).where(F.col("so_far") <= EXAMPLE_CHARS)
-                    .drop("so_far").repartition(parts), "sample")
-    words = vocabulary_of(sample)
-    n_terms = max(1, len(places_of(words)))
+                    .drop("so_far").withColumn("place", place).repartition(parts), "sample")
+    words, n_terms = vocabulary_of(sample)
+    n_terms = max(1, n_terms)
     places = spark.sparkContext.broadcast(words)
 
     counted = pinned(_counted(base, places).withColumn("row", F.monotonically_increasing_id()),
                      "terms")
     n_docs = counted.count()
     frequency = document_frequency(counted, n_terms)
-    held = _counted(sample, places).orderBy("id", "sha").select(
-        "id", "label", "terms", "counts").toArrow().combine_chunks()
+    sample = pinned(_counted(sample, places), "examples-terms")
+    held = sample.orderBy("place").select("id", "label", "terms", "counts").toArrow().combine_chunks()
     shown = held.column("id").combine_chunks()
     model = ToxicityModel(frequency, n_docs, held.column("terms").to_pylist(),
                           _arrays(held.column("counts").combine_chunks()),
                           held.column("label").to_numpy())
     shared = spark.sparkContext.broadcast((model, shown))
+    curve = fit_curve(left_out_votes(sample, shared), model.labels)
     kind = counted.schema["id"].dataType.simpleString()
     schema = extended(counted.select("row", "id"),
                       "own double, ones double, every double, part_ones double, "
@@ -493,7 +521,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     square = F.coalesce(F.col("square") / F.lit(2.0 ** 32), F.lit(0.0))
     shorter = F.when(F.col("own") > 0, F.sqrt(F.col("own") / (F.col("own") + square))).otherwise(
         F.lit(1.0))
-    offset, by_cosine, by_part = model.curve
+    offset, by_cosine, by_part = curve
     sums = [F.col(c) * F.col("part") for c in ("ones", "every", "part_ones", "part_every")]
     votes = model.votes(*sums)
     return (scored.join(rest, scored["row"] == rest["of"], "left").withColumn("part", shorter)

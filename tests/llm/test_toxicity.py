@@ -40,6 +40,25 @@ def test_index_gives_the_exact_nearest(n_terms):
     assert all(i not in ids for i, (ids, _, _) in enumerate(index.nearest(held, 16, skip=0)))
 
 
+def test_skip_may_name_any_example():
+    held = vectors(300, 40, 1)
+    index = BlockMaxIndex(held, 40)
+    every = list(index.nearest(held, 16, skip=0))
+    some = [7, 299, 0, 120]
+    for i, (ids, sims, _) in zip(some, index.nearest([held[i] for i in some], 16, some), strict=True):
+        assert i not in ids and np.array_equal(ids, every[i][0]) and np.array_equal(sims, every[i][1])
+
+
+def test_driver_makes_no_index(spark, monkeypatch):
+    """The index is many times what it is made of; only workers hold it."""
+    def refuse(*_):
+        raise AssertionError("index made at the driver")
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "__init__", refuse)
+    docs, _, labels, _ = labelled(spark)
+    got = score_toxicity(docs, labels).collect()
+    assert len(got) == docs.count() and {r.predicted for r in got} == {0, 1}
+
+
 def test_index_visits_few_blocks_of_other_kinds():
     """Texts of one kind end their search before the blocks of the others."""
     rnd = np.random.default_rng(3)
