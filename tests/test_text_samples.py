@@ -19,6 +19,15 @@ def test_samples_rule(spark):
     assert got[-1][2] == "w14"  # the final '.' opens an incomplete sample: dropped
 
 
+def test_texts_too_short_for_a_sample_are_not_tokenised(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b "), (3, "abcdefgh"), (4, None)],
+                                 "doc_id long, text string")
+    plan = samples.plan_samples(docs, size=3, margin=0)
+    assert "length(lower(text" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.doc_id, r.toks) for r in plan.collect()] == [(1, ["a", "b", "c"])]
+    assert samples.plan_samples(docs, size=3, whole=True).count() == 4
+
+
 def test_sentence_tokens_golden(spark):
     df = spark.createDataFrame([(".Hello... I am James Bond; Junior.",)], "t string")
     got = df.select(T.sentence_tokens(F.col("t")).alias("s")).first().s
