@@ -78,3 +78,9 @@ def test_mined_triplets_lists_no_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pairs, "compared_pairs", refuse)
     got = catalogue.mined_triplets(spark, str(tmp_path)).collect()
     assert sorted(map(str, got)) == want and len(got) == 7
+
+
+def test_probabilities_are_rounded_like_decimals(spark, tmp_path):
+    _table(spark).write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = catalogue.vector_pairs(spark, str(tmp_path)).collect()
+    assert len(rows) > 500 and all(r.Probability == round(1 - r.Distance, 6) for r in rows)
