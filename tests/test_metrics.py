@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from handprint.operators import metrics
 
@@ -86,3 +87,47 @@ def test_counts_parted_by_a_mark(spark):
                        one.right_held.alias("held")).count().collect()
     assert {(r.distance, r.is_pair, r.n, r.held) for r in got} == {
         (r.distance, r.is_pair, r["count"], r.held) for r in want}
+
+
+def test_asof_rates_compares_all_vectors(spark, tmp_path):
+    """Every ordered pair counts, whatever the ids; none of them is divisible by 20 but one."""
+    from handprint.plans.catalogue import QUERIES
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(1, 41)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["asof_rates"](spark, str(tmp_path)).collect()
+    from handprint.operators import splits
+    e = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    split = splits.holdout_split(e.select("vec_id", "label"), "label", "vec_id", 0.1, 42)
+    held = {r.vec_id for r in split.filter("split = 'holdout'").collect()}
+    data = {r.vec_id: (np.array(r.embedding, float), r.label) for r in e.collect()}
+    unit = {i: x / np.sqrt((x * x).sum()) for i, (x, _) in data.items()}
+    pairs = [(np.round(np.sqrt(((unit[a] - unit[b]) ** 2).sum()), 6), data[a][1] == data[b][1], b in held)
+             for a in unit for b in unit if a != b]
+    assert {r.distance for r in got} == {float(np.floor(d * 100 + 0.5)) / 100 for d, _, h in pairs if h}
+    for r in got:
+        seen = [(d <= r.distance, same) for d, same, h in pairs if not h]
+        assert (r.tp, r.fp, r.tn, r.fn) == tuple(seen.count(x) for x in (
+            (True, True), (True, False), (False, False), (False, True)))
+
+
+def test_counts_of_unit_vectors(spark):
+    """Counts kept by steps are those of the listed pairs: equal, opposite and zero vectors too."""
+    from handprint.operators import pairs
+    rng = np.random.default_rng(7)
+    rows = [(i, None if i % 9 == 0 else i % 2, i % 4 == 0,
+             [0.0, 0.0] if i % 11 == 0 else rng.integers(-2, 3, 2).astype(float).tolist())
+            for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, held boolean, vec array<double>")
+    few = df.filter("vec_id % 3 = 0").drop("held")
+    one = pairs.compared_pairs(few.withColumn("held", few.vec_id < 0), df, "vec_id", "vec",
+                               ["label", "held"], normalise=True)
+    same = one.left_label == one.right_label
+    for by, keys in (("held", [same.alias("is_pair"), one.right_held.alias("held")]),
+                     (None, [F.coalesce(same, F.lit(False)).alias("is_pair")])):
+        got = pairs.pair_counts(few, df if by else df.drop("held"), "vec_id", "vec", normalise=True,
+                                block_rows=16, by=by)
+        want = one.groupBy("distance", *keys).agg(F.count(F.lit(1)).alias("n"))
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(
+            map(str, want.collect()))
