@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from handprint.operators import logistic, pca
 
@@ -124,3 +125,33 @@ def test_start_on_few_comparators_changes_nothing(spark, monkeypatch):
     got = logistic.fit_folds(compared, rows, "id", "vec", "label", 5)
     assert np.abs(got - want).max() < 1e-6
     assert sizes.count(300) < steps and 0 < min(sizes) < 150
+
+
+def test_all_rows_against_all(spark, monkeypatch):
+    """Two tiles meet once, and pairs are counted in their blocks: the same fit and counts."""
+    k = 5
+    e = logistic.fold_chunks(_rows(spark), "label", "id", k).cache()
+    want = _brute(e.collect(), set(range(60)), k)
+    blocked = logistic.blocked
+    monkeypatch.setattr(logistic, "blocked", lambda *a, **b: blocked(*a, **b, block_rows=7))
+    w = logistic.fit_folds(e, e, "id", "vec", "label", k)
+    assert np.abs(w - logistic.fit_folds(e, e.filter("true"), "id", "vec", "label", k)).max() < 1e-6
+    got = {r.fold: r for r in logistic.count_folds(w, e, e, "id", "vec", "label").collect()}
+    for fold in range(k):
+        one = [(same, p >= 0.5) for (f, _, _), (same, p) in want.items() if f == fold]
+        r = got[fold]
+        assert (r.n, r.tp, r.fp, r.fn) == (len(one), *(one.count(x) for x in (
+            (True, True), (False, True), (True, False))))
+
+
+def test_fold_scores_take_every_vector(spark, tmp_path):
+    """No id is divisible by 20; each vector of a test chunk meets all training vectors."""
+    from handprint.plans.catalogue import QUERIES
+    rows = _rows(spark).filter("id % 20 <> 0").select(
+        F.col("id").alias("vec_id"), F.col("vec").alias("embedding"), "label")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.fold: r.n for r in QUERIES["verify_fold_scores"](spark, str(tmp_path)).collect()}
+    chunks = [r.chunk for r in logistic.fold_chunks(rows, "label", "vec_id", 5).collect()]
+    size = [chunks.count(c) for c in range(5)]
+    assert got == {f: size[(f + 1) % 5] * (len(chunks) - size[f] - size[(f + 1) % 5])
+                   for f in range(5)}
