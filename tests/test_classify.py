@@ -87,3 +87,25 @@ def test_shuffled_blocks_grow():
     assert copies * 800 < 5e9 and -(-540_000 // size) * -(-60_000 // size) >= 128
     assert pairs.shuffle_rows(1000, 9000, 1024, 100, 128) == 1024
     assert pairs.shuffle_rows(10**9, 10**9, 1024, 100, 128) * 100 <= pairs.BLOCK_NUMBERS
+
+
+def test_city_block_nearest_of_others(spark, monkeypatch):
+    """Queries that are no references are searched without all distances; ties go to the lower id."""
+    rnd = np.random.default_rng(4)
+    x = rnd.integers(0, 3, (90, 5)) / 2
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                                 "vec_id long, vec array<double>")
+    got = {r.q: (r.r, r.distance) for r in pairs.nearest(
+        rows.filter("vec_id < 30"), rows.filter("vec_id >= 30"), "vec_id", "vec", block_rows=16).collect()}
+    want = np.abs(x[:30, None] - x[None, 30:]).sum(axis=2)
+    assert got == {q: (30 + int(d.argmin()), d.min()) for q, d in enumerate(want)}
+
+    all_of = pairs.distance_matrix
+    none = np.zeros((30, 60), bool)
+    own = none.copy()
+    own[0, 0] = True
+    assert (pairs.first_distances(x[:30], x[30:], own, "cityblock", 9) == want).all()
+    monkeypatch.setattr(pairs, "distance_matrix", None)
+    d = pairs.first_distances(x[:30], x[30:], none, "cityblock", 9)
+    monkeypatch.setattr(pairs, "distance_matrix", all_of)
+    assert (np.isfinite(d).sum(axis=1) == 1).all() and (d.min(axis=1) == want.min(axis=1)).all()
